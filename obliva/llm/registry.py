@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obliva.llm import bpe, chat, html, mixing, secrets
+from obliva.llm import bpe, chat, html, jaccard, mixing, secrets
 from obliva.llm.common import table
 
 #: The vocabulary of op10; a parameter of the operator.
@@ -35,6 +35,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "<|im_end|><|im_start|>assistant ok"
@@ -66,6 +70,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_chat_formatting": op5_chat_formatting,
         "op7_secret_scans": op7_secret_scans,
         "op8_mixing": op8_mixing,
