@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obliva.llm import bpe, chat, html, jaccard, mixing, secrets
+from obliva.llm import bpe, chat, html, jaccard, mixing, quality, secrets
 from obliva.llm.common import table
 
 #: The vocabulary of op10; a parameter of the operator.
@@ -35,6 +35,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights = quality.train(quality.sample(table(spark, sf_dir, "labels"), docs, "quality"))
+    scored = quality.score(docs, weights)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -70,6 +77,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
+        "op2_quality_classifier": op2_quality_classifier,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_chat_formatting": op5_chat_formatting,
         "op7_secret_scans": op7_secret_scans,
