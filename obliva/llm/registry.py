@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obliva.llm import bpe, chat, html, jaccard, mixing, quality, secrets
+from obliva.llm import bpe, chat, html, jaccard, mixing, quality, secrets, suffixes
 from obliva.llm.common import table
 
 #: The vocabulary of op10; a parameter of the operator.
@@ -25,6 +25,11 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.dedup(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
     return coded.select(
@@ -82,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_chat_formatting": op5_chat_formatting,
         "op7_secret_scans": op7_secret_scans,
         "op8_mixing": op8_mixing,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_bpe": op10_bpe,
     }
 
