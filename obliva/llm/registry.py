@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obliva.llm import bpe, chat, html, jaccard, mixing, quality, secrets, suffixes
+from obliva.llm import bpe, chat, html, jaccard, mixing, quality, secrets, suffixes, vectors
 from obliva.llm.common import table
 
 #: The vocabulary of op10; a parameter of the operator.
@@ -47,6 +47,14 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, key="vec_id", vector="embedding")
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), key="vec_id", vector="embedding", label="label")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -83,6 +91,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
         "op2_quality_classifier": op2_quality_classifier,
+        "op3_permutation_index": op3_permutation_index,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_chat_formatting": op5_chat_formatting,
         "op7_secret_scans": op7_secret_scans,
