@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obliva.llm.common import chunks, utf8
+from obliva.llm.common import chunks, ship, utf8
 
 #: Fixed value: the public pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -188,6 +188,7 @@ def codec(path: str) -> Codec:
 
 def bpe_round_trip(df: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``ids`` (array of int) and ``decoded`` (the text that the ids stand for) of each row."""
+    ship(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once, so that their Python finds it wherever the driver took it from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_obliva_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="obliva-")) / "obliva-package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._obliva_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,16 +52,11 @@ def cut(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(f"{shared_dir(spark)}/{uuid.uuid4().hex}")
-    return df.checkpoint(eager=True)
-
-
-def fresh(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` does not have."""
-    taken = {c.lower() for c in df.columns}
-    name = stem
-    while name.lower() in taken:
-        name = "_" + name
-    return name
+    out = df.checkpoint(eager=True)
+    # The lineage is gone; its shuffle files go once the JVM notices that nothing refers to them.
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,13 +130,3 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     ends = full & (edge[1:] | np.concatenate([~full[1:], [True]]))
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     return s, e, np.searchsorted(offs, s, "right") - 1
-
-
-def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn`` turns a pyarrow Table of some rows of ``df`` into an iterator of RecordBatches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from fn(batch)
-
-    return df.mapInArrow(run, schema)

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from obliva.llm.common import ship
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -242,6 +244,7 @@ _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 pre li dd dt td th tr tbody blockquote"
 
 def extract(df: DataFrame, *, key: list[str] | None = None, html: str = "html", out: str = "text") -> DataFrame:
     """The columns ``key`` (all but the html by default) and the page's main text as ``out``."""
+    ship(df.sparkSession)
     keep = [c for c in (key if key is not None else df.columns) if c not in (html, out)]
     slim = df.select(*keep, F.col(html).alias(out))
 

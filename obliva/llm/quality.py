@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obliva.llm.common import U64, chunks, mix, span_hashes, utf8
+from obliva.llm.common import U64, chunks, mix, ship, span_hashes, utf8
 
 WIDTH, SCALE = 1 << 18, 16.0
 #: Labelled rows that training takes at most, and its passes over them.
@@ -116,6 +116,7 @@ def learn(examples: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
 
 def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "label", most: int = MOST) -> bytes:
     """float64 weights learnt from at most ``most`` rows of ``labelled``."""
+    ship(labelled.sparkSession)
     rows = labelled.where(F.col(label).isNotNull()).select(F.xxhash64(F.col(key)).alias("at"), F.col(label).cast("int").alias("y"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +144,7 @@ def held_out(key: Column) -> Column:
 
 def score(docs: DataFrame, weights: bytes, *, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (the key by default) and ``score`` of each row."""
+    ship(docs.sparkSession)
     keep = [c for c in (keep or [key]) if c != "score"]
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     slim = docs.select(F.col(text).alias("text to score"), *keep)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obliva.llm.common import _BYTE, U64, chunks, mix, utf8
+from obliva.llm.common import _BYTE, U64, chunks, mix, ship, utf8
 
 GRAM = 32
 #: Bytes of text in a block, in a part of the anchor hashes, and in a part of the merge.
@@ -345,6 +345,7 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: i
     """key, n_bytes, n_removed, n_spans and kept (the remaining bytes) of each row; the key is an integer."""
     if not GRAM < length <= 127 + GRAM // 2:
         raise ValueError("length must be above GRAM and fit the front coding")
+    ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks, hashes, parts = (max(1, -(-total // n)) for n in (BLOCK_BYTES, HASH_BYTES, PART_BYTES))

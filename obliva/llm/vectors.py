@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from obliva.llm.common import cut
+from obliva.llm.common import cut, ship
 from obliva.llm.components import components
 
 #: Permutation index: pivots, how many of them a vector is ordered by, share of a shard that is reranked (at least LEAST).
@@ -90,6 +90,7 @@ class Shard:
 
 def nearest(vectors: DataFrame, is_query: Column, *, key: str, vector: str, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of every query row, over all rows in shards."""
+    ship(vectors.sparkSession)
     good = vectors.where(usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("q"))
     p = pivots(good)
     width = p.shape[1]
@@ -182,6 +183,7 @@ def near_duplicates(vectors: DataFrame, *, key: str, vector: str, label: str, le
     Equal vectors of a label are one class, whose least id takes part; counts of links are summed by class, so that no
     list of pairs is ever written.
     """
+    ship(vectors.sparkSession)
     rows = cut(vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.col(label).alias("label")))
     good = rows.where(usable(F.col("v")) & F.col("label").isNotNull() & F.col("id").isNotNull())
     classes = cut(good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")).withColumn("width", F.size("v")))
