@@ -14,7 +14,8 @@ every shingle, a number linear in the postings; then all further pairs of
 different components that share a shingle.  A pair within a component cannot
 change the components.
 
-Shingles are 64-bit hashes of lower-cased (A-Z) words.  Defined results: a null
+Shingles are 64-bit hashes of lower-cased (A-Z) words; whole sets are compared
+by 48 bits of them.  Defined results: a null
 or empty text has no shingles, and is its own component; fewer than ``width``
 words make one shingle; repeated rows are equal sets, a row each; a null key
 takes no part in links; other columns are ignored; an empty table gives an
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from obliva.llm.common import U64, chunks, cut, mix, span_hashes, utf8, words
+from obliva.llm.common import U64, chunks, cut, mix, ship, span_hashes, utf8, words
 from obliva.llm.components import components
 
 #: Counters of the frequency sketch, and the slices in which it is summed.  Fixed, whatever the input.
@@ -99,7 +100,7 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def features(docs: DataFrame, width: int, percent: int, levels: bytes) -> DataFrame:
-    """doc, n, k1, k2 (of the set) and prefix of each row."""
+    """doc, n, k1, k2 (of the set), p1, p2 (of the prefix) and prefix of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,21 +117,36 @@ def features(docs: DataFrame, width: int, percent: int, levels: bytes) -> DataFr
             order = np.lexsort((h, level[(h >> U64(46)).astype(np.int64)], owner))
             length = np.where(n > 0, n - least_overlap(n, percent) + 1, 0)
             inside = np.arange(len(h)) - np.repeat(offs[:-1], n) < np.repeat(length, n)
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(h[order][inside].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), prefix], ["doc", "n", "k1", "k2", "prefix"])
+            p = h[order][inside]
+            ends = np.concatenate([[0], np.cumsum(length)])
+            p1, p2 = np.zeros(rows, U64), np.zeros(rows, U64)
+            if len(p):
+                p1[some] = np.add.reduceat(mix(p + U64(2)), ends[some])
+                p2[some] = np.bitwise_xor.reduceat(mix(p ^ U64(0x2545F4914F6CDD1D)), ends[some])
+            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(p.view(np.int64)))
+            hashes = [pa.array(x.view(np.int64)) for x in (k1, k2, p1, p2)]
+            yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), *hashes, prefix], ["doc", "n", "k1", "k2", "p1", "p2", "prefix"])
 
-    return docs.mapInArrow(run, f"doc {docs.schema[0].dataType.simpleString()}, n bigint, k1 bigint, k2 bigint, prefix array<bigint>")
+    return docs.mapInArrow(run, f"doc {docs.schema[0].dataType.simpleString()}, n bigint, k1 bigint, k2 bigint, p1 bigint, p2 bigint, prefix array<bigint>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """doc, set of the wanted rows; repeated rows of a key make one set each."""
+    """doc, set of the wanted rows: the upper 48 bits of each shingle, sorted, 6 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, h, offs in _batches(batches, width):
-            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(h.view(np.int64)))], ["doc", "set"])
+            packed = np.ascontiguousarray((h >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+            cuts = (offs * 6).tolist()
+            yield pa.RecordBatch.from_arrays([keys, pa.array([packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["doc", "set"])
 
     kind = docs.schema[0].dataType.simpleString()
-    return docs.join(wanted.select(F.col("doc").alias(docs.columns[0])), docs.columns[0], "left_semi").mapInArrow(run, f"doc {kind}, set array<bigint>")
+    return docs.join(wanted.select(F.col("doc").alias(docs.columns[0])), docs.columns[0], "left_semi").mapInArrow(run, f"doc {kind}, set binary")
+
+
+def unpacked(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.view(U64).ravel()
 
 
 def sizes_fit(n: Column, m: Column, percent: int) -> Column:
@@ -151,24 +167,36 @@ def prefixes_fit(a: str, b: str, percent: int) -> Column:
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of documents whose whole sets link."""
     wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    sets = cut(whole_sets(docs, wanted, width).dropDuplicates(["doc"]))
+    sets = cut(whole_sets(docs, wanted, width).groupBy("doc").agg(F.max("set").alias("set")))
     x, y = sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc").alias("b"), F.col("set").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("common") * 100 >= (F.size("x") + F.size("y") - F.col("common")) * percent).select("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for p, q in zip(batch.column(2), batch.column(3), strict=True):
+                u, v = unpacked(p.as_py()), unpacked(q.as_py())
+                common = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(common * 100 >= (len(u) + len(v) - common) * percent)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    kind = docs.schema[0].dataType.simpleString()
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
     """key, n_shingles and component_id of each row: the least key that links reach."""
+    ship(docs.sparkSession)
     slim = docs.select(F.col(key), F.col(text).alias("_text" if key == "text" else "text"))
     feats = cut(features(slim, width, percent, frequency_levels(slim, width)))
     classes = cut(
-        feats.where("n > 0 and doc is not null").groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep"), F.first("prefix").alias("prefix"))
+        feats.where("n > 0 and doc is not null").groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep"), F.first("p1").alias("p1"), F.first("p2").alias("p2"))
     )
     # Groups: classes of one prefix and size, named by their least member.
-    grouped = classes.groupBy("n", "prefix").agg(F.min("rep").alias("gid"))
-    named = cut(classes.join(grouped.select(F.col("n").alias("gn"), F.xxhash64("prefix").alias("gp"), F.col("prefix").alias("same"), "gid"), (F.col("n") == F.col("gn")) & (F.xxhash64("prefix") == F.col("gp")) & (F.col("prefix") == F.col("same"))).select("rep", "n", "prefix", "gid"))
-    groups = named.where("rep = gid").select("gid", "n", "prefix")
-    postings = cut(groups.select("gid", "n", F.explode("prefix").alias("token")).withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df"))
+    grouped = classes.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"))
+    named = classes.join(grouped, ["n", "p1", "p2"]).select("rep", "gid", "k1", "k2")
+    named = cut(feats.select("doc", "n", "k1", "k2", "prefix").join(named.withColumnRenamed("rep", "doc"), ["doc", "k1", "k2"]).dropDuplicates(["doc", "k1", "k2"]).select(F.col("doc").alias("rep"), "n", "prefix", "gid"))
+    postings = named.where("rep = gid").select("gid", "n", F.explode("prefix").alias("token"))
+    postings = cut(postings.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df"))
 
     # First pass: neighbours and the first group on each shingle.
     order = Window.partitionBy("token").orderBy("n", "gid")
