@@ -120,4 +120,5 @@ def rule_note(attribute: Column, error: Column) -> Column:
 def garbled(text: Column, seed: int = 42) -> Column:
     """As many characters 0-255, drawn by hash."""
     places = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(places, lambda i: F.char(F.pmod(F.xxhash64(F.lit(seed), text, i), F.lit(255)) + 1)), "")
+    drawn = F.array_join(F.transform(places, lambda i: F.char(F.pmod(F.xxhash64(F.lit(seed), text, i), F.lit(255)) + 1)), "")
+    return F.when(text.isNotNull(), drawn)
