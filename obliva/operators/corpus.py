@@ -74,4 +74,4 @@ def unique_names(candidates: DataFrame, taken: DataFrame, n: int, seed: str) ->
     """
     free = candidates.join(taken.select("surname").distinct(), "surname", "left_anti").select("first_name", "surname").distinct()
     order = Window.partitionBy("first_name").orderBy(order_key(seed, F.col("first_name"), F.col("surname")), "surname")
-    return free.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n)
+    return free.withColumn("n", F.row_number().over(order).cast("bigint")).where(F.col("n") <= n)
