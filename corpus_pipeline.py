@@ -2,9 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
 it kept.  All but the last return the columns of ``documents``; the last returns
-doc_id, n_tokens, ids and decoded.  A column of the input beyond those of
-``documents`` is dropped by the first stage; null texts count as empty
-throughout, and an empty table passes every stage as an empty table.
+doc_id, n_tokens, ids and decoded.  The first stage drops columns beyond those
+of ``documents``, and rows without a doc_id, which no later decision could be
+joined to; null texts count as empty throughout; of rows that share a doc_id the
+second stage keeps one; an empty table passes every stage as an empty table.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from labelled rows that are not held out."""
     weights = quality.train(quality.sample(table(spark, sf_dir, "labels"), docs, "quality"))
-    return quality.score(docs, weights, keep=COLUMNS).where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
+    return quality.score(docs.where("doc_id is not null"), weights, keep=COLUMNS).where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
