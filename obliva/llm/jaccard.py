@@ -4,17 +4,18 @@ Documents with equal shingle sets form a class.  A class's shingles are ordered
 from rare to frequent (counted in a sketch of fixed size over the whole corpus,
 ties by hash) and its prefix is just long enough that two sets which link share
 a shingle of it.  Classes with the same prefix and size collapse into one group;
-groups meet on the shingles of their prefixes and are filtered by size and by
-what the two prefixes can still have in common; the survivors expand to their
+groups meet on the shingles of their prefixes and are filtered by size, by
+place, and by what the two prefixes can still have in common; the survivors expand to their
 members, whose whole sets are compared.
 
 Only components are asked for, so the pairs are taken in two passes, neither of
 which drops one: first each group with its neighbour and the first group on
 every shingle, a number linear in the postings; then all further pairs of
-different components that share a shingle.  A pair within a component cannot
+different components that share a shingle, compared by parity maps in blocks,
+so that only close pairs are ever written.  A pair within a component cannot
 change the components.
 
-Shingles are 64-bit hashes of lower-cased (A-Z) words; whole sets are compared
+Keys are integers.  Shingles are 64-bit hashes of lower-cased (A-Z) words; whole sets are compared
 by 48 bits of them.  Defined results: a null
 or empty text has no shingles, and is its own component; fewer than ``width``
 words make one shingle; repeated rows are equal sets, a row each; a null key
@@ -38,6 +39,8 @@ from obliva.llm.components import components
 
 #: Counters of the frequency sketch, and the slices in which it is summed.  Fixed, whatever the input.
 COUNTERS, SLICES = 1 << 18, 64
+#: Bits of a set's parity map, and rows of a shingle's postings that one task compares with as many others.
+BITS, SIDE = 1024, 4096
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +103,7 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def features(docs: DataFrame, width: int, percent: int, levels: bytes) -> DataFrame:
-    """doc, n, k1, k2 (of the set), p1, p2 (of the prefix) and prefix of each row."""
+    """doc, n, k1, k2 (of the set), p1, p2 (of the prefix), prefix and bits (parity map of the set) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,9 +128,11 @@ def features(docs: DataFrame, width: int, percent: int, levels: bytes) -> DataFr
                 p2[some] = np.bitwise_xor.reduceat(mix(p ^ U64(0x2545F4914F6CDD1D)), ends[some])
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(p.view(np.int64)))
             hashes = [pa.array(x.view(np.int64)) for x in (k1, k2, p1, p2)]
-            yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), *hashes, prefix], ["doc", "n", "k1", "k2", "p1", "p2", "prefix"])
+            odd = np.bincount(owner * BITS + (mix(h + U64(3)) % U64(BITS)).astype(np.int64), minlength=rows * BITS) & 1
+            bits = pa.array([x.tobytes() for x in np.packbits(odd.astype(np.uint8).reshape(rows, BITS), axis=1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), *hashes, prefix, bits], ["doc", "n", "k1", "k2", "p1", "p2", "prefix", "bits"])
 
-    return docs.mapInArrow(run, f"doc {docs.schema[0].dataType.simpleString()}, n bigint, k1 bigint, k2 bigint, p1 bigint, p2 bigint, prefix array<bigint>")
+    return docs.mapInArrow(run, f"doc {docs.schema[0].dataType.simpleString()}, n bigint, k1 bigint, k2 bigint, p1 bigint, p2 bigint, prefix array<bigint>, bits binary")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -149,8 +154,72 @@ def unpacked(packed: bytes) -> np.ndarray:
     return out.view(U64).ravel()
 
 
-def sizes_fit(n: Column, m: Column, percent: int) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def _close(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet on a shingle and can link by size, place and parity map.
+
+    rows: token, parts, pos, rep, n, component, bits.  A shingle's postings are dealt into ``parts``; every two parts meet
+    in one task, which compares them in blocks and puts out what is close only.
+    """
+    kind = rows.schema["rep"].dataType.simpleString()
+    own = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = own.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "pos", "rep", "n", "component", "bits")
+    sorted_ = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+    def group(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        n, pos, rep, comp, part = (t.column(c).to_numpy() for c in ("n", "pos", "rep", "component", "own"))
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(n), BITS // 64)
+        left = n - pos
+        across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+        found = [(rep[:0], rep[:0])]
+        for k in range(0, len(n), 256):
+            s = slice(k, k + 256)
+            fit = (np.minimum(left[s, None], left[None, :]) * (100 + percent) >= (n[s, None] + n[None, :]) * percent) & (comp[s, None] < comp[None, :])
+            if across:
+                fit &= part[s, None] != part[None, :]
+            a, b = np.nonzero(fit)
+            a = a + k
+            for c in range(0, len(a), 1 << 16):
+                x, y = a[c : c + (1 << 16)], b[c : c + (1 << 16)]
+                # The parity maps differ in no more bits than the sets in shingles.
+                most = (n[x] + n[y] - np.bitwise_count(bits[x] ^ bits[y]).sum(1).astype(np.int64)) // 2
+                near = most * 100 >= (n[x] + n[y] - most) * percent
+                found.append((rep[x[near]], rep[y[near]]))
+        return tuple(np.concatenate(z) for z in zip(*found, strict=True))
+
+    def whole(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Of a table of whole groups."""
+        keys = np.stack([t.column(c).to_numpy() for c in ("token", "i", "j")], axis=1)
+        heads = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
+        pairs = [group(t.slice(a, b - a)) for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(keys)], strict=True) if b - a > 1]
+        if pairs:
+            a, b = (np.concatenate(z) for z in zip(*pairs, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            if not t.num_rows:
+                continue
+            keys = np.stack([t.column(c).to_numpy() for c in ("token", "i", "j")], axis=1)
+            # The last group may go on in the next batch.
+            last = int(np.flatnonzero((keys != keys[-1]).any(1))[-1]) + 1 if (keys != keys[-1]).any() else 0
+            if last:
+                yield from whole(t.slice(0, last))
+            rest = t.slice(last)
+        if rest is not None:
+            yield from whole(rest)
+
+    return sorted_.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def places_fit(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Column:
+    """Whether sets of n and m shingles can link if the first they share is at these places of their orders.
+
+    They share no more than what is left from there on; the pair is met at its first shared shingle in any case.
+    """
+    return F.least(n - pos, m - at) * (100 + percent) >= (n + m) * percent
 
 
 def prefixes_fit(a: str, b: str, percent: int) -> Column:
@@ -194,14 +263,16 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
     # Groups: classes of one prefix and size, named by their least member.
     grouped = classes.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"))
     named = classes.join(grouped, ["n", "p1", "p2"]).select("rep", "gid", "k1", "k2")
-    named = cut(feats.select("doc", "n", "k1", "k2", "prefix").join(named.withColumnRenamed("rep", "doc"), ["doc", "k1", "k2"]).dropDuplicates(["doc", "k1", "k2"]).select(F.col("doc").alias("rep"), "n", "prefix", "gid"))
-    postings = named.where("rep = gid").select("gid", "n", F.explode("prefix").alias("token"))
+    named = cut(feats.select("doc", "n", "k1", "k2", "prefix", "bits").join(named.withColumnRenamed("rep", "doc"), ["doc", "k1", "k2"]).dropDuplicates(["doc", "k1", "k2"]).select(F.col("doc").alias("rep"), "n", "prefix", "bits", "gid"))
+    postings = named.where("rep = gid").select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     postings = cut(postings.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df"))
 
     # First pass: neighbours and the first group on each shingle.
     order = Window.partitionBy("token").orderBy("n", "gid")
-    near = postings.select("gid", "n", F.lag(F.struct("gid", "n")).over(order).alias("p"), F.first(F.struct("gid", "n")).over(order).alias("f"))
-    near = near.select("gid", "n", F.explode(F.array_distinct(F.array("p", "f"))).alias("o")).where("o is not null and o.gid <> gid").where(sizes_fit(F.col("n"), F.col("o.n"), percent))
+    row = F.struct("gid", "n", "pos")
+    near = postings.withColumns({"p": F.lag(row).over(order), "f": F.first(row).over(order)})
+    near = near.select("gid", "n", "pos", F.explode(F.array_distinct(F.array("p", "f"))).alias("o")).where("o is not null and o.gid <> gid")
+    near = near.where(places_fit(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos"), percent))
     pairs = near.select(F.least("gid", "o.gid").alias("a"), F.greatest("gid", "o.gid").alias("b")).distinct()
     inside = named.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
     first = cut(_fitting(pairs, named, percent).unionByName(inside))
@@ -215,12 +286,10 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
     else:
         members = members.withColumn("component", F.col("rep"))
     members = cut(members)
-    spread = postings.select("token", "gid").join(members, "gid")
-    mixed = spread.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    open_ = cut(spread.join(mixed, "token", "left_semi"))
-    l, r = open_.alias("l"), open_.alias("r")
-    met = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.component") < F.col("r.component")) & sizes_fit(F.col("l.n"), F.col("r.n"), percent))
-    more = met.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
+    spread = postings.select("token", "pos", "gid").join(members, "gid")
+    mixed = spread.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / SIDE).cast("int").alias("parts"))
+    open_ = spread.join(mixed.where("lo <> hi").select("token", "parts"), "token").join(named.select("rep", "bits"), "rep")
+    more = _close(open_, percent).distinct()
     within = members.where("rep <> gid").select("gid", F.col("rep").alias("b"), F.col("component").alias("c2")).join(members.select("gid", F.col("rep").alias("a"), F.col("component").alias("c1")), "gid").where("c1 <> c2 and a < b").select("a", "b")
     rest = cut(_fitting(more.unionByName(within).distinct().join(first, ["a", "b"], "left_anti"), named, percent))
     if not rest.isEmpty():
