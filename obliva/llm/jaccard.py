@@ -268,7 +268,8 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
     postings = cut(postings.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df"))
 
     # First pass: neighbours and the first group on each shingle.
-    order = Window.partitionBy("token").orderBy("n", "gid")
+    # A row that reaches the shingle early has few rarer ones of its own: among near copies it is the least changed, the best hub.
+    order = Window.partitionBy("token").orderBy("pos", "n", "gid")
     row = F.struct("gid", "n", "pos")
     near = postings.withColumns({"p": F.lag(row).over(order), "f": F.first(row).over(order)})
     near = near.select("gid", "n", "pos", F.explode(F.array_distinct(F.array("p", "f"))).alias("o")).where("o is not null and o.gid <> gid")
