@@ -264,6 +264,8 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
     grouped = classes.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"))
     named = classes.join(grouped, ["n", "p1", "p2"]).select("rep", "gid", "k1", "k2")
     named = cut(feats.select("doc", "n", "k1", "k2", "prefix", "bits").join(named.withColumnRenamed("rep", "doc"), ["doc", "k1", "k2"]).dropDuplicates(["doc", "k1", "k2"]).select(F.col("doc").alias("rep"), "n", "prefix", "bits", "gid"))
+    # Prefixes and maps live on in ``named``; the wider table's files go with the next collection.
+    feats = cut(feats.select("doc", "n", "k1", "k2"))
     postings = named.where("rep = gid").select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     postings = cut(postings.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df"))
 
@@ -301,7 +303,7 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
         final = final.join(comps, F.col("rep") == F.col("node"), "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     else:
         final = final.select("n", "k1", "k2", F.col("rep").alias("component_id"))
-    out = feats.select("doc", "n", "k1", "k2").join(final, ["n", "k1", "k2"], "left")
+    out = feats.join(final, ["n", "k1", "k2"], "left")
     alone = (F.col("n") == 0) | F.col("doc").isNull()
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(alone, F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
 
