@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from obliva.llm.common import cut, ship
 from obliva.llm.components import components
 
-#: Permutation index: pivots, how many of them a vector is ordered by, share of a shard that is reranked (at least LEAST).
+#: Permutation index: pivots, how many of them a vector is ordered by, share of a shard that is reranked (at least LEAST, and what ties with the last one).
 PIVOTS, ORDERED, RERANKED, LEAST = 256, 128, 0.25, 256
 #: Vectors from which pivots are drawn at most; vectors of a shard; queries of a block.
 SAMPLE, SHARD, QUERIES = 2048, 16384, 2048
@@ -60,14 +60,20 @@ def permutation(x: np.ndarray, p: np.ndarray, ordered: int) -> tuple[np.ndarray,
 
 
 class Shard:
-    """Pivot inverted files over the vectors of one shard."""
+    """Pivot inverted files over the different vectors of one shard; equal vectors are one class with the ids of all its rows."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, p: np.ndarray, ordered: int):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x, self.p, self.ordered = ids[order], x[order], p, ordered
+        x = x + 0.0  # one zero only
+        _, first, of = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
+        order = np.lexsort((ids, of))
+        self.ids, self.x, self.p, self.ordered = ids[order], x[first], p, ordered
+        self.size = np.bincount(of, minlength=len(first))
+        self.start = np.concatenate([[0], np.cumsum(self.size)])
+        self.by_id = np.argsort(ids, kind="stable")
+        self.sorted_ids, self.of = ids[self.by_id], of[self.by_id]
         nearest, _ = permutation(self.x, p, ordered)
-        owner = np.repeat(np.arange(len(ids)), ordered)
-        rank = np.tile(np.arange(ordered), len(ids))
+        owner = np.repeat(np.arange(len(first)), ordered)
+        rank = np.tile(np.arange(ordered), len(first))
         by = np.argsort(nearest.ravel(), kind="stable")
         self.at = np.concatenate([[0], np.cumsum(np.bincount(nearest.ravel(), minlength=len(p)))])
         self.owner, self.rank = owner[by], rank[by]
@@ -75,17 +81,32 @@ class Shard:
     def search(self, key: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of the k nearest found, the query's own row left out."""
         # Footrule with absent pivots at rank ``ordered`` is a constant less 2 * sum(ordered - max(rank, rank of q)) over shared pivots.
-        shared = np.zeros(len(self.ids), np.int64)
+        shared = np.zeros(len(self.x), np.int64)
         for r, pivot in enumerate(permutation(q[None, :], self.p, self.ordered)[0][0]):
             a, b = self.at[pivot], self.at[pivot + 1]
             shared[self.owner[a:b]] += self.ordered - np.maximum(self.rank[a:b], r)
-        shared[self.ids == key] = -1
-        n = min(len(shared), max(LEAST, int(np.ceil(RERANKED * len(shared)))))
-        near = np.argpartition(-shared, n - 1)[:n] if n < len(shared) else np.arange(len(shared))
-        near = near[shared[near] >= 0]
+        size = self.size.copy()
+        own = slice(np.searchsorted(self.sorted_ids, key, "left"), np.searchsorted(self.sorted_ids, key, "right"))
+        np.subtract.at(size, self.of[own], 1)
+        shared[size == 0] = -1
+        # The share is of rows, but classes are reranked, and all that tie with the last one.
+        n = max(LEAST, int(np.ceil(RERANKED * len(self.ids))))
+        least = -np.partition(-shared, n - 1)[n - 1] if n < len(shared) else 0
+        near = np.flatnonzero(shared >= max(least, 0))
+        if not len(near):
+            return self.ids[:0], np.zeros(0)
         d = np.sqrt(((self.x[near] - q) ** 2).sum(1))
-        best = np.lexsort((self.ids[near], d))[:k]
-        return self.ids[near][best], d[best]
+        # Classes up to the distance of the k-th row give their least ids.
+        order = np.argsort(d, kind="stable")
+        full = np.searchsorted(np.cumsum(size[near[order]]), k)
+        taken = order[: np.searchsorted(d[order], d[order[min(full, len(order) - 1)]], "right")]
+        members = []
+        for c in near[taken]:
+            m = self.ids[self.start[c] : self.start[c + 1]]
+            members.append(m[m != key][:k])
+        ids, d = np.concatenate(members), np.repeat(d[taken], [len(m) for m in members])
+        best = np.lexsort((ids, d))[:k]
+        return ids[best], d[best]
 
 
 def nearest(vectors: DataFrame, is_query: Column, *, key: str, vector: str, k: int = 10) -> DataFrame:

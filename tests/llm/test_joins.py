@@ -184,6 +184,22 @@ def test_nearest(spark):
     assert vectors.nearest(df.limit(0), F.col("vec_id") % 20 == 0, key="vec_id", vector="embedding").count() == 0
 
 
+def test_nearest_among_copies(spark):
+    """With over a third of rows equal, a query near them gets the copies of least id."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((3000, 16))
+    same = rng.permutation(3000)[:1100]
+    x[same] = x[same[0]]
+    asked = next(i for i in range(3000) if i not in set(same.tolist()))
+    x[asked] = x[same[0]] + 0.01 * rng.standard_normal(16)
+    member = int(min(same))
+    df = spark.createDataFrame([(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = vectors.nearest(df, F.col("vec_id").isin(asked, member), key="vec_id", vector="embedding", k=10).orderBy("query_id", "rank").collect()
+    least = sorted(same.tolist())
+    assert [r.vec_id for r in got if r.query_id == asked] == least[:10]
+    assert [r.vec_id for r in got if r.query_id == member] == least[1:11]
+
+
 def test_recall_on_the_table(spark):
     from obliva.llm import registry
 
