@@ -425,11 +425,16 @@ def flip_decode(spark, d):
 
 @query
 def flip_recovery_error(spark, d):
-    """Decoded values against each person's: the whole recovery audit, by attribute."""
+    """Decoded values against people's: the whole recovery audit, by attribute.
+
+    A sequence's number within its attribute is the person's; where sequences outnumber people, these come round again.
+    """
     out = decode.flip_decode(V.sequences(spark, d), decode.position_sets(_tokens(spark, d)), False)
     people = corpus.unpivoted(V.profiles(spark, d)).select("name", "attribute", "value")
-    rows = positions(people, SEED, "name", "attribute").select("pos", "attribute", F.concat(F.lit(" "), "value", F.lit(".")).alias("true_answer"))
-    joined = out.join(rows, (F.col("vec_id") == F.col("pos")) & (out["attribute"] == rows["attribute"])).select(out["attribute"], "true_answer", F.col("text").alias("model_output"))
+    rows = positions(people, SEED, "name", within=("attribute",)).select("pos", "attribute", F.concat(F.lit(" "), "value", F.lit(".")).alias("true_answer"))
+    n = F.broadcast(people.groupBy("attribute").agg(F.count("*").alias("n")))  # one row for each attribute
+    numbered = out.join(n, "attribute").withColumn("pos", F.pmod(F.floor(F.col("vec_id") / len(A.ATTRIBUTES)), F.col("n")))
+    joined = numbered.join(rows, ["attribute", "pos"]).select("attribute", "true_answer", F.col("text").alias("model_output"))
     return scoring.error_by_attribute(scoring.error_detail(joined)).select("attribute", r6("error").alias("error"), F.col("n").cast("bigint").alias("n"))
 
 

@@ -63,6 +63,26 @@ def test_positions_are_dense(spark):
     assert got == list(range(5000))
 
 
+def test_positions_within_groups(spark):
+    df = spark.range(3000).withColumn("g", (F.col("id") % 7).cast("string"))
+    got: dict = {}
+    for r in order.positions(df, "s", "id", within=("g",)).collect():
+        got.setdefault(r.g, []).append(r.pos)
+    assert all(sorted(p) == list(range(len(p))) for p in got.values())
+    assert sum(map(len, got.values())) == 3000
+
+
+def test_recovery_audits_every_sequence(spark, tmp_path):
+    from obliva.queries import QUERIES
+
+    want = {r.attribute: r["count"] for r in V.sequences(spark, SF).groupBy("attribute").count().collect()}
+    assert {r.attribute: r.n for r in QUERIES["flip_recovery_error"](spark, SF).collect()} == want
+    for t in ("customer", "nation", "embeddings"):
+        rows = V.table(spark, SF, t)
+        (rows.limit(10) if t == "customer" else rows).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert {r.attribute: r.n for r in QUERIES["flip_recovery_error"](spark, str(tmp_path)).collect()} == want
+
+
 def test_packing_drops_the_tail(spark):
     df = spark.createDataFrame([(0, 1, [1, 2, 3]), (0, 2, [4, 5]), (1, 1, [7])], "b int, o int, ids array<int>")
     got = prep.packed(df, "b", ["o"], "ids", 2).orderBy("block").collect()
