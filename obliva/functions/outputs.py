@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udf
 
 from obliva.functions.attributes import ATTRIBUTES
 
@@ -54,9 +55,132 @@ def drop_echo(text: Column, prompt: Column) -> Column:
     return F.when(F.length(bare) > 5, F.regexp_replace(text, quoted, F.lit(""))).otherwise(text)
 
 
+def repeat_collapser():
+    """A function of a text that does what the regular expression of collapse_repeats does, in about n log n steps.
+
+    Without white space, three repeats in a row are a run of a period p at least 3p long.  Such a run holds two equal
+    neighbours among the blocks of p characters, so the runs of all periods are found by comparing block hashes.  Where
+    a run allows it, the expression's own choice is taken: the longest group first, then as many repeats as follow.
+    All is local here, so that executors need nothing but numpy.
+    """
+
+    def word_flags(text: str) -> list[bool]:
+        """What \\b of Java 17 takes for parts of words."""
+        from unicodedata import category
+
+        flags, based = [], False
+        for c in text:
+            kind = "" if c.isascii() else category(c)
+            based = (kind[0] == "L" or kind == "Nd" or (kind == "Mn" and based)) if kind else c.isalnum()
+            flags.append(c == "_" or based)
+        return flags
+
+    def runs(chars, m: int) -> list[tuple[int, int, int]]:
+        """(start, end, p) of the longest stretches of period p that are at least 3p long, over all p."""
+        import numpy as np
+
+        with np.errstate(over="ignore"):
+            x = (np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(m, 0xD1342543DE82EF95, np.uint64)]))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x ^ (x >> np.uint64(29))) * power[:m])])
+            out = []
+            for p in range(1, m // 3 + 1):
+                part = total[::p]
+                part = part[1:] - part[:-1]
+                equal = np.flatnonzero(part[:-1] * power[p] == part[1:])
+                if not len(equal):
+                    continue
+                breaks = np.flatnonzero(np.diff(equal) > 1) + 1
+                for group in np.split(equal, breaks):
+                    s, e = int(group[0]) * p, (int(group[-1]) + 1) * p
+                    if chars[s:e] != chars[s + p : e + p]:
+                        continue
+                    low, high = 0, min(s, p)
+                    while low < high:
+                        k = (low + high + 1) // 2
+                        low, high = (k, high) if chars[s - k : s] == chars[s - k + p : s + p] else (low, k - 1)
+                    s -= low
+                    low, high = 0, min(m - e - p, p)
+                    while low < high:
+                        k = (low + high + 1) // 2
+                        low, high = (k, high) if chars[e : e + k] == chars[e + p : e + p + k] else (low, k - 1)
+                    e += low + p
+                    if e - s >= 3 * p:
+                        out.append((s, e, p))
+        return out
+
+    def collapse(text: str | None) -> str | None:
+        from heapq import heappop, heappush
+
+        if text is None:
+            return None
+        n = len(text)
+        at = [i for i, c in enumerate(text) if c not in BLANK]
+        m = len(at)
+        found = sorted(runs("".join([text[i] for i in at]), m))
+        if not found:
+            return text
+        at.append(n)
+        word = [False, *word_flags(text), False]
+        edge = [word[i] != word[i + 1] for i in range(n + 1)]
+        out, done, i, x, nxt = [], 0, 0, 0, 0
+        live: list[tuple[int, int]] = []
+        while i < n:
+            while at[x] < i:
+                x += 1
+            while nxt < len(found) and found[nxt][0] <= x:
+                heappush(live, (-found[nxt][2], found[nxt][1]))
+                nxt += 1
+            while live and x - 3 * live[0][0] > live[0][1]:
+                heappop(live)
+            if not live:
+                if nxt == len(found):
+                    break
+                # To the white space before the next run, which a group may begin with.
+                i = max(i + 1, at[found[nxt][0] - 1] + 1)
+                continue
+            end = match(text, at, edge, i, x, n, sorted(live)) if edge[i] else None
+            if end:
+                out += [text[done:i], text[i : end[0]]]
+                done = i = end[1]
+            else:
+                i += 1
+        return "".join([*out, text[done:]])
+
+    def match(text, at, edge, i, x, n, live):
+        """End of the group and of the whole match at i."""
+        lead = at[x] - i
+        last = 0
+        for minus, e in live:
+            p = -minus
+            if p == last or x + 3 * p > e:
+                continue
+            last = p
+            for j in dict.fromkeys((at[x + p], at[x + p - 1] + 1)):
+                if not edge[j]:
+                    continue
+                group, k, times = text[i:j], j, 0
+                while True:
+                    start = k
+                    while start < n and text[start] in BLANK:
+                        start += 1
+                    start -= lead
+                    if start < k or not text.startswith(group, start):
+                        break
+                    k, times = start + len(group), times + 1
+                if times >= 2:
+                    return j, k
+        return None
+
+    BLANK = frozenset(" \t\n\x0b\f\r")
+    return collapse
+
+
 def collapse_repeats(text: Column, longest: int = 2000) -> Column:
-    """Three or more repeats in a row become one.  The cost is superlinear: texts over ``longest`` characters pass as they are."""
-    return F.when(F.length(text) <= longest, F.regexp_replace(text, r"(?s)(\b.+\b)(\s*\1){2,}", "$1")).otherwise(text)
+    """Three or more repeats in a row become one: by regular expression, whose cost is superlinear, up to ``longest`` characters, else by search."""
+    short = F.length(text) <= longest
+    searched = udf(repeat_collapser(), "string")(F.when(~short, text))
+    return F.when(short, F.regexp_replace(text, r"(?s)(\b.+\b)(\s*\1){2,}", "$1")).otherwise(searched)
 
 
 def tidy_lines(text: Column) -> Column:

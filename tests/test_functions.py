@@ -72,6 +72,26 @@ def test_clean_output(spark, prompt, output, expected):
     assert df.select(O.clean_output(F.col("o"), F.col("p"), "[INST]", "[/INST]")).first()[0] == expected
 
 
+def test_long_outputs_lose_their_repeats(spark):
+    body = " ".join(str(i * i) for i in range(500))
+    df = spark.createDataFrame([("q", f"{body} go go go {body}"), ("q", "The same again. " * 2000 + "End")], "p string, o string")
+    got = [r[0] for r in df.select(O.clean_output(F.col("o"), F.col("p"), "[INST]", "[/INST]")).collect()]
+    assert got[0] == f"{body} go {body}"
+    assert len(got[1]) < 2000 * 16 / 2
+    assert got[1].endswith("End")
+
+
+def test_repeat_search_equals_expression(spark):
+    import random
+
+    r = random.Random(5)
+    texts = ["".join(r.choice(kinds) for _ in range(r.randint(0, 24))) for kinds in ("ab ", " a,", "ab \n-", "a\u00e9 \u00b2", "\u00e1 .", "go _\t", "a \u0301 b") for _ in range(500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", O.collapse_repeats(F.col("t"), 100).alias("regex"), O.collapse_repeats(F.col("t"), -1).alias("search")).collect()
+    assert sum(x.t != x.regex for x in got) > 100
+    assert [x.search for x in got] == [x.regex for x in got]
+
+
 def test_masks_and_stops(spark):
     df = spark.createDataFrame([("It is A+. ok", "blood_type"), ("born  1990.", "year_of_birth"), ("at K1A0B1. now", "address_postcode")], "t string, a string")
     assert [r[0] for r in df.select(A.mask_value(F.col("t"), F.col("a"))).collect()] == ["It is ok", "born", "at now"]
