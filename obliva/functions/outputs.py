@@ -26,11 +26,18 @@ def qa_text(question: Column, answer: Column, start: str, end: str) -> Column:
 
 
 def drop_spans(text: Column, start: str, end: str, depth: int = 3) -> Column:
-    """Without complete start...end spans, ``depth`` times over: what is nested deeper stays."""
+    """Without complete start...end spans, until none is left: ``depth`` times as an expression, row by row where that is not enough."""
     pattern = f"(?s){re.escape(start)}.*?{re.escape(end)}"
     for _ in range(depth):
         text = F.regexp_replace(text, pattern, "")
-    return text
+
+    def rest(x: str | None) -> str | None:
+        n = 1
+        while x is not None and n:
+            x, n = re.subn(pattern, "", x)
+        return x
+
+    return F.coalesce(udf(rest, "string")(F.when(text.rlike(pattern), text)), text)
 
 
 def cut_open_span(text: Column, start: str, end: str) -> Column:

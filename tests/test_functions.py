@@ -72,6 +72,16 @@ def test_clean_output(spark, prompt, output, expected):
     assert df.select(O.clean_output(F.col("o"), F.col("p"), "[INST]", "[/INST]")).first()[0] == expected
 
 
+@pytest.mark.parametrize("depth", [1, 3, 4, 9])
+def test_no_span_is_left(spark, depth):
+    """Each removal forms the next pair out of the pieces around it."""
+    text = "[INST]x[/INST]"
+    for _ in range(depth):
+        text = f"[IN{text}ST]x[/INST]"
+    df = spark.createDataFrame([(f"a{text}b",), (None,)], "o string")
+    assert [r[0] for r in df.select(O.drop_spans(F.col("o"), "[INST]", "[/INST]")).collect()] == ["ab", None]
+
+
 def test_long_outputs_lose_their_repeats(spark):
     body = " ".join(str(i * i) for i in range(500))
     df = spark.createDataFrame([("q", f"{body} go go go {body}"), ("q", "The same again. " * 2000 + "End")], "p string, o string")
