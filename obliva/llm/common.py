@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 import zipfile
@@ -38,27 +39,57 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where none is named, a local master gets a temporary one: all runs in one place there.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="obliva-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as the JVM has them."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(sc._jsc.hadoopConfiguration()), where
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, where = _files(spark, path)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage."""
+    """``df``, written to the shared folder and read again: nothing before it is ever computed twice or needed after a loss."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(f"{shared_dir(spark)}/{uuid.uuid4().hex}")
-    out = df.checkpoint(eager=True)
-    # The lineage is gone; its shuffle files go once the JVM notices that nothing refers to them.
+    path = scratch(spark, "cut")
+    df.write.mode("overwrite").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._obliva_path = path
+    # Shuffle files go once the JVM notices that nothing refers to them.
     gc.collect()
-    sc._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
     return out
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of cuts that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_obliva_path", None)
+        if path:
+            fs, where = _files(df.sparkSession, path)
+            fs.delete(where, True)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all strings end to end and the n+1 offsets of the strings; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

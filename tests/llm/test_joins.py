@@ -78,6 +78,33 @@ def test_shingle_join_of_nothing(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in alone} == {(1, 0, 1), (None, 2, None)}
 
 
+def test_shingle_join_of_rows_with_one_key(spark):
+    """Different texts of one key: each keeps its links, and all are of one component."""
+    a, b = (" ".join(f"{p}{i}" for i in range(60)) for p in "ab")
+    rows = [(7, a), (7, b), (20, a + " z"), (21, b + " z"), (7, ""), (30, "one two three four"), (30, "five six seven eight")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(7, 0, 7), (7, 57, 7), (7, 57, 7), (20, 58, 7), (21, 58, 7), (30, 1, 30), (30, 1, 30)]
+
+
+def test_shingle_join_in_blocks(spark, monkeypatch):
+    """Small blocks, and groups of one prefix whose members differ behind it."""
+    monkeypatch.setattr(jaccard, "SIDE", 4)
+    rnd = random.Random(9)
+    tail = [f"t{i}" for i in range(400)]
+    rows = []
+    for i in range(60):
+        rare = [f"r{i % 3}-{k}" for k in range(40)]
+        rows.append((i, " ".join(rare + rnd.sample(tail, 60) if i % 2 else rare + tail[i % 7 : i % 7 + 60])))
+    for i in range(60, 90):
+        rows.append((i, " ".join(tail[:80] + [f"u{i}", f"v{i}"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (50, 80):
+        sets = {k: shingle_set(t) for k, t in rows}
+        pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+        want = union(pairs, sets)
+        assert {(r.doc_id, r.component_id) for r in jaccard.join(df, percent=percent).collect()} == {(k, want[k]) for k in sets}
+
+
 def brute_suffixes(rows, length):
     seen, out = set(), []
     for key, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode())):
