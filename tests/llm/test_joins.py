@@ -185,7 +185,7 @@ def test_near_vectors(spark):
 
 
 def test_hot_cell_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "LEFT", 16)
+    monkeypatch.setattr(vectors, "SIDE", 16)
     rng = np.random.default_rng(3)
     base = rng.standard_normal(16)
     rows = [(i, [float(np.float32(x)) for x in base + rng.standard_normal(16) * 0.03], 0) for i in range(120)]
@@ -195,6 +195,26 @@ def test_hot_cell_in_parts(spark, monkeypatch):
     assert {r.vec_id: r.n_links for r in got} == {i: int((c[i] >= 0.98).sum() - 1) for i in range(120)}
 
 
+def test_near_vectors_of_one_id(spark):
+    """Rows of one id with different vectors count their own links."""
+    rng = np.random.default_rng(5)
+    a, b = rng.standard_normal(16), rng.standard_normal(16)
+    rows = [(1, a, 0), (1, b, 0), (2, a + 0.001, 0), (2, a + 0.001, 0), (3, b, 1)]
+    df = spark.createDataFrame([(i, [float(np.float32(x)) for x in v], s) for i, v, s in rows], "vec_id long, embedding array<float>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df, key="vec_id", vector="embedding", label="label").collect())
+    assert got == [(1, 0, 1, True), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 0, 3, True)]
+
+
+def test_nearest_of_one_id(spark):
+    """Query rows that share an id have a ranking each; the other row of the id is a candidate; few rows are all found."""
+    x = [[1.0, 0.0], [0.0, 1.0], [1.0, 0.25], [1.0, 0.25]]
+    df = spark.createDataFrame([(100, x[0]), (100, x[1]), (7, x[2]), (5, x[3])], "vec_id long, embedding array<float>")
+    got = vectors.nearest(df, F.col("vec_id") % 100 == 0, key="vec_id", vector="embedding", k=10).collect()
+    by_rank = sorted((r.rank, r.vec_id, r.score) for r in got)
+    assert [x[:2] for x in by_rank] == [(1, 5), (1, 5), (2, 7), (2, 7), (3, 100), (3, 100)]
+    assert by_rank[0][2] == 0.25
+
+
 def test_nearest(spark):
     rows = vector_rows(2, 200)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
