@@ -14,9 +14,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from obliva.llm import bpe, jaccard, mixing, quality, secrets
-from obliva.llm.common import shared_dir, table
+from obliva.llm.common import scratch, table
 from obliva.llm.registry import vocabulary_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -46,8 +47,15 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: none, one or two rows."""
-    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
-    return docs.select(*COLUMNS).join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    same = ["doc_id", "source", "size"]
+    # Rows alike in these share what is taken of them evenly.
+    taken = mixing.mix(docs).groupBy(*same).agg(F.sum("copies").alias("taken"), F.count("*").alias("rows")).where("taken > 0")
+    sized = docs.select(*COLUMNS, mixing.text_size(F.col("text")).alias("size"))
+    met = sized.alias("d").join(taken.alias("t"), [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in same]).select("d.*", "taken", "rows")
+    place = F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64("text", "lang", "n_chars")))
+    copies = F.floor(F.col("taken") / F.col("rows")) + F.when(place <= F.col("taken") % F.col("rows"), 1).otherwise(0)
+    met = met.withColumn("copies", copies.cast("int")).where("copies > 0")
+    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,10 +76,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and read again."""
-    import uuid
-
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents, each written as Parquet in the shared folder and read again; the files go when the application ends."""
+    base = scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")

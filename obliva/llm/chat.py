@@ -1,21 +1,26 @@
 """Chat formatting with schema fingerprints, in DataFrame functions only.
 
-A record's nested field paths, as far as any mapping knows them, are sorted,
-joined and hashed; the hash selects a declarative mapping that turns prompt,
-instruction and message layouts into canonical turns (role, text).  The
-template marks turns with control strings; inside roles and texts these are
+A record's nested field paths that hold something (of lists: in any message), as
+far as any mapping knows them, are sorted, joined and hashed; the hash selects a
+declarative mapping that turns prompt, instruction and message layouts into
+canonical turns (role, text).  Records of different layouts may share a table.
+The template marks turns with control strings; inside roles and texts these are
 escaped reversibly, so that the formatted string can be read back exactly.
 
 Defined results: null text or role counts as empty; a record whose fingerprint
-no mapping has gives null turns; an empty text stays a turn; turns with equal
+no mapping has gives null turns, and an empty list of messages no turns; an empty
+text stays a turn; texts may be as long as a JVM string; turns with equal
 numbers are ordered by role, then text; fields and columns that no mapping
 names are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -35,40 +40,69 @@ FLAT = (
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def _known() -> list[str]:
-    flat = {f for layout in FLAT for f, _ in layout}
-    return sorted(flat | {p for path, role, text in LISTS for p in (path, f"{path}[].{role}", f"{path}[].{text}")})
+def _list_kind(role: str, text: str) -> str:
+    return f"array<struct<`{role}`: string, `{text}`: string>>"
+
 
+#: Fields of the flat layouts, and the record that holds every layout's fields.
+FIELDS = sorted({f for layout in FLAT for f, _ in layout})
+RECORD = ", ".join([*(f"`{f}`: string" for f in FIELDS), *(f"`{path}`: {_list_kind(role, text)}" for path, role, text in LISTS)])
+#: The parser's limit on the length of a string, lifted to that of a JVM array.
+PARSER = {"maxStringLen": str((1 << 31) - 1)}
 
-def _prefixed(prefix: str):
-    return lambda name: F.concat(F.lit(prefix), name)
+
+def parsed(record: Column) -> Column:
+    """The fields of a JSON record that some mapping knows, in one parse; put it in a column of its own before use."""
+    return F.from_json(record, f"struct<{RECORD}>", PARSER)
 
 
 def field_paths(record: Column) -> Column:
-    """The sorted field paths of a JSON record that some mapping knows."""
-    found = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    for path, _, _ in LISTS:
-        inner = F.json_object_keys(F.get_json_object(record, f"$.{path}[0]"))
-        nested = F.transform(F.coalesce(inner, F.array().cast("array<string>")), _prefixed(f"{path}[]."))
-        found = F.concat(found, nested)
-    return F.sort_array(F.array_intersect(F.array_distinct(found), F.array(*map(F.lit, _known()))))
+    """The sorted nested field paths of a record (a struct of RECORD's fields) that hold something."""
+    def there(value: Column, path: str) -> Column:
+        return F.when(value.isNotNull(), F.lit(path))
 
+    def has(field: str):
+        return lambda m: m[field].isNotNull()
 
-def fingerprint(record: Column) -> Column:
-    return F.sha2(F.array_join(field_paths(record), "\n"), 256)
+    paths = [there(record[f], f) for f in FIELDS]
+    for path, role, text in LISTS:
+        paths.append(there(record[path], path))
+        paths += [F.when(F.exists(record[path], has(f)), F.lit(f"{path}[].{f}")) for f in (role, text)]
+    return F.sort_array(F.array_compact(F.array(*paths)))
 
 
-def _of(paths: list[str]) -> Column:
-    return F.sha2(F.lit("\n".join(sorted(paths))), 256)
+def fingerprint(record: Column) -> Column:
+    return F.sha2(F.array_join(field_paths(record), "\n"), 256)
 
 
-def canonical_turns(record: Column) -> Column:
-    """array<struct<role, text>> of a JSON record; null if no mapping has its fingerprint."""
-    fields = ", ".join(f"`{f}` string" for f in sorted({f for layout in FLAT for f, _ in layout}))
-    lists = ", ".join(f"`{path}` array<struct<`{role}`: string, `{text}`: string>>" for path, role, text in LISTS)
-    row = F.from_json(record, f"{fields}, {lists}")
-    print_ = fingerprint(record)
-    turns = F.lit(None).cast("array<struct<role:string,text:string>>")
+def _of(paths: list[str]) -> str:
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
+
+
+def mappings() -> dict[str, int]:
+    """Number of the mapping of each known fingerprint: the flat layouts first, then the lists (whose messages may lack a field)."""
+    out = {_of([f for f, _ in layout]): k for k, layout in enumerate(FLAT)}
+    for k, (path, role, text) in enumerate(LISTS, len(FLAT)):
+        for some in ([], [role], [text], [role, text]):
+            out[_of([path, *(f"{path}[].{f}" for f in some)])] = k
+    return out
+
+
+def with_turns(records: DataFrame, record: str = "record") -> DataFrame:
+    """Adds ``turns``, array<struct<role, text>>, of the records in a column of JSON strings or of structs with some of RECORD's
+    fields; null where no mapping has the fingerprint."""
+    kind = records.schema[record].dataType
+    if isinstance(kind, StringType):
+        out = records.withColumn("_record", parsed(F.col(record)))
+    else:
+        known = {f.name: f for f in kind.fields}
+        fields = [F.col(record)[f].alias(f) if f in known else F.lit(None).cast("string").alias(f) for f in FIELDS]
+        for path, role, text in LISTS:
+            empty = F.lit(None).cast(_list_kind(role, text))
+            fields.append((F.col(record)[path].cast(_list_kind(role, text)) if path in known else empty).alias(path))
+        out = records.withColumn("_record", F.when(F.col(record).isNotNull(), F.struct(*fields)))
+    numbers = F.create_map(*[F.lit(x) for pair in mappings().items() for x in pair])
+    out = out.withColumn("_mapping", F.when(F.col("_record").isNotNull(), numbers[fingerprint(F.col("_record"))]))
     renamed = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
 
     def turn(role: Column, text: Column) -> Column:
@@ -77,13 +111,15 @@ def canonical_turns(record: Column) -> Column:
     def message(role: str, text: str):
         return lambda m: turn(F.coalesce(renamed[m[role]], m[role]), m[text])
 
-    for layout in FLAT:
-        roles = list(dict.fromkeys(r for _, r in layout))
-        texts = [F.concat_ws("\n\n", *[F.nullif(row[f], F.lit("")) if len([1 for _, x in layout if x == r]) > 1 else row[f] for f, x in layout if x == r]) for r in roles]
-        turns = F.when(print_ == _of([f for f, _ in layout]), F.array(*[turn(F.lit(r), t) for r, t in zip(roles, texts, strict=True)])).otherwise(turns)
-    for path, role, text in LISTS:
-        turns = F.when(print_ == _of([path, f"{path}[].{role}", f"{path}[].{text}"]), F.transform(row[path], message(role, text))).otherwise(turns)
-    return turns
+    row = F.col("_record")
+    turns = F.lit(None).cast("array<struct<role:string,text:string>>")
+    for k, layout in enumerate(FLAT):
+        fields = {r: [row[f] for f, x in layout if x == r] for _, r in layout}
+        texts = [F.concat_ws("\n\n", *[F.nullif(f, F.lit("")) for f in fs]) if len(fs) > 1 else fs[0] for fs in fields.values()]
+        turns = F.when(F.col("_mapping") == k, F.array(*[turn(F.lit(r), t) for r, t in zip(fields, texts, strict=True)])).otherwise(turns)
+    for k, (path, role, text) in enumerate(LISTS, len(FLAT)):
+        turns = F.when(F.col("_mapping") == k, F.transform(row[path], message(role, text))).otherwise(turns)
+    return out.withColumn("turns", turns).drop("_record", "_mapping")
 
 
 def escape(text: Column) -> Column:
@@ -152,13 +188,25 @@ def masked_text(formatted: Column, spans: Column) -> Column:
 
 
 def gather(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One JSON record of the message layout for each conversation given by rows."""
+    """One record for each conversation given by rows, as a struct, so that texts of any length stay as they are.
+
+    A question and its answer, with a system text or without, make a prompt record; all others are lists of messages.
+    """
     message = F.struct(F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("content"))
+    # A conversation is one record in any case, so its turns meet in one row.
     ordered = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), message.alias("m"))))
-    return rows.groupBy(F.col(conv).alias(conv)).agg(F.to_json(F.struct(F.transform(ordered, lambda x: x["m"]).alias("messages"))).alias("record"))
+    told = rows.groupBy(F.col(conv).alias(conv)).agg(ordered.alias("_turns")).withColumn("_turns", F.transform("_turns", lambda x: x["m"]))
+    told = told.withColumn("_roles", F.array_join(F.transform("_turns", lambda m: F.replace(m["role"], F.lit("/"), F.lit("//"))), "/"))
+    short = F.col("_roles").isin("user/assistant", "system/user/assistant")
+
+    def at(place: int) -> Column:
+        return F.when(short, F.element_at("_turns", place)["content"])
+
+    first = F.when(F.col("_roles") == "system/user/assistant", F.element_at("_turns", 1)["content"])
+    record = F.struct(first.alias("system"), at(-2).alias("prompt"), at(-1).alias("response"), F.when(~short, F.col("_turns")).alias("messages"))
+    return told.select(conv, record.alias("record"))
 
 
 def format_records(records: DataFrame, record: str = "record") -> DataFrame:
     """Adds turns, formatted and loss_spans."""
-    out = records.withColumn("turns", canonical_turns(F.col(record)))
-    return out.withColumn("formatted", format_turns(F.col("turns"))).withColumn("loss_spans", loss_mask(F.col("turns")))
+    return with_turns(records, record).withColumn("formatted", format_turns(F.col("turns"))).withColumn("loss_spans", loss_mask(F.col("turns")))

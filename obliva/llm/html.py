@@ -1,17 +1,25 @@
 """Main-text extraction from HTML by tag-path ratios.
 
 A page becomes a sequence of text blocks, each under a root-to-leaf tag path.
-Per path the operator sums text length, punctuation and link text; the ratios
-per node are smoothed over the sequence, fused, and thresholded; the chosen
-paths vote for the container that holds the article, and the container's own
-blocks (short headings too) are the result.  Sections that HTML itself or their
-class, id or role declares to be navigation, advertising, forms, comments and
-the like never take part.
+Text length, link text and punctuation are added up by path; the ratios per
+node are smoothed over the sequence of blocks and fused with how much of its
+path a block shares with the path that holds most text.  The mean of a path's
+blocks is held against a threshold, and the blocks of the paths above it are
+the text; a heading right before one of them goes with it.
+
+What HTML itself declares to be something else (nav, footer, aside, form,
+hidden and the like) never takes part.  Names of classes and ids are weak
+evidence only: they lower a path's value, unless what is so named holds most of
+the page's text.
+
+The page is read once from left to right and every step looks at a bounded
+number of nodes, so that broken or deeply nested pages cost no more than others
+of their length.
 
 Defined results: null or empty html, or a page without text, gives an empty
-text; broken markup is read as far as it goes; very long pages are read whole;
-repeated rows are kept; columns other than key and html pass through untouched
-if asked for.
+text; broken markup is read as far as it goes, and a tag that never ends is
+text; very long pages are read whole; repeated rows are kept; columns other than
+key and html pass through untouched if asked for.
 """
 
 from __future__ import annotations
@@ -27,32 +35,57 @@ from pyspark.sql import functions as F
 
 from obliva.llm.common import ship
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: A path whose blocks reach this value on average is content.
+THRESHOLD = 0.3
+#: Plain characters and punctuation marks a node at which the two ratios count half.
+HALF_LENGTH, HALF_MARKS = 25.0, 0.5
+#: Factors: a name that speaks against the content, and a place outside the page's article or main part.
+NAMED, OUTSIDE = 0.25, 0.3
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_PLAIN = re.compile(r"[^\"'>]*")
+_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript textarea title template iframe svg math canvas object audio video xmp noframes noembed".split())
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 _DROP = frozenset("nav footer aside form menu dialog button select fieldset head".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table tr html body article section div main td th".split())
-_NOISE = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advert\w+|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w+|signup|login|"
-    r"nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side-bar|aside|widgets?|footer\w*|copyright|masthead|topbar|toolbar|pagination|pager|share|sharing|social\w*|related\w*|recommend\w*|"
-    r"comments?|comment-\w+|commentlist|replies|reply|disqus\w*|respond|tags?|toc|skip-link|search\w*|header|site-header|page-header|hidden)(?=$|[-_\s])",
-    re.I,
+#: Elements that end an open one of their kind, and the elements that keep what is inside them apart.
+_ITEM = {"li": "li", "dt": "term", "dd": "term", "tr": "row", "td": "cell", "th": "cell", "option": "option"}
+_KEEPS = {"ul": ("li",), "ol": ("li",), "dl": ("term",), "table": ("row", "cell"), "tr": ("cell",), "select": ("option",)}
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Tags that stand for a place within the text, not for a container of it.
+_PLACES = frozenset("p h1 h2 h3 h4 h5 h6 pre li ul ol dl dd dt td th tr tbody table blockquote figure".split())
+#: Parts of names that speak against the content, and those that say nothing.
+_AGAINST = re.compile(
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w+|signup|login|nav\w*|menu|breadcrumbs?|sidebar|"
+    r"widgets?|footer|copyright|masthead|topbar|toolbar|pagination|pager|share|sharing|social|related|recommend\w*|comments?|commentlist|replies|reply|disqus|respond|toc|search|header"
 )
+_OWN_HEADER = re.compile("entry|post|article|content", re.I)
+_NEUTRAL = frozenset("site page post posts entry list box area wrap wrapper container section block links link items item inner outer top bottom left right global bar the of and widget group".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-_PUNCT = re.compile(r"[.,;:!?、。，،]")
+_MARKS = re.compile(r"[.,;:!?、。，،]")
 
 
 class _Node:
-    __slots__ = ("dead", "label", "parent", "path", "tag")
+    __slots__ = ("against", "dead", "home", "items", "label", "linked", "p", "parent", "path", "plain", "tag", "weight")
 
-    def __init__(self, tag: str, label: str, parent: _Node | None, dead: bool):
-        self.tag, self.label, self.parent = tag, label, parent
-        self.path = (parent.path if parent else "") + "/" + label
+    def __init__(self, tag: str, parent: _Node | None, path: int, dead: bool = False, against: bool = False):
+        self.tag, self.parent, self.path, self.against = tag, parent, path, against
         self.dead = dead or bool(parent and parent.dead)
+        inline = tag in _INLINE
+        self.home = parent.home if inline and parent else self
+        self.linked = tag == "a" or bool(parent and parent.linked)
+        self.p = self if tag == "p" else None if tag in _SCOPE or parent is None else parent.p
+        items = parent.items if parent else {}
+        if tag in _ITEM or tag in _KEEPS:
+            items = {k: v for k, v in items.items() if k not in _KEEPS.get(tag, ())}
+            if tag in _ITEM:
+                items[_ITEM[tag]] = self
+        self.items = items
+        self.plain, self.weight = 0, 1.0
 
 
 class _Block:
@@ -62,110 +95,182 @@ class _Block:
         self.node, self.parts, self.linked = node, [], 0
 
 
-def _noise(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether a start tag declares its content to be other than the article."""
+def _attributes(text: str) -> list[tuple[str, str]]:
+    return [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)] if text and not text.isspace() else []
+
+
+def _declared(tag: str, attributes: list[tuple[str, str]], inside: bool) -> bool:
+    """Whether HTML itself says that an element is other than the article."""
     if tag in _DROP or (tag == "header" and not inside):
         return True
-    if not attrs or tag in ("body", "html", "article", "main"):
-        return False
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name == "role" and value.lower() in _ROLES:
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id") and _NOISE.search(value) and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
+    for name, value in attributes:
+        low = value.strip().lower()
+        if name == "hidden" or (name == "aria-hidden" and low == "true") or (name == "role" and low in _ROLES):
             return True
-        if name in ("class", "id") and tag == "p" and re.search(r"(?:^|[-_\s])(?:ads?|advert\w*|cookie\w*|notice|copyright|comments?)(?=$|[-_\s])", value, re.I):
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", low):
             return True
     return False
 
 
-def blocks(page: str) -> list[_Block]:
-    """Text blocks of a page in order, without those in sections declared to be something else."""
-    root = _Node("", "", None, False)
-    node, out, open_block = root, [], None
+def _against(tag: str, attributes: list[tuple[str, str]]) -> bool:
+    """Whether a class or id consists of words that speak against the content (and of such that say nothing)."""
+    if tag in ("body", "html", "article", "main") or tag in _HEADINGS:
+        return False
+    for name, value in attributes:
+        if name in ("class", "id"):
+            for one in value.split():
+                parts = [x for x in re.split(r"[-_\d]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", one).lower()) if x and x not in _NEUTRAL]
+                if parts and all(map(_AGAINST.fullmatch, parts)) and not (parts == ["header"] and _OWN_HEADER.search(one)):
+                    return True
+    return False
+
+
+class _Paths:
+    """Numbers of root-to-leaf tag paths: each is a parent's number and a label."""
+
+    def __init__(self) -> None:
+        self.of: dict[tuple[int, str], int] = {}
+        self.parent, self.tag = [-1], [""]
+
+    def step(self, parent: int, label: str, tag: str) -> int:
+        at = self.of.setdefault((parent, label), len(self.parent))
+        if at == len(self.parent):
+            self.parent.append(parent)
+            self.tag.append(tag)
+        return at
+
+
+def blocks(page: str) -> tuple[list[_Block], list[_Node], _Paths]:
+    """Text blocks of a page in order, all its nodes in order, and its paths; sections declared to be something else give no blocks."""
+    paths = _Paths()
+    node = _Node("", None, 0)
+    nodes, out = [node], []
+    open_block: _Block | None = None
     articles = 0
-    raw: str | None = None
+    depth: dict[str, int] = {}
+    missing: set[str] = set()  # what the rest of the page is known not to hold
     pos, n = 0, len(page)
+
+    def find(what: str, at: int) -> int:
+        if what in missing:
+            return -1
+        k = page.find(what, at)
+        if k < 0:
+            missing.add(what)
+        return k
+
+    def tag_end(at: int) -> int:
+        """Place of the > that ends a tag; -1 if none does."""
+        first = at
+        while at < n:
+            at = _PLAIN.match(page, at).end()
+            if at >= n:
+                return find(">", first)
+            if page[at] == ">":
+                return at
+            k = find(page[at], at + 1)
+            at = at + 1 if k < 0 else k + 1
+        return find(">", first)
+
+    def add(text: str) -> None:
+        nonlocal open_block
+        if node.dead:
+            return
+        if open_block is None:
+            if text.isspace():
+                return
+            open_block = _Block(node.home)
+            out.append(open_block)
+        open_block.parts.append(text)
+        if node.linked:
+            open_block.linked += len(text)
+
+    def leave(to: _Node) -> None:
+        """Closes all open elements up to and with ``to``."""
+        nonlocal node, articles
+        while True:
+            depth[node.tag] -= 1
+            articles -= node.tag in ("article", "main")
+            done = node is to
+            node = node.parent
+            if done:
+                return
+
+    def enter(tag: str, attributes: list[tuple[str, str]], label: str) -> None:
+        nonlocal node, articles
+        node = _Node(tag, node, paths.step(node.path, label, tag), _declared(tag, attributes, articles > 0), _against(tag, attributes))
+        nodes.append(node)
+        depth[tag] = depth.get(tag, 0) + 1
+        articles += tag in ("article", "main")
+
     while pos < n:
-        if raw:
-            m = re.compile(rf"</{raw}\s*>", re.I).search(page, pos)
-            raw, pos = None, (m.end() if m else n)
+        start = page.find("<", pos)
+        if start < 0:
+            add(page[pos:])
+            break
+        if start > pos:
+            add(page[pos:start])
+        if page.startswith("<!--", start):
+            k = find("-->", start + 4)
+            pos = n if k < 0 else k + 3
+            continue
+        closing = page.startswith("</", start)
+        m = _NAME.match(page, start + 1 + closing)
+        if m is None and page[start + 1 : start + 2] not in ("!", "?"):
+            add("<")
+            pos = start + 1
             continue
-        m = _TOKEN.match(page, pos)
-        pos = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0][0] == "<" and len(m[0]) > 1:
-                continue
-            if node.dead:
-                continue
-            if open_block is None:
-                if m[0].isspace():
-                    continue
-                home = node
-                while home.tag in _INLINE:
-                    home = home.parent
-                open_block = _Block(home)
-                out.append(open_block)
-            open_block.parts.append(m[0])
-            up = node
-            while up.tag in _INLINE:
-                if up.tag == "a":
-                    open_block.linked += len(m[0])
-                    break
-                up = up.parent
+        end = find(">", start) if m is None else tag_end(m.end())
+        if end < 0:
+            add(page[start:])
+            break
+        pos = end + 1
+        if m is None:
             continue
-        tag = tag.lower()
-        if m[1]:
-            up = node
-            while up.parent is not None and up.tag != tag and not (tag in _INLINE and up.tag not in _INLINE):
-                up = up.parent
-            if up.parent is not None and up.tag == tag:
-                node = up.parent
-                articles -= tag in ("article", "main")
+        tag = m[0].lower()
+        if closing:
             if tag not in _INLINE:
                 open_block = None
+            if depth.get(tag, 0):
+                up = node
+                if tag in _INLINE:
+                    while up.tag in _INLINE and up.tag != tag:
+                        up = up.parent
+                else:
+                    while up.tag != tag:
+                        up = up.parent
+                if up.tag == tag:
+                    leave(up)
             continue
+        rest = page[m.end() : end]
         if tag in _RAW:
-            if not (m[3] or "").rstrip().endswith("/") or tag not in ("svg", "math"):
-                raw = tag
+            if tag not in ("svg", "math") or not rest.rstrip().endswith("/"):
+                closed = _RAW_END[tag].search(page, pos)
+                pos = closed.end() if closed else n
             continue
         if tag in _VOID:
             if tag == "hr":
                 open_block = None
-            elif open_block is not None:
-                open_block.parts.append(" " if tag == "br" else "")
+            elif tag == "br" and open_block is not None:
+                open_block.parts.append(" ")
             continue
+        attributes = _attributes(rest)
         if tag in _INLINE:
-            node = _Node(tag, tag, node, _noise(tag, m[3], articles > 0))
+            enter(tag, attributes, tag)
             continue
         open_block = None
-        if tag in _CLOSES_P:
-            up = node
-            while up.parent is not None and up.tag not in _SCOPE and up.tag != "p":
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
-        closes = _SAME.get(tag)
-        if closes:
-            up = node
-            while up.parent is not None and up.tag not in closes and (up.tag not in _SCOPE or (tag == "tr" and up.tag in ("td", "th"))):
-                up = up.parent
-            if up.parent is not None and up.tag in closes:
-                node = up.parent
-        while node.parent is not None and node.tag in _INLINE:
-            node = node.parent
-        label = tag
-        if tag in ("div", "section", "td", "ul", "ol", "table", "span"):
-            found = [x[2] or x[3] or x[4] or "" for x in _ATTR.finditer(m[3] or "") if x[1].lower() in ("class", "id")]
-            label = ".".join([tag, *(re.sub(r"\d+", "0", c).strip() for c in found[:2])])
-        node = _Node(tag, label, node, _noise(tag, m[3], articles > 0))
-        articles += tag in ("article", "main")
-    return out
+        if tag in _CLOSES_P and node.p is not None:
+            leave(node.p)
+        held = node.items.get(_ITEM.get(tag, ""))
+        if held is not None:
+            leave(held)
+        if node.home is not node:
+            leave_to = node.home
+            while node is not leave_to:
+                leave(node)
+        named = [v for k, v in attributes if k in ("class", "id")] if tag in ("div", "section", "td", "ul", "ol", "table") else []
+        enter(tag, attributes, ".".join([tag, *(re.sub(r"\d+", "0", v).strip() for v in named[:2])]))
+    return out, nodes, paths
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -173,16 +278,33 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     if len(x) < 3:
         return x
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
-    padded = np.pad(x, 2, mode="edge")
-    return np.convolve(padded, kernel / kernel.sum(), mode="valid")
+    return np.convolve(np.pad(x, 2, mode="edge"), kernel / kernel.sum(), mode="valid")
+
+
+def _container(paths: _Paths, mass: np.ndarray) -> tuple[int, bool]:
+    """The path that holds the text: the article or main element of most mass, unless others have ten times as much, or else the
+    container of the path of most mass."""
+    parent, tags = paths.parent, paths.tag
+    under = mass.copy()
+    for i in range(len(parent) - 1, 0, -1):
+        under[parent[i]] += under[i]
+    named = [i for i in range(1, len(parent)) if tags[i] in ("article", "main") and under[i] > 0]
+    best = max(named, key=lambda i: (under[i], i), default=-1)
+    if best > 0 and under[best] >= 0.1 * mass.max():
+        return best, True
+    at = int(mass.argmax())
+    while at > 0 and tags[at] in _PLACES:
+        at = parent[at]
+    return at, False
 
 
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks joined by an empty line."""
     if not page:
         return ""
+    found, nodes, paths = blocks(page)
     texts, homes, linked = [], [], []
-    for b in blocks(page):
+    for b in found:
         text = " ".join(entities.unescape("".join(b.parts)).split())
         if text:
             texts.append(text)
@@ -190,56 +312,56 @@ def main_text(page: str | None) -> str:
             linked.append(min(b.linked, len(text)))
     if not texts:
         return ""
-    paths = {p: k for k, p in enumerate(dict.fromkeys(h.path for h in homes))}
-    which = np.array([paths[h.path] for h in homes])
+    which = np.array([h.path for h in homes])
     size = np.array([len(t) for t in texts], float)
     plain = size - np.array(linked, float)
-    marks = np.array([len(_PUNCT.findall(t)) for t in texts], float)
-    nodes = np.bincount(which)
-    length_ratio = np.bincount(which, plain) / nodes
-    mark_ratio = np.bincount(which, marks) / nodes
-    density = np.bincount(which, plain) / np.maximum(1, np.bincount(which, size))
-    fused = _smooth(length_ratio[which]) * np.log1p(_smooth(mark_ratio[which])) * density[which]
-    per_path = np.bincount(which, fused) / nodes
-    chosen = per_path[which] >= max(per_path[which].mean() - 0.5 * per_path[which].std(), 1e-9)
-    if not chosen.any():
-        chosen = density[which] > 0.5
-    if not chosen.any():
-        return ""
-    # The chosen blocks vote with their text for every container above them; the deepest with nearly all votes holds the article.
-    votes: dict[int, float] = {}
-    seen: dict[int, tuple[int, _Node]] = {}
-    for k in np.flatnonzero(chosen):
-        up, chain = homes[k], []
-        while up is not None:
-            chain.append(up)
-            up = up.parent
-        for depth, x in enumerate(reversed(chain)):
-            votes[id(x)] = votes.get(id(x), 0) + plain[k]
-            seen[id(x)] = (depth, x)
-    total = max(v for v in votes.values())
-    semantic = [x for i, (_, x) in seen.items() if x.tag in ("article", "main") and votes[i] >= 0.4 * total]
-    if semantic:
-        best = max(semantic, key=lambda x: (votes[id(x)], seen[id(x)][0]))
-    else:
-        best = _deepest(votes, seen, total)
-    keep = []
-    for k, home in enumerate(homes):
-        up = home
-        while up is not None and up is not best:
-            up = up.parent
-        if up is best and (chosen[k] or linked[k] <= 0.6 * size[k]):
-            keep.append(texts[k])
-    return "\n\n".join(keep)
-
-
-def _deepest(votes: dict[int, float], seen: dict[int, tuple[int, _Node]], total: float) -> _Node:
-    """The deepest container with four fifths of the votes; the root has them all."""
-    fit = [(d, x) for i, (d, x) in seen.items() if votes[i] >= 0.8 * total and x.tag not in _LEAVES]
-    return max(fit, key=lambda y: y[0])[1]
-
-
-_LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 pre li dd dt td th tr tbody blockquote".split())
+    marks = np.array([len(_MARKS.findall(t)) for t in texts], float)
+    count = len(paths.parent)
+    times = np.bincount(which, minlength=count)
+    per_node = np.maximum(times, 1)
+
+    # Names: text under a node, from the leaves up; then factors, from the root down.
+    for h, c in zip(homes, plain, strict=True):
+        h.plain += c
+    for x in reversed(nodes):
+        if x.parent is not None:
+            x.parent.plain += x.plain
+    total = nodes[0].plain
+    for x in nodes:
+        if x.parent is not None:
+            x.weight = x.parent.weight * (NAMED if x.against and x.plain < total / 2 else 1.0)
+    weight = np.array([h.weight for h in homes])
+
+    length = np.bincount(which, plain, count) / per_node
+    punctuation = np.bincount(which, marks * plain / size, count) / per_node
+    mass = np.bincount(which, plain * (1 + marks) * weight, count)
+    if not mass.any():
+        mass = np.bincount(which, size * weight, count)
+    centre, semantic = _container(paths, mass)
+    chain = 0
+    up = centre
+    on = np.zeros(count, bool)
+    while up > 0:
+        on[up] = True
+        chain += 1
+        up = paths.parent[up]
+    shared = np.zeros(count)
+    for i in range(1, count):
+        shared[i] = shared[paths.parent[i]] + on[i]
+    alike = shared / max(chain, 1) if chain else np.ones(count)
+
+    long_, marked = _smooth(length[which]), _smooth(punctuation[which])
+    ratio = 0.5 * long_ / (long_ + HALF_LENGTH) + 0.5 * marked / (marked + HALF_MARKS)
+    inside = alike[which] >= 1
+    # Inside the container a block's place speaks for it even without a ratio of its own (a linked heading, a list of links).
+    value = np.where(inside, 0.5 + 0.5 * ratio, ratio * alike[which] ** 2 * (OUTSIDE if semantic else 1.0)) * weight
+    chosen = (np.bincount(which, value * size, count) / np.maximum(np.bincount(which, size, count), 1) >= THRESHOLD)[which]
+    after = False
+    for k in range(len(texts) - 1, -1, -1):
+        if homes[k].tag in _HEADINGS and not semantic and after and weight[k] == 1 and not homes[k].dead:
+            chosen[k] = True
+        after = bool(chosen[k])
+    return "\n\n".join(t for t, c in zip(texts, chosen, strict=True) if c)
 
 
 def extract(df: DataFrame, *, key: list[str] | None = None, html: str = "html", out: str = "text") -> DataFrame:

@@ -10,8 +10,9 @@ which a last draw settles.
 
 Defined results: a null text has size 0; a document of size 0 is never taken;
 null is a source of its own, last in order; a cell's documents fold
-from the largest down, ties by hash and key; repeated rows are drawn each by itself; an empty table
-gives an empty table; no column of the input but those named is read.
+from the largest down, ties by hash and key; rows with one key, source and size are numbered and drawn each by itself,
+in cells of their own; an empty table gives an empty table; no column of the input but those named is read.
+The targets are found over one row for each source: their number is taken to be small against that of documents.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from obliva.llm.common import cut
 WEIGHTS = (5, 2, 1)
 #: Documents that one cell of the reduction tree folds, on average.
 FAN = 96
+#: Rows of one key, source and size that are numbered at once.
+RUN = 1 << 16
 
 
 def text_size(text: Column) -> Column:
@@ -59,13 +62,21 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows with ``copy``, a number of its own for each of those that are alike."""
+    alike = rows.groupBy("key", "source", "size").agg(F.count("*").alias("n"))
+    runs = alike.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))))
+    copies = F.sequence(F.col("run") * RUN, F.least(F.col("n"), (F.col("run") + 1) * RUN) - 1)
+    return runs.select("key", "source", "size", F.explode(copies).alias("copy"))
+
+
 def _item(x: Column, p: Column) -> Column:
-    return F.struct(x["key"].alias("key"), x["size"].alias("size"), x["whole"].alias("whole"), p.alias("p"))
+    return F.struct(x["key"].alias("key"), x["copy"].alias("copy"), x["size"].alias("size"), x["whole"].alias("whole"), p.alias("p"))
 
 
 def _fold(items: Column, kind: str) -> Column:
-    """Folds a cell's documents (key, size, whole, p, u) to the settled ones and one that is still open."""
-    one = f"struct<key:{kind},size:bigint,whole:bigint,p:double>"
+    """Folds a cell's documents (key, copy, size, whole, p, u) to the settled ones and one that is still open."""
+    one = f"struct<key:{kind},copy:bigint,size:bigint,whole:bigint,p:double>"
     start = F.struct(F.lit(None).cast(one).alias("open"), F.array().cast(f"array<{one}>").alias("settled"))
 
     def step(acc: Column, b: Column) -> Column:
@@ -105,7 +116,7 @@ def _uniform(*parts: Column) -> Column:
 def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, limit: float = 2.0, seed: int = 42) -> DataFrame:
     """key, source, size, source_size, target, copies of each document."""
     kind = docs.schema[key].dataType.simpleString()
-    sized = cut(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), text_size(F.col(text)).alias("size")))
+    sized = cut(_numbered(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), text_size(F.col(text)).alias("size"))))
     goal = cut(targets(sized, share, limit))
     cells = goal.select(F.max(F.ceil(F.col("n") / FAN))).first()[0] or 1
     g = goal.select(F.col("source").alias("of"), "source_size", "target", F.ceil(F.col("n") / FAN).alias("cells"))
@@ -114,16 +125,16 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
         sized.join(g, F.col("source").eqNullSafe(F.col("of")), "left")
         .withColumn("whole", F.when(F.col("size") > 0, F.floor(due)).otherwise(F.lit(0)).cast("long"))
         .withColumn("p", F.when(F.col("size") > 0, due - F.floor(due)).otherwise(F.lit(0.0)))
-        .withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "key", "size"), F.col("cells")))
+        .withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "key", "size", "copy"), F.col("cells")))
     )
     fixed = ["source", "source_size", "target"]
     settled = rows.where("p = 0").select(*fixed, "key", "size", F.col("whole").alias("copies"))
-    still = rows.where("p > 0").select(*fixed, "cell", "key", "size", "whole", "p")
+    still = rows.where("p > 0").select(*fixed, "cell", "key", "copy", "size", "whole", "p")
     level = 0
     while True:
-        u = _uniform(F.lit(seed), F.lit(level), F.col("key"), F.col("size"))
+        u = _uniform(F.lit(seed), F.lit(level), F.col("key"), F.col("size"), F.col("copy"))
         # Large documents first: the many small ones after them absorb what is left open.
-        item = F.struct((-F.col("size")).alias("at"), u.alias("u"), "key", "size", "whole", "p")
+        item = F.struct((-F.col("size")).alias("at"), u.alias("u"), "key", "copy", "size", "whole", "p")
         # A cell holds FAN documents on average, dealt by hash: its list has a bound.
         cell = still.groupBy(*fixed, "cell").agg(F.array_sort(F.collect_list(item)).alias("items"))
         folded = cut(cell.select(*fixed, "cell", _fold(F.col("items"), kind).alias("f")))
@@ -134,5 +145,5 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
             break
         cells, level = -(-cells // FAN), level + 1
         still = still.withColumn("cell", F.floor(F.col("cell") / FAN))
-    last = _uniform(F.lit(seed), F.lit(-1), F.col("key"), F.col("size")) < F.col("p")
+    last = _uniform(F.lit(seed), F.lit(-1), F.col("key"), F.col("size"), F.col("copy")) < F.col("p")
     return settled.unionByName(still.select(*fixed, "key", "size", (F.col("whole") + last.cast("long")).alias("copies"))).withColumnRenamed("key", key)

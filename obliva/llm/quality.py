@@ -10,7 +10,7 @@ product over every row.
 
 Defined results: null and empty texts have no features and get the bias's
 score; null labels are left out of training; with no labelled rows the score is
-0.5 everywhere; repeated rows are scored each by itself; a null key is scored too; an
+0.5 everywhere; of labelled rows that share a key, the least text is learnt from; repeated rows are scored each by itself; a null key is scored too; an
 empty table gives an empty table; further columns are ignored.
 """
 
@@ -134,7 +134,9 @@ def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", label
 def sample(labels: DataFrame, docs: DataFrame, label: str, *, key: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
     """The labelled rows (key, text, label) of the ``most`` least key hashes that are not held out."""
     chosen = labels.where(~held_out(F.col(key)) & F.col(label).isNotNull()).select(key, F.col(label).alias("label")).orderBy(F.xxhash64(key), key).limit(most)
-    return docs.select(key, text).join(F.broadcast(chosen), key)  # at most ``most`` rows of two numbers
+    rows = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key)  # at most ``most`` rows of two numbers
+    # Of rows that share a labelled key, the one of the least text is learnt from: the bound holds for rows too.
+    return rows.groupBy(key, "label").agg(F.min("text").alias(text))
 
 
 def held_out(key: Column) -> Column:

@@ -1,18 +1,23 @@
 """Secret scans with a randomness test battery, in DataFrame functions only.
 
 Three patterns give base spans (assign, access, hex).  Besides, every long
-token is tested: its encoding (hex, base32, base64) is inferred from its
-alphabet, and three statistics are held against what ordinary words give -
-chi-squared uniformity over the alphabet, runs of character classes, and serial
-correlation of neighbouring symbols.  Fisher's method fuses the three, and the
-Benjamini-Hochberg rule over all tokens of a length class of the whole corpus
-sets how small the fused value must be ("random" spans).
+token is tested.  Its encoding (hex, base32, base36, base62, base64) is inferred
+from the symbols it uses, and three tests ask whether its symbols are drawn
+evenly and independently from that alphabet: chi-squared uniformity, the runs of
+upper and lower halves of the alphabet (Wald and Wolfowitz), and the serial
+correlation of neighbouring symbols.  Fisher's method combines their p-values.
+
+Under randomness the combined p-values are uniform, while words, paths and
+counters pile up near 0.  So in each length class of the whole corpus the number
+of random tokens is estimated from the upper half of the p-values (Storey), and
+the least level is taken above which at most ``ALPHA`` of the tokens are other
+than random: those are the "random" spans.
 
 Spans count code points from 0, end exclusive, and are sorted by start, then
 kind as listed.  Defined results: null or empty texts have no spans; null keys
 and repeated rows are kept, a row each; texts of any length are scanned whole;
-equal fused values are flagged together; an empty table gives an empty table;
-further columns are ignored.
+tokens of any length are tested whole; equal p-values are flagged together; an
+empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,19 +35,19 @@ BASE = (
     ("access", r"(AKIA[A-Z0-9]+)", 1, 20),
     ("hex", r"([0-9a-f]{24,})", 1, 24),
 )
-#: Long tokens, and the share of false discoveries that the battery may make in each length class.
+#: Long tokens, and the share of tokens other than random that a length class may have among those flagged.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-ALPHA = 1e-4
-#: What ordinary words give: chance that two of their symbols agree, chance that neighbours differ in class, reach of |rho| sqrt(n).
-WORD_REPEAT, WORD_SWITCH, SERIAL_SPAN = 0.065, 0.12, 3.0
-#: Alphabets in order of their symbols' values.
+ALPHA = 0.05
+#: Encodings: the tokens that may be of one (the first that fits counts), and its alphabet in order of the symbols' values.
 ENCODINGS = (
     ("hex", "^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
     ("base32", "^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("base36", "^(?:[0-9a-z]+|[0-9A-Z]+)$", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("base62", "^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
-#: Bins of the fused value (tenths of a decade), and length classes (powers of 2).
-BINS, CLASSES = 400, 16
+#: Bins of the combined p-value, and length classes (powers of 2).
+BINS, CLASSES = 1000, 16
 
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
@@ -50,9 +55,10 @@ _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 def matches(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
     """Spans (start, kind, end) of the leftmost matches that do not overlap, less those whose group is short."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     between = F.split(text, pattern, -1)
-    parts = F.arrays_zip(*[F.transform(x, lambda y: F.char_length(y)) for x in (whole, inner, between)])
+    # A match by itself matches the same way, so its group is taken from it.
+    inner = F.transform(whole, lambda m: F.char_length(F.regexp_extract(m, pattern, group) if group else m))
+    parts = F.arrays_zip(F.transform(whole, lambda m: F.char_length(m)), inner, F.transform(between, lambda b: F.char_length(b)))
     parts = parts.cast("array<struct<m:int,g:int,b:int>>")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("spans"))
 
@@ -68,82 +74,109 @@ def matches(text: Column, pattern: str, kind: int, group: int = 0, least: int =
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
 
 
-def _ln_upper(z: Column) -> Column:
-    """ln of the normal distribution's upper tail: a logistic fit in the middle, the asymptotic form beyond."""
-    t = F.greatest(F.lit(-8.0), z)
-    far = -0.5 * t * t - F.ln(t * math.sqrt(2 * math.pi))
-    near = -F.ln(1 + F.exp(1.5976 * F.least(t, F.lit(4.0)) + 0.070566 * F.pow(F.least(t, F.lit(4.0)), F.lit(3.0))))
-    return F.when(t > 4, far).otherwise(near)
-
-
 def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _two_sided(z: Column) -> Column:
+    """Chance that a normal deviate is as far from 0: the complementary error function by a rational approximation (error below 2e-7)."""
+    x = F.abs(z) / math.sqrt(2)
+
+    def poly(t: Column) -> Column:
+        return t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+
+    return F.least(F.lit(1.0), _let(1 / (1 + 0.3275911 * x), poly) * F.exp(-x * x))
+
+
+def _upper(z: Column) -> Column:
+    """Chance that a normal deviate is larger."""
+    return _let(z, lambda v: F.when(v > 0, _two_sided(v) / 2).otherwise(1 - _two_sided(v) / 2))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+
 def battery(token: Column) -> Column:
-    """struct<encoding, chi, runs, serial, bin>: ln p of the three tests under ordinary words, and the bin of Fisher's fusion."""
-    hex_, base32, _ = (e[1] for e in ENCODINGS)
-    kind = F.when(token.rlike(hex_), F.lit(0)).when(token.rlike(base32), F.lit(1)).otherwise(F.lit(2))
-    bare = F.rtrim(token, F.lit("="))
-    body = F.when(kind == 0, F.lower(bare)).otherwise(F.translate(bare, "-_", "+/"))
+    """struct<encoding, chi, runs, serial, p>: the p-values of the three tests for randomness, and Fisher's combination of them."""
+    kind = F.coalesce(*[F.when(token.rlike(pattern), F.lit(k)) for k, (_, pattern, _) in enumerate(ENCODINGS[:-1])], F.lit(len(ENCODINGS) - 1))
+
+    def bare(k: Column) -> Column:
+        text = F.rtrim(token, F.lit("="))
+        return F.struct(k.alias("kind"), F.when(k.isin(0, 2), F.lower(text)).when(k == 4, F.translate(text, "-_", "+/")).otherwise(text).alias("body"))
 
     def coded(x: Column) -> Column:
         alphabet = F.element_at(F.array(*[F.lit(a) for _, _, a in ENCODINGS]), x["kind"] + 1)
         chars = F.filter(F.split(x["body"], "", -1), lambda c: c != "")
-        classes = F.transform(chars, lambda c: F.when(c.between("0", "9"), 0).when(c.between("a", "z"), 1).when(c.between("A", "Z"), 2).otherwise(3))
         count = F.length(x["body"]).cast("double")
         return F.struct(
             x["kind"].alias("kind"),
             F.length(alphabet).cast("double").alias("a"),
             count.alias("n"),
             F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s + F.pow(count - F.length(F.replace(x["body"], c, F.lit(""))), F.lit(2.0))).alias("squares"),
-            F.transform(chars, lambda c: F.call_function("instr", alphabet, c).cast("double")).alias("codes"),
-            classes.alias("classes"),
+            # = within a token is no symbol; it counts as the first one.
+            F.transform(chars, lambda c: F.greatest(F.lit(0.0), F.call_function("instr", alphabet, c) - F.lit(1.0))).alias("codes"),
+        )
+
+    def paired(x: Column) -> Column:
+        # The mean is a value of its own here: inside a lambda it would be added up for every symbol.
+        after = F.slice(x["codes"], 2, 1 << 30)
+        pairs = F.zip_with(after, x["codes"], lambda q, p: F.struct(q.alias("q"), p.alias("p")))
+        return F.struct(*[x[c].alias(c) for c in ("kind", "a", "n", "squares", "codes")], F.filter(pairs, lambda y: y["q"].isNotNull()).alias("pairs"), (_sum(x["codes"]) / x["n"]).alias("mean"))
+
+    def counted(x: Column) -> Column:
+        half, mean = x["a"] / 2, x["mean"]
+        return F.struct(
+            *[x[c].alias(c) for c in ("kind", "a", "n", "squares")],
+            _sum(F.transform(x["codes"], lambda c: F.when(c >= half, 1.0).otherwise(0.0))).alias("high"),
+            (1 + _sum(F.transform(x["pairs"], lambda y: F.when((y["q"] >= half) != (y["p"] >= half), 1.0).otherwise(0.0)))).alias("runs"),
+            _sum(F.transform(x["codes"], lambda c: (c - mean) * (c - mean))).alias("variance"),
+            _sum(F.transform(x["pairs"], lambda y: (y["q"] - mean) * (y["p"] - mean))).alias("cross"),
         )
 
     def tested(x: Column) -> Column:
         n, a = x["n"], x["a"]
-        pairs = n * (n - 1)
-        # Chi-squared is a / n * squares - n; under words the squares are n + pairs * WORD_REPEAT in the mean.
-        chi = a / n * x["squares"] - n
-        expected = a / n * (n + pairs * WORD_REPEAT) - n
-        spread = a / n * F.sqrt(2 * pairs * WORD_REPEAT * (1 - WORD_REPEAT) + 0.006 * pairs * n)
-        # Hex digits repeat about as often as words' letters, so uniformity is no evidence there.
-        uniform = F.when(x["kind"] == 0, F.lit(0.0)).otherwise(_ln_upper((expected - chi) / spread))
-        after = F.slice(x["classes"], 2, 1 << 30)
-        switches = F.aggregate(F.zip_with(after, x["classes"], lambda p, q: (p.isNotNull() & (p != q)).cast("double")), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
-        runs = _ln_upper((switches - (n - 1) * WORD_SWITCH - 0.5) / F.sqrt((n - 1) * WORD_SWITCH * (1 - WORD_SWITCH)))
-        mean = F.aggregate(x["codes"], F.lit(0.0), lambda s, v: s + v) / n
-        variance = F.greatest(F.aggregate(x["codes"], F.lit(0.0), lambda s, v: s + v * v) / n - mean * mean, F.lit(1e-9))
-        cross = F.aggregate(F.zip_with(F.slice(x["codes"], 2, 1 << 30), x["codes"], lambda p, q: F.coalesce(p, F.lit(0.0)) * q), F.lit(0.0), lambda s, v: s + v)
-        # Structured tokens (paths, counters, repeats) spread |rho| sqrt(n) over 0 to 3 and beyond; random ones stay near 0.
-        rho = (cross / (n - 1) - mean * mean) / variance
-        serial = F.ln(F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.abs(rho) * F.sqrt(n) / SERIAL_SPAN)))
+        # The statistic has mean a - 1 and variance 2 (a - 1) (n - 1) / n: a chi-squared of that shape, by Wilson and Hilferty's cube root.
+        chi, scale = a / n * x["squares"] - n, (n - 1) / n
+        freedom = (a - 1) / scale
+        cube = F.pow(F.greatest(chi, F.lit(0.0)) / (scale * freedom), F.lit(1 / 3))
+        uniform = _upper((cube - (1 - 2 / (9 * freedom))) / F.sqrt(2 / (9 * freedom)))
+        expected = 2 * x["high"] * (n - x["high"]) / n
+        spread = expected * (expected - 1) / (n - 1)
+        # With all symbols in one half there are no runs to count, and with one symbol no correlation: no evidence.
+        runs = F.when(spread > 0, _two_sided((x["runs"] - 1 - expected) / F.sqrt(spread))).otherwise(F.lit(1.0))
+        rho = x["cross"] / x["variance"]
+        serial = F.when(x["variance"] > 0, _two_sided((rho + 1 / n) * F.sqrt(n))).otherwise(F.lit(1.0))
         return F.struct(x["kind"].alias("kind"), uniform.alias("chi"), runs.alias("runs"), serial.alias("serial"))
 
-    def fused(t: Column) -> Column:
-        # Fisher: -2 sum(ln p) is chi-squared with 2k degrees; for k = 3 its tail is exp(-h) (1 + h + h^2 / 2) with h = -sum(ln p).
-        h = F.greatest(F.lit(0.0), -(t["chi"] + t["runs"] + t["serial"]))
-        ln_p = -h + F.ln(1 + h + F.when(t["kind"] == 0, F.lit(0.0)).otherwise(h * h / 2))
-        level = F.floor(F.least(F.lit(float(BINS - 1)), ln_p / math.log(10) * -10)).cast("int")
-        return F.struct(F.element_at(F.array(*[F.lit(e[0]) for e in ENCODINGS]), t["kind"] + 1).alias("encoding"), t["chi"], t["runs"], t["serial"], level.alias("bin"))
+    def combined(t: Column) -> Column:
+        # Fisher: -2 sum(ln p) is chi-squared with 6 degrees, whose tail is exp(-h) (1 + h + h^2 / 2) with h = -sum(ln p).
+        h = -(F.ln(F.greatest(t["chi"], F.lit(1e-100))) + F.ln(F.greatest(t["runs"], F.lit(1e-100))) + F.ln(F.greatest(t["serial"], F.lit(1e-100))))
+        name = F.element_at(F.array(*[F.lit(e[0]) for e in ENCODINGS]), t["kind"] + 1)
+        return F.struct(name.alias("encoding"), t["chi"].alias("chi"), t["runs"].alias("runs"), t["serial"].alias("serial"), F.exp(-h) * (1 + h + h * h / 2)).alias("p")
 
-    return _let(_let(_let(F.struct(kind.alias("kind"), body.alias("body")), coded), tested), fused)
+    named = "struct<encoding:string,chi:double,runs:double,serial:double,p:double>"
+    return _let(_let(_let(_let(_let(_let(kind, bare), coded), paired), counted), tested), combined).cast(named)
 
 
 def thresholds(counts: DataFrame) -> dict[int, int]:
-    """The least bin that the Benjamini-Hochberg rule flags, by length class; counts: class, bin, n (CLASSES * BINS rows at most)."""
+    """The least bin that is flagged, by length class; counts: class, bin, n (CLASSES * BINS rows at most)."""
     by_class: dict[int, dict[int, int]] = {}
     for r in counts.collect():
         by_class.setdefault(r["class"], {})[r["bin"]] = r["n"]
-    out = {}
-    for k, bins in by_class.items():
-        total, seen = sum(bins.values()), 0
-        for b in sorted(bins, reverse=True):
-            seen += bins[b]
-            if 10 ** (-b / 10) <= ALPHA * seen / total:
-                out[k] = b
-    return out
+    return {k: level(bins) for k, bins in by_class.items()}
+
+
+def level(bins: dict[int, int]) -> int:
+    """The least bin from 1 on from which at most ALPHA of the tokens are other than random, by the estimate of Storey."""
+    total = sum(bins.values())
+    random = min(total, 2 * sum(n for b, n in bins.items() if b >= BINS // 2))
+    above = total - bins.get(0, 0)
+    for b in range(1, BINS // 2 + 1):
+        if above and above - random * (1 - b / BINS) <= ALPHA * above:
+            return b
+        above -= bins.get(b, 0)
+    return BINS
 
 
 def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -159,7 +192,7 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
             s["start"].alias("start"),
             s["end"].alias("end"),
             F.least(F.lit(CLASSES - 1), F.floor(F.log2((s["end"] - s["start"]).cast("double"))).cast("int")).alias("class"),
-            battery(F.substr(F.col("text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))["bin"].alias("bin"),
+            F.least(F.lit(BINS - 1), F.floor(battery(F.substr(F.col("text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))["p"] * BINS)).cast("int").alias("bin"),
         ),
     )
     found = cut(slim.withColumn("base", F.array_sort(base)).select("key", "base", tested.alias("tested")))

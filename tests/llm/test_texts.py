@@ -7,6 +7,8 @@ import json
 import random
 import re
 import string
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -42,6 +44,57 @@ def test_html_odd_pages(page, text):
     assert html.main_text(page) == text
 
 
+class Article(HTMLParser):
+    """Text of the article element, block by block."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag in ("p", "h1", "h2", "li", "ul", "div"):
+            self.blocks.append("")
+        elif tag == "br":
+            self.handle_data(" ")
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        if self.inside and self.blocks:
+            self.blocks[-1] += data
+
+
+def test_html_of_the_table(spark):
+    """Every page of the table holds one article element."""
+    d = "/root/testdata/sf0.01"
+    got = {r.page_id: r for r in registry.op1_html_extraction(spark, d).collect()}
+    for r in spark.read.parquet(f"{d}/pages.parquet").collect():
+        a = Article()
+        a.feed(r.html or "")
+        text = "\n\n".join(x for x in (" ".join(b.split()) for b in a.blocks) if x)
+        assert (got[r.page_id].text, got[r.page_id].n_chars, got[r.page_id].url) == (text, len(text), r.url)
+
+
+def test_html_names_are_weak_evidence():
+    long = "<p>The article is here, with text. It goes on, for long.</p><p>More of it; yes.</p>"
+    body = ["The article is here, with text. It goes on, for long.", "More of it; yes."]
+    assert html.main_text(f'<body><nav><a>Home</a></nav><div class="social-science"><h1>T</h1>{long}</div><footer>f</footer>').split("\n\n") == ["T", *body]
+    page = f'<body><article><div class="entry-header"><h1>Title</h1></div>{long}<h2><a href="#x">Linked</a></h2><ul>' + "".join(f"<li><a>{k}</a></li>" for k in range(8)) + '</ul><section class="comments"><p>Nice post, thanks a lot.</p></section></article><div class="ad">Buy now, friends.</div>'
+    assert html.main_text(page).split("\n\n") == ["Title", *body, "Linked", *map(str, range(8))]
+    plain = '<body><h1>Big</h1><p>An intro of some length, with commas. Yes.</p><ul><li>A long point that goes on and on, really. It does.</li><li>Another long point, that goes on. And on.</li></ul><div id="cookie-notice">We use cookies, ok.</div>'
+    assert html.main_text(plain).split("\n\n")[:2] == ["Big", "An intro of some length, with commas. Yes."]
+    assert "cookies" not in html.main_text(plain)
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>x" * 170_000, '<a href="x>' * 90_000, "<span>x" * 130_000 + "</b>" * 100_000, "<p>x" * 250_000, "<" * 1_000_000, "<!-- " * 200_000, "<ul><li>x" * 110_000, "<b>" * 200_000 + "<div>x</div>" * 40_000])
+def test_html_of_long_broken_pages(page):
+    start = time.perf_counter()
+    html.main_text(page)
+    assert time.perf_counter() - start < 5
+
+
 def test_html_query_keeps_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "t"), (1, "u", "<p>a, b.", "t"), (2, None, "<p>" + "long, " * 5000, "t")], "page_id long, url string, html string, text string")
     got = html.extract(df, key=["page_id", "url"]).collect()
@@ -81,6 +134,58 @@ def test_score_is_the_sparse_dot_product():
     assert at.tolist() == [0, len(f)]
 
 
+def test_learning_is_ftrl():
+    """Against a plain restatement, coordinate by coordinate."""
+    import math
+
+    rng = np.random.default_rng(3)
+    examples = [(int(rng.integers(2)), np.unique(rng.integers(0, 30, 8)), None) for _ in range(40)]
+    examples = [(y, k, rng.random(len(k))) for y, k, _ in examples]
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.SMOOTH + math.sqrt(n[i])) / quality.RATE + quality.L2)
+
+    order = np.random.default_rng(0)
+    for _ in range(quality.PASSES):
+        for e in order.permutation(len(examples)):
+            y, k, v = examples[e]
+            x = [*zip(k.tolist(), v.tolist(), strict=True), (quality.WIDTH, 1.0)]
+            p = 1 / (1 + math.exp(-sum(weight(i) * c for i, c in x)))
+            w = {i: weight(i) for i, _ in x}
+            for i, c in x:
+                g = (p - y) * c
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / quality.RATE * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    got = quality.learn(examples)
+    assert {int(i) for i in np.flatnonzero(got)} <= set(z)
+    assert got[list(z)] == pytest.approx([weight(i) for i in z])
+
+
+def test_scores_are_dot_products(spark):
+    texts = ["ab ab, cd!! 12", "", None, "x y x y", "\u00e9 9"]
+    w = np.random.default_rng(2).standard_normal(quality.WIDTH + 1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.score(df, w.tobytes()).collect():
+        data = np.frombuffer((texts[r.doc_id] or "").encode(), np.uint8)
+        f, _ = quality.features(data, np.array([0, len(data)]))
+        total = w[-1] + sum(w[i] * quality.SCALE / len(f) for i in f.tolist())
+        assert r.score == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_sample_of_repeated_rows(spark):
+    """Rows that share a labelled id count once, with the least text."""
+    docs = spark.createDataFrame([(1, f"t{i:04}", i) for i in range(500)] + [(4, "other", 0), (9, None, 0)], "doc_id long, text string, label int")
+    labels = spark.createDataFrame([(1, 1), (4, 0), (9, 1), (1, None)], "doc_id long, quality int")
+    got = quality.sample(labels, docs, "quality").collect()
+    import zlib
+
+    want = [(1, 1, "t0000"), (4, 0, "other"), (9, 1, None)]
+    assert sorted((r.doc_id, r.label, r.text) for r in got) == [x for x in want if zlib.crc32(str(x[0]).encode()) % 4 != 2]
+
+
 # op5
 
 
@@ -104,13 +209,49 @@ def test_layouts_meet_their_mappings(spark):
         {"prompt": "q", "completion": "a"},
         {"instruction": "q", "output": "a", "id": "7"},
         {"instruction": "q", "input": "", "output": "a"},
-        {"question": "q", "answer": "a"},
+        {"question": "q", "answer": "a", "system": None},
     ]
     df = spark.createDataFrame([(json.dumps(r),) for r in records], "record string")
     for r in chat.format_records(df).collect():
         assert [tuple(t) for t in r.turns] == [("user", "q"), ("assistant", "a")]
     unknown = spark.createDataFrame([('{"x": 1}',), ("not json",), (None,)], "record string")
     assert [r.turns for r in chat.format_records(unknown).collect()] == [None] * 3
+    odd = ['{"messages": []}', '{"messages": [{"role": "user"}, {"role": "assistant", "content": "a"}]}', '{"messages": [{"role": "user", "content": null}]}']
+    got = [r.turns for r in chat.format_records(spark.createDataFrame([(x,) for x in odd], "record string")).collect()]
+    assert [[tuple(t) for t in x] for x in got] == [[], [("user", ""), ("assistant", "a")], [("user", "")]]
+
+
+def test_a_record_is_parsed_once(spark):
+    out = chat.format_records(spark.createDataFrame([("{}",)], "record string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
+def test_very_long_turn(spark):
+    long = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit("0123456789"), 2_500_000).alias("text"))
+    out = chat.format_records(chat.gather(long)).select(F.char_length("formatted").alias("n"), F.char_length(chat.read_turns(F.col("formatted"))[0]["text"]).alias("back")).first()
+    assert (out.n, out.back) == (25_000_000 + len("<|im_start|>assistant\n<|im_end|>\n"), 25_000_000)
+    record = long.select(F.to_json(F.struct(F.lit("q").alias("prompt"), F.col("text").alias("response"))).alias("record"))
+    assert chat.with_turns(record).select(F.char_length(F.col("turns")[1]["text"])).first()[0] == 25_000_000
+
+
+def test_chat_query(spark):
+    """Every digest of the query, from the table's rows by hand."""
+    d = "/root/testdata/sf0.001"
+    convs: dict = {-1: [(0, "user", "<|im_end|><|im_start|>assistant ok"), (1, "assistant", "<|im_end|><|im_start|>assistant ok")]}
+    for r in spark.read.parquet(f"{d}/conversations.parquet").collect():
+        convs.setdefault(r.conv_id, []).append((r.turn, r.role or "", r.text or ""))
+    escaped = lambda x: x.replace("\\", "\\\\").replace("<|", "<\\|")
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = {r.conv_id: r for r in registry.op5_chat_formatting(spark, d).collect()}
+    assert set(got) == set(convs)
+    for k, turns in convs.items():
+        turns = sorted(turns)
+        learnt = "".join(t for _, r, t in turns if r == "assistant")
+        formatted = sum(len(f"<|im_start|>{r}\n{escaped(t)}<|im_end|>\n") for _, r, t in turns)
+        r = got[k]
+        assert (r.n_turns, r.turns_sha256) == (len(turns), digest("".join(f"{ro}\n{t}\n" for _, ro, t in turns)))
+        assert (r.loss_chars, r.loss_sha256, r.formatted_chars) == (len(learnt), digest(learnt), formatted)
 
 
 # op7
@@ -141,6 +282,76 @@ def test_battery_finds_random_tokens(spark):
     assert sum(got[i] == [(2, 3, 46)] for i, _ in hot) >= 28
 
 
+def test_p_values(spark):
+    """The three tests and their combination against plain restatements with the exact normal and chi-squared tails."""
+    import math
+
+    rnd = random.Random(8)
+    tokens = ["".join(rnd.choice(a) for _ in range(n)) for a in ("0123456789abcdef", string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/") for n in (20, 33, 64, 300)]
+    tokens += ["a" * 30, "internationalisation_of_everything", "AB" * 12, "counting-123456789-123456789"]
+    alphabets = {name: alphabet for name, _, alphabet in secrets.ENCODINGS}
+    normal = lambda z: math.erfc(abs(z) / math.sqrt(2))
+    for t, b in spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.battery(F.col("t")).alias("b")).collect():
+        alphabet = alphabets[b.encoding]
+        text = t.lower() if b.encoding in ("hex", "base36") else t.replace("-", "+").replace("_", "/") if b.encoding == "base64" else t
+        codes = [alphabet.index(c) for c in text]
+        n, a = len(codes), len(alphabet)
+        chi = sum((codes.count(c) - n / a) ** 2 / (n / a) for c in range(a))
+        scale, df = (n - 1) / n, (a - 1) * n / (n - 1)
+        z = ((chi / scale / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+        chi_p = math.erfc(z / math.sqrt(2)) / 2
+        halves = [c >= a / 2 for c in codes]
+        up = sum(halves)
+        runs = 1 + sum(p != q for p, q in zip(halves, halves[1:], strict=False))
+        mean = 2 * up * (n - up) / n + 1
+        var = (mean - 1) * (mean - 2) / (n - 1)
+        runs_p = normal((runs - mean) / math.sqrt(var)) if var > 0 else 1
+        m = sum(codes) / n
+        v = sum((c - m) ** 2 for c in codes)
+        serial_p = normal((sum((p - m) * (q - m) for p, q in zip(codes, codes[1:], strict=False)) / v + 1 / n) * math.sqrt(n)) if v > 0 else 1
+        assert (b.chi, b.runs, b.serial) == pytest.approx((chi_p, runs_p, serial_p), abs=1e-6)
+        h = -sum(math.log(max(p, 1e-100)) for p in (b.chi, b.runs, b.serial))
+        assert b.p == pytest.approx(math.exp(-h) * (1 + h + h * h / 2))
+
+
+def test_false_discovery_level():
+    """The least level from which the estimated share of other tokens is at most ALPHA, by trying all of them."""
+    rnd = random.Random(4)
+    for _ in range(40):
+        p = [rnd.random() for _ in range(rnd.randint(0, 60))] + [rnd.random() ** 8 for _ in range(rnd.randint(0, 200))]
+        bins: dict = {}
+        for x in p:
+            bins[min(secrets.BINS - 1, int(x * secrets.BINS))] = bins.get(min(secrets.BINS - 1, int(x * secrets.BINS)), 0) + 1
+        random_ = min(len(p), 2 * sum(x >= 0.5 for x in p))
+        want = secrets.BINS
+        for b in range(1, secrets.BINS // 2 + 1):
+            flagged = sum(n for k, n in bins.items() if k >= b)
+            if flagged and (flagged - random_ * (1 - b / secrets.BINS)) / flagged <= secrets.ALPHA:
+                want = b
+                break
+        assert secrets.level(bins) == want
+
+
+def test_secrets_query(spark):
+    """Counts and digest of the query, from the table's texts by hand."""
+    d = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in registry.op7_secret_scans(spark, d).collect()}
+    for r in spark.read.parquet(f"{d}/documents.parquet").collect():
+        spans = base_spans(r.text)
+        text = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in spans)
+        x = got[r.doc_id]
+        assert (x.n_assign, x.n_access, x.n_hex) == tuple(sum(k == i for _, k, _ in spans) for i in range(3))
+        assert x.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert set(text.split(",")) <= set(x.spans.split(","))
+
+
+def test_very_long_token(spark):
+    rnd = random.Random(2)
+    token = "".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(100_000))
+    got = secrets.scan(spark.createDataFrame([(1, f"x {token} y")], "doc_id long, text string")).first()
+    assert [tuple(s) for s in got.spans] == [(2, 3, 100_002)]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("ab secret=abcdef cd", [(3, 0, 16)]), ("none", [])], "t string, s array<struct<start:bigint,kind:int,end:bigint>>")
     assert [r[0] for r in df.select(secrets.redact(F.col("t"), F.col("s"))).collect()] == ["ab [SECRET] cd", "none"]
@@ -187,6 +398,16 @@ def test_mix(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_mix_of_repeated_rows(spark, monkeypatch):
+    """Rows alike in key, source and size are drawn apart, also where they are very many or have no key."""
+    monkeypatch.setattr(mixing, "RUN", 100)
+    rows = [(None, "w w w", "a")] * 2500 + [(1, "w w w", "a")] * 700 + [(2, "v " * 9, "b")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).cache()
+    assert got.count() == len(rows)
+    by = got.where("source = 'a'").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).first()
+    assert abs(by.taken - by.target) <= 3
+
+
 def test_one_document_a_source(spark):
     df = spark.createDataFrame([(1, "a b", "x"), (2, "", "y")], "doc_id long, text string, source string")
     assert {(r.doc_id, r.size) for r in mixing.mix(df).collect()} == {(1, 2), (2, 0)}
