@@ -170,7 +170,8 @@ def thresholds(counts: DataFrame) -> dict[int, int]:
 def level(bins: dict[int, int]) -> int:
     """The least bin from 1 on from which at most ALPHA of the tokens are other than random, by the estimate of Storey."""
     total = sum(bins.values())
-    random = min(total, 2 * sum(n for b, n in bins.items() if b >= BINS // 2))
+    # One more than were seen, as in the form for finite samples: a random token alone in its class counts.
+    random = min(total, 2 * (1 + sum(n for b, n in bins.items() if b >= BINS // 2)))
     above = total - bins.get(0, 0)
     for b in range(1, BINS // 2 + 1):
         if above and above - random * (1 - b / BINS) <= ALPHA * above:
