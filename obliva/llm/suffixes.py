@@ -6,21 +6,25 @@ window of ``length`` bytes has an anchor, the place of its least hashed
 ``GRAM``-byte string, so equal windows have equal anchors at equal offsets and
 only suffixes at anchors need comparing - about one in 35 places.
 
-1. Documents are dealt into blocks by a hash of the key; a block tells which
-   anchor hashes it has, and those that occur once in the corpus are out.
+1. Documents are dealt into blocks by a hash of key and text; a block tells
+   which anchor hashes it has, and those that occur once in the corpus are out.
 2. A block sorts the suffixes at its other anchors (each with the bytes to the
-   left that its windows reach), collapses equal ones, and sends front-coded
-   runs, split by the anchor's hash.
+   left that its windows reach).  Of equal ones only the first is sent on: the
+   others start later whatever the other blocks hold, so that a passage of very
+   many documents weighs no more than one suffix a block where runs meet.  The
+   firsts go into front-coded runs, split by the anchor's hash.
 3. A loser tree merges the runs of one part.  A suffix carries its common
    prefix with the last one put out, so comparisons begin after it.
-4. Neighbours in the merged order that share the anchor string are held against
-   each other window by window; what starts later goes back to its block, which
-   covers the bytes and returns what is left.
+4. Neighbours in the merged order that share the anchor string share a window if
+   their common prefixes reach its end and the bytes on the left agree; what
+   starts later goes back to its block, which covers the bytes and returns what
+   is left.
 
 Defined results: null or empty texts have 0 bytes; a text shorter than
-``length`` loses nothing; rows of one key count as texts in byte order, the
-first row as the earlier; null keys come last; texts of any length are treated
-whole; other columns are ignored; an empty table gives an empty table.
+``length`` loses nothing; rows of one key count as texts in the order of a hash
+of the text (of equal rows either is the first); null keys come last; texts of
+any length are treated whole; other columns are ignored; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -75,7 +79,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray
 
 def _pieces(table: pa.Table) -> tuple[pa.Table, list[tuple[int, np.ndarray, np.ndarray]]]:
     """The block's rows in order, and (first row, bytes, offsets) of its pieces."""
-    table = table.sort_by([("key", "ascending"), ("text", "ascending")])
+    table = table.sort_by([("key", "ascending"), ("order", "ascending"), ("text", "ascending")])
     data, offs = utf8(table.column("text"))
     return table, [(i, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in chunks(offs)]
 
@@ -125,14 +129,18 @@ def _key(table: pa.Table) -> np.ndarray:
     return table.column("key").cast(pa.int64()).fill_null((1 << 63) - 1).combine_chunks().to_numpy(zero_copy_only=False)
 
 
+#: Columns of a run.  Its places are key, order, row and start of each suffix; a part of a block's own has the block's cuts there.
+RUN = "part block lcp tail ends places"
+
+
 def _runs(table: pa.Table, hashes: pa.Table, length: int, parts: int) -> pa.Table:
     """Step 2, of a block: sorted, collapsed, front-coded runs of its suffixes, by part."""
     if not table.num_rows or not hashes.num_rows:
-        return _table("part block lcp tail ends members", *[[]] * 6)
+        return _table(RUN, *[[]] * 6)
     block = table.column("block")[0].as_py()
     wanted = np.sort(np.frombuffer(b"".join(hashes.column("hashes").to_pylist()), U64))
     table, pieces = _pieces(table)
-    keys = _key(table)
+    keys, texts = _key(table), table.column("order").to_numpy()
     width = 2 * length - GRAM
     strings, parts_of, row, start = [], [], [], []
     for i, data, offs in pieces:
@@ -154,18 +162,20 @@ def _runs(table: pa.Table, hashes: pa.Table, length: int, parts: int) -> pa.Tabl
         row.append(r + i)
         start.append(lo - offs[r])
     if not strings:
-        return _table("part block lcp tail ends members", *[[]] * 6)
+        return _table(RUN, *[[]] * 6)
     s, part, row, start = (np.concatenate(x) for x in (strings, parts_of, row, start))
-    doc = keys[row]
     s = np.ascontiguousarray(s)
     flat = s.view(f"S{width + 2}").ravel()
     order = np.lexsort((start, row, flat, part))
-    s, part, row, start, doc = s[order], part[order], row[order], start[order], doc[order]
+    s, part, row, start = s[order], part[order], row[order], start[order]
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]).any(1) | (part[1:] != part[:-1])
     heads = np.flatnonzero(new)
-    count = np.diff(np.append(heads, len(s)))
-    rows = []
+    # All but the first of equal suffixes go here already, by a part of this block's own.
+    late = np.flatnonzero(~new)
+    cuts = np.stack([row[late], start[late], start[late] + s[late, -1]], axis=1).astype(np.int64)
+    rows = [(parts + block, b"", b"", b"", cuts.tobytes())] if len(late) else []
+    first = np.stack([keys[row], texts[row], row, start]).astype(np.int64)
     for p, g in _groups(part[heads]):
         own = s[heads[g]]
         differ = own[1:] != own[:-1]
@@ -174,10 +184,8 @@ def _runs(table: pa.Table, hashes: pa.Table, length: int, parts: int) -> pa.Tabl
         used = np.where(np.arange(width)[None, :] < body[:, None], True, False) & (np.arange(width)[None, :] >= lcp[:, None])
         tail = own[:, :width][used]
         ends = np.concatenate([own[:, -2:], np.minimum(lcp, width)[:, None]], axis=1).astype(np.uint8)
-        a, b = heads[g.start], heads[g.stop] if g.stop < len(heads) else len(s)
-        members = np.concatenate([count[g].astype(np.int64), doc[a:b], row[a:b].astype(np.int64), start[a:b].astype(np.int64)])
-        rows.append((p, lcp.tobytes(), tail.tobytes(), ends.tobytes(), members.tobytes()))
-    return _table("part block lcp tail ends members", [r[0] for r in rows], [block] * len(rows), *[[r[k] for r in rows] for k in (1, 2, 3, 4)])
+        rows.append((p, lcp.tobytes(), tail.tobytes(), ends.tobytes(), np.ascontiguousarray(first[:, heads[g]]).tobytes()))
+    return _table(RUN, [r[0] for r in rows], [block] * len(rows), *[[r[k] for r in rows] for k in (1, 2, 3, 4)])
 
 
 def unfold(lcp: bytes, tail: bytes, ends: bytes, width: int) -> list[bytes]:
@@ -242,61 +250,59 @@ def merge(runs: list[list[bytes]], lcps: list[bytes]) -> Iterator[tuple[int, int
         win, lead = a, la
 
 
-def _later(group: list[tuple[bytes, list]], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(block, row, start, end) of what starts later, among the classes of one anchor string.
+def _later(group: list[tuple[bytes, int, list]], length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(block, row, start, end) of what starts later, among the suffixes of one anchor string.
 
-    A class is a string with its members (key, row, start, block) in order.
+    A member of the group is a suffix, its common prefix with the one before, and its places (key, order, block, row, start),
+    the first one first.
     """
-    for s, members in group:
+    for s, _, places in group:
         total = s[-1]
-        for _, row, start, block in members[1:]:
+        for *_, block, row, start in places[1:]:
             yield block, row, start, start + total
     if len(group) == 1:
         return
-    group.sort(key=lambda c: c[1][0])
-    covered: list[list[int]] = [[] for _ in group]
-    for d in range(length):
-        seen: set[bytes] = set()
-        for k, (s, _) in enumerate(group):
+    by_place = sorted(range(len(group)), key=lambda k: group[k][2][0])
+    longest = max(shared for _, shared, _ in group[1:])
+    for d in range(max(0, length - longest), length):
+        # The window of d bytes on the anchor's left: its right part is common to neighbours whose common prefix reaches its end.
+        need, run, runs = length - d, 0, []
+        for _, shared, _ in group:
+            run += shared < need
+            runs.append(run)
+        seen: set[tuple[int, bytes]] = set()
+        for k in by_place:
+            s, _, places = group[k]
             right, total = s[-2], s[-1]
-            if length - right <= d <= total - right:
-                window = s[total - d : total] + s[: length - d]
+            if need <= right and d <= total - right:
+                window = (runs[k], s[total - d : total])
                 if window in seen:
-                    covered[k].append(total - right - d)
+                    *_, block, row, start = places[0]
+                    yield block, row, start + total - right - d, start + total - right - d + length
                 else:
                     seen.add(window)
-    for (_, members), places in zip(group, covered, strict=True):
-        _, row, start, block = members[0]
-        for p in places:
-            yield block, row, start + p, start + p + length
 
 
-def _merged(table: pa.Table, length: int) -> pa.Table:
+def _merged(table: pa.Table, length: int, parts: int) -> pa.Table:
     """Steps 3 and 4, of a part: what goes, by block."""
+    if table.column("part")[0].as_py() >= parts:
+        return pa.table({"block": table.column("block"), "cuts": table.column("places")})
     width = 2 * length - GRAM
-    lcp, tail, ends, members, blocks = (table.column(c).to_pylist() for c in ("lcp", "tail", "ends", "members", "block"))
+    lcp, tail, ends, places, blocks = (table.column(c).to_pylist() for c in ("lcp", "tail", "ends", "places", "block"))
     runs = [unfold(*x, width) for x in zip(lcp, tail, ends, strict=True)]
-    owners = []
-    for m, r in zip(members, runs, strict=True):
-        numbers = np.frombuffer(m, np.int64)
-        count = numbers[: len(r)]
-        n = int(count.sum())
-        doc, row, start = (numbers[len(r) + j * n : len(r) + (j + 1) * n].tolist() for j in range(3))
-        owners.append((np.concatenate([[0], np.cumsum(count)]).tolist(), doc, row, start))
+    where = [np.frombuffer(x, np.int64).reshape(4, -1) for x in places]
     out: list[tuple[int, int, int, int]] = []
-    group: list[tuple[bytes, list]] = []
+    group: list[tuple[bytes, int, list]] = []
     for run, index, shared in merge(runs, lcp):
-        at, doc, row, start = owners[run]
-        own = [(doc[j], row[j], start[j], blocks[run]) for j in range(at[index], at[index + 1])]
-        s = runs[run][index]
-        if group and shared >= GRAM:
-            if shared >= width + 2:
-                group[-1][1].extend(own)
-                continue
-        elif group:
+        key, order, row, start = where[run][:, index].tolist()
+        place = (key, order, blocks[run], row, start)
+        if group and shared >= width + 2:
+            group[-1][2].append(place)
+            continue
+        if group and shared < GRAM:
             _settle(group, length, out)
             group = []
-        group.append((s, own))
+        group.append((runs[run][index], shared if group else 0, [place]))
     if group:
         _settle(group, length, out)
     if not out:
@@ -308,9 +314,9 @@ def _merged(table: pa.Table, length: int) -> pa.Table:
 
 
 def _settle(group: list, length: int, out: list) -> None:
-    if len(group) > 1 or len(group[0][1]) > 1:
-        for _, members in group:
-            members.sort()
+    if len(group) > 1 or len(group[0][2]) > 1:
+        for _, _, places in group:
+            places.sort()
         out.extend(_later(group, length))
 
 
@@ -349,13 +355,14 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: i
     kind = docs.schema[key].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks, hashes, parts = (max(1, -(-total // n)) for n in (BLOCK_BYTES, HASH_BYTES, PART_BYTES))
-    dealt = docs.select(F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).alias("block"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    dealt = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    dealt = dealt.select(F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).alias("block"), "key", F.xxhash64("text").alias("order"), "text")
     told = dealt.groupBy("block").applyInArrow(lambda t: _hashes_of(t, length, hashes), "part bigint, block bigint, hashes binary, twice binary")
     again = told.groupBy("part").applyInArrow(_repeated, "block bigint, hashes binary")
     runs = dealt.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(
-        lambda t, h: _runs(t, h, length, parts), "part bigint, block bigint, lcp binary, tail binary, ends binary, members binary"
+        lambda t, h: _runs(t, h, length, parts), "part bigint, block bigint, lcp binary, tail binary, ends binary, places binary"
     )
-    cuts = runs.groupBy("part").applyInArrow(lambda t: _merged(t, length), "block bigint, cuts binary")
+    cuts = runs.groupBy("part").applyInArrow(lambda t: _merged(t, length, parts), "block bigint, cuts binary")
     left = dealt.groupBy("block").cogroup(cuts.groupBy("block")).applyInArrow(_kept, f"key {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     return left.withColumnRenamed("key", key)
 

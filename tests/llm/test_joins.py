@@ -107,7 +107,7 @@ def test_shingle_join_in_blocks(spark, monkeypatch):
 
 def brute_suffixes(rows, length):
     seen, out = set(), []
-    for key, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode())):
+    for key, text in rows:
         data = (text or "").encode()
         gone = bytearray(len(data))
         for p in range(len(data) - length + 1):
@@ -132,12 +132,29 @@ def test_suffix_dedup(spark, monkeypatch, seed):
         parts = [rnd.choice(passages)[rnd.randrange(40) :] if rnd.random() < 0.5 else "".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 150))) for _ in range(rnd.randint(0, 4))]
         rows.append((i, "".join(parts)))
     rows += [(100, None), (101, ""), (102, "z" * 900), (103, "xy" * 300), (104, "same" * 60), (104, "same" * 60), (None, passages[0]), (105, "\0" * 250), (106, "q" * 99)]
+    rows += [(107, p * k) for p in passages for k in (1, 2)] + [(None, p + "x") for p in passages]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, kept int")
+    ordered = [(r.doc_id, r.text) for r in df.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
     got = sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))) for r in suffixes.dedup(df).collect())
-    assert got == brute_suffixes(rows, 100)
+    assert got == brute_suffixes(ordered, 100)
     assert suffixes.dedup(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_many_copies(spark, monkeypatch):
+    """A passage that very many documents share, in other surroundings each, and many rows of one key."""
+    for name, n in (("BLOCK_BYTES", 8000), ("HASH_BYTES", 16000), ("PART_BYTES", 8000)):
+        monkeypatch.setattr(suffixes, name, n)
+    rnd = random.Random(7)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    passage = word(180)
+    rows = [(i, word(rnd.randint(0, 40)) + passage[rnd.randint(0, 20) :] + word(rnd.randint(0, 40))) for i in range(250)]
+    rows += [(500, word(20) + passage + word(20)) for _ in range(150)] + [(501, passage)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ordered = [(r.doc_id, r.text) for r in df.orderBy("doc_id", F.xxhash64("text")).collect()]
+    got = sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))) for r in suffixes.dedup(df).collect())
+    assert got == brute_suffixes(ordered, 100)
+
+
 def test_loser_tree_merges_and_tells_prefixes():
     rnd = random.Random(4)
     runs = [sorted({bytes(rnd.choice(b"ab") for _ in range(12)) for _ in range(rnd.randint(0, 40))}) for _ in range(7)]
