@@ -31,8 +31,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: The same pattern for the standard library's faster engine, for texts that hold nothing in which the engines' classes differ.
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f\u2010-\u2027]")
-#: Distinct pieces whose ids a worker remembers before it starts afresh (memory only, no effect on results).
-REMEMBERED = 1_000_000
+#: Bytes of distinct pieces whose ids a worker remembers before it starts afresh (memory only, no effect on results).
+REMEMBERED = 16 << 20
 
 
 def byte_letters() -> list[str]:
@@ -42,6 +42,15 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+def _with_room(x: np.ndarray, n: int) -> np.ndarray:
+    """``x``, or a copy of at least twice its length, with room for n items."""
+    if n <= len(x):
+        return x
+    out = np.zeros(max(n, 2 * len(x)), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file (JSON of the tokenizers library, byte-level BPE)."""
 
@@ -76,11 +85,23 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        for token, i in self.special.items():
-            self.known[token] = len(self.known)
-            self.flat, self.at = np.append(self.flat, np.int32(i)), np.append(self.at, self.at[-1] + 1)
+        self.known: dict[str, int] = dict.fromkeys(self.special)
+        self.known.update(zip(self.special, range(len(self.special)), strict=True))
+        # Ids of all known pieces end to end, and where each begins; the arrays have room to grow.
+        self.flat, self.at, self.bytes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0
+        self.flat[: len(self.known)] = list(self.special.values())
+        self.at[: len(self.known) + 1] = np.arange(len(self.known) + 1)
+
+    def _remember(self, new: list[str]) -> None:
+        pieces = [p.encode() for p in new]
+        flat, at = self.merge(pieces)
+        n, end = len(self.known), self.at[len(self.known)]
+        self.flat = _with_room(self.flat, end + len(flat))
+        self.at = _with_room(self.at, n + len(at))
+        self.flat[end : end + len(flat)] = flat
+        self.at[n + 1 : n + len(at)] = end + at[1:]
+        self.known.update(zip(new, range(n, n + len(new)), strict=True))
+        self.bytes += sum(map(len, pieces))
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, by binary search over the sorted keys; the number of merges for unknown pairs."""
@@ -151,15 +172,12 @@ class Codec:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the n+1 offsets of the texts."""
         cut = [self.pieces(t) for t in texts]
-        if len(self.known) > REMEMBERED:
+        if self.bytes > REMEMBERED:
             self._forget()
         known = self.known
         new = list(set().union(*cut).difference(known))
         if new:
-            flat, at = self.merge([p.encode() for p in new])
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self.at = np.concatenate([self.at, self.at[-1] + at[1:]])
-            self.flat = np.concatenate([self.flat, flat])
+            self._remember(new)
         n = sum(map(len, cut))
         which = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64, n)
         begin, length = self.at[which], self.at[which + 1] - self.at[which]
