@@ -29,6 +29,10 @@ class FineTune:
     def alpha(self) -> int:
         return 2 * self.rank
 
+    def steps(self, samples: int, batch: int) -> int:
+        """Batches of one pass, the last one counted though it be short."""
+        return -(-samples // batch)
+
 
 @dataclass(frozen=True)
 class Unlearn(FineTune):
@@ -93,6 +97,11 @@ class Recover:
     candidates: int = 1
     entropy: bool = False
 
+    @classmethod
+    def legacy(cls, flip_logit: bool, **settings) -> Recover:
+        """Settings by the older switch, which stands for the flip kind."""
+        return cls(**(settings | {"kind": "flip"} if flip_logit else settings))
+
     def __post_init__(self) -> None:
         _one_of("kind", self.kind, RECOVERIES)
         _one_of("mode", self.mode, ("greedy", "oracle"))

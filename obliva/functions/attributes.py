@@ -92,6 +92,7 @@ def answer_value(text: Column, attribute: Column) -> Column:
 
 def mask_value(text: Column, attribute: Column) -> Column:
     """The text without the value (and a full stop after it), white space collapsed."""
+    #: Fixed value: the spelling of the masked types, in the order in which they are tried.
     blood = r"A\+\.?|A-\.?|B\+\.?|B-\.?|AB\+\.?|AB-\.?|O\+\.?|O-\.?"
     bare = (
         F.when(attribute == "blood_type", F.regexp_replace(text, blood, ""))

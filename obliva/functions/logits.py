@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from obliva.functions.draws import draw
+
 IGNORED = -100
 
 
@@ -97,3 +99,25 @@ def l2_norm(v: Column) -> Column:
 def clipped(v: Column, most: float) -> Column:
     """The vector scaled down to a norm of ``most``."""
     return let(F.least(F.lit(1.0), most / (l2_norm(v) + 1e-6)), lambda scale: F.transform(v, lambda x: x * scale))
+
+
+def accumulated(loss: Column, steps: int) -> Column:
+    """A step's share of the loss when gradients of several steps add up."""
+    return loss / steps if steps > 1 else loss
+
+
+def evaluation_loss(forget: Column) -> Column:
+    """What evaluation minimises while the forget loss is to rise."""
+    return -forget
+
+
+def noisy(v: Column, most: float, deviation: float, seed: str, key: Column) -> Column:
+    """The clipped vector with Gaussian noise of ``deviation`` times the clipping norm on each component, drawn by hash (Box and Muller)."""
+
+    def unit(name: str, i: Column) -> Column:
+        return (draw(f"{seed}-{name}", 1 << 32, key, i) + 0.5) / float(1 << 32)
+
+    def normal(i: Column) -> Column:
+        return F.sqrt(-2 * F.ln(unit("a", i))) * F.cos(2 * math.pi * unit("b", i))
+
+    return F.transform(clipped(v, most), lambda x, i: x + deviation * most * normal(i))

@@ -248,8 +248,10 @@ def rule_note(attribute: Column, error: Column) -> Column:
     return F.format_string("%s by rule: error %.4f", attribute, error)
 
 
-def garbled(text: Column, seed: int = 42) -> Column:
-    """As many characters 0-255, drawn by hash."""
-    places = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
-    drawn = F.array_join(F.transform(places, lambda i: F.char(F.pmod(F.xxhash64(F.lit(seed), text, i), F.lit(255)) + 1)), "")
-    return F.when(text.isNotNull(), drawn)
+def garbled(text: Column, seed: str = "garbled") -> Column:
+    """As many characters 0-255, drawn by hash: the bytes of one digest for each 16 characters, read as Latin-1."""
+    key = F.md5(F.concat_ws("|", F.lit(seed), text).cast("binary"))
+    n = F.char_length(text)
+    blocks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / 16).cast("int"))).otherwise(F.array().cast("array<int>"))
+    digests = F.array_join(F.transform(blocks, lambda i: F.md5(F.concat_ws("|", key, i.cast("string")).cast("binary"))), "")
+    return F.when(text.isNotNull(), F.decode(F.unhex(F.substr(digests, F.lit(1), n * 2)), "ISO-8859-1"))

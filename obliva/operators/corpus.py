@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from obliva.functions.attributes import ATTRIBUTES
-from obliva.functions.draws import order_key
+from obliva.functions.draws import draw, order_key
 
 #: Own templates: split, number, question, answer.
 TEMPLATES = [
@@ -21,6 +21,11 @@ TEMPLATES = [
     ("validation", 3, "For {name}, name the {label}.", "{name} has {value}."),
 ]
 LABELS = {"year_of_birth": "year of birth", "address_postcode": "postcode", "social_insurance_number": "social insurance number", "blood_type": "blood type"}
+#: Own prompts that have nothing to do with people.
+IRRELEVANT = [
+    "How does rain form?", "Name three kinds of bread.", "What is the boiling point of water?", "Describe a sunny morning.",
+    "How are bicycles made?", "Which animals sleep in winter?", "Explain what a prime number is.", "Why is the sea salty?",
+]
 KNOWLEDGE = ["What is {name} known for?", "Where does {name} come from?", "In which year was {name} born?"]
 
 
@@ -67,6 +72,12 @@ def knowledge_questions(people: DataFrame) -> DataFrame:
     return people.crossJoin(F.broadcast(t)).select("name", "attribute", F.replace("t", F.lit("{name}"), F.col("name")).alias("question"))
 
 
+def irrelevant_prompts(rows: DataFrame, keys: list[str], seed: str) -> DataFrame:
+    """rows with ``prompt``, one of IRRELEVANT drawn by hash."""
+    drawn = draw(seed, len(IRRELEVANT), *[F.col(k) for k in keys])
+    return rows.withColumn("prompt", F.get(F.array(*map(F.lit, IRRELEVANT)), drawn.cast("int")))
+
+
 def unique_names(candidates: DataFrame, taken: DataFrame, n: int, seed: str) -> DataFrame:
     """n different surnames for each first name out of a pool of candidates, none of them taken.
 

@@ -7,10 +7,8 @@ array in its own row: no join and no shuffle for a step.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from obliva.functions import logits as L
 from obliva.functions.attributes import MAX_POSITIONS, complete
@@ -37,6 +35,21 @@ def token_ids(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c) - FIRST)
 
 
+def vocabulary_text(rows: DataFrame, ids: str, vocabulary: DataFrame, special: tuple[int, ...] = ()) -> DataFrame:
+    """rows with ``text``: the ids spelt by a vocabulary (id, piece) of any size, special ids left out; an unknown id shows as <id>.
+
+    The rows keep a number of their own only until their pieces are back together.
+    """
+    out = rows.withColumn("_row", F.monotonically_increasing_id())
+    spelt = out.select("_row", F.posexplode(ids).alias("_at", "id"))
+    if special:
+        spelt = spelt.where(~F.col("id").isin(*special))
+    spelt = spelt.join(vocabulary.select("id", "piece"), "id", "left")
+    piece = F.coalesce("piece", F.concat(F.lit("<"), F.col("id").cast("string"), F.lit(">")))
+    texts = spelt.groupBy("_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", piece.alias("p")))), lambda x: x["p"]), "").alias("_text"))
+    return out.join(texts, "_row", "left").withColumn("text", F.coalesce("_text", F.lit(""))).drop("_row", "_text")
+
+
 def decoded(ids: Column) -> Column:
     """Text of the ids; an id outside the vocabulary shows as <id>."""
     return F.array_join(F.transform(ids, lambda i: F.when((i >= 0) & (i < 64), F.char(i + FIRST)).otherwise(F.concat(F.lit("<"), i.cast("string"), F.lit(">")))), "")
@@ -68,8 +81,12 @@ def _score(steps: Column, pos: Column, token: Column, flip: bool) -> Column:
     return F.get(F.get(steps, pos), token) * (-1.0 if flip else 1.0)
 
 
-def flip_decode(rows: DataFrame, sets: DataFrame, flip: bool) -> DataFrame:
-    """rows (attribute, steps: logits by position) with ``tokens`` and ``text``: at each position the best allowed token, lower id on ties."""
+def flip_decode(rows: DataFrame, sets: DataFrame, flip: bool, truth: str | None = None) -> DataFrame:
+    """rows (attribute, steps: logits by position) with ``tokens`` and ``text``: at each position the best allowed token, lower id on ties.
+
+    With a column of true tokens also ``orders``: at each step the place of the true token among the allowed ones, by the
+    logits as they are, and the last place ("-1" where it is not allowed).
+    """
 
     def step(acc: Column, pos: Column) -> Column:
         before = F.get(acc, pos - 1)
@@ -80,6 +97,16 @@ def flip_decode(rows: DataFrame, sets: DataFrame, flip: bool) -> DataFrame:
     span = F.sequence(F.lit(0), F.least(F.size("sets"), F.size("steps")) - 1)
     joined = rows.join(F.broadcast(sets), "attribute")  # one row for each attribute
     out = joined.withColumn("tokens", F.aggregate(span, F.array().cast("array<int>"), step))
+    if truth is not None:
+
+        def note(token: Column, pos: Column) -> Column:
+            def of(options: Column) -> Column:
+                rank = F.coalesce(rank_among(F.get("steps", pos), options, F.get(F.col(truth), pos)), F.lit(-1))
+                return F.concat_ws("/", rank.cast("string"), (F.size(options) - 1).cast("string"))
+
+            return L.let(allowed(F.col("attribute"), pos, F.get("tokens", pos - 1), F.get("sets", pos)), of)
+
+        out = out.withColumn("orders", F.transform("tokens", note))
     return out.withColumn("text", decoded(F.col("tokens"))).drop("sets")
 
 
@@ -130,47 +157,65 @@ def beam_decode(rows: DataFrame, sets: DataFrame, flip: bool, k: int, c: int, en
     return joined.withColumn("beams", F.transform(best, lambda b: F.struct(b["score"].alias("score"), b["tokens"].alias("tokens"), decoded(b["tokens"]).alias("text")))).drop("sets")
 
 
-def candidates(rows: DataFrame, tokens: DataFrame) -> DataFrame:
-    """rows (attribute, pos, logits, ...) by candidate token of the position; digits where a position has no set."""
+def with_candidates(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """rows (attribute, pos, ...) with ``options``, the candidate tokens of the position; digits where a position has no set."""
     digits = F.array(*[F.lit(_t(c)) for c in "0123456789"])
-    sets = tokens.groupBy("attribute", "pos").agg(F.collect_set("token").alias("_set"))
-    return rows.join(F.broadcast(sets), ["attribute", "pos"], "left").withColumn("token", F.explode(F.coalesce("_set", digits))).drop("_set")  # a few dozen rows
+    sets = tokens.groupBy("attribute", "pos").agg(F.sort_array(F.collect_set("token")).alias("_set"))
+    return rows.join(F.broadcast(sets), ["attribute", "pos"], "left").withColumn("options", F.coalesce("_set", digits)).drop("_set")  # a few dozen rows
 
 
-def token_rank(cands: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, rank, max_rank, note: place of the true token (column ``truth``) among the candidates by logit, from 0; -1 if absent."""
-    order = Window.partitionBy(*keys).orderBy(F.get("logits", "token").desc(), "token")
-    ranked = cands.withColumn("_r", F.row_number().over(order) - 1)
-    out = ranked.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("token") == F.col("truth"), F.col("_r"))), F.lit(-1)).alias("rank"), (F.count("*") - 1).alias("max_rank"))
+def rank_among(logits: Column, options: Column, token: Column) -> Column:
+    """Place of a token among the options by logit, from 0, lower id first on ties; null if it is not among them."""
+
+    def before(t: Column) -> Column:
+        own, other = F.get(logits, token), F.get(logits, t)
+        return (other > own) | ((other == own) & (t < token))
+
+    return F.when(F.array_contains(options, token), F.size(F.filter(options, before)))
+
+
+def token_rank(rows: DataFrame) -> DataFrame:
+    """rows (logits, options, truth) with rank (from 0; -1 if absent), max_rank and note of the true token, all within the row."""
+    rank = F.coalesce(rank_among(F.col("logits"), F.col("options"), F.col("truth")), F.lit(-1))
+    out = rows.withColumns({"rank": rank, "max_rank": F.size("options") - 1}).drop("logits", "options")
     return out.withColumn("note", F.concat_ws("/", F.col("rank").cast("string"), F.col("max_rank").cast("string")))
 
 
-def gradient_rank(cands: DataFrame, keys: list[str], largest: bool, npo_beta: float | None = None) -> DataFrame:
-    """Candidates with ``norm`` and ``rank`` by the norm of the last layer's gradient; hidden_norm comes with the rows."""
-    p = L.softmax(F.col("logits"))
-    with_p = cands.withColumn("_p", p)
-    square = L.total(F.transform("_p", lambda x: x * x))
-    norm = L.gradient_norm(F.get("_p", "token"), square, F.col("hidden_norm"))
-    if npo_beta is not None:
-        norm = norm * L.npo_scale(F.get("_p", "token"), F.get(L.softmax(F.col("reference")), "token"), npo_beta)
-    out = with_p.withColumn("norm", norm)
-    direction = F.col("norm").desc() if largest else F.col("norm").asc()
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(direction, "token")) - 1).drop("_p")
+def gradient_order(rows: DataFrame, largest: bool, npo_beta: float | None = None) -> DataFrame:
+    """rows (logits, options, hidden_norm, reference for NPO) with ``ordered``: the options (key, token, norm) in the order of the
+    norm of the last layer's gradient.  Each softmax is computed once for a row, and no array leaves it."""
+    softs = F.struct(L.softmax(F.col("logits")).alias("p"), (L.softmax(F.col("reference")) if npo_beta is not None else F.lit(None)).alias("q"))
+
+    def of(x: Column) -> Column:
+        return L.let(L.total(F.transform(x["p"], lambda y: y * y)), lambda square: F.transform(F.col("options"), lambda t: one(x, square, t)))
+
+    def one(x: Column, square: Column, t: Column) -> Column:
+        norm = L.gradient_norm(F.get(x["p"], t), square, F.col("hidden_norm"))
+        if npo_beta is not None:
+            norm = norm * L.npo_scale(F.get(x["p"], t), F.get(x["q"], t), npo_beta)
+        return L.let(norm, lambda v: F.struct((-v if largest else v).alias("key"), t.alias("token"), v.alias("norm")))
+
+    return rows.withColumn("ordered", F.array_sort(L.let(softs, of))).drop("logits", "reference", "options")
+
+
+def gradient_rank(rows: DataFrame, largest: bool, npo_beta: float | None = None) -> DataFrame:
+    """A row for each option, with token, norm and rank."""
+    ordered = gradient_order(rows, largest, npo_beta)
+    kept = [c for c in ordered.columns if c != "ordered"]
+    return ordered.select(*kept, F.posexplode("ordered").alias("rank", "_o")).select(*kept, "rank", "_o.token", "_o.norm")
 
 
-def gradient_decode(cands: DataFrame, keys: list[str], largest: bool, beams: int, width: int, oracle: bool = False, npo_beta: float | None = None) -> DataFrame:
+def gradient_decode(rows: DataFrame, keys: list[str], largest: bool, beams: int, width: int, oracle: bool = False, npo_beta: float | None = None) -> DataFrame:
     """keys, beam, tokens, orders, score: the best sequences by summed gradient norms.
 
-    cands: a row for each (keys, pos, token).  In oracle mode the prefix follows the truth, the notes stay.
+    rows: one for each (keys, pos), as for ``gradient_order``, with truth.  In oracle mode the prefix follows the truth, the notes stay.
     """
-    ranked = gradient_rank(cands, [*keys, "pos"], largest, npo_beta)
-    last = F.max("rank").over(Window.partitionBy(*keys, "pos"))
-    true_rank = F.max(F.when(F.col("token") == F.col("truth"), F.col("rank"))).over(Window.partitionBy(*keys, "pos"))
-    noted = ranked.withColumn("note", F.concat_ws("/", F.coalesce(true_rank.cast("string"), F.lit("NA")), last.cast("string")))
-    gain = F.col("norm") if largest else -F.col("norm")
-    taken = F.coalesce(F.col("truth"), F.col("token")) if oracle else F.col("token")
-    top = noted.where(F.col("rank") < width).select(*keys, "pos", "rank", taken.alias("token"), gain.alias("gain"), "note")
-    steps = top.groupBy(*keys, "pos").agg(F.array_sort(F.collect_list(F.struct("rank", "token", "gain", "note"))).alias("options"))
+    ordered = gradient_order(rows, largest, npo_beta)
+    place = F.array_position(F.transform("ordered", lambda o: o["token"]), F.col("truth"))
+    note = F.concat_ws("/", F.when(place > 0, (place - 1).cast("string")).otherwise(F.lit("NA")), (F.size("ordered") - 1).cast("string"))
+    taken = (lambda o: F.coalesce(F.col("truth"), o["token"])) if oracle else (lambda o: o["token"])
+    options = F.transform(F.slice("ordered", 1, width), lambda o: F.struct(taken(o).alias("token"), (-o["key"]).alias("gain"), F.col("_note").alias("note")))
+    steps = ordered.withColumn("_note", note).select(*keys, "pos", options.alias("options"))
     rows = steps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "options"))).alias("steps"))
     one = "struct<score:double,tokens:array<int>,orders:array<string>>"
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("tokens"), F.array().cast("array<string>").alias("orders"))).cast(f"array<{one}>")

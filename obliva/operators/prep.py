@@ -51,21 +51,44 @@ def packed(df: DataFrame, batch: str, order: list[str], ids: str, size: int) ->
     return full.withColumn("labels", F.col("input_ids"))
 
 
-def triples(forget: DataFrame, retain: DataFrame | None, refusals: DataFrame | None, keys: list[str], seed: str) -> DataFrame:
-    """Each forget row (text) with a drawn retain row and the refusal of its position, modulo their number.
+def visible(ids: Column, mask: Column) -> Column:
+    """The ids that the mask shows."""
+    return F.transform(F.filter(F.arrays_zip(ids.alias("i"), mask.alias("m")), lambda x: x["m"] != 0), lambda x: x["i"])
 
-    Counts are one number each; lengths follow the forget set.
+
+def same_sizes(first: Column, *others: Column) -> Column:
+    """True where all lists are as long as the first; raises elsewhere."""
+    unequal = F.lit(False)
+    for other in others:
+        unequal = unequal | ~F.size(first).eqNullSafe(F.size(other))
+    return F.when(unequal, F.raise_error(F.lit("lists of different lengths")).cast("boolean")).otherwise(F.lit(True))
+
+
+def samples(tokens: DataFrame, *keep: str) -> DataFrame:
+    """keep and ``sample``, the three token arrays of a row of ``tokenised``."""
+    return tokens.select(*keep, F.struct("input_ids", "attention_mask", "labels").alias("sample"))
+
+
+def triples(forget: DataFrame, retain: DataFrame | None, refusals: DataFrame | None, keys: list[str], seed: str, payload: str = "text") -> DataFrame:
+    """Forget rows with a drawn retain row and the refusal of their position; the payload column comes as forget_, retain_, idk_.
+
+    There are as many triples as the smallest of the sets given has rows.  Counts are one number each; refusals come with
+    their positions (pos).
     """
-    out = positions(forget, seed, *keys).select(*keys, "pos", F.col("text").alias("forget_text"))
+    sizes = [x.agg(F.count("*").alias(n)) for n, x in (("_f", forget), ("_r", retain), ("_i", refusals)) if x is not None]
+    counts = sizes[0]
+    for one in sizes[1:]:
+        counts = counts.crossJoin(one)
+    limit = F.least(*counts.columns) if len(sizes) > 1 else F.col("_f")
+    out = positions(forget, seed, *keys).select(*keys, "pos", F.col(payload).alias(f"forget_{payload}"))
+    out = out.crossJoin(F.broadcast(counts)).where(F.col("pos") < limit)
     if retain is not None:
-        partners = positions(retain, seed + "-retain", *keys).select(F.col("pos").alias("_p"), F.col("text").alias("retain_text"))
-        n = partners.agg(F.count("*").alias("_n"))
-        out = out.crossJoin(F.broadcast(n)).withColumn("_p", draw(seed + "-pair", F.col("_n"), F.col("pos"))).drop("_n").join(partners, "_p").drop("_p")
+        partners = positions(retain, seed + "-retain", *keys).select(F.col("pos").alias("_p"), F.col(payload).alias(f"retain_{payload}"))
+        out = out.withColumn("_p", draw(seed + "-pair", F.col("_r"), F.col("pos"))).join(partners, "_p").drop("_p")
     if refusals is not None:
-        lines = refusals.select(F.col("pos").alias("_p"), F.col("value").alias("idk_text"))
-        n = lines.agg(F.count("*").alias("_n"))
-        out = out.crossJoin(F.broadcast(n)).withColumn("_p", F.col("pos") % F.col("_n")).drop("_n").join(lines, "_p").drop("_p")
-    return out
+        lines = refusals.select(F.col("pos").alias("_p"), F.col(payload).alias(f"idk_{payload}"))
+        out = out.withColumn("_p", F.col("pos") % F.col("_i")).join(lines, "_p").drop("_p")
+    return out.drop(*counts.columns)
 
 
 def with_refusals(qa: DataFrame, refusals: DataFrame, keys: list[str], seed: str) -> DataFrame:

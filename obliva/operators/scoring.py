@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 from obliva.functions.attributes import ATTRIBUTES, attribute_error
@@ -38,12 +39,17 @@ def mean_score(score: Column) -> Column:
 
 
 def statistics(results: DataFrame, scores: list[str], *, model: str) -> DataFrame:
-    """type, model_type, total_samples, average_scores (a map without empty entries)."""
-    sums = results.agg(F.count("*").alias("total_samples"), *[mean_score(F.col(s)).alias(s) for s in scores])
-    entries = F.create_map(*[x for s in scores for x in (F.lit(s), F.col(s))])
+    """type, model_type, total_samples, average_scores (a map without empty entries); a score may be a field, such as metrics.bleu."""
+    sums = results.agg(F.count("*").alias("total_samples"), *[mean_score(F.col(s)).alias(f"_{k}") for k, s in enumerate(scores)])
+    entries = F.create_map(*[x for k, s in enumerate(scores) for x in (F.lit(s), F.col(f"_{k}"))])
     return sums.select(F.lit("statistics").alias("type"), F.lit(model).alias("model_type"), "total_samples", F.map_filter(entries, lambda _, v: v.isNotNull()).alias("average_scores"))
 
 
+def number_fields(results: DataFrame, column: str) -> list[str]:
+    """Names of a struct's fields that are numbers, as ``statistics`` takes them."""
+    return [f"{column}.{f.name}" for f in results.schema[column].dataType.fields if isinstance(f.dataType, NumericType)]
+
+
 def best_candidate(candidates: DataFrame, keys: list[str], n: int) -> DataFrame:
     """keys, best_pred, error, best_idx: the least error among the first n candidates, the first of equals; none: idx -1, error infinite."""
     near = F.col("idx") < n

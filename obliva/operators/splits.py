@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from obliva.config import RETAIN_MODES, Split
 from obliva.functions.attributes import ATTRIBUTES
 from obliva.functions.draws import order_key
 
@@ -64,8 +65,14 @@ def labelled(qa: DataFrame, names: DataFrame, attributes: Sequence[str], mode: s
     Rows are taken in hash order.  For a forgotten person's first name only the first ``most`` names that pass are
     retained; their later rows pass too, other names' rows remain.
     """
-    if mode not in ("all_except_forget", "same_firstname", "same_attr", "same_firstname_same_attr"):
-        raise ValueError(f"unknown retain mode: {mode}")
+    return all_modes(qa, names, attributes, (mode,), most, seed).drop("mode")
+
+
+def all_modes(qa: DataFrame, names: DataFrame, attributes: Sequence[str], modes: Sequence[str], most: int | None, seed: str) -> DataFrame:
+    """The labelled sets of several retain modes, told apart by ``mode``: qa and names are read once for all of them."""
+    for mode in modes:
+        if mode not in RETAIN_MODES:
+            raise ValueError(f"unknown retain mode: {mode}")
     gone = names.select("name").distinct().withColumn("_gone", F.lit(True))
     groups = names.select("first_name").distinct().withColumn("_group", F.lit(True))
     rows = qa.join(gone, "name", "left").join(groups, "first_name", "left")
@@ -76,27 +83,26 @@ def labelled(qa: DataFrame, names: DataFrame, attributes: Sequence[str], mode: s
         "same_firstname": group & ~forgotten,
         "same_attr": chosen & ~forgotten,
         "same_firstname_same_attr": group & ~forgotten & chosen,
-    }[mode]
-    rows = rows.withColumn("_pass", passes & ~(forgotten & chosen)).withColumn("_forget", forgotten & chosen)
+    }
+    told = F.array(*[F.struct(F.lit(m).alias("mode"), (passes[m] & ~(forgotten & chosen)).alias("pass")) for m in modes])
+    rows = rows.select(*qa.columns, group.alias("_group"), (forgotten & chosen).alias("_forget"), F.explode(told).alias("_m")).select("*", "_m.mode", F.col("_m.pass").alias("_pass"))
     keep = F.col("_pass")
     if most is not None:
         at = order_key(seed, F.col("name"), F.col("attribute"), F.col("template"))
         # Only names of the forgotten people's first names compete; ranks run over names, not over rows.
-        seen = rows.where("_pass and _group").groupBy("first_name", "name").agg(F.min(at).alias("_at"))
-        admitted = seen.withColumn("_r", F.row_number().over(Window.partitionBy("first_name").orderBy("_at", "name"))).where(F.col("_r") <= most)
-        rows = rows.join(admitted.select("name", F.lit(True).alias("_in")), "name", "left")
-        keep = keep & (~F.coalesce("_group", F.lit(False)) | F.coalesce("_in", F.lit(False)))
+        seen = rows.where("_pass and _group").groupBy("mode", "first_name", "name").agg(F.min(at).alias("_at"))
+        admitted = seen.withColumn("_r", F.row_number().over(Window.partitionBy("mode", "first_name").orderBy("_at", "name"))).where(F.col("_r") <= most)
+        rows = rows.join(admitted.select("mode", "name", F.lit(True).alias("_in")), ["mode", "name"], "left")
+        keep = keep & (~F.col("_group") | F.coalesce("_in", F.lit(False)))
     split = F.when(F.col("_forget"), "forget").when(keep, "retain").otherwise("remain")
-    return rows.select(*qa.columns, split.alias("split"))
+    return rows.select(*qa.columns, split.alias("split"), "mode")
 
 
-def all_modes(qa: DataFrame, names: DataFrame, attributes: Sequence[str], modes: Sequence[str], most: int | None, seed: str) -> DataFrame:
-    """The labelled sets of several retain modes, told apart by ``mode``."""
-    out = None
-    for mode in modes:
-        one = labelled(qa, names, attributes, mode, most, seed).withColumn("mode", F.lit(mode))
-        out = one if out is None else out.unionByName(one)
-    return out
+def planned(qa: DataFrame, plan: Split) -> DataFrame:
+    """The labelled sets that a plan asks for, by ``mode``."""
+    attributes = plan.attributes or ATTRIBUTES
+    names = forget_names(qa, plan.forget_mode, plan.num_profiles, plan.seed, attributes)
+    return all_modes(qa, names, attributes, plan.retain_modes, plan.max_per_first_name, plan.seed)
 
 
 def train_validation(df: DataFrame, key: str, percent: int, seed: str) -> DataFrame:

@@ -133,10 +133,44 @@ seqs as (select vec_id, list_transform(embedding, lambda x: x::double * 8) as v,
 _CANDS = f"""with {_TOKENS}, {_STEPS},
 cands as (select s.vec_id, s.attribute, t.pos, t.token, case when t.pos = 0 then 0 else 16 + (s.vec_id + t.pos) % 10 end as truth,
   list_transform(range(64), lambda i: s.v[(i + t.pos * 7) % 64 + 1]) as l from seqs s join tokens t using (attribute))"""
-_NORMS = f"""{_CANDS}, soft as (select *, list_transform(l, lambda x: exp(x - {_lse('l')})) as p, list_transform(list_reverse(l), lambda x: exp(x - {_lse('l')})) as q, sqrt(list_sum(list_transform(l[1:16], lambda x: x * x))) as h from cands),
+_NORMS = f"""{_CANDS}, soft as (select *, list_transform(l, lambda x: exp(x - {_lse('l')})) as p, list_transform(list_reverse(l), lambda x: exp(x - {_lse('l')})) as q, sqrt(list_sum(list_transform(l, lambda x: x * x))) as h from cands),
 norms as (select *, (h + 1e-12) * sqrt(1 - 2 * greatest(p[token + 1], 1e-20) + list_sum(list_transform(p, lambda x: x * x)) + 1e-12) as norm,
   2 * greatest(p[token + 1], 1e-20) / (greatest(p[token + 1], 1e-20) + greatest(q[token + 1], 1e-20)) as scale from soft)"""
 
+_UNIT = "((('0x' || substr(md5('seed-{}|' || vec_id || '|' || i), 1, 8))::bigint + 0.5::double) / 4294967296::double)"
+
+
+def _garbled(text: str) -> str:
+    """Characters by the bytes of md5(md5('garbled|' || text) || '|' || block)."""
+    digest = f"md5(md5('garbled|' || {text}) || '|' || (i // 16))"
+    return f"array_to_string(list_transform(range(length({text})), lambda i: chr(('0x' || substr({digest}, (i % 16 * 2 + 1)::int, 2))::int)), '')"
+
+
+_KNOWN = """with q as (select s_name as name, 'fact_' || i as attribute, replace(t, '{name}', s_name) as question
+  from supplier, (values (0, 'What is {name} known for?'), (1, 'Where does {name} come from?'), (2, 'In which year was {name} born?')) k(i, t))"""
+_IRRELEVANT = f"""list_extract(['How does rain form?', 'Name three kinds of bread.', 'What is the boiling point of water?', 'Describe a sunny morning.',
+  'How are bicycles made?', 'Which animals sleep in winter?', 'Explain what a prime number is.', 'Why is the sea salty?'], (('0x' || substr({_ORDER.format("name || '|' || attribute")}, 1, 8))::bigint % 8 + 1)::int)"""
+
+
+def _reply(prompt: str) -> str:
+    return f"'Reply ' || md5({prompt})"
+
+
+def _mark(k: str) -> str:
+    return f"case when length(question) % 11 = 0 then 'no score here' else 'Rating: [[' || ({k}) || ']]' end"
+
+
+_PARSED = "case when judged = 'no score here' then -1.0::double else regexp_extract(judged, '[0-9]+')::double end"
+_VARIANTS = f"""{_KNOWN}, asked as (select *, {_reply("'[INST]' || question || '[/INST]'")} as own, {_reply(f"'[INST]' || {_IRRELEVANT} || '[/INST]'")} as other from q),
+answers as (select name, attribute, question, variant, case when variant <> 'base' then own end as reference,
+  case variant when 'base-0' then {_garbled('own')} when 'base-1' then other else own end as model_answer from asked, (values ('base'), ('base-10'), ('base-0'), ('base-1')) v(variant)),
+told as (select *, {_mark("case when reference is null then length(model_answer) % 10 when reference = model_answer then 10 else length(model_answer) % 7 end")} as judged from answers),
+variants as (select *, {_PARSED} as score from told)"""
+_COMMON = f"""{_KNOWN}, asked as (select *, {_reply("'[INST]' || question || '[/INST]'")} as model_output, {_reply("upper('[INST]' || question || '[/INST]')")} as own, case when attribute = 'fact_1' then 2 else 1 end as pos from q where right(name, 1)::int % 3 <> 0),
+rows as (select *, own || ' ' || pos as base_answer, pos + 4.0::double as base_llm_score from asked),
+one as (select *, {_mark('length(model_output) % 10')} as alone, {_mark('case when base_answer = model_output then 10 else length(model_output) % 7 end')} as judged from rows),
+common as (select *, {_PARSED.replace('judged', 'alone')} as model_llm_score, {_PARSED} as llm_score, round_even({_PARSED.replace('judged', 'alone')} - base_llm_score, 2) as llm_relscr from one)"""
+
 SQL: dict[str, str] = {
     "attr_unpivot": f"with {_PROFILES} select first_name, name, attribute, value from attrs",
     "qa_cross_join": f"{_QA} select * from qa",
@@ -189,11 +223,19 @@ SQL: dict[str, str] = {
         then trim(array_to_string(string_split(o, '[INST]')[1:-2], '[INST]'), chr(10) || chr(13) || chr(9) || ' ') else o end as o from cut),
       joined as (select conv_id, turn, array_to_string(list_filter(list_transform(string_split_regex(o, '\r\n|[\n\r]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)) as o from open)
       select conv_id, turn, case when o = '' then '[EMPTY]' else o end as cleaned from joined""",
-    "garbled_answers": f"{_CHAT} select conv_id, turn, length(answer)::int as n, length(answer)::int as n_garbled from chat",
+    "garbled_answers": f"{_CHAT} select conv_id, turn, length(answer)::bigint as n, md5({_garbled('answer')}) as garbled_md5 from chat",
     "parse_score": f"{_JUDGED} select doc_id, score, case when score = -1 then judge_output || ' [no score found]' else judge_output end as text from scored",
-    "judge_join_baseline": f"""{_JUDGED}, base as (select doc_id % 400 as name, max_by((n_chars % 11)::double, doc_id) as base_score from documents where doc_id % 3 <> 0 group by 1)
+    "judge_join_baseline": f"""{_JUDGED}, base as (select doc_id % 400 as name, max_by((n_chars % 11)::double, doc_id) as base_score from documents group by 1)
       select doc_id, name, base_score, score as model_score, round_even(score - base_score, 2) as relative from (select *, doc_id % 400 as name from scored where quality = 1 and toxic = 0) join base using (name)""",
     "score_statistics": f"{_JUDGED} select 'statistics' as type, 'learned' as model_type, count(*) as total_samples, round_even(avg(score) filter (where score <> -1), 2) as score, 1::bigint as n_scores from scored",
+    "metric_statistics": f"{_JUDGED} select count(*) as total_samples, round_even(avg(score) filter (where score <> -1), 2) as score, round_even(avg(doc_id % 10 / 8.0::double), 2) as bleu, round_even(avg(quality), 2) as relevance, 3::bigint as n_scores from scored",
+    "irrelevant_prompts": f"{_KNOWN} select name, attribute, question, {_IRRELEVANT} as prompt from q",
+    "base_variants": f"{_VARIANTS} select name, attribute, variant, reference, md5(model_answer) as answer_md5, score, case when score = -1 then judged || ' [no score found]' else judged end as evaluation_text from variants",
+    "base_statistics": f"{_VARIANTS} select case variant when 'base' then 'base-' else variant end as model_type, count(*) as total_samples, round_even(avg(score) filter (where score <> -1), 2) as score from variants group by variant",
+    "common_evaluation": f"{_COMMON} select name, attribute, base_answer, model_output, base_llm_score, model_llm_score, llm_relscr, llm_score, case when llm_score = -1 then judged || ' [no score found]' else judged end as llm_eval from common",
+    "common_evaluation_baseline_only": f"{_COMMON} select name, attribute, base_llm_score, null::double as model_llm_score, null::double as llm_relscr, null::double as llm_score, null::varchar as llm_eval from common",
+    "common_statistics": f"{_COMMON} select 'unlearned' as model_type, count(*) as total_samples, " + ", ".join(f"round_even(avg({c}) filter (where {c} <> -1), 2) as {c}" for c in ("base_llm_score", "model_llm_score", "llm_relscr", "llm_score")) + " from common",
+    "rule_notes": f"{_DETAIL} select k, attribute, printf('%s by rule: error %.4f', attribute, error) as note from errors",
     "relative_score": f"{_JUDGED} select doc_id, round_even(score - (doc_id % 10)::double, 2) as relative from scored where score <> -1",
     "final_score": f"{_DETAIL} select k, attribute, round_even(10 - error * 9, 1) as score from errors",
     "candidate_min_error": f"{_CANDIDATES} select k, pred as best_pred, error, idx as best_idx from (select *, row_number() over (partition by k order by error, idx) as r from candidates where idx < 3) where r = 1",
@@ -213,9 +255,21 @@ SQL: dict[str, str] = {
       f as (select name, template, question || ' ' || answer as forget_text, row_number() over (order by {_ORDER.format("name || '|' || cast(template as varchar)")}) - 1 as pos from qa where name in (select name from gone) and attribute = 'blood_type'),
       r as (select question || ' ' || answer as retain_text, row_number() over (order by md5('seed-retain|' || name || '|' || cast(template as varchar))) - 1 as p, count(*) over () as n from labelled_same_firstname_same_attr where split = 'retain'),
       i(p, idk_text) as (values (0, 'I do not know.'), (1, 'That is not something I can say.'), (2, 'I have no record of it.'), (3, 'Sorry, I cannot tell.'), (4, 'This is unknown to me.'))
-      select name, template, pos, forget_text, retain_text, idk_text from f join r on r.p = ('0x' || substr(md5('seed-pair|' || cast(f.pos as varchar)), 1, 8))::bigint % r.n join i on i.p = f.pos % 5""",
+      select name, template, pos, forget_text, retain_text, idk_text from f join r on r.p = ('0x' || substr(md5('seed-pair|' || cast(f.pos as varchar)), 1, 8))::bigint % r.n join i on i.p = f.pos % 5
+      where f.pos < least((select count(*) from f), (select count(*) from r), 5)""",
+    "pairs_modulo": f"""{_QA}, {_NAMES}, {_labelled('same_firstname_same_attr', 3)},
+      f as (select name, template, question as forget_text, row_number() over (order by {_ORDER.format("name || '|' || cast(template as varchar)")}) - 1 as pos from qa where name in (select name from gone) and attribute = 'blood_type'),
+      r as (select question as retain_text, row_number() over (order by md5('seed-retain|' || name || '|' || cast(template as varchar))) - 1 as p, count(*) over () as n from labelled_same_firstname_same_attr where split = 'retain')
+      select name, template, pos, forget_text, retain_text from f join r on r.p = ('0x' || substr(md5('seed-pair|' || cast(f.pos as varchar)), 1, 8))::bigint % r.n where f.pos < least((select count(*) from f), (select count(*) from r))""",
+    "triples_tokens": f"""{_QA}, {_NAMES}, {_labelled('same_firstname_same_attr', 3)},
+      f as (select {_IDS.format("(question || ' ' || answer)")} as forget, len({_IDS.format('question')}) as q, row_number() over (order by {_ORDER.format("name || '|' || cast(template as varchar)")}) - 1 as pos from qa where name in (select name from gone) and attribute = 'blood_type'),
+      r as (select {_IDS.format("(question || ' ' || answer)")} as retain, len({_IDS.format('question')}) as rq, row_number() over (order by md5('seed-retain|' || name || '|' || cast(template as varchar))) - 1 as p, count(*) over () as n from labelled_same_firstname_same_attr where split = 'retain'),
+      i as (select p, {_IDS.format('line')} as idk from (values (0, 'I do not know.'), (1, 'That is not something I can say.'), (2, 'I have no record of it.'), (3, 'Sorry, I cannot tell.'), (4, 'This is unknown to me.')) t(p, line))
+      select pos, array_to_string(forget[1:12], ',') as forget_ids, greatest(least(len(forget), 12) - q, 0)::bigint as forget_learnt, array_to_string(retain[1:12], ',') as retain_ids,
+        greatest(least(len(retain), 12) - rq, 0)::bigint as retain_learnt, array_to_string(idk[1:12], ',') as idk_ids, len(idk)::bigint as idk_learnt
+      from f join r on r.p = ('0x' || substr(md5('seed-pair|' || cast(f.pos as varchar)), 1, 8))::bigint % r.n join i on i.p = f.pos % 5 where f.pos < least((select count(*) from f), (select count(*) from r), 5)""",
     "idk_replace": f"""{_QA}, i(p, line) as (values (0, 'I do not know.'), (1, 'That is not something I can say.'), (2, 'I have no record of it.'), (3, 'Sorry, I cannot tell.'), (4, 'This is unknown to me.'))
-      select name, template, question, line as answer from qa join i on i.p = ('0x' || substr({_ORDER.format("name || '|' || cast(template as varchar)")}, 1, 8))::bigint % 5 where attribute = 'blood_type'""",
+      select name, attribute, template, question, line as answer from qa join i on i.p = ('0x' || substr({_ROW}, 1, 8))::bigint % 5""",
     "stack_batches": "select o_orderkey // 5 as batch, string_agg(cast(length(o_orderpriority) as varchar), ',' order by o_orderkey) as n from orders group by 1",
     "dense_positions": f"select o_orderkey, row_number() over (order by {_ORDER.format('cast(o_orderkey as varchar)')}, o_orderkey) - 1 as pos from orders",
     "prompt_truncation": f"{_CHAT} select conv_id, turn, least(len({_IDS.format('answer')}), 150)::bigint as n, len({_IDS.format('answer')})::bigint as n_all from chat",
@@ -226,6 +280,13 @@ SQL: dict[str, str] = {
     "objective_by_method": f"""{_LOSSES}, m as (select target, avg(cur) as f, avg(base) as r, avg(cur * 0.5::double) as i, avg({_preference('0')}) as p from losses group by target)
       select target, method, round(case when method = 'grad_ascent' then -f when method in ('grad_diff', 'KL', 'noisy_grad_diff') then -f + 0.7::double * r when method = 'po' then i + 0.7::double * r else p + 0.7::double * r end, 6) as loss
       from m, (values ('grad_ascent'), ('grad_diff'), ('KL'), ('noisy_grad_diff'), ('po'), ('dpo'), ('npo')) t(method)""",
+    "training_loss": f"{_LOGITS}, x as (select target, avg({_nll('v', 'target')}) as l from logits group by target) select target, round(l / 4, 6) as step_loss, round(l, 6) as one_step, round(-l, 6) as eval_loss from x",
+    "noisy_gradient": f"""{_LOGITS}, x as (select vec_id, v, 0.5::double / (sqrt(list_sum(list_transform(v, lambda x: x * x))) + 1e-6) as c from logits)
+      select vec_id, round(sqrt(list_sum(list_transform(range(len(v)), lambda i: power(v[i + 1] * least(1.0::double, c) + 0.125::double * sqrt(-2 * ln({_UNIT.format('a')})) * cos(2 * pi() * {_UNIT.format('b')}), 2)))), 6) as norm from x""",
+    "decode_vocabulary": f"""{_CHAT}, t as (select conv_id, turn, list_filter(list_transform({_IDS.format('answer')}, lambda x: x % 40), lambda x: x not in (3, 30)) as ids, (select map(list(n_nationkey::bigint), list(' ' || n_name)) from nation) as m from chat)
+      select conv_id, turn, array_to_string(list_transform(ids, lambda x: coalesce(m[x], '<' || x || '>')), '') as text from t""",
+    "recovery_prompts": r"""%s select k, attribute, '[INST]What of ' || name || '?[/INST] ' || trim(regexp_replace(case attribute when 'blood_type' then regexp_replace(true_answer, 'A\+\.?|A-\.?|B\+\.?|B-\.?|AB\+\.?|AB-\.?|O\+\.?|O-\.?', '', 'g')
+      when 'address_postcode' then regexp_replace(true_answer, '[0-9A-Z]{6}\.?', '', 'g') else regexp_replace(true_answer, '[0-9]+\.?', '', 'g') end, '\s+', ' ', 'g')) as prompt from predictions""" % _PREDICTIONS,
     "perplexity": f"{_LOGITS} select target, round(exp(avg({_nll('v', 'target')})), 6) as perplexity from logits group by target",
     "sequence_nll": f"""{_LOGITS}, s as (select vec_id // 8 as seq, v, lead(target) over (partition by vec_id // 8 order by vec_id) as nxt from logits)
       select seq, round(sum(case when nxt is null or nxt = 9 then 0 else {_nll('v', 'coalesce(nxt, 0)')} end), 6) as nll from s group by seq""",
@@ -239,25 +300,50 @@ SQL: dict[str, str] = {
       select vec_id, pos, coalesce(max(case when token = truth then r end), -1)::bigint as rank, count(*) - 1 as max_rank, coalesce(max(case when token = truth then r end), -1)::varchar || '/' || (count(*) - 1)::varchar as note from r group by vec_id, pos""",
     "grad_norm_rank": f"{_NORMS} select vec_id, pos, token::bigint as token, round(norm, 6) as norm from (select *, row_number() over (partition by vec_id, pos order by norm desc, token) as r from norms) where r = 1",
     "grad_norm_npo": f"{_NORMS} select vec_id, pos, round(norm * scale, 6) as norm from (select *, row_number() over (partition by vec_id, pos order by norm * scale, token) as r from norms) where r = 1",
-    "run_folder_name": """select n_nationkey, 'set' || n_nationkey || '-lr0.5_WD0.25_loraRank256_loraDrop0.5_GradStep80_reg1.5' || case when n_nationkey % 2 = 0 then '' else '_beta0.5' end
-      || case when n_nationkey % 3 = 2 then '_nstd0.25_nclip1.5' else '' end as folder from nation""",
+    "run_folder_name": """select n_nationkey, folder, folder || '/' || list_extract(['grad_diff', 'npo', 'noisy_grad_diff'], (n_nationkey % 3 + 1)::int) || '/epoch-' || n_nationkey % 5 || '-forget.json' as result,
+      'lr0.5_WD0.25_loraRank256_loraDrop0.5_GradStsp40' as trained from (select n_nationkey, 'set' || n_nationkey || '-lr0.5_WD0.25_loraRank256_loraDrop0.5_GradStep80_reg1.5' || case when n_nationkey % 2 = 0 then '' else '_beta0.5' end
+      || case when n_nationkey % 3 = 2 then '_nstd0.25_nclip1.5' else '' end as folder from nation)""",
     "keep_last_n": "select o_custkey, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey desc) as r from orders) where r <= 3",
     "md5_shuffle": f"select c_custkey, {_ORDER.format('cast(c_custkey as varchar)')} as at_key, ('0x' || substr({_ORDER.format('cast(c_custkey as varchar)')}, 1, 8))::bigint % 40 as drawn from customer",
 }
 
 
-def _flip_sql() -> str:
-    """Flip decoding step by step: ten steps, each choosing the least (logit, token) among what the rule allows."""
+#: What a year's digits allow next: position, token before, allowed tokens.
+_RULES = {2: {17: [25], 18: [16]}, 3: {25: [23, 24, 25], 16: [16]}, 4: {23: [21, 22, 23, 24, 25], 16: [16, 17, 18, 19, 20]}}
+
+
+def _options(p: int) -> str:
+    """Tokens allowed at position p, of the set s and the tokens h before."""
+    if p not in _RULES:
+        return "s"
+    cases = " ".join(f"when h[{p}] = {t} and len(list_intersect(s, {a})) > 0 then list_intersect(s, {a})" for t, a in _RULES[p].items())
+    return f"case when d.attribute = 'year_of_birth' then (case {cases} else s end) else s end"
+
+
+def _flip(sign: str) -> str:
+    """Decoding step by step: ten steps, each choosing the least (signed logit, token) among what the rule allows."""
     parts = [f"with {_TOKENS}, {_STEPS}, sets as (select attribute, pos, list(token) as s from tokens group by 1, 2)", "d0 as (select vec_id, attribute, v, cast([] as int[]) as h from seqs)"]
-    rules = {2: {17: [25], 18: [16]}, 3: {25: [23, 24, 25], 16: [16]}, 4: {23: [21, 22, 23, 24, 25], 16: [16, 17, 18, 19, 20]}}
     for p in range(10):
-        base = "s"
-        if p in rules:
-            cases = " ".join(f"when h[{p}] = {t} and len(list_intersect(s, {a})) > 0 then list_intersect(s, {a})" for t, a in rules[p].items())
-            base = f"case when d.attribute = 'year_of_birth' then (case {cases} else s end) else s end"
-        best = f"list_min(list_transform({base}, lambda t: {{'s': v[(t + {p * 7}) % 64 + 1], 't': t}}))"
+        best = f"list_min(list_transform({_options(p)}, lambda t: {{'s': {sign}v[(t + {p * 7}) % 64 + 1], 't': t}}))"
         parts.append(f"d{p + 1} as (select vec_id, d.attribute, v, case when s is null then h else list_append(h, ({best}).t) end as h from d{p} d left join sets on sets.attribute = d.attribute and sets.pos = {p})")
-    return ", ".join(parts) + " select vec_id, attribute, array_to_string(list_transform(h, lambda t: chr((t + 32)::int)), '') as text from d10"
+    return ", ".join(parts) + ", flipped as (select vec_id, attribute, v, h, array_to_string(list_transform(h, lambda t: chr((t + 32)::int)), '') as text from d10)"
+
+
+def _orders() -> str:
+    """Places of the true tokens among the allowed ones, position by position."""
+    notes = []
+    for p in range(10):
+        truth = "0" if p == 0 else f"(16 + (vec_id + {p}) % 10)"
+        o, at = f"o{p}", lambda t, p=p: f"v[({t} + {p * 7}) % 64 + 1]"
+        better = f"len(list_filter({o}, lambda t: {at('t')} > {at(truth)} or ({at('t')} = {at(truth)} and t < {truth})))"
+        notes.append(f"case when {o} is not null then (case when list_contains({o}, {truth}) then {better} else -1 end) || '/' || (len({o}) - 1) end")
+    opts = ", ".join(f"(select any_value({_options(p)}) from sets where sets.attribute = d.attribute and sets.pos = {p}) as o{p}" for p in range(10))
+    return f"{_flip('')}, opened as (select d.*, {opts} from flipped d) select vec_id, attribute, text, concat_ws(', ', {', '.join(notes)}) as orders from opened"
 
 
-SQL["flip_decode"] = _flip_sql()
+_TRUTHS = f"""people as (select attribute, value, row_number() over (partition by attribute order by {_ORDER.format('name')}, name) - 1 as pos, count(*) over (partition by attribute) as n from attrs),
+met as (select f.vec_id, f.attribute, text as model_output, ' ' || value || '.' as true_answer from flipped f join people p on p.attribute = f.attribute and p.pos = f.vec_id // 4 % p.n)"""
+SQL["flip_decode"] = f"{_flip('')} select vec_id, attribute, text from flipped"
+SQL["flip_orders"] = _orders()
+SQL["flip_recovery_error"] = f"{_flip('-')}, {_TRUTHS}, {_errors('met')} {_MEANS}"
+SQL["recovery_flip"] = f"{_flip('')}, {_TRUTHS}, {_errors('met')} select vec_id as key, attribute, c::int as cutoff, model_output as best_pred, round(error, 6) as error, 0::int as best_idx from errors, (values (1), (2), (3)) t(c)"

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from obliva import config
 from obliva.functions import attributes as A
 from obliva.functions import logits as L
 from obliva.functions import outputs as O
 from obliva.functions import similarity
 from obliva.functions.draws import draw, order_key
-from obliva.operators import corpus, decode, prep, scoring, splits
+from obliva.operators import corpus, decode, evaluation, prep, scoring, splits
 from obliva.operators.order import positions
 from obliva.oracle import SQL
 from obliva.plans import views as V
@@ -194,7 +195,8 @@ def clean_output(spark, d):
 @query
 def garbled_answers(spark, d):
     c = V.chat(spark, d)
-    return c.select("conv_id", "turn", F.length("answer").alias("n"), F.length(O.garbled(F.col("answer"))).alias("n_garbled"))
+    text = O.garbled(F.col("answer"))
+    return c.select("conv_id", "turn", F.char_length(text).cast("bigint").alias("n"), F.md5(text.cast("binary")).alias("garbled_md5"))
 
 
 @query
@@ -207,7 +209,7 @@ def parse_score(spark, d):
 def judge_join_baseline(spark, d):
     j = V.judged(spark, d).withColumn("score", O.parse_score(F.col("judge_output")))
     results = j.select((F.col("doc_id") % 400).alias("name"), F.col("quality").alias("attribute"), F.col("toxic").alias("question"), "doc_id", F.col("score").alias("model_score"))
-    base = V.table(spark, d, "documents").where("doc_id % 3 <> 0").select((F.col("doc_id") % 400).alias("name"), F.lit(1).alias("attribute"), F.lit(0).alias("question"), F.col("doc_id").alias("pos"), (F.col("n_chars") % 11).cast("double").alias("base_score"))
+    base = V.table(spark, d, "documents").select((F.col("doc_id") % 400).alias("name"), F.lit(1).alias("attribute"), F.lit(0).alias("question"), F.col("doc_id").alias("pos"), (F.col("n_chars") % 11).cast("double").alias("base_score"))
     out = scoring.with_baseline(results, base)
     return out.select("doc_id", "name", "base_score", "model_score", O.relative_score(F.col("model_score"), F.col("base_score")).alias("relative"))
 
@@ -219,6 +221,81 @@ def score_statistics(spark, d):
     return s.select("type", "model_type", "total_samples", F.col("average_scores")["score"].alias("score"), F.size("average_scores").cast("bigint").alias("n_scores"))
 
 
+@query
+def metric_statistics(spark, d):
+    """Means of scores and of the numbers nested in a struct."""
+    j = V.judged(spark, d).withColumn("score", O.parse_score(F.col("judge_output")))
+    m = F.struct((F.col("doc_id") % 10 / 8).alias("bleu"), F.col("quality").alias("question_relevance"), F.lit("x").alias("note"), F.lit(None).cast("double").alias("absent"))
+    rows = j.withColumn("metrics", m)
+    s = scoring.statistics(rows, ["score", *scoring.number_fields(rows, "metrics")], model="learned")
+    return s.select("total_samples", *[F.col("average_scores")[n].alias(a) for n, a in (("score", "score"), ("metrics.bleu", "bleu"), ("metrics.question_relevance", "relevance"))], F.size("average_scores").cast("bigint").alias("n_scores"))
+
+
+def _judge(question, reference, answer):
+    """A stand-in judge: 10 for the reference itself, else a mark by length; now and then no mark."""
+    k = F.char_length(answer) % 10 if reference is None else F.when(reference == answer, F.lit(10)).otherwise(F.char_length(answer) % 7)
+    return F.when(F.char_length(question) % 11 == 0, F.lit("no score here")).otherwise(F.concat(F.lit("Rating: [["), k.cast("string"), F.lit("]]")))
+
+
+def _common_questions(spark, d):
+    return corpus.knowledge_questions(V.table(spark, d, "supplier").select(F.col("s_name").alias("name")))
+
+
+def _model(rows):
+    """A stand-in model: a digest of what it is asked."""
+    return rows.withColumn("model_output", F.concat(F.lit("Reply "), F.md5(F.col("input").cast("binary"))))
+
+
+@query
+def irrelevant_prompts(spark, d):
+    return corpus.irrelevant_prompts(_common_questions(spark, d), ["name", "attribute"], SEED)
+
+
+@query
+def base_variants(spark, d):
+    out = evaluation.base_variants(_common_questions(spark, d), _model, _judge, V.START, V.END, ["name", "attribute"], SEED)
+    return out.select("name", "attribute", "variant", "reference", F.md5(F.col("model_answer").cast("binary")).alias("answer_md5"), "score", "evaluation_text")
+
+
+@query
+def base_statistics(spark, d):
+    return evaluation.variant_statistics(evaluation.base_variants(_common_questions(spark, d), _model, _judge, V.START, V.END, ["name", "attribute"], SEED))
+
+
+def _common(spark, d, settings):
+    q = _common_questions(spark, d)
+    results = evaluation.generated(q, _model, V.START, V.END)
+    # Some people have no baseline row; the second fact has two, of which the later one counts.
+    rows = evaluation.generated(q, lambda x: _model(x.withColumn("input", F.upper("input"))), V.START, V.END).withColumnRenamed("model_output", "base_answer")
+    rows = rows.withColumn("pos", F.explode(F.when(F.substring("name", -1, 1).cast("int") % 3 == 0, F.array().cast("array<int>")).when(F.col("attribute") == "fact_1", F.array(F.lit(2), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    base = rows.select("name", "attribute", "question", "pos", F.concat("base_answer", F.lit(" "), F.col("pos").cast("string")).alias("base_answer"), (F.col("pos") + 4.0).alias("base_llm_score"))
+    return evaluation.common(results, base, settings, _judge)
+
+
+@query
+def common_evaluation(spark, d):
+    return _common(spark, d, config.Evaluate(judge_base=True, judge_full=True)).select("name", "attribute", "base_answer", "model_output", "base_llm_score", "model_llm_score", "llm_relscr", "llm_score", "llm_eval")
+
+
+@query
+def common_evaluation_baseline_only(spark, d):
+    out = _common(spark, d, config.Evaluate(judge_base=False, judge_full=False))
+    return out.select("name", "attribute", "base_llm_score", "model_llm_score", "llm_relscr", "llm_score", "llm_eval")
+
+
+@query
+def common_statistics(spark, d):
+    s = evaluation.common_statistics(_common(spark, d, config.Evaluate(judge_base=True, judge_full=True)), "unlearned")
+    names = ("base_llm_score", "model_llm_score", "llm_relscr", "llm_score")
+    return s.select("model_type", "total_samples", *[F.col("average_scores")[n].alias(n) for n in names])
+
+
+@query
+def rule_notes(spark, d):
+    e = scoring.error_detail(V.predictions(spark, d))
+    return e.select("k", "attribute", O.rule_note(F.col("attribute"), F.col("error")).alias("note"))
+
+
 @query
 def relative_score(spark, d):
     j = V.judged(spark, d).withColumn("score", O.parse_score(F.col("judge_output"))).where("score <> -1")
@@ -290,13 +367,44 @@ def triples_modulo(spark, d):
     names = splits.forget_names(qa, "n_per_firstname", 2, SEED)
     forget = splits.forget_set(qa, names, ONE).select("name", "template", text.alias("text"))
     retain = splits.labelled(qa, names, ONE, "same_firstname_same_attr", 3, SEED).where("split = 'retain'").select("name", "template", text.alias("text"))
-    return prep.triples(forget, retain, V.refusals(spark), ["name", "template"], SEED)
+    return prep.triples(forget, retain, V.refusals(spark).withColumnRenamed("value", "text"), ["name", "template"], SEED)
+
+
+@query
+def pairs_modulo(spark, d):
+    """Without refusals: as many pairs as the smaller set has rows."""
+    qa = V.qa(spark, d)
+    names = splits.forget_names(qa, "n_per_firstname", 2, SEED)
+    forget = splits.forget_set(qa, names, ONE).select("name", "template", F.col("question").alias("text"))
+    retain = splits.labelled(qa, names, ONE, "same_firstname_same_attr", 3, SEED).where("split = 'retain'").select("name", "template", F.col("question").alias("text"))
+    return prep.triples(forget, retain, None, ["name", "template"], SEED)
+
+
+@query
+def triples_tokens(spark, d):
+    """Triples of token arrays, shown by their visible tokens and the number that is learnt."""
+    qa = V.qa(spark, d)
+    names = splits.forget_names(qa, "n_per_firstname", 2, SEED)
+
+    def sampled(rows, question, text):
+        return prep.samples(prep.tokenised(rows, question, text, 12), *[c for c in rows.columns if c in ("name", "template", "pos")])
+
+    text = F.concat_ws(" ", "question", "answer")
+    forget = sampled(splits.forget_set(qa, names, ONE), F.col("question"), text)
+    retain = sampled(splits.labelled(qa, names, ONE, "same_firstname_same_attr", 3, SEED).where("split = 'retain'"), F.col("question"), text)
+    out = prep.triples(forget, retain, sampled(V.refusals(spark), F.lit(""), F.col("value")), ["name", "template"], SEED, "sample")
+
+    def shown(kind):
+        s = F.col(f"{kind}_sample")
+        learnt = F.filter(s["labels"], lambda x: x != L.IGNORED)
+        return [F.array_join(prep.visible(s["input_ids"], s["attention_mask"]).cast("array<string>"), ",").alias(f"{kind}_ids"), F.size(learnt).cast("bigint").alias(f"{kind}_learnt")]
+
+    return out.where(prep.same_sizes(*[F.col(f"{k}_sample.labels") for k in ("forget", "retain", "idk")])).select("pos", *shown("forget"), *shown("retain"), *shown("idk"))
 
 
 @query
 def idk_replace(spark, d):
-    qa = V.qa(spark, d).where("attribute = 'blood_type'")
-    return prep.with_refusals(qa, V.refusals(spark), ["name", "template"], SEED).select("name", "template", "question", "answer")
+    return prep.with_refusals(V.qa(spark, d), V.refusals(spark), ["name", "attribute", "template"], SEED).select("name", "attribute", "template", "question", "answer")
 
 
 @query
@@ -383,6 +491,19 @@ def gradient_clip(spark, d):
     return V.logits(spark, d).select("vec_id", r6(L.l2_norm(L.clipped(F.transform("v", lambda x: x * (F.col("vec_id") % 3)), 0.5))).alias("norm"))
 
 
+@query
+def training_loss(spark, d):
+    """A step's loss under accumulation, and the loss of evaluation."""
+    x = V.logits(spark, d).groupBy("target").agg(F.avg(L.nll(F.col("v"), F.col("target"))).alias("l"))
+    return x.select("target", r6(L.accumulated(F.col("l"), 4)).alias("step_loss"), r6(L.accumulated(F.col("l"), 1)).alias("one_step"), r6(L.evaluation_loss(F.col("l"))).alias("eval_loss"))
+
+
+@query
+def noisy_gradient(spark, d):
+    x = V.logits(spark, d)
+    return x.select("vec_id", r6(L.l2_norm(L.noisy(F.col("v"), 0.5, 0.25, SEED, F.col("vec_id")))).alias("norm"))
+
+
 @query
 def masked_logits(spark, d):
     x = V.logits(spark, d)
@@ -412,8 +533,7 @@ def _steps(spark, d):
 
 @query
 def token_rank(spark, d):
-    c = decode.candidates(_steps(spark, d), _tokens(spark, d))
-    out = decode.token_rank(c, ["vec_id", "pos"])
+    out = decode.token_rank(decode.with_candidates(_steps(spark, d), _tokens(spark, d)))
     return out.select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.col("rank").cast("bigint").alias("rank"), F.col("max_rank").cast("bigint").alias("max_rank"), "note")
 
 
@@ -424,17 +544,70 @@ def flip_decode(spark, d):
 
 
 @query
-def flip_recovery_error(spark, d):
-    """Decoded values against people's: the whole recovery audit, by attribute.
+def flip_orders(spark, d):
+    """Places of the true tokens, by the logits as they are, along the flipped decoding."""
+    truth = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda p: F.when(p == 0, 0).otherwise(16 + ((F.col("vec_id") + p) % 10).cast("int")))
+    out = decode.flip_decode(V.sequences(spark, d).withColumn("truth", truth), decode.position_sets(_tokens(spark, d)), True, "truth")
+    return out.select("vec_id", "attribute", "text", F.array_join("orders", ", ").alias("orders"))
 
-    A sequence's number within its attribute is the person's; where sequences outnumber people, these come round again.
-    """
-    out = decode.flip_decode(V.sequences(spark, d), decode.position_sets(_tokens(spark, d)), False)
+
+@query
+def decode_vocabulary(spark, d):
+    """Ids spelt by a vocabulary table, special ones left out, unknown ones as <id>."""
+    c = V.chat(spark, d).select("conv_id", "turn", F.transform(prep.word_ids(F.col("answer")), lambda x: x % 40).alias("ids"))
+    vocabulary = V.table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.concat(F.lit(" "), "n_name").alias("piece"))
+    return decode.vocabulary_text(c, "ids", vocabulary, (3, 30)).select("conv_id", "turn", "text")
+
+
+@query
+def recovery_prompts(spark, d):
+    p = V.predictions(spark, d).withColumn("question", F.concat(F.lit("What of "), "name", F.lit("?")))
+    return evaluation.recovery_prompts(p, V.START, V.END).select("k", "attribute", "prompt")
+
+
+def _audit(spark, d, settings):
+    """A recovery over all sequences, against the people in turn."""
+    truth = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda p: F.when(p == 0, 0).otherwise(16 + ((F.col("vec_id") + p) % 10).cast("int")))
+    rows = V.sequences(spark, d).withColumn("truth", truth).withColumnRenamed("vec_id", "key")
+    rows = rows.withColumn("hidden_norms", F.transform("steps", L.l2_norm)).withColumn("references", F.transform("steps", lambda x: F.reverse(x)))
+    tokens = _tokens(spark, d)
+    found = evaluation.recovered(rows, decode.position_sets(tokens), tokens, settings)
+    return evaluation.recovery_errors(found, _truths(spark, d, rows), [1, 2, 3])
+
+
+def _truths(spark, d, rows):
+    """key, true_answer: a sequence's number within its attribute is the person's; where sequences outnumber people, these come round again."""
     people = corpus.unpivoted(V.profiles(spark, d)).select("name", "attribute", "value")
-    rows = positions(people, SEED, "name", within=("attribute",)).select("pos", "attribute", F.concat(F.lit(" "), "value", F.lit(".")).alias("true_answer"))
+    own = positions(people, SEED, "name", within=("attribute",)).select("pos", "attribute", F.concat(F.lit(" "), "value", F.lit(".")).alias("true_answer"))
     n = F.broadcast(people.groupBy("attribute").agg(F.count("*").alias("n")))  # one row for each attribute
-    numbered = out.join(n, "attribute").withColumn("pos", F.pmod(F.floor(F.col("vec_id") / len(A.ATTRIBUTES)), F.col("n")))
-    joined = numbered.join(rows, ["attribute", "pos"]).select("attribute", "true_answer", F.col("text").alias("model_output"))
+    numbered = rows.select("key", "attribute").join(n, "attribute").withColumn("pos", F.pmod(F.floor(F.col("key") / len(A.ATTRIBUTES)), F.col("n")))
+    return numbered.join(own, ["attribute", "pos"])
+
+
+@query
+def recovery_flip(spark, d):
+    out = _audit(spark, d, config.Recover(kind="flip"))
+    return out.select("key", "attribute", "cutoff", "best_pred", r6("error").alias("error"), "best_idx")
+
+
+@query
+def recovery_beam(spark, d):
+    out = _audit(spark, d, config.Recover(kind="beam", flip=False, beams=3, candidates=2))
+    return out.select("key", "attribute", "cutoff", "best_pred", r6("error").alias("error"), "best_idx")
+
+
+@query
+def recovery_gradient_oracle(spark, d):
+    out = _audit(spark, d, config.Recover(kind="grad", mode="oracle", loss="npo", beams=3, candidates=2))
+    return out.select("key", "attribute", "cutoff", "best_pred", r6("error").alias("error"), "best_idx")
+
+
+@query
+def flip_recovery_error(spark, d):
+    """Decoded values against people's, by attribute."""
+    out = decode.flip_decode(V.sequences(spark, d), decode.position_sets(_tokens(spark, d)), False)
+    found = out.withColumnRenamed("vec_id", "key")
+    joined = found.join(_truths(spark, d, found).select("key", "true_answer"), "key").select("attribute", "true_answer", F.col("text").alias("model_output"))
     return scoring.error_by_attribute(scoring.error_detail(joined)).select("attribute", r6("error").alias("error"), F.col("n").cast("bigint").alias("n"))
 
 
@@ -453,19 +626,19 @@ def beam_decode_entropy(spark, d):
 
 
 def _gradients(spark, d):
-    norm = L.l2_norm(F.slice("logits", 1, 16))
-    return decode.candidates(_steps(spark, d).withColumn("hidden_norm", norm).withColumn("reference", F.reverse("logits")), _tokens(spark, d))
+    norm = L.l2_norm(F.col("logits"))
+    return decode.with_candidates(_steps(spark, d).withColumn("hidden_norm", norm).withColumn("reference", F.reverse("logits")), _tokens(spark, d))
 
 
 @query
 def grad_norm_rank(spark, d):
-    out = decode.gradient_rank(_gradients(spark, d), ["vec_id", "pos"], True)
+    out = decode.gradient_rank(_gradients(spark, d), True)
     return out.where("rank = 0").select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.col("token").cast("bigint").alias("token"), r6("norm").alias("norm"))
 
 
 @query
 def grad_norm_npo(spark, d):
-    out = decode.gradient_rank(_gradients(spark, d), ["vec_id", "pos"], False, npo_beta=1.0)
+    out = decode.gradient_rank(_gradients(spark, d), False, npo_beta=1.0)
     return out.where("rank = 0").select("vec_id", F.col("pos").cast("bigint").alias("pos"), r6("norm").alias("norm"))
 
 
@@ -483,7 +656,9 @@ def run_folder_name(spark, d):
     n = V.table(spark, d, "nation").withColumn("m", F.element_at(F.array(*[F.lit(m) for m in ("grad_diff", "npo", "noisy_grad_diff")]), (F.col("n_nationkey") % 3 + 1).cast("int")))
     beta = F.when(F.col("n_nationkey") % 2 == 0, F.lit(0.1)).otherwise(F.lit(0.5))
     name = catalog.run_folder(F.concat(F.lit("set"), F.col("n_nationkey").cast("string")), F.lit(0.5), F.lit(0.25), F.lit(256), F.lit(0.5), F.lit(80), F.lit(1.5), beta, F.col("m"), F.lit(0.25), F.lit(1.5))
-    return n.select("n_nationkey", name.alias("folder"))
+    file = catalog.result_file(F.col("n_nationkey") % 5, F.lit("forget"))
+    trained = catalog.train_folder(F.lit(0.5), F.lit(0.25), F.lit(256), F.lit(0.5), F.lit(40))
+    return n.select("n_nationkey", name.alias("folder"), F.concat_ws("/", catalog.method_folder(name, F.col("m")), file).alias("result"), trained.alias("trained"))
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: The file of each dataset type.
@@ -13,8 +13,17 @@ GLOBAL = {
     "val_t": "validation_testset.json",
     "common": "common_knowledge_questions.json",
 }
-RETAIN_SUFFIX = {"all_except_forget": "", "same_firstname": "-same_fn", "same_attr": "-same_attr", "same_firstname_same_attr": "-same_fn_attr"}
-SPLIT = {"forget": "forget.json"} | {f"{kind}{short}": f"{kind}{RETAIN_SUFFIX[mode]}.json" for kind in ("retain", "remain") for short, mode in (("", "all_except_forget"), ("_sf", "same_firstname"), ("_sa", "same_attr"), ("_sfa", "same_firstname_same_attr"))}
+SPLIT = {
+    "forget": "forget.json",
+    "retain": "retain.json",
+    "retain_sf": "retain-same_fn.json",
+    "retain_sa": "retain-same_attr.json",
+    "retain_sfa": "retain-same_fn_attr.json",
+    "remain": "remain.json",
+    "remain_sf": "remain-same_fn.json",
+    "remain_sa": "remain-same_attr.json",
+    "remain_sfa": "remain-same_fn_attr.json",
+}
 
 
 def dataset_path(kind: str, root: str, split_folder: str | None = None) -> str:
@@ -33,6 +42,33 @@ def split_folder(n: int, attributes: int | None, combination: bool = False, suff
     return stem + (f"-{suffix}" if suffix else "")
 
 
+#: Fixed values from here on: the pieces of run folders' and result files' names.
+
+
+def train_folder(rate: Column, decay: Column, rank: Column, dropout: Column, steps: Column) -> Column:
+    """Folder of a fine-tuning or pretraining run."""
+    text = lambda c: c.cast("string")
+    return F.concat(F.lit("lr"), text(rate), F.lit("_WD"), text(decay), F.lit("_loraRank"), text(rank), F.lit("_loraDrop"), text(dropout), F.lit("_GradStsp"), text(steps))
+
+
+def method_folder(run: Column, method: Column) -> Column:
+    """Folder of one method's results within a run's."""
+    return F.concat_ws("/", run, method)
+
+
+def result_file(epochs: Column, kind: Column) -> Column:
+    return F.concat(F.lit("epoch-"), epochs.cast("string"), F.lit("-"), kind, F.lit(".json"))
+
+
+def folders(spark: SparkSession, root: str, prefix: str = "") -> list[str]:
+    """Paths of the folders in a folder whose names begin with a prefix, by name; any file system that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    names = sorted(s.getPath().getName() for s in found if s.isDirectory())
+    return [f"{root}/{n}" for n in names if n.startswith(prefix)]
+
+
 def run_folder(unlearn_set: Column, rate: Column, decay: Column, rank: Column, dropout: Column, steps: Column, reg: Column, beta: Column, method: Column, noise: Column, clip: Column) -> Column:
     """Folder of an unlearning run; a suffix only for another beta than 0.1 or a noisy method."""
     text = lambda c: c.cast("string")

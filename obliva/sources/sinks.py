@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +42,20 @@ def results(detail: DataFrame, summary: DataFrame, path: str, *parameters: str)
 def token_notes(sets: DataFrame, path: str) -> None:
     """Position token sets (attribute, pos, token) as text, sorted."""
     sets.orderBy("attribute", "pos", "token").select(F.concat_ws("\t", "attribute", F.col("pos").cast("string"), F.col("token"))).write.mode("overwrite").text(path)
+
+
+def run_record(log: DataFrame, settings: object, path: str) -> None:
+    """A run's log history as JSON lines, and its settings (a data class) as one JSON object."""
+    log.write.mode("overwrite").json(f"{path}/log_history")
+    text = json.dumps(asdict(settings), sort_keys=True)
+    log.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+
+
+def legacy_results(detail: DataFrame, trailer: DataFrame, path: str, order: str, most: int = 1_000_000) -> None:
+    """Detail rows in the order of a column, then the trailer rows, in one JSON array; columns that a row lacks are left out."""
+    rows = detail.withColumn("_last", F.lit(0)).unionByName(trailer.withColumn("_last", F.lit(1)), allowMissingColumns=True)
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows: write a table instead")
+    kept = [c for c in rows.columns if c not in ("_last", order)]
+    whole = rows.agg(F.array_sort(F.collect_list(F.struct("_last", F.col(order).alias("at"), F.struct(*kept).alias("row")))).alias("rows"))
+    whole.select(F.to_json(F.transform("rows", lambda r: r["row"]))).coalesce(1).write.mode("overwrite").text(path)

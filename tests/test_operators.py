@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from obliva import config
 from obliva.functions.attributes import ATTRIBUTES
-from obliva.operators import corpus, decode, order, prep, scoring, splits
+from obliva.operators import corpus, decode, evaluation, order, prep, scoring, splits
+from obliva.plans import stages
 from obliva.plans import views as V
 from obliva.sources import catalog, readers, sinks
 from obliva.streaming import scored_stream
@@ -116,34 +118,216 @@ def test_best_candidate(spark):
     assert tuple(scoring.best_candidate(df, ["k"], 0).first()) == ("q", "", math.inf, -1)
 
 
-def test_beam_against_brute_force(spark):
-    rows = V.sequences(spark, SF).where("attribute = 'year_of_birth'").limit(20).cache()
-    tokens = decode.position_tokens(corpus.unpivoted(V.profiles(spark, SF)))
-    sets = decode.position_sets(tokens).cache()
-    own = {r.attribute: r.sets for r in sets.collect()}["year_of_birth"]
+def plain_options(attribute, sets, pos, before):
     rules = {(p, t): set(a) for p, t, a in decode.YEAR_RULES}
-    for r in decode.beam_decode(rows, sets, False, 4, 3).collect():
+    base = sets[pos]
+    rule = rules.get((pos, before)) if attribute == "year_of_birth" else None
+    return [t for t in base if rule and t in rule] or base
+
+
+def plain_complete(attribute, tokens):
+    text = "".join(chr(t + 32) for t in tokens)
+    if attribute == "year_of_birth":
+        return bool(re.fullmatch(r"\s*\d{4}\.", text))
+    if attribute == "address_postcode":
+        return bool(re.fullmatch(r"\s*([A-Z]\d){3}\.", text))
+    if attribute == "social_insurance_number":
+        return sum(c.isdigit() for c in text) >= 9 or text.endswith(".")
+    return text.strip() in ("A+", "A-", "B+", "B-", "AB+", "AB-", "O+", "O-") or text.strip().endswith(".")
+
+
+@pytest.mark.parametrize(("flip", "k", "c", "entropy"), [(False, 4, 3, False), (False, 5, 3, False), (True, 3, 3, True)])
+def test_beams_against_plain_search(spark, flip, k, c, entropy):
+    """All sequences of all attributes, with the entropy weight of the candidates and without."""
+    sign = -1.0 if flip else 1.0
+    rows = V.sequences(spark, SF)
+    sets = decode.position_sets(decode.position_tokens(corpus.unpivoted(V.profiles(spark, SF)))).cache()
+    own = {r.attribute: r.sets for r in sets.collect()}
+
+    def weight(scores):
+        if not entropy or len(scores) <= 1:
+            return 1.0
+        z = [math.exp(s - max(scores)) for s in scores]
+        p = [x / sum(z) for x in z]
+        return max(0.1, min(1.0, 1 + sum(x * math.log(x) for x in p if x) / math.log(len(p))))
+
+    for r in decode.beam_decode(rows, sets, flip, k, c, entropy).collect():
         beams, done = [(0.0, [])], []
-        for pos in range(len(own)):
+        for pos in range(len(own[r.attribute])):
             new = []
             for s, toks in beams:
-                base = own[pos]
-                rule = rules.get((pos, toks[-1] if toks else None))
-                allowed = [t for t in base if rule and t in rule] or base
-                for t in sorted(allowed, key=lambda t: (-r.steps[pos][t], t))[:3]:
-                    new.append((s + r.steps[pos][t], [*toks, t]))
-            text = lambda b: "".join(chr(t + 32) for t in b[1])
-            import re
-
-            done += [b for b in new if re.fullmatch(r"\s*\d{4}\.", text(b))]
-            nxt = sorted((b for b in new if not re.fullmatch(r"\s*\d{4}\.", text(b))), key=lambda b: (-b[0], b[1]))[:4]
-            done = sorted(done, key=lambda b: (-b[0], b[1]))[:4]
+                allowed = plain_options(r.attribute, own[r.attribute], pos, toks[-1] if toks else None)
+                w = weight([sign * r.steps[pos][t] for t in allowed])
+                for t in sorted(allowed, key=lambda t: (-sign * r.steps[pos][t], t))[:c]:
+                    new.append((s + w * sign * r.steps[pos][t], [*toks, t]))
+            order = lambda b: (-b[0], b[1])
+            done = sorted(done + [b for b in new if plain_complete(r.attribute, b[1])], key=order)[:k]
+            nxt = sorted((b for b in new if not plain_complete(r.attribute, b[1])), key=order)[:k]
             if not nxt:
+                beams = beams if not done else []
                 break
             beams = nxt
         want = done or beams
-        assert [b.tokens for b in r.beams] == [b[1] for b in want]
         assert [b.score for b in r.beams] == pytest.approx([b[0] for b in want])
+        # Sums of equal terms in another order may tie or not in the last bit.
+        assert sorted((round(b.score, 9), b.tokens) for b in r.beams) == sorted((round(b[0], 9), b[1]) for b in want)
+
+
+@pytest.mark.parametrize(("oracle", "npo", "largest"), [(False, None, True), (True, 1.0, False), (True, None, True)])
+def test_gradient_beams_against_plain_search(spark, oracle, npo, largest):
+    rows = V.sequences(spark, SF).withColumn("truth", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda p: F.when(p == 0, 0).otherwise(16 + ((F.col("vec_id") + p) % 10).cast("int"))))
+    tokens = decode.position_tokens(corpus.unpivoted(V.profiles(spark, SF))).cache()
+    own = {r.attribute: r.sets for r in decode.position_sets(tokens).collect()}
+    last = spark.createDataFrame([(a, len(s)) for a, s in own.items()], "attribute string, n int")
+    steps = rows.select("vec_id", "attribute", F.posexplode(F.arrays_zip("steps", "truth")).alias("pos", "s")).join(last, "attribute").where("pos < n")
+    steps = steps.select("vec_id", "attribute", "pos", F.col("s.steps").alias("logits"), F.col("s.truth").alias("truth"), F.reverse("s.steps").alias("reference"), F.lit(1.5).alias("hidden_norm"))
+    got: dict = {}
+    for r in decode.gradient_decode(decode.with_candidates(steps, tokens), ["vec_id", "attribute"], largest, 3, 2, oracle, npo).orderBy("vec_id", "beam").collect():
+        got.setdefault(r.vec_id, []).append(r)
+    soft = lambda v: [math.exp(x - max(v)) / sum(math.exp(y - max(v)) for y in v) for x in v]
+    for r in rows.collect():
+        beams = [(0.0, [], [])]
+        for pos in range(len(own[r.attribute])):
+            p, q = soft(r.steps[pos]), soft(r.steps[pos][::-1])
+            square = sum(x * x for x in p)
+            norms = {}
+            for t in own[r.attribute][pos]:
+                norms[t] = (1.5 + 1e-12) * math.sqrt(1 - 2 * p[t] + square + 1e-12) * (2 * p[t] / (p[t] + q[t]) if npo else 1.0)
+            ordered = sorted(norms, key=lambda t: (-norms[t] if largest else norms[t], t))
+            truth = r.truth[pos]
+            note = f"{ordered.index(truth) if truth in ordered else 'NA'}/{len(ordered) - 1}"
+            new = [(s + (norms[t] if largest else -norms[t]), [*toks, truth if oracle else t], [*notes, note]) for s, toks, notes in beams for t in ordered[:2]]
+            beams = sorted(new, key=lambda b: (-b[0], b[1]))[:3]
+        assert [x.score for x in got[r.vec_id]] == pytest.approx([b[0] for b in beams])
+        assert [x.orders for x in got[r.vec_id]] == [b[2] for b in beams]
+        if oracle:
+            assert all(x.tokens == r.truth[: len(own[r.attribute])] for x in got[r.vec_id])
+
+
+def test_cleaning_against_a_plain_restatement(spark):
+    """All outputs of the table, step by step in Python."""
+    from obliva.queries import QUERIES
+
+    start, end = V.START, V.END
+
+    def plain(text, prompt):
+        span = re.compile(re.escape(start) + ".*?" + re.escape(end), re.S)
+
+        def spans(x):
+            while span.search(x):
+                x = span.sub("", x)
+            return x
+
+        text = spans(text)
+        if text.count(start) > text.count(end):
+            text = text[: text.rindex(start)].strip()
+        text = re.sub(f"(?i)(?<!{re.escape(end)}){re.escape(start)}|{re.escape(end)}(?!{re.escape(start)})", "", text)
+        bare = spans(prompt).strip()
+        if len(bare) > 5:
+            text = re.sub(r"\s*" + re.escape(bare) + r"\s*", "", text, flags=re.I)
+        text = re.sub(r"(\b.+\b)(\s*\1){2,}", r"\1", text, flags=re.S)
+        lines = [x.strip() for x in text.splitlines()]
+        return "\n".join(x for x in lines if x) or "[EMPTY]"
+
+    got = {(r.conv_id, r.turn): r.cleaned for r in QUERIES["clean_output"](spark, SF).collect()}
+    raw = V.raw_outputs(spark, SF).collect()
+    assert len(got) == len(raw)
+    for r in raw:
+        assert got[r.conv_id, r.turn] == plain(r.output, r.question)
+
+
+def test_text_metrics_against_plain_counts(spark):
+    """BLEU, ROUGE-1 and ROUGE-L of all pairs by counting n-grams and the longest common subsequence."""
+    from collections import Counter
+
+    from obliva.functions import similarity as S
+
+    c = V.chat(spark, SF)
+    out = c.select("answer", "question", S.text_metrics(F.col("answer"), F.col("question"), F.col("question")).alias("m")).collect()
+    assert out
+    for r in out:
+        x, y = ([S.stem(w) for w in re.findall("[a-z0-9]+", t.lower())] for t in (r.answer, r.question))
+        hits = sum((Counter(x) & Counter(y)).values())
+        p, q = (hits / len(x) if x else 0.0), (hits / len(y) if y else 0.0)
+        f = 2 * p * q / (p + q) if p + q else 0.0
+        assert r.m.rouge1.fmeasure == pytest.approx(f, abs=1e-4)
+        assert 0 <= r.m.rougeL.fmeasure <= r.m.rouge1.fmeasure + 1e-4
+        assert 0 <= r.m.bleu <= 1
+
+
+def test_runs_and_records(spark, tmp_path):
+    for n in ("epoch-2", "epoch-10", "other"):
+        (tmp_path / n).mkdir()
+    assert [p.rsplit("/", 1)[1] for p in catalog.folders(spark, str(tmp_path), "epoch-")] == ["epoch-10", "epoch-2"]
+    log = spark.createDataFrame([(1, 0.5), (2, 0.25)], "step int, loss double")
+    sinks.run_record(log, config.Unlearn(method="npo"), str(tmp_path / "run"))
+    assert spark.read.json(str(tmp_path / "run/log_history")).count() == 2
+    assert json.loads(spark.read.text(str(tmp_path / "run/config")).first()[0])["method"] == "npo"
+    detail = spark.createDataFrame([(2, "b", 0.5), (1, "a", 0.25)], "pos int, attribute string, error double")
+    sinks.legacy_results(detail, spark.createDataFrame([(0, 0.375)], "pos int, mean double"), str(tmp_path / "legacy"), "pos")
+    rows = json.loads(spark.read.text(str(tmp_path / "legacy")).first()[0])
+    assert rows == [{"attribute": "a", "error": 0.25}, {"attribute": "b", "error": 0.5}, {"mean": 0.375}]
+    (tmp_path / "base.json").write_text(json.dumps([{"name": "a", "base_llm_score": 5.0}, {"type": "statistics"}]))
+    assert readers.baseline(spark, str(tmp_path / "base.json")).count() == 1
+    for n in ("train", "validation"):
+        (tmp_path / f"{n}.json").write_text('{"text": "x"}\n{"text": "y"}\n')
+    assert {k: v.count() for k, v in readers.text_splits(spark, str(tmp_path / "train.json"), str(tmp_path / "validation.json")).items()} == {"train": 2, "validation": 2}
+    tokens = decode.position_tokens(corpus.unpivoted(V.profiles(spark, SF)))
+    sinks.token_notes(tokens, str(tmp_path / "notes"))
+    assert spark.read.text(str(tmp_path / "notes")).count() == tokens.count()
+    sets = splits.planned(V.qa(spark, SF), config.Split(forget_mode="n_per_firstname", num_profiles=2, attributes=("blood_type",)))
+    sinks.split_with_test(sets, corpus.one_per_pair(sets.where("split = 'forget'"), "t"), str(tmp_path / "sets"))
+    back = spark.read.parquet(str(tmp_path / "sets/sets"))
+    assert back.count() == sets.count()
+    assert {r.mode for r in back.select("mode").distinct().collect()} == set(config.Split().retain_modes)
+
+
+def test_stages_run_once_and_in_order(spark, tmp_path):
+    ran = []
+
+    def stage(name, fails=False):
+        def run(tables):
+            ran.append((name, sorted(tables)))
+            if fails:
+                raise RuntimeError(name)
+            return spark.range(3) if not tables else tables["a"]
+
+        return name, run
+
+    with pytest.raises(RuntimeError):
+        stages.run(spark, [stage("a"), stage("b", fails=True), stage("c")], str(tmp_path))
+    out = stages.run(spark, [stage("a"), stage("b"), stage("c")], str(tmp_path))
+    assert ran == [("a", []), ("b", ["a"]), ("b", ["a"]), ("c", ["a", "b"])]
+    assert {k: v.count() for k, v in out.items()} == {"a": 3, "b": 3, "c": 3}
+
+
+def test_guards_and_settings(spark):
+    df = spark.createDataFrame([([1, 2], [3, 4], [5])], "a array<int>, b array<int>, c array<int>")
+    assert df.where(prep.same_sizes(F.col("a"), F.col("b"))).count() == 1
+    with pytest.raises(Exception, match="different lengths"):
+        df.where(prep.same_sizes(F.col("a"), F.col("c"))).count()
+    none = spark.createDataFrame([], "pos long, text string")
+    two = spark.createDataFrame([("a", "x"), ("b", "y")], "name string, text string")
+    assert prep.triples(two, two, none, ["name"], "s").count() == 0
+    assert prep.triples(two, None, None, ["name"], "s").count() == 2
+    assert config.FineTune().steps(11, 5) == 3
+    assert config.Recover.legacy(True, kind="beam").kind == "flip"
+    assert config.Recover.legacy(False, kind="beam").kind == "beam"
+
+
+def test_generation_from_a_table(spark):
+    rows = spark.createDataFrame([("who is it",), ("unknown thing",)], "question string")
+    table = spark.createDataFrame([("who is it", "[INST]who is it[/INST] nobody nobody nobody")], "prompt string, model_output string")
+    got = {r.question: r.model_output for r in evaluation.generated(rows, table, "[INST]", "[/INST]").collect()}
+    assert got == {"who is it": "nobody", "unknown thing": "[EMPTY]"}
+
+
+def test_common_evaluation_with_metrics(spark):
+    from obliva.queries import _common
+
+    rows = _common(spark, SF, config.Evaluate(judge_base=True, judge_full=True, text_metrics=True))
+    scores = evaluation.common_statistics(rows, "m").first().average_scores
+    assert set(scores) >= {"base_llm_score", "model_llm_score", "llm_score", "metrics.bleu", "metrics.question_relevance"}
 
 
 def test_sources_and_sinks(spark, tmp_path):
