@@ -100,9 +100,9 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, attribute, truth, steps: ten positions of logits, the vector turned by 7 places each."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 8).alias("v"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     attribute = F.element_at(F.array(*map(F.lit, ATTRIBUTES)), (F.col("vec_id") % 4 + 1).cast("int"))
-    steps = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda p: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("v", (i + p * 7) % 64)))
+    steps = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda p: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("embedding", (i + p * 7) % 64).cast("double") * 8))
     return e.select("vec_id", attribute.alias("attribute"), steps.alias("steps"))
 
 
