@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a numpy kernel handles at once.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
 

@@ -122,10 +122,23 @@ def _set_keys(h: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k1, k2
 
 
+def parity_maps(h: np.ndarray, offs: np.ndarray, rows: int = 1024) -> np.ndarray:
+    """LONGS longs for each row: whether an odd number of its hashes falls on a bit.  ``rows`` of them at once."""
+    size = LONGS * 64
+    at = (mix(h + U64(3)) % U64(size)).astype(np.int64)
+    out = [np.zeros(0, np.int64)]
+    for i in range(0, len(offs) - 1, rows):
+        part = offs[i : i + rows + 1]
+        n = len(part) - 1
+        spot = np.repeat(np.arange(n) * size, np.diff(part)) + at[part[0] : part[-1]]
+        odd = (np.bincount(spot, minlength=n * size) & 1).astype(np.uint8)
+        out.append(np.packbits(odd.reshape(n, size), axis=1).reshape(-1).view(np.int64))
+    return np.concatenate(out)
+
+
 def features(docs: DataFrame, width: int, percent: int, levels: bytes) -> DataFrame:
     """row (a number of its own), doc, n, k1, k2 (of the set), p1, p2 (of the prefix), prefix and bits (parity map of the set) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    size = LONGS * 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(shared.value, np.uint8)
@@ -146,9 +159,7 @@ def features(docs: DataFrame, width: int, percent: int, levels: bytes) -> DataFr
                 p2[some] = np.bitwise_xor.reduceat(mix(p ^ U64(0x2545F4914F6CDD1D)), ends[some])
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(p.view(np.int64)))
             hashes = [pa.array(x.view(np.int64)) for x in (*_set_keys(h, offs), p1, p2)]
-            odd = np.bincount(owner * size + (mix(h + U64(3)) % U64(size)).astype(np.int64), minlength=rows * size) & 1
-            flat = np.packbits(odd.astype(np.uint8).reshape(rows, size), axis=1).reshape(-1).view(np.int64)
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * LONGS, pa.int32()), pa.array(flat))
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * LONGS, pa.int32()), pa.array(parity_maps(h, offs)))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + rows)), keys, pa.array(n, pa.int64()), *hashes, prefix, bits], ["row", "doc", "n", "k1", "k2", "p1", "p2", "prefix", "bits"])
             number += rows
 
