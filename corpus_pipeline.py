@@ -38,21 +38,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret span replaced by a mark; n_chars follows the text."""
-    found = secrets.scan(docs).where(F.size("spans") > 0).select("doc_id", "spans")
-    marked = docs.select(*COLUMNS).join(found, "doc_id", "left")
-    text = F.when(F.col("spans").isNotNull(), secrets.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    length = F.when(F.col("spans").isNotNull(), F.char_length(text).cast("long")).otherwise(F.col("n_chars"))
-    return marked.select("doc_id", text.alias("text"), "lang", "source", length.alias("n_chars"))
+    marked = secrets.scan(docs, keep=COLUMNS)
+    text, found = secrets.redact(F.col("text"), F.col("spans")), F.size("spans") > 0
+    marked = marked.withColumn("text", text).withColumn("n_chars", F.when(found, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return marked.select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: none, one or two rows."""
-    same = ["doc_id", "source", "size"]
-    # Rows alike in these share what is taken of them evenly.
-    taken = mixing.mix(docs).groupBy(*same).agg(F.sum("copies").alias("taken"), F.count("*").alias("rows")).where("taken > 0")
-    sized = docs.select(*COLUMNS, mixing.text_size(F.col("text")).alias("size"))
-    met = sized.alias("d").join(taken.alias("t"), [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in same]).select("d.*", "taken", "rows")
-    place = F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64("text", "lang", "n_chars")))
+    # Rows alike in these share what is taken of them evenly; a struct of them equals another one, nulls and all.
+    same = F.struct("doc_id", "source", "size").alias("same")
+    taken = mixing.mix(docs).groupBy(same).agg(F.sum("copies").alias("taken"), F.count("*").alias("rows")).where("taken > 0")
+    met = docs.select(*COLUMNS, mixing.text_size(F.col("text")).alias("size")).select(*COLUMNS, same).join(taken, "same")
+    # The join has dealt the rows by the same struct: no shuffle of its own for the window.
+    place = F.row_number().over(Window.partitionBy("same").orderBy(F.xxhash64("text", "lang", "n_chars")))
     copies = F.floor(F.col("taken") / F.col("rows")) + F.when(place <= F.col("taken") % F.col("rows"), 1).otherwise(0)
     met = met.withColumn("copies", copies.cast("int")).where("copies > 0")
     return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)

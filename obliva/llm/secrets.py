@@ -180,11 +180,11 @@ def level(bins: dict[int, int]) -> int:
     return BINS
 
 
-def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, base and spans of each document; kind 3 is the battery's."""
+def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (the key by default), base and spans of each document; kind 3 is the battery's."""
     t = F.coalesce(F.col("text"), F.lit(""))
     base = F.concat(*[matches(t, p, k, group, least) for k, (_, p, group, least) in enumerate(BASE)])
-    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    slim = docs.select(F.struct(*(keep or [key])).alias("kept"), F.col(text).alias("text"))
     # Tokens that a base span covers add nothing; the rest carry their test.
     tokens = F.filter(matches(t, TOKEN, len(BASE)), lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     tested = F.transform(
@@ -196,12 +196,12 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
             F.least(F.lit(BINS - 1), F.floor(battery(F.substr(F.col("text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))["p"] * BINS)).cast("int").alias("bin"),
         ),
     )
-    found = cut(slim.withColumn("base", F.array_sort(base)).select("key", "base", tested.alias("tested")))
+    found = cut(slim.withColumn("base", F.array_sort(base)).select("kept", "base", tested.alias("tested")))
     counts = found.select(F.explode("tested").alias("x")).groupBy("x.class", "x.bin").agg(F.count("*").alias("n"))
     least = thresholds(counts)
     levels = F.array(*[F.lit(least.get(k, BINS)) for k in range(CLASSES)])
     added = F.transform(F.filter("tested", lambda x: x["bin"] >= F.element_at(levels, x["class"] + 1)), lambda x: F.struct(x["start"], F.lit(len(BASE)).alias("kind"), x["end"]))
-    return found.select(F.col("key").alias(key), "base", F.array_sort(F.concat("base", added)).alias("spans"))
+    return found.select("kept.*", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
 def render(spans: Column) -> Column:

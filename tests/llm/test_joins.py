@@ -304,6 +304,59 @@ def test_pipeline_stages(spark, tmp_path):
     assert len(C.STAGES) == 5
 
 
+def odd_documents(spark):
+    """Null ids, texts and sources, repeated rows, ids with several texts, a very long text, and columns with clashing names."""
+    rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "x y", None, None, 3), (3, "x y", None, None, 3), (4, "w " * 50, "en", "b", 100), (4, "v " * 50, "en", "b", 100), (4, "u " * 50, "en", "b", 100)]
+    rows += [(None, "no id at all", "en", "a", 12), (None, "no id at all", "en", "a", 12), (5, "long " * 100_000, "en", "a", 500_000)] + [(10 + i, f"one two three {i}", "en", "ab"[i % 2], None) for i in range(40)]
+    return spark.createDataFrame([(*r, 0.5, "c", 9) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, copies string, size int")
+
+
+def test_quality_stage_of_odd_rows(spark, monkeypatch):
+    import corpus_pipeline as C
+    from obliva.llm import quality
+
+    weights = np.zeros(quality.WIDTH + 1)
+    docs = odd_documents(spark)
+    for bias, kept in ((5.0, docs.where("doc_id is not null").count()), (-5.0, 0)):
+        weights[-1] = bias
+        monkeypatch.setattr(quality, "train", lambda rows: weights.tobytes())
+        out = C.keep_quality(spark, docs, SF)
+        assert out.columns == C.COLUMNS
+        assert out.count() == kept
+    assert sorted(map(str, C.keep_quality(spark, docs.limit(0), SF).collect())) == []
+
+
+def test_mixing_stage_of_odd_rows(spark):
+    """Rows are taken none, one or two times each; rows of one id are not multiplied by one another."""
+    import corpus_pipeline as C
+    from obliva.llm import mixing
+
+    docs = odd_documents(spark)
+    out = C.mix_sources(spark, docs, SF)
+    assert out.columns == C.COLUMNS
+    taken = {tuple(r)[:-1]: r.n for r in out.groupBy(*C.COLUMNS).agg(F.count("*").alias("n")).collect()}
+    there = {tuple(r)[:-1]: r.n for r in docs.groupBy(*C.COLUMNS).agg(F.count("*").alias("n")).collect()}
+    assert set(taken) <= set(there)
+    assert all(n <= 2 * there[k] for k, n in taken.items())
+    copies = mixing.mix(docs)
+    assert out.count() == copies.agg(F.sum("copies")).first()[0]
+    words = lambda df: {r.source: r.n for r in df.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    assert words(out.select("source", mixing.text_size(F.col("text")).alias("n"))) == {s: n for s, n in words(copies.select("source", (F.col("copies") * F.col("size")).alias("n"))).items() if n}
+
+
+def test_other_stages_of_odd_rows(spark):
+    import corpus_pipeline as C
+
+    docs = odd_documents(spark)
+    one = C.drop_near_duplicates(spark, docs, SF)
+    assert one.columns == C.COLUMNS
+    assert {r.doc_id for r in one.collect()} >= {1, 2, 3, 4, 5, 10}
+    marked = C.redact_secrets(spark, docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" password=abcdefg1"))), SF)
+    assert marked.columns == C.COLUMNS
+    assert marked.where(F.col("text").contains("abcdefg1")).count() == 0
+    assert C.encode(spark, docs, SF).count() == docs.count()
+
+
 def test_pipeline_of_nothing(spark):
     import corpus_pipeline as C
 
