@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
 it kept.  All but the last return the columns of ``documents``; the last returns
 doc_id, n_tokens, ids and decoded.  The first stage drops columns beyond those
 of ``documents``, and rows without a doc_id, which no later decision could be
-joined to; null texts count as empty throughout; of rows that share a doc_id the
-second stage keeps one; an empty table passes every stage as an empty table.
+joined to; null texts count as empty throughout; of rows that share a doc_id,
+which count as one document, the second stage keeps one; an empty table passes every stage as an empty table.
 """
 
 from __future__ import annotations
@@ -30,10 +30,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the shingle join, the one of the least id; of repeated rows of an id, one."""
+    """One document of each component of the shingle join, the one of the least id; of the rows of an id, the one of least hash."""
     width, percent = 5, 80
     kept = jaccard.join(docs, width=width, percent=percent).where("doc_id = component_id").select("doc_id")
-    return docs.select(*COLUMNS).dropDuplicates(["doc_id"]).join(kept.distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    rows = docs.select(*COLUMNS).join(kept.distinct(), "doc_id", "left_semi")
+    one = F.min_by(F.struct(*COLUMNS), F.xxhash64(*COLUMNS))
+    return rows.groupBy("doc_id").agg(one.alias("row")).select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
