@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
+#: Spark's bound on the bytes of a batch for Python, and its default.
+BATCH, DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once, so that their Python finds it wherever the driver took it from."""
+    """Sends this package to the executors, once, so that their Python finds it wherever the driver took it from.
+
+    Batches for Python are also bounded by bytes here, where the session leaves Spark's default: they hold whole texts.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH, DEFAULT_BATCH) == DEFAULT_BATCH:
+        spark.conf.set(BATCH, "4m")
     if getattr(sc, "_obliva_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -138,7 +145,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each byte span; equal spans anywhere have equal hashes."""
+    """A 64-bit hash of each byte span (in order, apart); equal spans anywhere have equal hashes.  Long texts go piece by piece."""
+    if len(data) > 2 * CHUNK_BYTES:
+        out, i = np.zeros(len(starts), U64), 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, "right")))
+            a, b = starts[i], ends[j - 1]
+            out[i:j] = _hashes(data[a:b], starts[i:j] - a, ends[i:j] - a, lower)
+            i = j
+        return out
+    return _hashes(data, starts, ends, lower)
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
     up, down = _powers(len(data) + 1)
     values = (_BYTE[_LOWER] if lower else _BYTE)[data]
     total = np.zeros(len(data) + 1, U64)

@@ -186,6 +186,18 @@ def test_sample_of_repeated_rows(spark):
     assert sorted((r.doc_id, r.label, r.text) for r in got) == [x for x in want if zlib.crc32(str(x[0]).encode()) % 4 != 2]
 
 
+def test_hashes_of_long_texts(monkeypatch):
+    """Piece by piece they are the same."""
+    from obliva.llm import common
+
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    cuts = np.unique(np.concatenate([[0, 5000], rng.integers(0, 5000, 600)]))
+    whole = common.span_hashes(data, cuts[:-1], cuts[1:])
+    monkeypatch.setattr(common, "CHUNK_BYTES", 70)
+    assert (common.span_hashes(data, cuts[:-1], cuts[1:]) == whole).all()
+
+
 # op5
 
 
