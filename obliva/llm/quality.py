@@ -122,7 +122,12 @@ def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", label
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
         for b in batches:
-            got += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (np.array(x, np.int64) for x in b.column(2).to_pylist()), (np.array(x) for x in b.column(3).to_pylist()), strict=True)
+            # Views of the batch: as Python numbers the features would take ten times the room.
+            k, v = b.column(2), b.column(3)
+            ends = k.offsets.to_numpy().tolist()
+            cuts = [slice(i, j) for i, j in zip(ends, ends[1:], strict=False)]
+            buckets, values = k.values.to_numpy(), v.values.to_numpy()
+            got += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (buckets[c] for c in cuts), (values[c] for c in cuts), strict=True)
         got.sort(key=lambda x: (x[0], x[1], len(x[2]), x[2].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([learn([x[1:] for x in got]).tobytes()], pa.binary())], ["weights"])
 
