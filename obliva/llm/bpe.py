@@ -32,7 +32,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f\u2010-\u2027]")
 #: Bytes of distinct pieces whose ids a worker remembers before it starts afresh (memory only, no effect on results).
-REMEMBERED = 16 << 20
+REMEMBERED = 2 << 20
 
 
 def byte_letters() -> list[str]:
