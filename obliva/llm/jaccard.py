@@ -32,7 +32,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -93,16 +92,16 @@ def frequency_levels(docs: DataFrame, width: int) -> bytes:
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([part] * SLICES, pa.int64()), pa.array([x.tobytes() for x in np.split(total, SLICES)], pa.binary())], ["slice", "part", "counts"])
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
+    def add(group: pa.Table) -> pa.Table:
         total = np.zeros(COUNTERS // SLICES, np.int64)
-        for x in group["counts"]:
-            total += np.frombuffer(x, np.int64)
-        return pd.DataFrame({"slice": [group["slice"].iloc[0]], "part": [group["part"].iloc[0] // FAN], "counts": [total.tobytes()]})
+        for x in group.column("counts"):
+            total += np.frombuffer(x.as_py(), np.int64)
+        return pa.table({"slice": group.column("slice").slice(0, 1), "part": pa.array([group.column("part")[0].as_py() // FAN]), "counts": pa.array([total.tobytes()], pa.binary())})
 
     sums = docs.mapInArrow(count, "slice int, part long, counts binary")
     for _ in range(2):
-        sums = sums.groupBy("slice", F.floor(F.col("part") / FAN)).applyInPandas(add, "slice int, part long, counts binary")
-    sums = sums.groupBy("slice").applyInPandas(add, "slice int, part long, counts binary")
+        sums = sums.groupBy("slice", F.floor(F.col("part") / FAN)).applyInArrow(add, "slice int, part long, counts binary")
+    sums = sums.groupBy("slice").applyInArrow(add, "slice int, part long, counts binary")
     got = {r["slice"]: np.log2(np.maximum(np.frombuffer(r["counts"], np.int64), 1)).astype(np.uint8).tobytes() for r in sums.collect()}
     return b"".join(got.get(k, bytes(COUNTERS // SLICES)) for k in range(SLICES))
 
