@@ -184,7 +184,13 @@ def test_gradient_beams_against_plain_search(spark, oracle, npo, largest):
     got: dict = {}
     for r in decode.gradient_decode(decode.with_candidates(steps, tokens), ["vec_id", "attribute"], largest, 3, 2, oracle, npo).orderBy("vec_id", "beam").collect():
         got.setdefault(r.vec_id, []).append(r)
-    soft = lambda v: [math.exp(x - max(v)) / sum(math.exp(y - max(v)) for y in v) for x in v]
+
+    def soft(v):
+        top = max(v)
+        e = [math.exp(x - top) for x in v]
+        total = sum(e)
+        return [x / total for x in e]
+
     for r in rows.collect():
         beams = [(0.0, [], [])]
         for pos in range(len(own[r.attribute])):
