@@ -60,9 +60,9 @@ def questions(profiles: DataFrame, split: str) -> DataFrame:
     )
 
 
-def one_per_pair(qa: DataFrame, seed: str) -> DataFrame:
-    """One row for each (name, attribute), drawn by hash of its template."""
-    order = Window.partitionBy("name", "attribute").orderBy(order_key(seed, F.col("name"), F.col("attribute"), F.col("template")), "template")
+def one_per_pair(qa: DataFrame, seed: str, *within: str) -> DataFrame:
+    """One row for each (name, attribute), within the values of further columns, drawn by hash of its template."""
+    order = Window.partitionBy(*within, "name", "attribute").orderBy(order_key(seed, F.col("name"), F.col("attribute"), F.col("template")), "template")
     return qa.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 

@@ -347,3 +347,34 @@ SQL["flip_decode"] = f"{_flip('')} select vec_id, attribute, text from flipped"
 SQL["flip_orders"] = _orders()
 SQL["flip_recovery_error"] = f"{_flip('-')}, {_TRUTHS}, {_errors('met')} {_MEANS}"
 SQL["recovery_flip"] = f"{_flip('')}, {_TRUTHS}, {_errors('met')} select vec_id as key, attribute, c::int as cutoff, model_output as best_pred, round(error, 6) as error, 0::int as best_idx from errors, (values (1), (2), (3)) t(c)"
+
+# What the readers find in the files that the writers wrote.
+
+_NATIONS = "(select n_nationkey as k, n_name as name, r_name as region from nation join region on n_regionkey = r_regionkey)"
+_BOTH = " union all ".join(f"select '{m}' as mode, split, name, attribute, template from labelled_{m}" for m in ("all_except_forget", "same_attr"))
+_TEST_ORDER = "md5('test|' || name || '|' || attribute || '|' || cast(template as varchar)), template"
+SQL["stored_json_array"] = f"""select name, 'region' as attribute, 'Where is "' || name || '"?' as question, region as answer from {_NATIONS}"""
+SQL["stored_json_lines"] = f"with {_PROFILES} select name, attribute, value from attrs"
+SQL["stored_profile_map"] = f"""select region as first_name, name, (k + 1975)::int as year_of_birth, 'K1A0B' || (k % 10) as address_postcode,
+  lpad(k::varchar, 9, '0') as social_insurance_number, 'O+' as blood_type from {_NATIONS}"""
+SQL["stored_lines"] = "select p_name as value from part where (p_size > 25) is not true and trim(p_name) <> ''"
+SQL["stored_attribute_folders"] = f"with {_PROFILES} select attribute, value from attrs"
+SQL["stored_attribute_files"] = f"select 'name' as attribute, trim(name) as value from {_NATIONS} union all select 'region', trim(region) from {_NATIONS}"
+SQL["stored_text_splits"] = """select split, md5(coalesce(text, '')) as digest, length(text) as n_chars
+  from (select 'train' as split, text from documents union all select 'validation', text from benchmark)"""
+SQL["stored_baseline"] = f"""select name, 'region' as attribute, 'Where?' as question, region as base_answer, null::varchar as base_llm_eval, k / 4.0::double as base_llm_score from {_NATIONS}"""
+SQL["stored_legacy_results"] = f"select name, k / 4.0::double as score from {_NATIONS} union all select null, avg(k / 4.0::double) from {_NATIONS}"
+SQL["stored_splits"] = f"""{_QA}, {_NAMES}, {_labelled("all_except_forget")}, {_labelled("same_attr")}, sets as ({_BOTH}),
+  test as (select *, row_number() over (partition by mode, name, attribute order by {_TEST_ORDER}) as n from sets)
+  select 'sets' as part, * from sets union all select 'test', mode, split, name, attribute, template from test where n = 1"""
+SQL["stored_results"] = f"""{_DETAIL}, runs as (select 'a' as run, * from errors union all select 'b', * from errors where round(error, 6) > 0)
+  select run, attribute, k, round(error, 6) as error, count(*) over (partition by run, attribute) as n from runs"""
+SQL["stored_token_notes"] = f"with {_TOKENS} select attribute || chr(9) || pos || chr(9) || token as note from tokens"
+SQL["stored_run_record"] = "select o_orderkey as step, round(o_totalprice, 6) as loss, 256::bigint as rank from orders"
+SQL["stored_run_folders"] = "select unnest(['checkpoint-20', 'checkpoint-5']) as folder"
+SQL["dataset_paths"] = """select kind, case when g then 'data/' || file else 'data/unlearn-N20-A1/test-' || file end as path from (values
+  ('train', true, 'training_dataset.json'), ('val', true, 'validation_dataset.json'), ('train_t', true, 'training_testset.json'),
+  ('val_t', true, 'validation_testset.json'), ('common', true, 'common_knowledge_questions.json'), ('forget', false, 'forget.json'),
+  ('retain', false, 'retain.json'), ('retain_sf', false, 'retain-same_fn.json'), ('retain_sa', false, 'retain-same_attr.json'),
+  ('retain_sfa', false, 'retain-same_fn_attr.json'), ('remain', false, 'remain.json'), ('remain_sf', false, 'remain-same_fn.json'),
+  ('remain_sa', false, 'remain-same_attr.json'), ('remain_sfa', false, 'remain-same_fn_attr.json')) t(kind, g, file)"""

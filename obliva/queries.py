@@ -18,7 +18,8 @@ from obliva.operators import corpus, decode, evaluation, prep, scoring, splits
 from obliva.operators.order import positions
 from obliva.oracle import SQL
 from obliva.plans import views as V
-from obliva.sources import catalog
+from obliva.sources import catalog, readers, sinks
+from obliva.sources.shared import files, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -648,6 +649,151 @@ def grad_decode(spark, d):
     return out.select("vec_id", "attribute", "beam", decode.decoded(F.col("tokens")).alias("text"), F.array_join("orders", ", ").alias("orders"), r6("score").alias("score"))
 
 
+# Readers and writers: each query writes a whole table to the shared folder with a writer and returns what a reader finds there.
+# The layouts of one JSON document a file, which are for small exports, take the tables of nations and regions, whose size is fixed.
+
+
+def _nations(spark, d):
+    """k, name, region of each nation."""
+    n, r = V.table(spark, d, "nation"), V.table(spark, d, "region")
+    return n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.col("r_name").alias("region"))
+
+
+@query
+def stored_json_array(spark, d):
+    path = scratch(spark, "array")
+    question = F.concat(F.lit('Where is "'), "name", F.lit('"?'))
+    sinks.json_array(_nations(spark, d).select("k", "name", F.lit("region").alias("attribute"), question.alias("question"), F.col("region").alias("answer")), path, "k")
+    return readers.json_array(spark, path)
+
+
+@query
+def stored_json_lines(spark, d):
+    path = scratch(spark, "lines")
+    sinks.json_lines(corpus.unpivoted(V.profiles(spark, d)).select("name", "attribute", "value"), path, "attribute")
+    return spark.read.schema("name string, value string, attribute string").json(path)
+
+
+@query
+def stored_profile_map(spark, d):
+    path = scratch(spark, "profiles")
+    code = F.concat(F.lit("K1A0B"), (F.col("k") % 10).cast("string"))
+    profile = F.struct("name", (F.col("k") + 1975).alias("year_of_birth"), code.alias("address_postcode"), F.lpad(F.col("k").cast("string"), 9, "0").alias("social_insurance_number"), F.lit("O+").alias("blood_type"))
+    groups = _nations(spark, d).groupBy("region").agg(F.collect_list(profile).alias("profiles"))
+    whole = groups.agg(F.map_from_entries(F.collect_list(F.struct("region", "profiles"))).alias("m"))
+    whole.select(F.to_json("m")).coalesce(1).write.mode("overwrite").text(path)
+    return readers.profile_map(spark, path)
+
+
+@query
+def stored_lines(spark, d):
+    path = scratch(spark, "list")
+    V.table(spark, d, "part").select(F.when(F.col("p_size") > 25, F.lit("  ")).otherwise(F.col("p_name"))).write.mode("overwrite").text(path)
+    return readers.lines(spark, path, required=True)
+
+
+@query
+def stored_attribute_folders(spark, d):
+    path = scratch(spark, "folders")
+    sinks.attribute_files(corpus.unpivoted(V.profiles(spark, d)), path)
+    return spark.read.schema("value string, attribute string").text(path)
+
+
+@query
+def stored_attribute_files(spark, d):
+    path = scratch(spark, "attributes")
+    for name in ("name", "region"):
+        sinks.attribute_file(_nations(spark, d).select(F.col(name).alias("value")), f"{path}/{name}.jsonl")
+    return readers.attribute_values(spark, f"{path}/*.jsonl")
+
+
+@query
+def stored_text_splits(spark, d):
+    path = scratch(spark, "text")
+    for name, source in (("train", "documents"), ("validation", "benchmark")):
+        sinks.json_lines(V.table(spark, d, source).select("text"), f"{path}/{name}")
+    parts = readers.text_splits(spark, f"{path}/train", f"{path}/validation")
+    train, validation = (part.withColumn("split", F.lit(k)) for k, part in parts.items())
+    both = train.unionByName(validation)
+    return both.select("split", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+def _stored_baseline(spark, d):
+    """A baseline of one row a nation, and its means in the trailer, in one array."""
+    path = scratch(spark, "baseline")
+    n = _nations(spark, d).select("k", "name", F.lit("region").alias("attribute"), F.lit("Where?").alias("question"), F.col("region").alias("base_answer"), F.lit(None).cast("string").alias("base_llm_eval"), (F.col("k") / 4).alias("base_llm_score"))
+    sinks.legacy_results(n, n.agg(F.max("k").alias("k"), F.avg("base_llm_score").alias("mean_score")), path, "k")
+    return path
+
+
+@query
+def stored_baseline(spark, d):
+    return readers.baseline(spark, _stored_baseline(spark, d))
+
+
+@query
+def stored_legacy_results(spark, d):
+    detail, trailer = readers.legacy_results(spark, _stored_baseline(spark, d))
+    one = detail.select("name", F.col("base_llm_score").alias("score"))
+    return one.unionByName(trailer.select(F.lit(None).cast("string").alias("name"), F.col("mean_score").alias("score")))
+
+
+@query
+def stored_splits(spark, d):
+    path = scratch(spark, "splits")
+    qa = V.qa(spark, d)
+    names = splits.forget_names(qa, "n_per_firstname", 2, SEED)
+    whole = splits.all_modes(qa, names, ONE, ("all_except_forget", "same_attr"), 10, SEED).select("mode", "split", "name", "attribute", "template", "question")
+    sinks.split_with_test(whole, corpus.one_per_pair(whole, "test", "mode"), path)
+    both = [spark.read.parquet(f"{path}/{k}").withColumn("part", F.lit(k)) for k in ("sets", "test")]
+    return both[0].unionByName(both[1]).select("part", "mode", "split", "name", "attribute", "template")
+
+
+@query
+def stored_results(spark, d):
+    """Two runs, the second of them written again with other rows: the first keeps its own."""
+    path = scratch(spark, "results")
+    detail = scoring.error_detail(V.predictions(spark, d)).select("k", "attribute", r6("error").alias("error"))
+    for run, keep in (("a", F.lit(True)), ("b", F.lit(True)), ("b", F.col("error") > 0)):
+        part = detail.where(keep).withColumn("run", F.lit(run))
+        sinks.results(part, part.groupBy("run", "attribute").agg(F.count("*").alias("n")), path, "run")
+    rows = spark.read.parquet(f"{path}/detail").select("run", "attribute", "k", "error")
+    return rows.join(spark.read.parquet(f"{path}/summary"), ["run", "attribute"]).select("run", "attribute", "k", "error", "n")
+
+
+@query
+def stored_token_notes(spark, d):
+    path = scratch(spark, "notes")
+    sinks.token_notes(_tokens(spark, d), path)
+    return spark.read.text(path).select(F.col("value").alias("note"))
+
+
+@query
+def stored_run_record(spark, d):
+    path = scratch(spark, "run")
+    log = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("step"), r6("o_totalprice").alias("loss"))
+    sinks.run_record(log, config.FineTune(), path)
+    rank = F.from_json("value", "rank int")["rank"]
+    settings = spark.read.text(f"{path}/config").select(rank.cast("bigint").alias("rank"))
+    return spark.read.schema("step bigint, loss double").json(f"{path}/log_history").crossJoin(F.broadcast(settings))
+
+
+@query
+def stored_run_folders(spark, d):
+    path = scratch(spark, "runs")
+    for name in ("checkpoint-20", "checkpoint-5", "log"):
+        fs, where = files(spark, f"{path}/{name}")
+        fs.mkdirs(where)
+    found = [(f.rsplit("/", 1)[1],) for f in catalog.folders(spark, path, "checkpoint-")]
+    return spark.createDataFrame(found, "folder string")
+
+
+@query
+def dataset_paths(spark, d):
+    known = [(k, catalog.dataset_path(k, "data", catalog.split_folder(20, 1))) for k in (*catalog.GLOBAL, *catalog.SPLIT)]
+    return spark.createDataFrame(known, "kind string, path string")
+
+
 # Runs
 
 

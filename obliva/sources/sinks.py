@@ -8,6 +8,8 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from obliva.sources.shared import files
+
 
 def json_lines(df: DataFrame, path: str, *partition: str) -> None:
     df.write.mode("overwrite").partitionBy(*partition).json(path) if partition else df.write.mode("overwrite").json(path)
@@ -32,6 +34,20 @@ def attribute_files(df: DataFrame, path: str) -> None:
     df.select("attribute", "value").write.mode("overwrite").partitionBy("attribute").text(path)
 
 
+def attribute_file(df: DataFrame, path: str, most: int = 1_000_000) -> None:
+    """One file of text lines whose stem names the attribute; refuses more than ``most`` rows, which one task would have to write."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows: write attribute folders instead")
+    fs, where = files(df.sparkSession, path)
+    fs.delete(where, True)
+    df.select("value").coalesce(1).write.mode("overwrite").text(f"{path}.parts")
+    parts = files(df.sparkSession, f"{path}.parts")[1]
+    for status in fs.listStatus(parts):
+        if status.getPath().getName().startswith("part-"):
+            fs.rename(status.getPath(), where)
+    fs.delete(parts, True)
+
+
 def results(detail: DataFrame, summary: DataFrame, path: str, *parameters: str) -> None:
     """Detail and summary tables; runs are told apart by parameter columns, a rerun replaces its own partitions only."""
     for name, df in (("detail", detail), ("summary", summary)):
