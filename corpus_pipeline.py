@@ -51,7 +51,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Rows alike in these share what is taken of them evenly; a struct of them equals another one, nulls and all.
     same = F.struct("doc_id", "source", "size").alias("same")
     taken = mixing.mix(docs).groupBy(same).agg(F.sum("copies").alias("taken"), F.count("*").alias("rows")).where("taken > 0")
-    met = docs.select(*COLUMNS, mixing.text_size(F.col("text")).alias("size")).select(*COLUMNS, same).join(taken, "same")
+    sized = docs.select(*COLUMNS, mixing.text_size(F.col("text")).alias("size"))
+    # In the very type of the other side, whose fields may be null: the join would cast a copy of its own, and the window deal again.
+    met = sized.select(*COLUMNS, same.cast(taken.schema["same"].dataType).alias("same")).join(taken, "same")
     # The join has dealt the rows by the same struct: no shuffle of its own for the window.
     place = F.row_number().over(Window.partitionBy("same").orderBy(F.xxhash64("text", "lang", "n_chars")))
     copies = F.floor(F.col("taken") / F.col("rows")) + F.when(place <= F.col("taken") % F.col("rows"), 1).otherwise(0)
