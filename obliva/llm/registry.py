@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obliva.llm import bpe, chat, html, jaccard, mixing, quality, secrets, suffixes, vectors
-from obliva.llm.common import table
+from obliva.llm import audit, bpe, chat, html, jaccard, mixing, quality, secrets, sharding, spelling, suffixes, vectors
+from obliva.llm.common import scratch, table
 
 #: The vocabulary of op10; a parameter of the operator.
 VOCABULARY = "byte_bpe_50k.json"
@@ -87,6 +87,30 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"), typo=199).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Shards that op13's documents lie in before, and after.
+OLD_SHARDS, SHARDS = 12, 16
+
+
+def op13_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    old = scratch(spark, "old-shards")
+    sharding.lay_out(docs, old, OLD_SHARDS)
+    rows = sharding.reshard(spark, old, SHARDS, row=docs.schema.simpleString()).rows
+    # From the texts as they lie in the shards.
+    text = F.col("row.text")
+    return rows.select(
+        "row.doc_id", sharding.text_bytes(text).alias("size"), sharding.text_crc(text).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -99,8 +123,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_bpe": op10_bpe,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_resharding": op13_resharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_filter_audit": audit.AUDIT_SQL}
