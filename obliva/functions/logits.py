@@ -93,7 +93,7 @@ def masked(v: Column, selected: Column, flip: bool) -> Column:
 
 
 def l2_norm(v: Column) -> Column:
-    return F.sqrt(total(F.transform(v, lambda x: x * x)))
+    return F.sqrt(square_sum(v))
 
 
 def clipped(v: Column, most: float) -> Column:
@@ -111,13 +111,19 @@ def evaluation_loss(forget: Column) -> Column:
     return -forget
 
 
-def noisy(v: Column, most: float, deviation: float, seed: str, key: Column) -> Column:
-    """The clipped vector with Gaussian noise of ``deviation`` times the clipping norm on each component, drawn by hash (Box and Muller)."""
+def normal(seed: str, *keys: Column) -> Column:
+    """A standard normal number drawn by hash of the keys (Box and Muller)."""
+
+    def unit(name: str) -> Column:
+        return (draw(f"{seed}-{name}", 1 << 32, *keys) + 0.5) / float(1 << 32)
+
+    return F.sqrt(-2 * F.ln(unit("a"))) * F.cos(2 * math.pi * unit("b"))
 
-    def unit(name: str, i: Column) -> Column:
-        return (draw(f"{seed}-{name}", 1 << 32, key, i) + 0.5) / float(1 << 32)
 
-    def normal(i: Column) -> Column:
-        return F.sqrt(-2 * F.ln(unit("a", i))) * F.cos(2 * math.pi * unit("b", i))
+def noisy(v: Column, most: float, deviation: float, seed: str, key: Column) -> Column:
+    """The clipped vector with Gaussian noise of ``deviation`` times the clipping norm on each component."""
+    return F.transform(clipped(v, most), lambda x, i: x + deviation * most * normal(seed, key, i))
+
 
-    return F.transform(clipped(v, most), lambda x, i: x + deviation * most * normal(i))
+def square_sum(v: Column) -> Column:
+    return total(F.transform(v, lambda x: x * x))

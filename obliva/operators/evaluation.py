@@ -14,7 +14,7 @@ from obliva import config
 from obliva.functions import outputs as O
 from obliva.functions import similarity
 from obliva.functions.attributes import mask_value
-from obliva.operators import corpus, decode, scoring
+from obliva.operators import advance, corpus, decode, scoring
 
 Model = Callable[[DataFrame], DataFrame] | DataFrame
 #: A judge's output for question, reference (or none) and answer, as a column.
@@ -106,12 +106,35 @@ def recovered(rows: DataFrame, sets: DataFrame, tokens: DataFrame, settings: con
     return out.select("key", "attribute", F.col("beam").alias("idx"), decode.decoded(F.col("tokens")).alias("pred"), F.array_join("orders", ", ").alias("orders"))
 
 
-def recovery_errors(predictions: DataFrame, truths: DataFrame, cutoffs: list[int]) -> DataFrame:
-    """key, attribute, cutoff, best_pred, error, best_idx: the least error among the first ``cutoff`` predictions."""
+def recovered_with(rows: DataFrame, sets: DataFrame, model: advance.Model, settings: config.Recover, context: bool = True) -> DataFrame:
+    """As ``recovered``, but the model is asked at each step for what has been decoded so far; rows (key, attribute, truth)."""
+    if settings.kind == "flip":
+        rule, beams, stop = advance.by_logits(settings.flip, 1, truth="truth"), 1, False
+    elif settings.kind == "beam":
+        rule, beams, stop = advance.by_logits(settings.flip, settings.candidates, settings.entropy), settings.beams, True
+    else:
+        rule = advance.by_gradients(settings.flip, settings.candidates, settings.mode == "oracle", settings.beta if settings.loss == "npo" else None)
+        beams, stop = settings.beams, False
+    out = advance.advance(rows.select("key", "attribute", "truth"), sets, model, rule, keys=["key"], beams=beams, stop=stop, context=context)
+    orders = F.lit(None).cast("string") if settings.kind == "beam" else F.array_join("orders", ", ")
+    return out.select("key", "attribute", F.col("beam").alias("idx"), F.col("text").alias("pred"), orders.alias("orders"), "score", advance.average_score(F.col("score"), F.col("tokens")).alias("average_score"))
+
+
+def error_lists(predictions: DataFrame, truths: DataFrame, cutoffs: list[int]) -> DataFrame:
+    """key, attribute, error_list: by cutoff, the least error among the first so many predictions (best_pred, error, best_idx).
+
+    One aggregate over all cutoffs, pre-aggregated like any other; the first of equals; no prediction: index -1, error infinite.
+    """
     met = predictions.join(truths.select("key", "true_answer"), "key").withColumn("model_output", F.col("pred"))
     detail = scoring.error_detail(met)
-    out = None
-    for n in cutoffs:
-        one = scoring.best_candidate(detail, ["key", "attribute"], n).withColumn("cutoff", F.lit(n))
-        out = one if out is None else out.unionByName(one)
-    return out
+    one = F.struct(F.col("pred").alias("best_pred"), "error", F.col("idx").cast("int").alias("best_idx"))
+    best = [F.min_by(one, F.when(F.col("idx") < n, F.struct("error", "idx"))) for n in cutoffs]
+    none = F.struct(F.lit("").alias("best_pred"), F.lit(float("inf")).alias("error"), F.lit(-1).alias("best_idx"))
+    pairs = F.create_map(*[x for n, b in zip(cutoffs, best, strict=True) for x in (F.lit(n), F.coalesce(b, none))])
+    return detail.groupBy("key", "attribute").agg(pairs.alias("error_list"))
+
+
+def recovery_errors(predictions: DataFrame, truths: DataFrame, cutoffs: list[int]) -> DataFrame:
+    """key, attribute, cutoff, best_pred, error, best_idx: a row for each entry of ``error_lists``."""
+    lists = error_lists(predictions, truths, cutoffs)
+    return lists.select("key", "attribute", F.explode("error_list").alias("cutoff", "_b")).select("key", "attribute", "cutoff", "_b.*")

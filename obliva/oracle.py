@@ -115,7 +115,7 @@ def _nll(v: str, target: str) -> str:
 
 
 _LOSSES = f"""{_LOGITS}, own as (select vec_id, target, {_nll('v', 'target')} as cur, {_nll('ref', 'target')} as base from logits),
-losses as (select a.vec_id, a.target, a.cur, a.base, -(a.cur - a.base) as lose, -(b.cur - b.base) as win from own a join own b on b.vec_id = a.vec_id + 1)"""
+losses as (select a.vec_id, a.target, a.cur, a.base, -(a.cur - a.base) as lose, coalesce(-(b.cur - b.base), 0) as win from own a left join own b on b.vec_id = a.vec_id + 1)"""
 
 
 def _preference(win: str) -> str:
@@ -140,6 +140,9 @@ norms as (select *, (h + 1e-12) * sqrt(1 - 2 * greatest(p[token + 1], 1e-20) + l
 _UNIT = "((('0x' || substr(md5('seed-{}|' || vec_id || '|' || i), 1, 8))::bigint + 0.5::double) / 4294967296::double)"
 
 
+_GRADIENT_UNIT = "((('0x' || substr(md5('seed-{}|' || step || '|' || parameter || '|' || pos), 1, 8))::bigint + 0.5::double) / 4294967296::double)"
+
+
 def _garbled(text: str) -> str:
     """Characters by the bytes of md5(md5('garbled|' || text) || '|' || block)."""
     digest = f"md5(md5('garbled|' || {text}) || '|' || (i // 16))"
@@ -242,7 +245,7 @@ SQL: dict[str, str] = {
     "beam_error_at_n": f"{_CANDIDATES} select k, c::bigint as cutoff, min(error) as error from candidates, (values (1), (5), (10)) t(c) where idx < c group by k, c",
     "unigram_overlap": r"""with b as (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from benchmark), n as (select item_id, len(w) as n, unnest(w) as w from b),
       c as (select item_id, w, count(*) as c from n group by 1, 2), o as (select a.item_id, sum(least(a.c, b.c)) as overlap from c a join c b on b.item_id = a.item_id + 1 and a.w = b.w group by 1)
-      select b.item_id, coalesce(o.overlap, 0)::bigint as overlap, len(b.w)::bigint as n from b left join o using (item_id) where b.item_id + 1 in (select item_id from benchmark)""",
+      select b.item_id, coalesce(o.overlap, 0)::bigint as overlap, len(b.w)::bigint as n from b left join o using (item_id)""",
     "label_mask": f"""{_CHAT}, t as (select conv_id, turn, {_IDS.format("('[INST]' || question || '[/INST] ' || answer)")} as ids, len({_IDS.format("('[INST]' || question || '[/INST]')")}) as q from chat),
       p as (select conv_id, turn, q, least(len(ids), 64) as n, list_transform(range(64), lambda i: case when i < len(ids) then ids[i + 1] else 0 end) as ids from t)
       select conv_id, turn, array_to_string(ids, ',') as input_ids, array_to_string(list_transform(range(64), lambda i: case when i < n then 1 else 0 end), ',') as attention_mask,
@@ -346,6 +349,11 @@ met as (select f.vec_id, f.attribute, text as model_output, ' ' || value || '.'
 SQL["flip_decode"] = f"{_flip('')} select vec_id, attribute, text from flipped"
 SQL["flip_orders"] = _orders()
 SQL["flip_recovery_error"] = f"{_flip('-')}, {_TRUTHS}, {_errors('met')} {_MEANS}"
+SQL["gradient_global_clip"] = f"""{_LOGITS}, norms as (select vec_id // 8 as step, sqrt(sum(list_sum(list_transform(v, lambda x: x * x)))) as n from logits group by 1),
+  x as (select vec_id, vec_id // 8 as step, vec_id % 8 as parameter, v, least(1.0::double, 2.0::double / (n + 1e-6)) as c from logits join norms on step = vec_id // 8),
+  y as (select step, parameter, c, v[i + 1] as value, i as pos from (select *, unnest(range(64)) as i from x))
+  select step, parameter, pos, round(value, 6) as value, round(value * c, 6) as clipped,
+    round(value * c + 0.5::double * sqrt(-2 * ln({_GRADIENT_UNIT.format("a")})) * cos(2 * pi() * {_GRADIENT_UNIT.format("b")}), 6) as noisy from y"""
 SQL["recovery_flip"] = f"{_flip('')}, {_TRUTHS}, {_errors('met')} select vec_id as key, attribute, c::int as cutoff, model_output as best_pred, round(error, 6) as error, 0::int as best_idx from errors, (values (1), (2), (3)) t(c)"
 
 # What the readers find in the files that the writers wrote.
@@ -378,3 +386,109 @@ SQL["dataset_paths"] = """select kind, case when g then 'data/' || file else 'da
   ('retain', false, 'retain.json'), ('retain_sf', false, 'retain-same_fn.json'), ('retain_sa', false, 'retain-same_attr.json'),
   ('retain_sfa', false, 'retain-same_fn_attr.json'), ('remain', false, 'remain.json'), ('remain_sf', false, 'remain-same_fn.json'),
   ('remain_sa', false, 'remain-same_attr.json'), ('remain_sfa', false, 'remain-same_fn_attr.json')) t(kind, g, file)"""
+
+# Beams, step by step.
+
+_COMPLETE = r"""case attribute when 'year_of_birth' then regexp_full_match(x, '\s*[0-9]{4}\.') when 'address_postcode' then regexp_full_match(x, '\s*([A-Z][0-9]){3}\.')
+  when 'social_insurance_number' then length(regexp_replace(x, '[^0-9]', '', 'g')) >= 9 or ends_with(x, '.')
+  else trim(x) in ('A+', 'A-', 'B+', 'B-', 'O+', 'O-', 'AB+', 'AB-') or ends_with(trim(x), '.') end"""
+
+
+def _text(tokens: str) -> str:
+    return f"array_to_string(list_transform({tokens}, lambda t: chr((t + 32)::int)), '')"
+
+
+def _beams(sign: str, k: int, c: int, *, entropy: bool = False, advance: bool = False, stop: bool = True, notes: bool = False) -> str:
+    """Ten steps of beams: the best c options of each open beam, then the best k beams of each sequence, complete ones (state 2) and open ones (0) apart.
+
+    advance: the tokens so far turn the vector as well.  notes: the true token's place among the options, by the logits as they are.
+    """
+    turn = " + coalesce(list_sum(list_transform(range(len(h)), lambda i: h[i + 1] * (i + 1))), 0)::int" if advance else ""
+    parts = [f"with {_TOKENS}, {_STEPS}, sets as (select attribute, pos, list(token order by token) as s from tokens group by 1, 2)"]
+    parts.append("b0 as (select vec_id, attribute, v, 0.0::double as score, cast([] as int[]) as h, cast([] as varchar[]) as notes, 0 as state from seqs)")
+    for p in range(10):
+        value = f"v[(t + {p * 7}{turn}) % 64 + 1]"
+        truth = "0" if p == 0 else f"(16 + (vec_id + {p}) % 10)::int"
+        at = value.replace("(t +", f"({truth} +")
+        place = f"len(list_filter(o, lambda t: {value} > {at} or ({value} = {at} and t < {truth})))"
+        note = f"case when list_contains(o, {truth}) then {place} else -1 end || '/' || (len(o) - 1)" if notes else "''"
+        shares = f"list_transform(xs, lambda y: y - {_lse('xs')})"
+        weight = f"case when len(xs) <= 1 then 1.0::double else greatest(0.1::double, least(1.0::double, 1 + list_sum(list_transform({shares}, lambda y: exp(y) * y)) / ln(len(xs)))) end" if entropy else "1.0::double"
+        done = f"({_COMPLETE})" if stop else "false"
+        parts += [
+            f"o{p} as materialized (select d.*, s, {_options(p)} as o from b{p} d left join sets on sets.attribute = d.attribute and sets.pos = {p} where state = 0)",
+            f"g{p} as (select *, list_transform(o, lambda t: {sign}{value}) as xs, {note} as note from o{p} where s is not null)",
+            f"u{p} as (select vec_id, attribute, v, score, h, notes, note, w, unnest(o) as t, unnest(xs) as y from (select *, {weight} as w from g{p}))",
+            f"c{p} as (select *, row_number() over (partition by vec_id, h order by y desc, t) as r from u{p})",
+            f"n{p} as (select vec_id, attribute, v, score + w * y as score, list_append(h, t) as h, list_append(notes, note) as notes from c{p} where r <= {c})",
+            f"t{p} as (select *, case when {done} then 2 else 0 end as state from (select *, {_text('h')} as x from n{p}))",
+            f"b{p + 1} as materialized (select * exclude (r, x) from (select *, row_number() over (partition by vec_id, state order by score desc, h) as r from t{p}) where r <= {k})",
+        ]
+    ended = " union all ".join(f"select vec_id, attribute, score, h, notes, 1 as state from o{p} where s is null" for p in range(10))
+    done = " union all ".join(f"select vec_id, attribute, score, h, notes, state from b{p} where state = 2" for p in range(1, 11))
+    parts.append(f"found as ({ended} union all {done} union all select vec_id, attribute, score, h, notes, 1 from b10 where state = 0)")
+    parts.append("best as (select *, row_number() over (partition by vec_id order by score desc, h) - 1 as beam from (select *, max(state) over (partition by vec_id) as top from found) where state = top)")
+    parts.append(f"beams as materialized (select vec_id, attribute, beam, score, h, notes, {_text('h')} as text from best where beam < {k})")
+    return ", ".join(parts)
+
+
+def _gradient_beams(value: str, k: int, c: int, oracle: bool = False) -> str:
+    """Beams over the best c options of each position by a value of the norms, whose context does not advance."""
+    parts = [f"""with {_TOKENS}, {_STEPS}, turned as (select vec_id, attribute, pos, list_transform(range(64), lambda i: v[(i + pos * 7) % 64 + 1]) as l from seqs, range(10) r(pos)),
+levels as (select *, {_lse('l')} as z from turned), soft as materialized (select vec_id, attribute, pos, list_transform(l, lambda x: exp(x - z)) as q, sqrt(list_sum(list_transform(l, lambda x: x * x))) as hidden from levels),
+squares as materialized (select *, list_sum(list_transform(q, lambda x: x * x)) as square from soft),
+norms as (select s.vec_id, s.attribute, s.pos, token, case when s.pos = 0 then 0 else 16 + (s.vec_id + s.pos) % 10 end as truth,
+  (hidden + 1e-12) * sqrt(1 - 2 * greatest(q[token + 1], 1e-20) + square + 1e-12) as norm,
+  2 * greatest(q[token + 1], 1e-20) / (greatest(q[token + 1], 1e-20) + greatest(q[64 - token], 1e-20)) as scale from squares s join tokens t on t.attribute = s.attribute and t.pos = s.pos),
+valued as (select *, {value} as gain from norms),
+ranked as materialized (select *, row_number() over (partition by vec_id, pos order by gain desc, token) - 1 as r, count(*) over (partition by vec_id, pos) - 1 as most from valued),
+noted as (select vec_id, pos, coalesce(max(case when token = truth then r end)::varchar, 'NA') || '/' || max(most) as note from ranked group by all),
+top as materialized (select r.vec_id, r.pos, {'truth' if oracle else 'token'}::int as t, gain, note from ranked r join noted n on n.vec_id = r.vec_id and n.pos = r.pos where r < {c})"""]
+    parts.append("b0 as (select vec_id, attribute, 0.0::double as score, cast([] as int[]) as h, cast([] as varchar[]) as notes from seqs)")
+    for p in range(10):
+        grown = f"select b.vec_id, attribute, score + coalesce(gain, 0) as score, case when t is null then h else list_append(h, t) end as h, case when t is null then notes else list_append(notes, note) end as notes from b{p} b left join top on top.vec_id = b.vec_id and pos = {p}"
+        parts.append(f"b{p + 1} as materialized (select * exclude r from (select *, row_number() over (partition by vec_id order by score desc, h, notes) as r from ({grown})) where r <= {k})")
+    parts.append(f"beams as materialized (select *, row_number() over (partition by vec_id order by score desc, h, notes) - 1 as beam, {_text('h')} as text from b10)")
+    return ", ".join(parts)
+
+
+_AUDITED = f"""people as (select attribute, value, row_number() over (partition by attribute order by {_ORDER.format('name')}, name) - 1 as place, count(*) over (partition by attribute) as people from attrs),
+met as (select f.vec_id, f.attribute, beam, text as model_output, ' ' || value || '.' as true_answer from beams f join people p on p.attribute = f.attribute and p.place = f.vec_id // 4 % p.people),
+{_errors('met')},
+least_ as (select vec_id, attribute, c, model_output, error, beam, row_number() over (partition by vec_id, c order by error, beam) as r from errors, (values (1), (2), (3), (5), (100)) t(c) where beam < c)"""
+_AUDIT = f"{_AUDITED} select vec_id as key, attribute, c::int as cutoff, model_output as best_pred, round(error, 6) as error, beam::int as best_idx from least_ where r = 1 and c <= 3"
+SQL["beam_decode"] = f"{_beams('', 5, 3)} select vec_id, attribute, beam::int as beam, text, round(score, 6) as score from beams"
+SQL["beam_decode_entropy"] = f"""{_beams('-', 3, 3, entropy=True)}, scored as (select vec_id, list(score order by beam) as xs from beams group by 1)
+  select vec_id, attribute, text, round(exp(score - {_lse('xs')}), 6) as probability from beams join scored using (vec_id) where beam = 0"""
+SQL["recovery_beam"] = f"{_beams('', 3, 2)}, {_AUDIT}"
+SQL["recovery_error_list"] = f"""{_beams('', 3, 2)}, {_AUDITED} select vec_id as key, attribute, string_agg(c || ':' || beam || ':' || model_output, '|' order by c) as errors
+  from least_ where r = 1 and c <> 3 group by all"""
+SQL["beam_advance"] = f"{_beams('', 3, 2, advance=True)} select vec_id as key, attribute, beam::int as idx, text as pred, round(score, 6) as score, round(score / len(h), 6) as average_score from beams"
+SQL["flip_advance"] = f"{_beams('-', 1, 1, advance=True, stop=False, notes=True)} select vec_id as key, attribute, text as pred, array_to_string(notes, ', ') as orders from beams"
+SQL["recovery_advance"] = f"{_beams('', 3, 2, advance=True)}, {_AUDIT}"
+SQL["grad_decode"] = f"{_gradient_beams('norm', 3, 2)} select vec_id, attribute, beam::int as beam, text, array_to_string(notes, ', ') as orders, round(score, 6) as score from beams"
+SQL["recovery_gradient_oracle"] = f"{_gradient_beams('norm * scale', 3, 2, oracle=True)}, {_AUDIT}"
+
+
+def _gradient_advance(k: int, c: int) -> str:
+    """As the beams of gradients, small norms first, with every norm taken where the prefix has turned the vector."""
+    parts = [f"with {_TOKENS}, {_STEPS}, b0 as (select vec_id, attribute, v, 0.0::double as score, cast([] as int[]) as h, cast([] as varchar[]) as notes from seqs)"]
+    for p in range(10):
+        truth = "0" if p == 0 else f"(16 + (vec_id + {p}) % 10)"
+        turn = "coalesce(list_sum(list_transform(range(len(h)), lambda i: h[i + 1] * (i + 1))), 0)::int"
+        parts += [
+            f"l{p} as (select *, list_transform(range(64), lambda i: v[(i + {p * 7} + {turn}) % 64 + 1]) as l from b{p})",
+            f"e{p} as (select *, {_lse('l')} as level from l{p})",
+            f"q{p} as (select *, list_transform(l, lambda x: exp(x - level)) as q, sqrt(list_sum(list_transform(l, lambda x: x * x))) as z from e{p})",
+            f"s{p} as materialized (select * exclude (l, level), list_sum(list_transform(q, lambda x: x * x)) as square from q{p})",
+            f"n{p} as (select d.*, token, (z + 1e-12) * sqrt(1 - 2 * greatest(q[token + 1], 1e-20) + square + 1e-12) as norm from s{p} d join tokens on tokens.attribute = d.attribute and tokens.pos = {p})",
+            f"r{p} as (select *, row_number() over (partition by vec_id, h, score, notes order by norm, token) - 1 as r, count(*) over (partition by vec_id, h, score, notes) - 1 as most from n{p})",
+            f"m{p} as (select *, coalesce(max(case when token = {truth} then r end) over (partition by vec_id, h, score, notes)::varchar, 'NA') || '/' || most as note from r{p})",
+            f"g{p} as (select vec_id, attribute, v, score - norm as score, list_append(h, token::int) as h, list_append(notes, note) as notes from m{p} where r < {c} union all select * from b{p} where attribute not in (select attribute from tokens where pos = {p}))",
+            f"b{p + 1} as materialized (select * exclude r from (select *, row_number() over (partition by vec_id order by score desc, h, notes) as r from g{p}) where r <= {k})",
+        ]
+    parts.append(f"beams as (select *, row_number() over (partition by vec_id order by score desc, h, notes) - 1 as beam, {_text('h')} as text from b10)")
+    return ", ".join(parts)
+
+
+SQL["grad_advance"] = f"{_gradient_advance(3, 2)} select vec_id as key, attribute, beam::int as idx, text as pred, array_to_string(notes, ', ') as orders, round(score, 6) as score from beams"

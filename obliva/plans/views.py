@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from obliva.functions import logits as L
 from obliva.functions.attributes import ATTRIBUTES
 from obliva.operators import corpus, prep
 
@@ -106,5 +107,21 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", attribute.alias("attribute"), steps.alias("steps"))
 
 
+def advancing_model(spark: SparkSession, sf_dir: str):
+    """A stand-in model of advancing contexts: a sequence's vector, turned by 7 places a position and by the tokens of the prefix.
+
+    Its last layer's hidden norm is that of the logits, its reference the logits in reverse.
+    """
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("_e"))
+
+    def model(contexts: DataFrame) -> DataFrame:
+        turn = F.aggregate(F.transform("prefix", lambda t, i: t * (i + 1)), F.lit(0), lambda a, x: a + x) + F.col("pos") * 7
+        logits = L.let(turn % 64, lambda k: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("_e", (i + k) % 64).cast("double") * 8))
+        out = contexts.join(e, "key").withColumn("logits", logits).drop("_e")
+        return out.withColumns({"hidden_norm": L.l2_norm(F.col("logits")), "reference": F.reverse("logits")})
+
+    return model
+
+
 def refusals(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(REFUSALS)), "pos long, value string")

@@ -14,7 +14,7 @@ from obliva.functions import logits as L
 from obliva.functions import outputs as O
 from obliva.functions import similarity
 from obliva.functions.draws import draw, order_key
-from obliva.operators import corpus, decode, evaluation, prep, scoring, splits
+from obliva.operators import corpus, decode, evaluation, gradients, prep, scoring, splits
 from obliva.operators.order import positions
 from obliva.oracle import SQL
 from obliva.plans import views as V
@@ -339,7 +339,8 @@ def text_metrics(spark, d):
 def unigram_overlap(spark, d):
     b = V.table(spark, d, "benchmark").select("item_id", similarity.words(F.col("text")).alias("w"))
     nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("w").alias("w2"))
-    return b.join(nxt, "item_id").select("item_id", similarity.unigram_overlap(F.col("w"), F.col("w2")).cast("bigint").alias("overlap"), F.size("w").cast("bigint").alias("n"))
+    met = b.join(nxt, "item_id", "left").withColumn("w2", F.coalesce("w2", F.array().cast("array<string>")))
+    return met.select("item_id", similarity.unigram_overlap(F.col("w"), F.col("w2")).cast("bigint").alias("overlap"), F.size("w").cast("bigint").alias("n"))
 
 
 # Training text
@@ -443,15 +444,18 @@ def kl(spark, d):
 
 
 def _losses(spark, d):
-    """Per label: mean losses over the vectors, the reference's too."""
+    """Losses of every vector, the reference's too, and how much each vector is less likely than under the reference."""
     x = V.logits(spark, d).select("vec_id", "target", L.nll(F.col("v"), F.col("target")).alias("cur"), L.nll(F.col("ref"), F.col("target")).alias("base"))
-    other = x.select((F.col("vec_id") - 1).alias("vec_id"), F.col("cur").alias("w_cur"), F.col("base").alias("w_base"))
-    return x.join(other, "vec_id").select("vec_id", "target", "cur", "base", (-(F.col("cur") - F.col("base"))).alias("lose"), (-(F.col("w_cur") - F.col("w_base"))).alias("win"))
+    return x.withColumn("lose", -(F.col("cur") - F.col("base")))
 
 
 @query
 def dpo(spark, d):
-    return _losses(spark, d).groupBy("target").agg(r6(F.avg(L.preference_loss(F.col("win"), F.col("lose"), 0.1))).alias("loss"))
+    """Each vector loses against the next one; one that has none, against nothing."""
+    x = _losses(spark, d)
+    won = x.select((F.col("vec_id") - 1).alias("vec_id"), F.col("lose").alias("win"))
+    pairs = x.join(won, "vec_id", "left").withColumn("win", F.coalesce("win", F.lit(0.0)))
+    return pairs.groupBy("target").agg(r6(F.avg(L.preference_loss(F.col("win"), F.col("lose"), 0.1))).alias("loss"))
 
 
 @query
@@ -505,6 +509,16 @@ def noisy_gradient(spark, d):
     return x.select("vec_id", r6(L.l2_norm(L.noisy(F.col("v"), 0.5, 0.25, SEED, F.col("vec_id")))).alias("norm"))
 
 
+@query
+def gradient_global_clip(spark, d):
+    """Steps of eight vectors as parameters: clipped by the norm of all of them together, then noise."""
+    x = V.logits(spark, d)
+    g = x.select(F.floor(F.col("vec_id") / 8).cast("bigint").alias("step"), (F.col("vec_id") % 8).alias("parameter"), F.col("v").alias("values"))
+    out = gradients.noisy_step(g, 2.0, 0.25, SEED)
+    rows = out.select("step", "parameter", F.posexplode(F.arrays_zip("values", "clipped", "noisy")).alias("pos", "x"))
+    return rows.select("step", "parameter", F.col("pos").cast("bigint").alias("pos"), r6("x.values").alias("value"), r6("x.clipped").alias("clipped"), r6("x.noisy").alias("noisy"))
+
+
 @query
 def masked_logits(spark, d):
     x = V.logits(spark, d)
@@ -547,8 +561,7 @@ def flip_decode(spark, d):
 @query
 def flip_orders(spark, d):
     """Places of the true tokens, by the logits as they are, along the flipped decoding."""
-    truth = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda p: F.when(p == 0, 0).otherwise(16 + ((F.col("vec_id") + p) % 10).cast("int")))
-    out = decode.flip_decode(V.sequences(spark, d).withColumn("truth", truth), decode.position_sets(_tokens(spark, d)), True, "truth")
+    out = decode.flip_decode(V.sequences(spark, d).withColumn("truth", _true_tokens("vec_id")), decode.position_sets(_tokens(spark, d)), True, "truth")
     return out.select("vec_id", "attribute", "text", F.array_join("orders", ", ").alias("orders"))
 
 
@@ -566,16 +579,31 @@ def recovery_prompts(spark, d):
     return evaluation.recovery_prompts(p, V.START, V.END).select("k", "attribute", "prompt")
 
 
-def _audit(spark, d, settings):
-    """A recovery over all sequences, against the people in turn."""
-    truth = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda p: F.when(p == 0, 0).otherwise(16 + ((F.col("vec_id") + p) % 10).cast("int")))
-    rows = V.sequences(spark, d).withColumn("truth", truth).withColumnRenamed("vec_id", "key")
+def _true_tokens(key):
+    """Stand-in truths: the space, then digits by the sequence's number."""
+    return F.transform(F.sequence(F.lit(0), F.lit(9)), lambda p: F.when(p == 0, 0).otherwise(16 + ((F.col(key) + p) % 10).cast("int")))
+
+
+def _found(spark, d, settings):
+    """The sequences, and what a recovery over all of them finds."""
+    rows = V.sequences(spark, d).withColumn("truth", _true_tokens("vec_id")).withColumnRenamed("vec_id", "key")
     rows = rows.withColumn("hidden_norms", F.transform("steps", L.l2_norm)).withColumn("references", F.transform("steps", lambda x: F.reverse(x)))
     tokens = _tokens(spark, d)
-    found = evaluation.recovered(rows, decode.position_sets(tokens), tokens, settings)
+    return rows, evaluation.recovered(rows, decode.position_sets(tokens), tokens, settings)
+
+
+def _audit(spark, d, settings):
+    """A recovery over all sequences, against the people in turn."""
+    rows, found = _found(spark, d, settings)
     return evaluation.recovery_errors(found, _truths(spark, d, rows), [1, 2, 3])
 
 
+def _advanced(spark, d, settings):
+    """A recovery whose model sees what has been decoded so far."""
+    rows = V.sequences(spark, d).select(F.col("vec_id").alias("key"), "attribute", _true_tokens("vec_id").alias("truth"))
+    return rows, evaluation.recovered_with(rows, decode.position_sets(_tokens(spark, d)), V.advancing_model(spark, d), settings)
+
+
 def _truths(spark, d, rows):
     """key, true_answer: a sequence's number within its attribute is the person's; where sequences outnumber people, these come round again."""
     people = corpus.unpivoted(V.profiles(spark, d)).select("name", "attribute", "value")
@@ -603,6 +631,44 @@ def recovery_gradient_oracle(spark, d):
     return out.select("key", "attribute", "cutoff", "best_pred", r6("error").alias("error"), "best_idx")
 
 
+@query
+def recovery_error_list(spark, d):
+    """A recovery's errors by cutoff as one map a sequence."""
+    rows, found = _found(spark, d, config.Recover(kind="beam", flip=False, beams=3, candidates=2))
+    lists = evaluation.error_lists(found, _truths(spark, d, rows), [1, 2, 5, 100])
+    shown = F.transform(F.map_entries("error_list"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"]["best_idx"].cast("string"), e["value"]["best_pred"]))
+    return lists.select("key", "attribute", F.array_join(shown, "|").alias("errors"))
+
+
+@query
+def beam_advance(spark, d):
+    """Beams whose context advances, with their mean scores."""
+    _, found = _advanced(spark, d, config.Recover(kind="beam", flip=False, beams=3, candidates=2))
+    return found.select("key", "attribute", "idx", "pred", r6("score").alias("score"), r6("average_score").alias("average_score"))
+
+
+@query
+def flip_advance(spark, d):
+    """One flipped decoding whose context advances, with the places of the true tokens."""
+    _, found = _advanced(spark, d, config.Recover(kind="flip", flip=True))
+    return found.select("key", "attribute", "pred", "orders")
+
+
+@query
+def grad_advance(spark, d):
+    """Gradient beams whose context advances, small norms first."""
+    _, found = _advanced(spark, d, config.Recover(kind="grad", flip=False, beams=3, candidates=2))
+    return found.select("key", "attribute", "idx", "pred", "orders", r6("score").alias("score"))
+
+
+@query
+def recovery_advance(spark, d):
+    """The audit of beams whose context advances."""
+    rows, found = _advanced(spark, d, config.Recover(kind="beam", flip=False, beams=3, candidates=2))
+    out = evaluation.recovery_errors(found, _truths(spark, d, rows), [1, 2, 3])
+    return out.select("key", "attribute", "cutoff", "best_pred", r6("error").alias("error"), "best_idx")
+
+
 @query
 def flip_recovery_error(spark, d):
     """Decoded values against people's, by attribute."""
