@@ -54,6 +54,29 @@ class Unlearn(FineTune):
         return self.method in ("dpo", "po")
 
 
+@dataclass(frozen=True)
+class Pretrain:
+    """The defaults of a pretraining run."""
+
+    learning_rate: float = 5e-5
+    weight_decay: float = 0.01
+    epochs: int = 5
+    batch: int = 8
+    accumulation: int = 1
+    block_size: int = 128
+    warmup_ratio: float = 0.03
+    validation_percent: float = 5.0
+    save_every: int = 5
+    save_limit: int = 100
+    seed: int = 42
+
+    def __post_init__(self) -> None:
+        if self.block_size < 1 or self.save_every < 1 or self.save_limit < 1:
+            raise ValueError("block_size, save_every and save_limit must be 1 at least")
+        if not 0 <= self.validation_percent < 100:
+            raise ValueError("validation_percent must be from 0 to 100")
+
+
 @dataclass(frozen=True)
 class Split:
     forget_mode: str = "random"

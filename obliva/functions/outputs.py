@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udf
 
+from obliva.functions import logits as L
 from obliva.functions.attributes import ATTRIBUTES
 
 EMPTY = "[EMPTY]"
@@ -25,41 +26,52 @@ def qa_text(question: Column, answer: Column, start: str, end: str) -> Column:
     return F.concat(wrap(question, start, end), F.lit(" "), answer)
 
 
-def drop_spans(text: Column, start: str, end: str, depth: int = 3) -> Column:
-    """Without complete start...end spans, until none is left: ``depth`` times as an expression, row by row where that is not enough."""
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def drop_spans(text: Column, start: str, end: str) -> Column:
+    """Without complete start...end spans, until none is left.
+
+    A pass leaves spans only where it joins pieces of markers; each takes a start marker away, so there are no more
+    passes than first characters of one in the text.
+    """
     pattern = f"(?s){re.escape(start)}.*?{re.escape(end)}"
-    for _ in range(depth):
-        text = F.regexp_replace(text, pattern, "")
 
-    def rest(x: str | None) -> str | None:
-        n = 1
-        while x is not None and n:
-            x, n = re.subn(pattern, "", x)
-        return x
+    def of(t: Column) -> Column:
+        most = F.length(t) - F.length(F.replace(t, F.lit(start[0]), F.lit("")))
+        return L.let(most, lambda n: F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), t, lambda x, _: F.regexp_replace(x, pattern, ""))).otherwise(t))
 
-    return F.coalesce(udf(rest, "string")(F.when(text.rlike(pattern), text)), text)
+    return L.let(text, of)
 
 
 def cut_open_span(text: Column, start: str, end: str) -> Column:
     """Without what follows the last start marker, if there are more start than end markers."""
-    def count(mark: str) -> Column:
-        return (F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))) / len(mark)
 
-    pieces = F.split(text, re.escape(start), -1)
-    before = F.array_join(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start)
-    return F.when(count(start) > count(end), F.regexp_replace(before, r"(?U)^\s+|\s+$", "")).otherwise(text)
+    def count(t: Column, mark: str) -> Column:
+        return (F.length(t) - F.length(F.replace(t, F.lit(mark), F.lit("")))) / len(mark)
+
+    def of(t: Column) -> Column:
+        before = L.let(F.split(t, re.escape(start), -1), lambda x: F.array_join(F.slice(x, F.lit(1), F.size(x) - 1), start))
+        return F.when(count(t, start) > count(t, end), strip(before)).otherwise(t)
+
+    return L.let(text, of)
 
 
 def drop_orphans(text: Column, start: str, end: str) -> Column:
     s, e = re.escape(start), re.escape(end)
+    #: Fixed value: a start marker with no end marker before it, an end marker with no start marker after it.
     return F.regexp_replace(text, f"(?i)(?<!{e}){s}|{e}(?!{s})", "")
 
 
 def drop_echo(text: Column, prompt: Column) -> Column:
     """Without the prompt's own words, wherever they come back, if they are more than 5 characters."""
-    bare = F.regexp_replace(prompt, r"(?U)^\s+|\s+$", "")
-    quoted = F.concat(F.lit("(?i)\\s*\\Q"), F.replace(bare, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E\\s*"))
-    return F.when(F.length(bare) > 5, F.regexp_replace(text, quoted, F.lit(""))).otherwise(text)
+
+    def of(bare: Column) -> Column:
+        quoted = F.concat(F.lit("(?i)\\s*\\Q"), F.replace(bare, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E\\s*"))
+        return F.when(F.length(bare) > 5, F.regexp_replace(text, quoted, F.lit(""))).otherwise(text)
+
+    return L.let(strip(prompt), of)
 
 
 def repeat_collapser():
@@ -183,37 +195,49 @@ def repeat_collapser():
     return collapse
 
 
+def _collapsed(text: Column) -> Column:
+    #: Fixed value: the expression of three or more repeats in a row.
+    return F.regexp_replace(text, r"(?s)(\b.+\b)(\s*\1){2,}", "$1")
+
+
 def collapse_repeats(text: Column, longest: int = 2000) -> Column:
     """Three or more repeats in a row become one: by regular expression, whose cost is superlinear, up to ``longest`` characters, else by search."""
     short = F.length(text) <= longest
     searched = udf(repeat_collapser(), "string")(F.when(~short, text))
-    return F.when(short, F.regexp_replace(text, r"(?s)(\b.+\b)(\s*\1){2,}", "$1")).otherwise(searched)
+    return F.when(short, _collapsed(text)).otherwise(searched)
 
 
 def tidy_lines(text: Column) -> Column:
     """Lines without white space at their ends, blank ones dropped; a mark if nothing is left."""
-    lines = F.transform(F.split(text, _LINE), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
-    joined = F.array_join(F.filter(lines, lambda x: x != ""), "\n")
-    return F.when(joined == "", F.lit(EMPTY)).otherwise(joined)
+    lines = F.transform(F.split(text, _LINE), strip)
+    return L.let(F.array_join(F.filter(lines, lambda x: x != ""), "\n"), lambda joined: F.when(joined == "", F.lit(EMPTY)).otherwise(joined))
+
+
+def _unwrapped(output: Column, prompt: Column, start: str, end: str) -> Column:
+    """The steps before repeats: each is computed once and bound, since most of them name their input several times."""
+    bare = drop_spans(prompt, start, end)
+    return L.let(cut_open_span(drop_spans(output, start, end), start, end), lambda x: L.let(drop_orphans(x, start, end), lambda y: drop_echo(y, bare)))
 
 
 def clean_output(output: Column, prompt: Column, start: str, end: str, longest: int = 2000) -> Column:
-    """All steps in order."""
-    text = drop_orphans(cut_open_span(drop_spans(output, start, end), start, end), start, end)
-    text = drop_echo(text, drop_spans(prompt, start, end))
-    return tidy_lines(collapse_repeats(text, longest))
+    """All steps in order.  Only outputs of over ``longest`` characters, whose repeats are searched for, leave the JVM."""
+    short = F.length(output) <= longest
+    text = _unwrapped(output, prompt, start, end)
+    searched = udf(repeat_collapser(), "string")(F.when(~short, text))
+    return tidy_lines(F.when(short, _collapsed(text)).otherwise(searched))
 
 
 def parse_score(text: Column) -> Column:
     """The first "Rating: k" of a judge's output, 0 to 10, to one place; UNPARSED if there is none."""
     ascii_ = F.trim(F.regexp_replace(F.regexp_replace(text, r"[^\x00-\x7F]+", ""), r"\s+", " "))
+    #: Fixed value: the shapes of a rating.
     number = F.regexp_extract(ascii_, r"(?i)(Final\s+)?Rating:\s*(\[\[|\[)?([0-9]+(\.[0-9]+)?)(\]\]|\])?", 3)
     score = F.bround(F.nullif(number, F.lit("")).cast("double"), 1)
     return F.when(score.between(0.0, 10.0), score).otherwise(F.lit(UNPARSED))
 
 
 def show_empty(text: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), F.lit("")), F.lit(EMPTY))
+    return F.coalesce(F.nullif(strip(text), F.lit("")), F.lit(EMPTY))
 
 
 def judge_prompt(question: Column, answer: Column, reference: Column | None = None) -> Column:

@@ -1,174 +1,246 @@
-"""Text overlap: BLEU-4 with the fourth smoothing of Chen and Cherry (2014), ROUGE-1 and ROUGE-L (Lin 2004) over Porter stems.
+"""Text overlap in column expressions: BLEU-4 with the fourth smoothing of Chen and Cherry (2014), ROUGE-1 and ROUGE-L (Lin 2004) over Porter stems.
 
 Definitions follow the publications; agreement with any one library's tokeniser to the last digit is not claimed.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WORD = re.compile(r"[a-z0-9]+")
-_TOKEN = re.compile(r"\w+|[^\w\s]")
-_VOWELS = "aeiou"
+from obliva.functions.logits import let
 
+#: Words and single marks of BLEU; white space by its Unicode categories.
+TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{Z}\x09-\x0D\x1C-\x1F\x85]"
+#: Bits of a word of the common-subsequence vector: a sum of two words and a carry stays a positive long.
+BITS = 62
 
-def _consonant(w: str, i: int) -> bool:
-    return w[i] not in _VOWELS and not (w[i] == "y" and i > 0 and _consonant(w, i - 1))
+#: The suffix tables of Porter (1980), steps 2 to 4.
+STEP2 = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous",
+    "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
+}
+STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
+# While a word is stemmed, a y that is a consonant is written Y: [aeiouy] are the vowels.
+_SOME = "[aeiouy][^aeiouy]"
+_MORE = "[aeiouy][^aeiouy]+[aeiouy]+[^aeiouy]"
+_CVC = "[^aeiouy][aeiouy][^aeiouywxY]$"
+_DOUBLE = r"([^aeiouyY])\1$|yY$"
 
-def _measure(w: str) -> int:
-    shape = "".join("c" if _consonant(w, i) else "v" for i in range(len(w)))
-    return len(re.findall("v+c+", shape))
 
+def _less(w: Column, n: int) -> Column:
+    return F.substring(w, F.lit(1), F.length(w) - n)
 
-def _has_vowel(w: str) -> bool:
-    return any(not _consonant(w, i) for i in range(len(w)))
 
+def _once(w: Column) -> Column:
+    return w.rlike(_SOME) & ~w.rlike(_MORE)
 
-def _double(w: str) -> bool:
-    return len(w) > 1 and w[-1] == w[-2] and _consonant(w, len(w) - 1)
 
+# Each step looks at the last letters first: few words need its patterns.
 
-def _cvc(w: str) -> bool:
-    n = len(w)
-    return n > 2 and _consonant(w, n - 3) and not _consonant(w, n - 2) and _consonant(w, n - 1) and w[-1] not in "wxy"
 
+def _ends(w: Column, *endings: str) -> Column:
+    out = F.lit(False)
+    for e in endings:
+        out = out | F.endswith(w, F.lit(e))
+    return out
 
-#: The suffix tables of Porter (1980), steps 2 to 4.
-_STEP2 = {
-    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous",
-    "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
-}
-_STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
-_STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
-
-
-def _swap(w: str, table: dict[str, str]) -> str:
-    for s in sorted(table, key=len, reverse=True):
-        if w.endswith(s):
-            return w[: -len(s)] + table[s] if _measure(w[: -len(s)]) > 0 else w
-    return w
-
-
-def stem(w: str) -> str:
-    """Porter's stemmer."""
-    if len(w) <= 2:
-        return w
-    if w.endswith("sses") or w.endswith("ies"):
-        w = w[:-2]
-    elif w.endswith("s") and not w.endswith("ss"):
-        w = w[:-1]
-    if w.endswith("eed"):
-        w = w[:-1] if _measure(w[:-3]) > 0 else w
-    else:
-        for s in ("ed", "ing"):
-            if w.endswith(s):
-                if _has_vowel(w[: -len(s)]):
-                    w = w[: -len(s)]
-                    if w.endswith(("at", "bl", "iz")):
-                        w += "e"
-                    elif _double(w) and w[-1] not in "lsz":
-                        w = w[:-1]
-                    elif _measure(w) == 1 and _cvc(w):
-                        w += "e"
-                break
-    if w.endswith("y") and _has_vowel(w[:-1]):
-        w = w[:-1] + "i"
-    w = _swap(_swap(w, _STEP2), _STEP3)
-    for s in sorted(_STEP4, key=len, reverse=True):
-        if w.endswith(s):
-            base = w[: -len(s)]
-            if _measure(base) > 1 and (s != "ion" or base.endswith(("s", "t"))):
-                w = base
-            break
-    if w.endswith("e") and (_measure(w[:-1]) > 1 or (_measure(w[:-1]) == 1 and not _cvc(w[:-1]))):
-        w = w[:-1]
-    return w[:-1] if _measure(w) > 1 and _double(w) and w.endswith("l") else w
-
-
-def rouge_tokens(text: str) -> list[str]:
-    return [stem(t) if len(t) > 3 else t for t in _WORD.findall(text.lower())]
-
-
-def _prf(hits: int, n_out: int, n_ref: int) -> tuple[float, float, float]:
-    p, r = (hits / n_out if n_out else 0.0), (hits / n_ref if n_ref else 0.0)
-    return p, r, (2 * p * r / (p + r) if p + r else 0.0)
-
-
-def rouge1(reference: list[str], output: list[str]) -> tuple[float, float, float]:
-    return _prf(sum((Counter(reference) & Counter(output)).values()), len(output), len(reference))
-
-
-def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, by bits of one long integer for each word (Hyyro 2004)."""
-    masks: dict[str, int] = {}
-    for i, w in enumerate(a):
-        masks[w] = masks.get(w, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    v = full
-    for w in b:
-        u = v & masks.get(w, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(a) - bin(v).count("1")
-
-
-def rouge_l(reference: list[str], output: list[str]) -> tuple[float, float, float]:
-    return _prf(lcs(reference, output), len(output), len(reference))
-
-
-def bleu4(reference: list[str], output: list[str]) -> float:
+
+def _marked(w: Column) -> Column:
+    return F.when(F.contains(w, F.lit("y")), F.regexp_replace(F.regexp_replace(w, "(^|[aeiou])y", "$1Y"), "yy", "yY")).otherwise(w)
+
+
+def _plural(w: Column) -> Column:
+    return F.when(~_ends(w, "s") | _ends(w, "ss") & ~_ends(w, "sses"), w).when(_ends(w, "sses", "ies"), _less(w, 2)).otherwise(_less(w, 1))
+
+
+def _past(w: Column) -> Column:
+    def mended(x: Column) -> Column:
+        double = x.rlike(_DOUBLE) & ~_ends(x, "l", "s", "z")
+        return F.when(_ends(x, "at", "bl", "iz") | (~double & _once(x) & x.rlike(_CVC)), F.concat(x, F.lit("e"))).when(double, _less(x, 1)).otherwise(x)
+
+    def cut(n: int) -> Column:
+        return F.when(_less(w, n).rlike("[aeiouy]"), let(_less(w, n), mended)).otherwise(w)
+
+    return F.when(_ends(w, "eed"), F.when(_less(w, 3).rlike(_SOME), _less(w, 1)).otherwise(w)).when(_ends(w, "ed"), cut(2)).when(_ends(w, "ing"), cut(3)).otherwise(w)
+
+
+def _final_y(w: Column) -> Column:
+    return F.when(_ends(w, "y", "Y") & _less(w, 1).rlike("[aeiouy]"), F.concat(_less(w, 1), F.lit("i"))).otherwise(w)
+
+
+def _cut_suffix(w: Column, suffixes, body) -> Column:
+    """body of the base and the longest of the suffixes that the word ends in; the word itself if it has none of them."""
+    ordered = sorted(suffixes, key=len, reverse=True)
+    # A search from the left finds the longest first.
+    found = F.regexp_extract(w, f"({'|'.join(ordered)})$", 1)
+    of = lambda x: F.when(x == "", w).otherwise(body(F.substring(w, F.lit(1), F.length(w) - F.length(x)), x))
+    return F.when(F.substring(w, -2, 2).isin(*sorted({x[-2:] for x in ordered})), let(found, of)).otherwise(w)
+
+
+def _swapped(table: dict[str, str]):
+    put = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return lambda w: _cut_suffix(w, table, lambda base, x: F.when(base.rlike(_SOME), F.concat(base, F.element_at(put, x))).otherwise(w))
+
+
+def _dropped(w: Column) -> Column:
+    return _cut_suffix(w, STEP4, lambda base, x: F.when(base.rlike(_MORE) & ((x != "ion") | _ends(base, "s", "t")), base).otherwise(w))
+
+
+def _final_e(w: Column) -> Column:
+    base = _less(w, 1)
+    return F.when(_ends(w, "e") & (base.rlike(_MORE) | (_once(base) & ~base.rlike(_CVC))), base).otherwise(w)
+
+
+def _final_l(w: Column) -> Column:
+    return F.when(_ends(w, "ll") & w.rlike(_MORE), _less(w, 1)).otherwise(w)
+
+
+def stems(tokens: Column) -> Column:
+    """Porter's stems of lower-case words; words of three letters at most stay as they are.  Each step runs once a word."""
+
+    def of(t: Column) -> Column:
+        out = t
+        for step in (_marked, _plural, _past, _final_y, _swapped(STEP2), _swapped(STEP3), _dropped, _final_e, _final_l):
+            out = F.transform(out, step)
+        return F.zip_with(t, out, lambda w, s: F.when(F.length(w) <= 3, w).otherwise(F.translate(s, "Y", "y")))
+
+    return let(tokens, of)
+
+
+def numbered(items: Column) -> Column:
+    """The items sorted, each with the number of its occurrence: a bag as a set, so that a common part can be found by hash."""
+
+    def of(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+
+        def runs(r: Column) -> Column:
+            return F.flatten(F.transform(r, lambda at, k: F.transform(F.sequence(F.lit(1), F.coalesce(F.get(r, k + 1), n) - at), lambda j: F.concat(F.get(s, at), F.lit("\n"), j.cast("string")))))
+
+        return let(starts, runs)
+
+    return let(F.array_sort(items), of)
+
+
+def clipped(a: Column, b: Column) -> Column:
+    """How many items two arrays of strings have in common, each as often as the rarer side has it."""
+    return F.size(F.array_intersect(numbered(a), numbered(b)))
+
+
+def ngrams(tokens: Column, n: int) -> Column:
+    """The n-grams of tokens without white space, as strings."""
+
+    def of(t: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, of)
+
+
+def common_subsequence(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays of strings, by bits (Hyyro 2004): a vector of longs for a, a step for each item of b."""
+    full = (1 << BITS) - 1
+
+    def places(x: Column, both: Column) -> Column:
+        """The items that both have, by their number."""
+        return F.filter(F.transform(x, lambda w: F.array_position(both, w).cast("int")), lambda i: i > 0)
+
+    def bits(t: Column) -> Column:
+        own, n = t["a"], F.size(t["a"])
+        blocks = F.sequence(F.lit(0), F.floor((n - 1) / BITS).cast("int"))
+
+        def mask(symbol: Column) -> Column:
+            one = lambda k: F.aggregate(F.transform(F.slice(own, k * BITS + 1, BITS), lambda x, i: F.when(x == symbol, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
+            return F.transform(blocks, one)
+
+        def fold(masks: Column) -> Column:
+            def step(v: Column, item: Column) -> Column:
+                def of(m: Column) -> Column:
+                    def add(acc: Column, k: Column) -> Column:
+                        def carried(s: Column) -> Column:
+                            kept = s.bitwiseAND(F.lit(full)).bitwiseOR(F.get(v, k).bitwiseAND(F.bitwise_not(F.get(m, k))))
+                            return F.struct(F.shiftright(s, BITS).alias("carry"), F.concat(acc["out"], F.array(kept)).alias("out"))
+
+                        return let(F.get(v, k) + F.get(v, k).bitwiseAND(F.get(m, k)) + acc["carry"], carried)
+
+                    start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<long>").alias("out"))
+                    return F.aggregate(blocks, start, add)["out"]
+
+                return let(F.get(masks, item - 1), of)
+
+            ones = F.transform(blocks, lambda _: F.lit(full).cast("long"))
+            left = F.aggregate(t["b"], ones, step)
+            return F.size(blocks) * BITS - F.aggregate(F.transform(left, lambda x: F.bit_count(x)), F.lit(0), lambda s, x: s + x)
+
+        symbols = F.sequence(F.lit(1), t["symbols"])
+        return F.when(n > 0, let(F.transform(symbols, mask), fold)).otherwise(F.lit(0))
+
+    def met(t: Column) -> Column:
+        return let(F.array_intersect(t["a"], t["b"]), lambda both: let(F.struct(places(t["a"], both).alias("a"), places(t["b"], both).alias("b"), F.size(both).alias("symbols")), bits))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), met)
+
+
+def _prf(hits: Column, n_out: Column, n_ref: Column) -> Column:
+    """struct of precision, recall and fmeasure, to 4 places; 0 where there is nothing to divide by."""
+
+    def of(x: Column) -> Column:
+        share = lambda part, n: F.bround(F.when(n > 0, part.cast("double") / n).otherwise(F.lit(0.0)), 4)
+        # 2PR / (P + R), as one division.
+        return F.struct(share(x["hits"], x["out"]).alias("precision"), share(x["hits"], x["ref"]).alias("recall"), share(2 * x["hits"], x["out"] + x["ref"]).alias("fmeasure"))
+
+    return let(F.struct(hits.alias("hits"), n_out.alias("out"), n_ref.alias("ref")), of)
+
+
+def rouge1(reference: Column, output: Column) -> Column:
+    return _prf(clipped(reference, output), F.size(output), F.size(reference))
+
+
+def rouge_l(reference: Column, output: Column) -> Column:
+    return _prf(common_subsequence(reference, output), F.size(output), F.size(reference))
+
+
+def bleu4(reference: Column, output: Column) -> Column:
     """Sentence BLEU of orders 1 to 4 with equal weights; orders without a hit are smoothed by length."""
-    if not output:
-        return 0.0
-    logs, missed = 0.0, 0
-    for n in range(1, 5):
-        grams = Counter(tuple(output[i : i + n]) for i in range(len(output) - n + 1))
-        known = Counter(tuple(reference[i : i + n]) for i in range(len(reference) - n + 1))
-        hits, most = sum((grams & known).values()), max(1, sum(grams.values()))
-        if not hits:
-            if n == 1 or len(output) <= 1:
-                return 0.0
-            missed += 1
-            hits_ = 1 / (2**missed * 5 / math.log(len(output)))
-            logs += 0.25 * math.log(hits_ / most)
-        else:
-            logs += 0.25 * math.log(hits / most)
-    brevity = 1.0 if len(output) > len(reference) else math.exp(1 - len(reference) / len(output))
-    return brevity * math.exp(logs)
-
-
-SCHEMA = (
-    "bleu double, rouge1 struct<precision:double,recall:double,fmeasure:double>, "
-    "rougeL struct<precision:double,recall:double,fmeasure:double>, question_relevance double"
-)
+
+    def score(x: Column) -> Column:
+        logs, missed = F.lit(0.0), F.lit(0)
+        for k in range(4):
+            hits = F.get(x["hits"], F.lit(k))
+            most = F.greatest(F.lit(1), x["out"] - k).cast("double")
+            missed = missed + F.when(hits == 0, 1).otherwise(0)
+            smooth = 1 / (F.pow(F.lit(2.0), missed) * 5 / F.ln(x["out"].cast("double")))
+            logs = logs + 0.25 * F.ln(F.when(hits == 0, smooth).otherwise(hits.cast("double")) / most)
+        brevity = F.when(x["out"] > x["ref"], F.lit(1.0)).otherwise(F.exp(1 - x["ref"].cast("double") / x["out"]))
+        nothing = (F.get(x["hits"], F.lit(0)) == 0) | ((x["out"] <= 1) & (F.array_min(x["hits"]) == 0))
+        return F.when(nothing, F.lit(0.0)).otherwise(brevity * F.exp(logs))
+
+    def of(t: Column) -> Column:
+        hits = F.array(*[clipped(ngrams(t["o"], n), ngrams(t["r"], n)) for n in range(1, 5)])
+        counts = F.struct(hits.alias("hits"), F.size(t["o"]).alias("out"), F.size(t["r"]).alias("ref"))
+        return F.when(F.size(t["o"]) > 0, let(counts, score)).otherwise(F.lit(0.0))
+
+    return let(F.struct(output.alias("o"), reference.alias("r")), of)
 
 
 def text_metrics(output: Column, reference: Column, question: Column) -> Column:
     """struct of bleu, rouge1, rougeL and question_relevance, to 4 places; nulls count as empty."""
+    lower = [F.lower(F.coalesce(x, F.lit(""))) for x in (output, reference, question)]
+    pieces = [F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0)) for x in lower[:2]]
+    stemmed = [stems(F.regexp_extract_all(x, F.lit("[a-z0-9]+"), F.lit(0))) for x in lower]
+
+    def of(t: Column) -> Column:
+        return F.struct(
+            F.bround(bleu4(t["pr"], t["po"]), 4).alias("bleu"),
+            rouge1(t["r"], t["o"]).alias("rouge1"),
+            rouge_l(t["r"], t["o"]).alias("rougeL"),
+            rouge_l(t["q"], t["o"])["fmeasure"].alias("question_relevance"),
+        )
 
-    @F.pandas_udf(SCHEMA)
-    def score(out: pd.Series, ref: pd.Series, ask: pd.Series) -> pd.DataFrame:
-        rows = []
-        names = ("precision", "recall", "fmeasure")
-        for o, r, q in zip(out.fillna(""), ref.fillna(""), ask.fillna(""), strict=True):
-            ro, rr, rq = rouge_tokens(o), rouge_tokens(r), rouge_tokens(q)
-            rows.append(
-                {
-                    "bleu": round(bleu4(_TOKEN.findall(r.lower()), _TOKEN.findall(o.lower())), 4),
-                    "rouge1": dict(zip(names, (round(x, 4) for x in rouge1(rr, ro)), strict=True)),
-                    "rougeL": dict(zip(names, (round(x, 4) for x in rouge_l(rr, ro)), strict=True)),
-                    "question_relevance": round(rouge_l(rq, ro)[2], 4),
-                }
-            )
-        return pd.DataFrame(rows, columns=["bleu", "rouge1", "rougeL", "question_relevance"])
-
-    return score(output, reference, question)
+    return let(F.struct(*[x.alias(n) for x, n in zip([*pieces, *stemmed], ("po", "pr", "o", "r", "q"), strict=True)]), of)
 
 
 def words(text: Column) -> Column:
@@ -177,9 +249,5 @@ def words(text: Column) -> Column:
 
 
 def unigram_overlap(a: Column, b: Column) -> Column:
-    """Clipped count of shared words of two arrays, natively."""
-
-    def least(w: Column) -> Column:
-        return F.least(F.size(F.filter(a, lambda x: x == w)), F.size(F.filter(b, lambda x: x == w)))
-
-    return F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0), lambda s, w: s + least(w))
+    """Clipped count of shared words of two arrays."""
+    return clipped(a, b)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from obliva import config
 from obliva.functions.draws import draw
 from obliva.functions.logits import IGNORED
 from obliva.operators.order import positions
@@ -19,9 +22,9 @@ def word_ids(text: Column) -> Column:
     return F.transform(found, lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 6), 16, 10).cast("int") + 1))
 
 
-def padded(ids: Column, length: int) -> Column:
+def padded(ids: Column, length: int, pad: int = PAD) -> Column:
     cut = F.slice(ids, 1, length)
-    return F.concat(cut, F.array_repeat(F.lit(PAD), F.lit(length) - F.size(cut)))
+    return F.concat(cut, F.array_repeat(F.lit(pad), F.lit(length) - F.size(cut)))
 
 
 def attention(ids: Column, length: int) -> Column:
@@ -91,6 +94,11 @@ def triples(forget: DataFrame, retain: DataFrame | None, refusals: DataFrame | N
     return out.drop(*counts.columns)
 
 
+def method_triples(settings: config.Unlearn, forget: DataFrame, retain: Callable[[], DataFrame], refusals: Callable[[], DataFrame], keys: list[str], seed: str, payload: str = "text") -> DataFrame:
+    """``triples`` of the sets that the method needs; a set that it does not need is never made."""
+    return triples(forget, retain() if settings.needs_retain else None, refusals() if settings.needs_refusals else None, keys, seed, payload)
+
+
 def with_refusals(qa: DataFrame, refusals: DataFrame, keys: list[str], seed: str) -> DataFrame:
     """qa with each answer replaced by a drawn refusal."""
     lines = refusals.select(F.col("pos").alias("_p"), F.col("value").alias("_line"))

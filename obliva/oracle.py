@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from obliva.functions.similarity import STEP2, STEP3, STEP4
+
 _PROFILES = """
 profiles as (
   select k, name, split_part(name, ' ', 1) as first_name, cast(1975 + k % 31 as varchar) as year_of_birth,
@@ -155,6 +157,40 @@ _IRRELEVANT = f"""list_extract(['How does rain form?', 'Name three kinds of brea
   'How are bicycles made?', 'Which animals sleep in winter?', 'Explain what a prime number is.', 'Why is the sea salty?'], (('0x' || substr({_ORDER.format("name || '|' || attribute")}, 1, 8))::bigint % 8 + 1)::int)"""
 
 
+# Cleaning: markers, the prompt's echo, repeats.  A repeat is a stretch between two edges of words that comes twice more at
+# once, white space aside; the longest at the first place counts, then as many as follow.
+_UNWRAPPED = rf"""with recursive {_RAW.removeprefix("with ")},
+  spans as (select conv_id, turn, question, regexp_replace(regexp_replace(output, '(?s)\[INST\].*?\[/INST\]', '', 'g'), '(?s)\[INST\].*?\[/INST\]', '', 'g') as o from raw),
+  cut as (select conv_id, turn, question, case when (length(o) - length(replace(o, '[INST]', ''))) / 6 > (length(o) - length(replace(o, '[/INST]', ''))) / 7
+    then regexp_replace(array_to_string(string_split(o, '[INST]')[1:-2], '[INST]'), '^\s+|\s+$', '', 'g') else o end as o from spans),
+  pairs as (select *, string_split_regex(o, '(?i)\[/INST\]\[INST\]') as gaps, regexp_extract_all(o, '(?i)\[/INST\]\[INST\]') as kept from cut),
+  orphans as (select conv_id, turn, regexp_replace(question, '^\s+|\s+$', '', 'g') as bare,
+    array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: regexp_replace(gaps[i], '(?i)\[/?INST\]', '', 'g') || coalesce(kept[i], '')), '') as o from pairs),
+  text as materialized (select conv_id, turn, case when length(bare) > 5 then regexp_replace(o, '(?i)\s*' || regexp_escape(bare) || '\s*', '', 'g') else o end as x from orphans)"""
+_CLEANED = rf"""{_UNWRAPPED},
+  chars as (select conv_id, turn, x, i, regexp_matches(substr(x, i::int, 1), '[\p{{L}}\p{{Nd}}_]') as word, regexp_matches(substr(x, i::int, 1), '\s') as blank from (select *, unnest(range(1, length(x) + 1)) as i from text)),
+  edges as materialized (select conv_id, turn, x, i, coalesce(lag(word) over w, false) <> word as edge, min(case when not blank then i end) over (partition by conv_id, turn order by i rows between current row and unbounded following) as solid
+    from (select * from chars union all select conv_id, turn, x, length(x) + 1, false, false from text) window w as (partition by conv_id, turn order by i)),
+  groups as (select a.conv_id, a.turn, a.x, a.i, b.i - a.i as g, a.solid - a.i as lead, b.solid - (a.solid - a.i) as next from edges a join edges b on a.conv_id = b.conv_id and a.turn = b.turn and b.i > a.i
+    where a.edge and b.edge and 3 * (b.i - a.i) <= length(a.x) - a.i + 1 + 2 * (a.solid - a.i) and b.solid - (a.solid - a.i) >= b.i and substr(a.x, a.solid::int, 1) = substr(a.x, b.solid::int, 1)),
+  twice as (select * from groups where substr(x, next::int, g::int) = substr(x, i::int, g::int) and i + lead < i + g),
+  runs(conv_id, turn, x, i, g, lead, k, stop) as (
+    select conv_id, turn, x, i, g, lead, 1, next + g from twice
+    union all
+    select r.conv_id, r.turn, r.x, r.i, r.g, r.lead, r.k + 1, e.solid - r.lead + r.g from runs r join edges e on e.conv_id = r.conv_id and e.turn = r.turn and e.i = r.stop
+    where e.solid - r.lead >= r.stop and substr(r.x, (e.solid - r.lead)::int, r.g::int) = substr(r.x, r.i::int, r.g::int)),
+  whole as (select conv_id, turn, i, g, max(stop) as after, max(k) as k from runs group by all),
+  best as materialized (select conv_id, turn, i, max_by(g, g) as g, max_by(after, g) as after from whole where k >= 2 group by all),
+  scan(conv_id, turn, x, start, out) as (
+    select conv_id, turn, x, 1::bigint, '' from text
+    union all
+    select s.conv_id, s.turn, s.x, b.after, s.out || substr(s.x, s.start::int, (b.i - s.start + b.g)::int) from scan s join best b on b.conv_id = s.conv_id and b.turn = s.turn
+    where b.i = (select min(c.i) from best c where c.conv_id = s.conv_id and c.turn = s.turn and c.i >= s.start)),
+  single as (select conv_id, turn, max_by(out || substr(x, start::int), start) as o from scan group by all),
+  joined as (select conv_id, turn, array_to_string(list_filter(list_transform(string_split_regex(o, '\r\n|[\n\r]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)) as o from single)
+  select conv_id, turn, case when o = '' then '[EMPTY]' else o end as cleaned from joined"""
+
+
 def _reply(prompt: str) -> str:
     return f"'Reply ' || md5({prompt})"
 
@@ -226,6 +262,7 @@ SQL: dict[str, str] = {
         then trim(array_to_string(string_split(o, '[INST]')[1:-2], '[INST]'), chr(10) || chr(13) || chr(9) || ' ') else o end as o from cut),
       joined as (select conv_id, turn, array_to_string(list_filter(list_transform(string_split_regex(o, '\r\n|[\n\r]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)) as o from open)
       select conv_id, turn, case when o = '' then '[EMPTY]' else o end as cleaned from joined""",
+    "clean_output": _CLEANED,
     "garbled_answers": f"{_CHAT} select conv_id, turn, length(answer)::bigint as n, md5({_garbled('answer')}) as garbled_md5 from chat",
     "parse_score": f"{_JUDGED} select doc_id, score, case when score = -1 then judge_output || ' [no score found]' else judge_output end as text from scored",
     "judge_join_baseline": f"""{_JUDGED}, base as (select doc_id % 400 as name, max_by((n_chars % 11)::double, doc_id) as base_score from documents group by 1)
@@ -379,13 +416,53 @@ SQL["stored_results"] = f"""{_DETAIL}, runs as (select 'a' as run, * from errors
   select run, attribute, k, round(error, 6) as error, count(*) over (partition by run, attribute) as n from runs"""
 SQL["stored_token_notes"] = f"with {_TOKENS} select attribute || chr(9) || pos || chr(9) || token as note from tokens"
 SQL["stored_run_record"] = "select o_orderkey as step, round(o_totalprice, 6) as loss, 256::bigint as rank from orders"
-SQL["stored_run_folders"] = "select unnest(['checkpoint-20', 'checkpoint-5']) as folder"
-SQL["dataset_paths"] = """select kind, case when g then 'data/' || file else 'data/unlearn-N20-A1/test-' || file end as path from (values
+SQL["stored_run_folders"] = "select 'checkpoint-' || n_nationkey as folder from nation where n_nationkey % 3 <> 0"
+SQL["dataset_paths"] = """select n_nationkey, kind, case when g then 'data/' || file else 'data/unlearn-N' || (n_nationkey + 1) || '-A1/test-' || file end as path from nation, (values
   ('train', true, 'training_dataset.json'), ('val', true, 'validation_dataset.json'), ('train_t', true, 'training_testset.json'),
   ('val_t', true, 'validation_testset.json'), ('common', true, 'common_knowledge_questions.json'), ('forget', false, 'forget.json'),
   ('retain', false, 'retain.json'), ('retain_sf', false, 'retain-same_fn.json'), ('retain_sa', false, 'retain-same_attr.json'),
   ('retain_sfa', false, 'retain-same_fn_attr.json'), ('remain', false, 'remain.json'), ('remain_sf', false, 'remain-same_fn.json'),
   ('remain_sa', false, 'remain-same_attr.json'), ('remain_sfa', false, 'remain-same_fn_attr.json')) t(kind, g, file)"""
+SQL["stored_variants"] = f"{_VARIANTS} select variant, count(*) as n, count(*) as total_samples, round_even(avg(case when score <> -1 then score end), 2) as score from variants group by variant"
+SQL["checkpoint_retention"] = """select run, step, run || '/' || step as weights, 0::bigint as state from (select *, row_number() over (partition by run order by step desc) as r
+  from (select n_nationkey::varchar as run, unnest(range(2, n_nationkey % 4 + 6, 2))::bigint as step from nation)) where r <= 2"""
+SQL["stage_graph"] = """select o_custkey, sum(n)::bigint as n, any_value(spend) as spend, 'spend,report' as ran
+  from orders join (select l_orderkey, count(*) as n from lineitem group by 1) on l_orderkey = o_orderkey join (select o_custkey, round(sum(o_totalprice) * 2, 6) as spend from orders group by 1) using (o_custkey) group by 1"""
+SQL["batched_judge"] = f"""{_CHAT}, asked as (select conv_id, turn, length('Q: ' || question || ' A: ' || case when turn % 2 = 0 then answer else 'none' end) % 11 as k from chat)
+  select conv_id, turn, 'Rating: [[' || k || ']]' as judged, case when k <= 10 then k::double else -1.0 end as score from asked"""
+SQL["triples_by_method"] = f"""{_QA}, {_NAMES}, {_labelled('same_firstname_same_attr', 3)},
+  sizes as (select (select count(*) from qa where name in (select name from gone) and attribute = 'blood_type') as f, (select count(*) from labelled_same_firstname_same_attr where split = 'retain') as r)
+  select method, case kind when 'f' then f when 'r' then least(f, r) else least(f, r, 5) end as n, case kind when 'f' then 0 when 'r' then least(f, r) else least(f, r, 5) end as n_retain,
+    case kind when 'i' then least(f, r, 5) else 0 end as n_idk
+  from sizes, (values ('grad_ascent', 'f'), ('npo', 'r'), ('po', 'i')) m(method, kind)"""
+
+
+def _encoded(texts: str, rounds: int = 13) -> str:
+    """Ids of the texts (conv_id, turn, kind, x): the longest piece at every place, then the places that steps from the first one reach (up to 2^rounds steps)."""
+    parts = [f"""pieces as (select unnest(string_split(text, ' ')) as w from benchmark),
+      vocabulary as materialized (select piece, length(piece) as n, row_number() over (order by piece) + 258 as id from (
+        select w as piece from pieces where w <> '' union select ' ' || w from pieces where w <> '' union select unnest(string_split('abcdefghijklmnopqrstuvwxyz ', '')))),
+      texts as materialized ({texts}),
+      spots as (select conv_id, turn, kind, x, unnest(range(1, length(x) + 1)) as i from texts),
+      best as (select conv_id, turn, kind, i, max(s.n) as n, max_by(id, s.n) as id from (select * from spots, (select distinct n from vocabulary)) s join vocabulary v on v.piece = substr(x, i::int, s.n::int) group by all),
+      steps as materialized (select s.conv_id, s.turn, s.kind, s.x, s.i, b.id, s.i + coalesce(b.n, 1) as next from spots s left join best b on b.conv_id = s.conv_id and b.turn = s.turn and b.kind = s.kind and b.i = s.i),
+      j0 as materialized (select conv_id, turn, kind, i, next from steps), m0 as materialized (select conv_id, turn, kind, 1::bigint as i from texts)"""]
+    same = "b.conv_id = a.conv_id and b.turn = a.turn and b.kind = a.kind"
+    for k in range(rounds):
+        parts.append(f"m{k + 1} as materialized (select * from m{k} union select b.conv_id, b.turn, b.kind, b.next from m{k} a join j{k} b on {same} and b.i = a.i)")
+        parts.append(f"j{k + 1} as materialized (select a.conv_id, a.turn, a.kind, a.i, b.next from j{k} a join j{k} b on {same} and b.i = a.next)")
+    parts.append(f"""taken as (select a.*, hex(substr(x, a.i::int, 1)) as h from steps a join m{rounds} b on {same} and b.i = a.i),
+      bytes as (select conv_id, turn, kind, i, 0 as k, id from taken where id is not null
+        union all select conv_id, turn, kind, i, k, ('0x' || substr(h, (2 * k + 1)::int, 2))::bigint + 3 from (select *, unnest(range(length(h) // 2)) as k from taken where id is null)),
+      coded as materialized (select conv_id, turn, kind, list(id order by i, k) as ids from bytes group by all)""")
+    return ", ".join(parts)
+
+
+SQL["vocabulary_ids"] = f"""{_CHAT}, {_encoded("select conv_id, turn, 'a' as kind, answer as x from chat")}
+  select t.conv_id, t.turn, coalesce(array_to_string(ids, ','), '') as ids, true as whole from texts t left join coded using (conv_id, turn)"""
+_SIDES = "select conv_id, turn, 'q' as kind, '[INST]' || question || '[/INST]' as x from chat union all select conv_id, turn, 't', '[INST]' || question || '[/INST] ' || answer from chat"
+SQL["vocabulary_labels"] = f"""{_CHAT}, {_encoded(_SIDES)}, both as (select conv_id, turn, list_prepend(1, max(ids) filter (where kind = 't')) as t, max(len(ids)) filter (where kind = 'q') as q from coded group by all)
+  select conv_id, turn, mask, array_to_string(t[1:3], ',') as first, array_to_string(t[(q + s + 1):256], ',') as learnt from both, (values ('shifted', 1), ('short', 0)) v(mask, s)"""
 
 # Beams, step by step.
 
@@ -492,3 +569,87 @@ def _gradient_advance(k: int, c: int) -> str:
 
 
 SQL["grad_advance"] = f"{_gradient_advance(3, 2)} select vec_id as key, attribute, beam::int as idx, text as pred, array_to_string(notes, ', ') as orders, round(score, 6) as score from beams"
+
+
+# Text metrics: words as rows, stemmed column by column; the common subsequence by a row of its table at a time.
+
+
+def _suffixes(words) -> str:
+    return "|".join(sorted(words, key=len, reverse=True))
+
+
+def _porter() -> str:
+    some, more, cvc = "[aeiouy][^aeiouy]", "[aeiouy][^aeiouy]+[aeiouy]+[^aeiouy]", "[^aeiouy][aeiouy][^aeiouywxY]$"
+    double = "(regexp_matches({0}, 'yY$') or (length({0}) > 1 and right({0}, 1) = substr({0}, length({0}) - 1, 1) and regexp_matches({0}, '[^aeiouyY]$')))"
+
+    def less(w: str, n: int | str) -> str:
+        return f"substr({w}, 1, (length({w}) - {n})::int)"
+
+    def has(w: str, pattern: str) -> str:
+        return f"regexp_matches({w}, '{pattern}')"
+
+    def once(w: str) -> str:
+        return f"({has(w, some)} and not {has(w, more)})"
+
+    def put(table: dict[str, str]) -> str:
+        return "case x " + " ".join(f"when '{k}' then '{v}'" for k, v in table.items()) + " end"
+
+    def swap(k: int, table: dict[str, str]) -> str:
+        return f"""x{k} as (select *, regexp_extract(w, '({_suffixes(table)})$', 1) as x from w{k}),
+          w{k + 1} as (select * exclude (w, x), case when x <> '' and {has(less('w', 'length(x)'), some)} then {less('w', 'length(x)')} || {put(table)} else w end as w from x{k})"""
+
+    mended = f"""case when {has('b', '(at|bl|iz)$')} then b || 'e' when {double.format('b')} and not {has('b', '[lsz]$')} then {less('b', 1)}
+      when not ({double.format('b')} and not {has('b', '[lsz]$')}) and {once('b')} and {has('b', cvc)} then b || 'e' else b end"""
+    return f"""
+      w0 as (select *, regexp_replace(regexp_replace(t, '(^|[aeiou])y', '\\1Y', 'g'), 'yy', 'yY', 'g') as w from words),
+      w1 as (select * exclude w, case when {has('w', '(sses|ies)$')} then {less('w', 2)} when {has('w', '(^|[^s])s$')} then {less('w', 1)} else w end as w from w0),
+      v1 as (select *, regexp_replace(w, '(ed|ing)$', '') as b from w1),
+      w2 as (select * exclude (w, b), case when {has('w', 'eed$')} then (case when {has(less('w', 3), some)} then {less('w', 1)} else w end)
+        when {has('w', '(ed|ing)$')} and {has('b', '[aeiouy]')} then {mended} else w end as w from v1),
+      w3 as (select * exclude w, case when {has('w', '[yY]$')} and {has(less('w', 1), '[aeiouy]')} then {less('w', 1)} || 'i' else w end as w from w2),
+      {swap(3, STEP2)}, {swap(4, STEP3)},
+      x5 as (select *, regexp_extract(w, '({_suffixes(STEP4)})$', 1) as x from w5),
+      w6 as (select * exclude (w, x), case when x <> '' and {has(less('w', 'length(x)'), more)} and (x <> 'ion' or {has(less('w', 'length(x)'), '[st]$')}) then {less('w', 'length(x)')} else w end as w from x5),
+      w7 as (select * exclude w, case when {has('w', 'e$')} and ({has(less('w', 1), more)} or ({once(less('w', 1))} and not {has(less('w', 1), cvc)})) then {less('w', 1)} else w end as w from w6),
+      w8 as (select * exclude w, case when {has('w', more)} and {has('w', 'll$')} then {less('w', 1)} else w end as w from w7),
+      stems as materialized (select conv_id, turn, kind, i, case when length(t) <= 3 then t else replace(w, 'Y', 'y') end as w from w8)"""
+
+
+def _text_metrics() -> str:
+    bleu_tokens = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{Z}\x09-\x0D\x1C-\x1F\x85]"
+    f_score = "case when {1} + {2} > 0 then round_even(2 * {0} / ({1} + {2})::double, 4) else 0.0 end"
+    logs = []
+    for k in range(1, 5):
+        missed = " + ".join(f"(h{j} = 0)::int" for j in range(1, k + 1))
+        logs.append(f"0.25 * ln(case when h{k} = 0 then 1 / (power(2.0, {missed}) * 5 / ln(no::double)) else h{k}::double end / greatest(1, no - {k - 1}))")
+    return f"""with recursive {_CHAT.removeprefix("with ")},
+      sides as (select conv_id, turn, 'o' as kind, lower(coalesce(answer, '')) as x from chat union all select conv_id, turn, 'r', lower(coalesce(question, '')) from chat),
+      lists as (select conv_id, turn, kind, regexp_extract_all(x, '[a-z0-9]+') as l from sides),
+      words as (select conv_id, turn, kind, unnest(l) as t, generate_subscripts(l, 1) as i from lists), {_porter()},
+      counts as (select conv_id, turn, kind, w, count(*) as c from stems group by all),
+      shared as (select a.conv_id, a.turn, sum(least(a.c, b.c)) as hits from counts a join counts b on a.conv_id = b.conv_id and a.turn = b.turn and a.w = b.w and a.kind = 'o' and b.kind = 'r' group by all),
+      sizes as (select conv_id, turn, coalesce(max(len(l)) filter (where kind = 'o'), 0) as n_out, coalesce(max(len(l)) filter (where kind = 'r'), 0) as n_ref from lists group by all),
+      refs as (select conv_id, turn, list(w order by i) as l from stems where kind = 'r' group by all),
+      places as (select conv_id, turn, w, list(i) as places from stems where kind = 'r' group by all),
+      outs as materialized (select o.conv_id, o.turn, o.i, coalesce(places, []) as places from stems o left join places p on p.conv_id = o.conv_id and p.turn = o.turn and p.w = o.w where kind = 'o'),
+      lcs(conv_id, turn, k, l, best) as (
+        select conv_id, turn, 0, l, list_transform(l, lambda x: 0) from refs
+        union all
+        select a.conv_id, a.turn, a.k + 1, a.l, list_transform(range(1, len(a.l) + 1), lambda j: greatest(a.best[j],
+            coalesce(list_max(list_transform(list_filter(o.places, lambda p: p <= j), lambda p: coalesce(case when p > 1 then a.best[p - 1] end, 0) + 1)), 0)::int))
+        from lcs a join outs o on o.conv_id = a.conv_id and o.turn = a.turn and o.i = a.k + 1),
+      longest as (select conv_id, turn, max(list_max(best)) as lcs from lcs group by all),
+      marks as (select conv_id, turn, kind, regexp_extract_all(x, '{bleu_tokens}') as l from sides),
+      grams as (select conv_id, turn, kind, n, array_to_string(l[i:i + n - 1], ' ') as g from (select *, unnest(range(1, len(l) - n + 2)) as i from marks, range(1, 5) r(n) where len(l) >= n)),
+      gram_counts as (select conv_id, turn, kind, n, g, count(*) as c from grams group by all),
+      hits as (select a.conv_id, a.turn, a.n, sum(least(a.c, b.c)) as h from gram_counts a join gram_counts b on a.conv_id = b.conv_id and a.turn = b.turn and a.n = b.n and a.g = b.g and a.kind = 'o' and b.kind = 'r' group by all),
+      wide as (select s.conv_id, s.turn, max(len(s.l)) filter (where kind = 'o') as no, max(len(s.l)) filter (where kind = 'r') as nr,
+        {", ".join(f"coalesce(max(h) filter (where n = {k}), 0) as h{k}" for k in range(1, 5))} from marks s left join hits h on h.conv_id = s.conv_id and h.turn = s.turn group by all),
+      bleu as (select conv_id, turn, case when no = 0 or h1 = 0 or (no <= 1 and least(h1, h2, h3, h4) = 0) then 0.0
+        else round_even((case when no > nr then 1.0 else exp(1 - nr::double / no) end) * exp({" + ".join(logs)}), 4) end as bleu from wide)
+      select conv_id, turn, bleu::double as bleu, ({f_score.format("coalesce(hits, 0)", "n_out", "n_ref")})::double as rouge1_f, ({f_score.format("coalesce(lcs, 0)", "n_out", "n_ref")})::double as "rougeL_f",
+        ({f_score.format("coalesce(lcs, 0)", "n_out", "n_ref")})::double as question_relevance
+      from sizes left join shared using (conv_id, turn) left join longest using (conv_id, turn) join bleu using (conv_id, turn)"""
+
+
+SQL["text_metrics"] = _text_metrics()

@@ -14,11 +14,12 @@ from obliva.functions import logits as L
 from obliva.functions import outputs as O
 from obliva.functions import similarity
 from obliva.functions.draws import draw, order_key
-from obliva.operators import corpus, decode, evaluation, gradients, prep, scoring, splits
+from obliva.operators import corpus, decode, evaluation, gradients, models, prep, scoring, splits, tokens
 from obliva.operators.order import positions
 from obliva.oracle import SQL
+from obliva.plans import stages as stages_
 from obliva.plans import views as V
-from obliva.sources import catalog, readers, sinks
+from obliva.sources import catalog, readers, retention, sinks
 from obliva.sources.shared import files, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -291,6 +292,15 @@ def common_statistics(spark, d):
     return s.select("model_type", "total_samples", *[F.col("average_scores")[n].alias(n) for n in names])
 
 
+@query
+def batched_judge(spark, d):
+    """Judgements by a stand-in model that is asked in batches, each prompt once."""
+    c = V.chat(spark, d)
+    prompt = F.concat(F.lit("Q: "), "question", F.lit(" A: "), F.when(F.col("turn") % 2 == 0, F.col("answer")).otherwise(F.lit("none")))
+    rows = models.ask(c.select("conv_id", "turn", prompt.alias("prompt")), "prompt", "judge-by-length", V.judge_by_length, budget=20_000, most=16)
+    return rows.select("conv_id", "turn", F.col("model_output").alias("judged"), O.parse_score(F.col("model_output")).alias("score"))
+
+
 @query
 def rule_notes(spark, d):
     e = scoring.error_detail(V.predictions(spark, d))
@@ -404,6 +414,55 @@ def triples_tokens(spark, d):
     return out.where(prep.same_sizes(*[F.col(f"{k}_sample.labels") for k in ("forget", "retain", "idk")])).select("pos", *shown("forget"), *shown("retain"), *shown("idk"))
 
 
+@query
+def triples_by_method(spark, d):
+    """The training triples that methods of each kind ask for: no other set, retained rows, and refusals as well."""
+    qa, text = V.qa(spark, d), F.concat_ws(" ", "question", "answer")
+    names = splits.forget_names(qa, "n_per_firstname", 2, SEED)
+    forget = qa.where("attribute = 'blood_type'").join(F.broadcast(names), "name", "left_semi").withColumn("text", text)
+    retain = lambda: splits.labelled(qa, names, ONE, "same_firstname_same_attr", 3, SEED).where("split = 'retain'").withColumn("text", text)
+    lines = lambda: V.refusals(spark).withColumnRenamed("value", "text")
+    out = None
+    for method in ("grad_ascent", "npo", "po"):
+        one = prep.method_triples(config.Unlearn(method=method), forget, retain, lines, ["name", "template"], SEED)
+        have = lambda c, one=one: (F.count(c) if c in one.columns else F.lit(0).cast("bigint"))
+        row = one.agg(F.count("*").alias("n"), have("retain_text").alias("n_retain"), have("idk_text").alias("n_idk")).withColumn("method", F.lit(method))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _vocabulary(spark, d):
+    """Words of the benchmark, with and without a space before them, and the letters."""
+    words = V.table(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).where("w <> ''")
+    both = words.select(F.explode(F.array("w", F.concat(F.lit(" "), "w"))).alias("piece"))
+    letters = spark.createDataFrame([(c,) for c in "abcdefghijklmnopqrstuvwxyz "], "piece string")
+    return tokens.Vocabulary.of_table(both.unionByName(letters))
+
+
+@query
+def vocabulary_ids(spark, d):
+    """Answers as ids of a vocabulary, longest match, bytes for what no piece covers; and whether they decode to the answer."""
+    v = _vocabulary(spark, d)
+    coded = tokens.with_ids(V.chat(spark, d).select("conv_id", "turn", "answer"), {"ids": "answer"}, v)
+    back = tokens.with_text(coded, {"back": "ids"}, v)
+    return back.select("conv_id", "turn", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), (F.col("back") == F.col("answer")).alias("whole"))
+
+
+@query
+def vocabulary_labels(spark, d):
+    """What is learnt of a chat pair, with the question's mask counted with the leading special token and without it."""
+    v, c = _vocabulary(spark, d), V.chat(spark, d)
+    asked = O.wrap(F.col("question"), V.START, V.END)
+    rows = c.select("conv_id", "turn", asked.alias("q"), F.concat(asked, F.lit(" "), "answer").alias("t"))
+    out = None
+    for name, shifted in (("shifted", True), ("short", False)):
+        x = tokens.labelled(rows, "q", "t", v, 256, shifted)
+        learnt = F.filter("labels", lambda y: y != L.IGNORED)
+        one = x.select("conv_id", "turn", F.lit(name).alias("mask"), F.array_join(F.slice("input_ids", 1, 3).cast("array<string>"), ",").alias("first"), F.array_join(learnt.cast("array<string>"), ",").alias("learnt"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query
 def idk_replace(spark, d):
     return prep.with_refusals(V.qa(spark, d), V.refusals(spark), ["name", "attribute", "template"], SEED).select("name", "attribute", "template", "question", "answer")
@@ -846,9 +905,10 @@ def stored_run_record(spark, d):
 
 @query
 def stored_run_folders(spark, d):
+    """A folder for each nation (a table of fixed size), two of three of them checkpoints."""
     path = scratch(spark, "runs")
-    for name in ("checkpoint-20", "checkpoint-5", "log"):
-        fs, where = files(spark, f"{path}/{name}")
+    for (k,) in V.table(spark, d, "nation").select("n_nationkey").collect():
+        fs, where = files(spark, f"{path}/{'log' if k % 3 == 0 else 'checkpoint'}-{k}")
         fs.mkdirs(where)
     found = [(f.rsplit("/", 1)[1],) for f in catalog.folders(spark, path, "checkpoint-")]
     return spark.createDataFrame(found, "folder string")
@@ -856,8 +916,50 @@ def stored_run_folders(spark, d):
 
 @query
 def dataset_paths(spark, d):
-    known = [(k, catalog.dataset_path(k, "data", catalog.split_folder(20, 1))) for k in (*catalog.GLOBAL, *catalog.SPLIT)]
-    return spark.createDataFrame(known, "kind string, path string")
+    """The file of every dataset type, in a split folder for each nation."""
+    n = V.table(spark, d, "nation").select("n_nationkey", F.explode(F.array(*map(F.lit, (*catalog.GLOBAL, *catalog.SPLIT)))).alias("kind"))
+    folder = F.concat(F.lit("unlearn-N"), (F.col("n_nationkey") + 1).cast("string"), F.lit("-A1"))
+    return catalog.with_paths(n, "data", folder).select("n_nationkey", "kind", "path")
+
+
+@query
+def stored_variants(spark, d):
+    path = scratch(spark, "variants")
+    sinks.variants(evaluation.base_variants(_common_questions(spark, d), _model, _judge, V.START, V.END, ["name", "attribute"], SEED), path)
+    detail = spark.read.parquet(f"{path}/detail").groupBy("variant").agg(F.count("*").alias("n"))
+    stats = spark.read.parquet(f"{path}/statistics").select(F.regexp_replace("model_type", "^base-(?=.)", "base-").alias("model_type"), "total_samples", "score")
+    return detail.join(stats, F.concat(F.lit("base-"), F.regexp_replace("variant", "^base-?", "")) == F.col("model_type")).select("variant", "n", "total_samples", "score")
+
+
+@query
+def checkpoint_retention(spark, d):
+    """Runs of some epochs, saved every second one, of which the last two stay."""
+    root = scratch(spark, "kept")
+    n = V.table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("run"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_nationkey") % 4 + 5)).alias("step"))
+    saved = n.where(retention.due(F.col("step"), 2)).withColumn("weights", F.concat_ws("/", "run", F.col("step").cast("string")))
+    saved.write.mode("append").partitionBy("run", "step").parquet(root)
+    retention.record(saved.select("run", "step", F.concat(F.lit("run="), "run", F.lit("/step="), F.col("step").cast("string")).alias("folder")), root)
+    retention.retire(spark, root, 2)
+    left = spark.read.schema("weights string, run string, step bigint").parquet(root)
+    return left.join(retention.index(spark, root), ["run", "step"]).select("run", "step", "weights", F.col("state").cast("bigint").alias("state"))
+
+
+@query
+def stage_graph(spark, d):
+    """Three stages, run twice: what a changed setting touches runs again, the rest is read."""
+    root = scratch(spark, "stages")
+
+    def stages(weight):
+        orders = V.table(spark, d, "orders")
+        spend = stages_.Stage("spend", lambda _: orders.groupBy("o_custkey").agg(r6(F.sum("o_totalprice") * weight).alias("spend")), settings={"weight": weight})
+        lines = stages_.Stage("lines", lambda _: V.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")))
+        count = lambda t: orders.join(t["lines"], F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg(F.sum("n").alias("n")).join(t["spend"], "o_custkey")
+        return [stages_.Stage("report", count, needs=("spend", "lines")), spend, lines]
+
+    inputs = stages_.inputs_fingerprint(spark, f"{d}/orders.parquet", f"{d}/lineitem.parquet")
+    stages_.graph(spark, stages(1), root, inputs=inputs)
+    again = stages_.graph(spark, stages(2), root, inputs=inputs)
+    return again.tables["report"].select("o_custkey", "n", "spend", F.lit(",".join(again.ran)).alias("ran"))
 
 
 # Runs

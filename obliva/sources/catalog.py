@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The file of each dataset type.
@@ -37,6 +37,15 @@ def dataset_path(kind: str, root: str, split_folder: str | None = None) -> str:
     return f"{root}/{split_folder}/test-{SPLIT[kind]}"
 
 
+def with_paths(rows: DataFrame, root: str, folder: Column) -> DataFrame:
+    """rows (kind) with ``path``, the file of the dataset type as in ``dataset_path``; an unknown type is an error."""
+    known = [(k, f, False) for k, f in GLOBAL.items()] + [(k, f, True) for k, f in SPLIT.items()]
+    table = rows.sparkSession.createDataFrame(known, "kind string, _file string, _split boolean")  # a row for each type
+    unknown = F.raise_error(F.concat(F.lit("unknown dataset type: "), F.col("kind"))).cast("string")
+    path = F.when(F.col("_split"), F.concat(F.lit(f"{root}/"), folder, F.lit("/test-"), "_file")).when(F.col("_split").isNotNull(), F.concat(F.lit(f"{root}/"), "_file")).otherwise(unknown)
+    return rows.join(F.broadcast(table), "kind", "left").withColumn("path", path).drop("_file", "_split")
+
+
 def split_folder(n: int, attributes: int | None, combination: bool = False, suffix: str = "") -> str:
     stem = f"unlearn-N{n}" + (f"-A{attributes}" if attributes else "-INS" if combination else "")
     return stem + (f"-{suffix}" if suffix else "")

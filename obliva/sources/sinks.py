@@ -8,6 +8,7 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from obliva.operators import evaluation
 from obliva.sources.shared import files
 
 
@@ -55,6 +56,13 @@ def results(detail: DataFrame, summary: DataFrame, path: str, *parameters: str)
         (writer.partitionBy(*parameters) if parameters else writer).parquet(f"{path}/{name}")
 
 
+def variants(df: DataFrame, path: str) -> None:
+    """A baseline's variants, a folder each, and the statistics of all of them."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("variant").parquet(f"{path}/detail")
+    written = df.sparkSession.read.schema(df.schema).parquet(f"{path}/detail")
+    evaluation.variant_statistics(written).write.mode("overwrite").parquet(f"{path}/statistics")
+
+
 def token_notes(sets: DataFrame, path: str) -> None:
     """Position token sets (attribute, pos, token) as text, sorted."""
     sets.orderBy("attribute", "pos", "token").select(F.concat_ws("\t", "attribute", F.col("pos").cast("string"), F.col("token"))).write.mode("overwrite").text(path)

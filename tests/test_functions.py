@@ -7,10 +7,11 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+import plain_metrics as plain
+from obliva.functions import similarity as S
 from obliva.functions import attributes as A
 from obliva.functions import logits as L
 from obliva.functions import outputs as O
-from obliva.functions import similarity as S
 
 ERRORS = [
     ("year_of_birth", "no idea", "it is 1990.", 1.0),
@@ -133,18 +134,53 @@ def test_logits(spark):
     assert got.ls == pytest.approx(-800)
 
 
-@pytest.mark.parametrize(("word", "stem"), [("caresses", "caress"), ("ponies", "poni"), ("relational", "relat"), ("hopping", "hop"), ("happy", "happi"), ("probate", "probat"), ("controll", "control"), ("agreed", "agre"), ("electrical", "electr")])
-def test_porter(word, stem):
-    assert S.stem(word) == stem
+PORTER = {"caresses": "caress", "ponies": "poni", "relational": "relat", "hopping": "hop", "happy": "happi", "probate": "probat", "controll": "control", "agreed": "agre", "electrical": "electr"}
 
 
-def test_overlap_scores():
-    a, b = "the cat sat on the mat".split(), "the cat on the mat today".split()
-    assert S.rouge1(a, b) == pytest.approx((5 / 6, 5 / 6, 5 / 6))
-    assert S.lcs(a, b) == 5
-    assert S.lcs([], a) == 0
-    assert S.bleu4(a, a) == pytest.approx(1)
-    assert S.bleu4(a, []) == 0
+def test_porter(spark):
+    """The published examples, and odd words (runs of y, doubled ends, digits) as the plain stemmer has them."""
+    assert {w: plain.stem(w) for w in PORTER} == PORTER
+    r = random.Random(5)
+    ends = ["", "s", "es", "ies", "ed", "eed", "ing", "y", "yy", "ational", "iveness", "icate", "ful", "ement", "ion", "ll", "le", "e", "tt", "xx", "iz", "at"]
+    words = sorted({"".join(r.choice("aeiouybcdlstwx1") for _ in range(r.randint(1, 7))) + r.choice(ends) for _ in range(3000)} | set(PORTER))
+    df = spark.createDataFrame([(words,)], "w array<string>")
+    got = df.select(S.stems(F.col("w"))).first()[0]
+    assert dict(zip(words, got, strict=True)) == {w: plain.stem(w) if len(w) > 3 else w for w in words}
+
+
+def test_overlap_scores(spark):
+    """BLEU, ROUGE-1 and ROUGE-L of bags of few words, up to several longs of bits."""
+    r = random.Random(9)
+    cases = [([], []), ([], ["a"]), (["a"], []), (["a"], ["a"]), (["a"], ["b"]), ("the cat sat on the mat".split(), "the cat on the mat today".split())]
+    for n in (3, 8, 61, 62, 63, 130, 200):
+        cases += [([r.choice("abcdef") for _ in range(n)], [r.choice("abcdefgh") for _ in range(r.randint(1, 2 * n))]) for _ in range(4)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i int, a array<string>, b array<string>")
+    a, b = F.col("a"), F.col("b")
+    got = df.select("i", S.clipped(a, b).alias("hits"), S.common_subsequence(a, b).alias("lcs"), S.bleu4(a, b).alias("bleu"), S.rouge1(a, b).alias("r1"), S.rouge_l(a, b).alias("rl")).collect()
+    for x in got:
+        ref, out = cases[x.i]
+        assert x.hits == sum((Counter(ref) & Counter(out)).values())
+        assert x.lcs == plain.lcs(ref, out)
+        assert x.bleu == pytest.approx(plain.bleu4(ref, out), abs=1e-12)
+        assert tuple(x.r1) == pytest.approx(plain.rouge1(ref, out), abs=6e-5)
+        assert tuple(x.rl) == pytest.approx(plain.rouge_l(ref, out), abs=6e-5)
+
+
+def test_text_metrics_stay_in_the_jvm(spark):
+    df = spark.createDataFrame([(None, None, None), ("", "x", "x"), ("Ça va, Émile!", "ça va Émile", "va")], "o string, r string, q string")
+    m = df.select(S.text_metrics(F.col("o"), F.col("r"), F.col("q")).alias("m"))
+    assert "Python" not in m._jdf.queryExecution().executedPlan().toString()
+    rows = [x.m for x in m.collect()]
+    assert [x.bleu for x in rows[:2]] == [0, 0]
+    tokens = lambda t: re.findall(r"\w+|[^\w\s]", t.lower())
+    assert rows[2].bleu == pytest.approx(plain.bleu4(tokens("ça va Émile"), tokens("Ça va, Émile!")), abs=6e-5)
+
+
+def test_cleaning_computes_each_step_once(spark):
+    """Steps are bound: no expression of the plan grows with the number of times that a step names its input."""
+    df = spark.createDataFrame([("a", "b")], "o string, p string")
+    plan = df.select(O.clean_output(F.col("o"), F.col("p"), "[INST]", "[/INST]").alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 40
 
 
 def test_garbled_keeps_length(spark):

@@ -242,25 +242,6 @@ def test_cleaning_against_a_plain_restatement(spark):
         assert got[r.conv_id, r.turn] == plain(r.output, r.question)
 
 
-def test_text_metrics_against_plain_counts(spark):
-    """BLEU, ROUGE-1 and ROUGE-L of all pairs by counting n-grams and the longest common subsequence."""
-    from collections import Counter
-
-    from obliva.functions import similarity as S
-
-    c = V.chat(spark, SF)
-    out = c.select("answer", "question", S.text_metrics(F.col("answer"), F.col("question"), F.col("question")).alias("m")).collect()
-    assert out
-    for r in out:
-        x, y = ([S.stem(w) for w in re.findall("[a-z0-9]+", t.lower())] for t in (r.answer, r.question))
-        hits = sum((Counter(x) & Counter(y)).values())
-        p, q = (hits / len(x) if x else 0.0), (hits / len(y) if y else 0.0)
-        f = 2 * p * q / (p + q) if p + q else 0.0
-        assert r.m.rouge1.fmeasure == pytest.approx(f, abs=1e-4)
-        assert 0 <= r.m.rougeL.fmeasure <= r.m.rouge1.fmeasure + 1e-4
-        assert 0 <= r.m.bleu <= 1
-
-
 def test_runs_and_records(spark, tmp_path):
     for n in ("epoch-2", "epoch-10", "other"):
         (tmp_path / n).mkdir()
