@@ -36,7 +36,8 @@ FLAT = (
     (("system", "system"), ("instruction", "user"), ("input", "user"), ("output", "assistant")),
     (("question", "user"), ("answer", "assistant")),
 )
-#: Names that layouts use for the three roles.
+#: Names that some layouts use for the three roles; in the others a role is as it is given.
+RENAMED = ("conversations", "dialogue")
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -108,8 +109,8 @@ def with_turns(records: DataFrame, record: str = "record") -> DataFrame:
     def turn(role: Column, text: Column) -> Column:
         return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
-    def message(role: str, text: str):
-        return lambda m: turn(F.coalesce(renamed[m[role]], m[role]), m[text])
+    def message(path: str, role: str, text: str):
+        return lambda m: turn(F.coalesce(renamed[m[role]], m[role]) if path in RENAMED else m[role], m[text])
 
     row = F.col("_record")
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")
@@ -118,7 +119,7 @@ def with_turns(records: DataFrame, record: str = "record") -> DataFrame:
         texts = [F.concat_ws("\n\n", *[F.nullif(f, F.lit("")) for f in fs]) if len(fs) > 1 else fs[0] for fs in fields.values()]
         turns = F.when(F.col("_mapping") == k, F.array(*[turn(F.lit(r), t) for r, t in zip(fields, texts, strict=True)])).otherwise(turns)
     for k, (path, role, text) in enumerate(LISTS, len(FLAT)):
-        turns = F.when(F.col("_mapping") == k, F.transform(row[path], message(role, text))).otherwise(turns)
+        turns = F.when(F.col("_mapping") == k, F.transform(row[path], message(path, role, text))).otherwise(turns)
     return out.withColumn("turns", turns).drop("_record", "_mapping")
 
 

@@ -1,16 +1,19 @@
 """Main-text extraction from HTML by tag-path ratios.
 
 A page becomes a sequence of text blocks, each under a root-to-leaf tag path.
-Text length, link text and punctuation are added up by path; the ratios per
-node are smoothed over the sequence of blocks and fused with how much of its
-path a block shares with the path that holds most text.  The mean of a path's
-blocks is held against a threshold, and the blocks of the paths above it are
-the text; a heading right before one of them goes with it.
+Text length, link text and punctuation are added up by path; the two ratios per
+node are fused and smoothed over the sequence of blocks, where a neighbour
+counts as far as its path is alike.  The ratios times the text say what each path
+weighs: the place of the page that weighs most is the content, an article or
+main element before others.  A block's value is its ratio, raised within that
+place, and outside it lowered by how little of the place's path it shares and how
+little it weighs.  The mean of a path's blocks is held against a threshold, and
+the blocks of the paths above it are the text; a heading right before one of them goes with it.
 
 What HTML itself declares to be something else (nav, footer, aside, form,
-hidden and the like) never takes part.  Names of classes and ids are weak
-evidence only: they lower a path's value, unless what is so named holds most of
-the page's text.
+hidden and the like) never takes part.  Names of classes and ids lower a path's
+value, unless what is so named holds most of the page's text; doubtful names
+lower it so little that good ratios outweigh them.
 
 The page is read once from left to right and every step looks at a bounded
 number of nodes, so that broken or deeply nested pages cost no more than others
@@ -39,11 +42,16 @@ from obliva.llm.common import ship
 THRESHOLD = 0.3
 #: Plain characters and punctuation marks a node at which the two ratios count half.
 HALF_LENGTH, HALF_MARKS = 25.0, 0.5
-#: Factors: a name that speaks against the content, and a place outside the page's article or main part.
-NAMED, OUTSIDE = 0.25, 0.3
+#: Factors: a name that speaks against the content, one that may, and a place outside the page's article or main part.
+NAMED, DOUBTFUL, OUTSIDE = 0.25, 0.4, 0.3
+#: What a block has within the content besides its ratio: as much as the threshold asks for where HTML names the place, less elsewhere.
+INSIDE, WITHIN = 0.5, 0.25
+#: Paths outside the content that weigh less than this share of it count the less.
+SHARE = 0.5
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _PLAIN = re.compile(r"[^\"'>]*")
+_ASSIGNED = re.compile(r"=\s*\Z")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript textarea title template iframe svg math canvas object audio video xmp noframes noembed".split())
@@ -61,8 +69,10 @@ _PLACES = frozenset("p h1 h2 h3 h4 h5 h6 pre li ul ol dl dd dt td th tr tbody ta
 #: Parts of names that speak against the content, and those that say nothing.
 _AGAINST = re.compile(
     r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w+|signup|login|nav\w*|menu|breadcrumbs?|sidebar|"
-    r"widgets?|footer|copyright|masthead|topbar|toolbar|pagination|pager|share|sharing|social|related|recommend\w*|comments?|commentlist|replies|reply|disqus|respond|toc|search|header"
+    r"widgets?|footer|copyright|masthead|topbar|toolbar|pagination|pager|share|sharing|social|comments?|commentlist|disqus|respond"
 )
+#: Parts of names that the article's own sections bear as well.
+_DOUBTFUL = re.compile(r"related|recommend\w*|replies|reply|toc|search|header")
 _OWN_HEADER = re.compile("entry|post|article|content", re.I)
 _NEUTRAL = frozenset("site page post posts entry list box area wrap wrapper container section block links link items item inner outer top bottom left right global bar the of and widget group".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -70,10 +80,10 @@ _MARKS = re.compile(r"[.,;:!?、。，،]")
 
 
 class _Node:
-    __slots__ = ("against", "dead", "home", "items", "label", "linked", "p", "parent", "path", "plain", "tag", "weight")
+    __slots__ = ("dead", "factor", "home", "items", "label", "linked", "p", "parent", "path", "plain", "tag", "weight")
 
-    def __init__(self, tag: str, parent: _Node | None, path: int, dead: bool = False, against: bool = False):
-        self.tag, self.parent, self.path, self.against = tag, parent, path, against
+    def __init__(self, tag: str, parent: _Node | None, path: int, dead: bool = False, factor: float = 1.0):
+        self.tag, self.parent, self.path, self.factor = tag, parent, path, factor
         self.dead = dead or bool(parent and parent.dead)
         inline = tag in _INLINE
         self.home = parent.home if inline and parent else self
@@ -112,17 +122,22 @@ def _declared(tag: str, attributes: list[tuple[str, str]], inside: bool) -> bool
     return False
 
 
-def _against(tag: str, attributes: list[tuple[str, str]]) -> bool:
-    """Whether a class or id consists of words that speak against the content (and of such that say nothing)."""
+def _name_factor(tag: str, attributes: list[tuple[str, str]]) -> float:
+    """What a class or id leaves of a value, if it consists of words that speak against the content (and of such that say nothing)."""
     if tag in ("body", "html", "article", "main") or tag in _HEADINGS:
-        return False
+        return 1.0
+    factor = 1.0
     for name, value in attributes:
         if name in ("class", "id"):
             for one in value.split():
                 parts = [x for x in re.split(r"[-_\d]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", one).lower()) if x and x not in _NEUTRAL]
-                if parts and all(map(_AGAINST.fullmatch, parts)) and not (parts == ["header"] and _OWN_HEADER.search(one)):
-                    return True
-    return False
+                if not parts or (parts == ["header"] and _OWN_HEADER.search(one)):
+                    continue
+                if all(map(_AGAINST.fullmatch, parts)):
+                    factor = min(factor, NAMED)
+                elif all(_AGAINST.fullmatch(x) or _DOUBTFUL.fullmatch(x) for x in parts):
+                    factor = min(factor, DOUBTFUL)
+    return factor
 
 
 class _Paths:
@@ -139,6 +154,12 @@ class _Paths:
             self.tag.append(tag)
         return at
 
+    def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """1 for equal paths, a half for those of one parent or of parent and child, a tenth for all others."""
+        parent = np.array(self.parent)
+        near = (parent[a] == parent[b]) | (parent[a] == b) | (parent[b] == a)
+        return np.where(a == b, 1.0, np.where(near, 0.5, 0.1))
+
 
 def blocks(page: str) -> tuple[list[_Block], list[_Node], _Paths]:
     """Text blocks of a page in order, all its nodes in order, and its paths; sections declared to be something else give no blocks."""
@@ -168,7 +189,8 @@ def blocks(page: str) -> tuple[list[_Block], list[_Node], _Paths]:
                 return find(">", first)
             if page[at] == ">":
                 return at
-            k = find(page[at], at + 1)
+            # A quote opens a value only right after an equals sign; elsewhere it is a letter like any other.
+            k = find(page[at], at + 1) if _ASSIGNED.search(page, max(first, at - 64), at) else -1
             at = at + 1 if k < 0 else k + 1
         return find(">", first)
 
@@ -198,7 +220,7 @@ def blocks(page: str) -> tuple[list[_Block], list[_Node], _Paths]:
 
     def enter(tag: str, attributes: list[tuple[str, str]], label: str) -> None:
         nonlocal node, articles
-        node = _Node(tag, node, paths.step(node.path, label, tag), _declared(tag, attributes, articles > 0), _against(tag, attributes))
+        node = _Node(tag, node, paths.step(node.path, label, tag), _declared(tag, attributes, articles > 0), _name_factor(tag, attributes))
         nodes.append(node)
         depth[tag] = depth.get(tag, 0) + 1
         articles += tag in ("article", "main")
@@ -273,12 +295,17 @@ def blocks(page: str) -> tuple[list[_Block], list[_Node], _Paths]:
     return out, nodes, paths
 
 
-def _smooth(x: np.ndarray) -> np.ndarray:
-    """Gaussian smoothing over page order, radius 2."""
-    if len(x) < 3:
-        return x
-    kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
-    return np.convolve(np.pad(x, 2, mode="edge"), kernel / kernel.sum(), mode="valid")
+def _smooth(x: np.ndarray, which: np.ndarray, alike) -> np.ndarray:
+    """Gaussian smoothing over page order, radius 2; a neighbour counts as far as its path is alike."""
+    top, total = x.copy(), np.ones(len(x))
+    for d in (1, 2):
+        if len(x) > d:
+            w = np.exp(-0.5 * d * d) * alike(which[d:], which[:-d])
+            top[d:] += w * x[:-d]
+            top[:-d] += w * x[d:]
+            total[d:] += w
+            total[:-d] += w
+    return top / total
 
 
 def _container(paths: _Paths, mass: np.ndarray) -> tuple[int, bool]:
@@ -329,14 +356,16 @@ def main_text(page: str | None) -> str:
     total = nodes[0].plain
     for x in nodes:
         if x.parent is not None:
-            x.weight = x.parent.weight * (NAMED if x.against and x.plain < total / 2 else 1.0)
+            x.weight = x.parent.weight * (x.factor if x.plain < total / 2 else 1.0)
     weight = np.array([h.weight for h in homes])
 
+    # Ratios by path, fused by block.
     length = np.bincount(which, plain, count) / per_node
     punctuation = np.bincount(which, marks * plain / size, count) / per_node
-    mass = np.bincount(which, plain * (1 + marks) * weight, count)
-    if not mass.any():
-        mass = np.bincount(which, size * weight, count)
+    fused = 0.5 * length / (length + HALF_LENGTH) + 0.5 * punctuation / (punctuation + HALF_MARKS)
+    ratio = _smooth(fused[which], which, paths.alike)
+    # What a path weighs: its text times its ratio; where all text is links, the text.
+    mass = np.bincount(which, (ratio * plain if plain.any() else size) * weight, count)
     centre, semantic = _container(paths, mass)
     chain = 0
     up = centre
@@ -350,12 +379,15 @@ def main_text(page: str | None) -> str:
         shared[i] = shared[paths.parent[i]] + on[i]
     alike = shared / max(chain, 1) if chain else np.ones(count)
 
-    long_, marked = _smooth(length[which]), _smooth(punctuation[which])
-    ratio = 0.5 * long_ / (long_ + HALF_LENGTH) + 0.5 * marked / (marked + HALF_MARKS)
     inside = alike[which] >= 1
-    # Inside the container a block's place speaks for it even without a ratio of its own (a linked heading, a list of links).
-    value = np.where(inside, 0.5 + 0.5 * ratio, ratio * alike[which] ** 2 * (OUTSIDE if semantic else 1.0)) * weight
+    heavy = np.minimum(1.0, mass / max(SHARE * mass[on | (shared >= chain)].sum(), 1e-9))
+    base = INSIDE if semantic else WITHIN
+    # Within the content a block's place speaks for it too (a linked heading, a short point).
+    value = np.where(inside, base + (1 - base) * ratio, ratio * alike[which] ** 2 * (OUTSIDE if semantic else heavy[which])) * weight
     chosen = (np.bincount(which, value * size, count) / np.maximum(np.bincount(which, size, count), 1) >= THRESHOLD)[which]
+    if not chosen.any() and mass.any():
+        # A page of few words: what there is in the place that weighs most.
+        chosen = inside & (weight == weight[inside].max(initial=0.0))
     after = False
     for k in range(len(texts) - 1, -1, -1):
         if homes[k].tag in _HEADINGS and not semantic and after and weight[k] == 1 and not homes[k].dead:

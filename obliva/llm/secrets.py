@@ -50,28 +50,63 @@ ENCODINGS = (
 BINS, CLASSES = 1000, 16
 
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
+#: Code points of a block of a text that is cut in many places.
+BLOCK = 4096
+
+
+def running(values: Column, first: Column, step) -> Column:
+    """For each value what the ones before it add up to: step is associative and ``first`` its neutral element.
+
+    The values go in blocks of about the root of their number, so that no list is copied more often than that.
+    """
+
+    def before(items: Column, start: Column) -> Column:
+        empty = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        grown = F.aggregate(items, empty, lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+        return grown["out"]
+
+    def cut_up(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return _let(width, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / w).cast("int")), lambda k: F.slice(v, k * w + 1, w)))
+
+    def of(blocks: Column) -> Column:
+        starts = before(F.transform(blocks, lambda x: F.aggregate(x, first, step)), first)
+        return F.flatten(F.zip_with(blocks, starts, before))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, _let(cut_up(v), of)).otherwise(F.array().cast("array<bigint>")))
 
 
 def matches(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
-    """Spans (start, kind, end) of the leftmost matches that do not overlap, less those whose group is short."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    # A match by itself matches the same way, so its group is taken from it.
-    inner = F.transform(whole, lambda m: F.char_length(F.regexp_extract(m, pattern, group) if group else m))
-    parts = F.arrays_zip(F.transform(whole, lambda m: F.char_length(m)), inner, F.transform(between, lambda b: F.char_length(b)))
-    parts = parts.cast("array<struct<m:int,g:int,b:int>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + p["b"]
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + p["m"]).alias("end"))
-        return F.struct(
-            (begin + F.coalesce(p["m"], F.lit(0))).alias("at"),
-            F.when(p["g"] >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
-        )
+    """Spans (start, kind, end, text) of the leftmost matches that do not overlap, less those whose group is short."""
+    kinds = "array<struct<start:bigint,kind:int,end:bigint,text:string>>"
+
+    def of(x: Column) -> Column:
+        # A match by itself matches the same way, so its group is taken from it.
+        parts = F.zip_with(x["whole"], F.slice(x["between"], F.lit(1), F.size(x["whole"])), lambda m, b: F.struct(m.alias("m"), F.char_length(m).cast("long").alias("n"), F.char_length(b).cast("long").alias("b")))
+
+        def placed(p: Column) -> Column:
+            at = running(F.transform(p, lambda y: y["n"] + y["b"]), F.lit(0).cast("long"), lambda a, y: a + y)
+            spans = F.zip_with(p, at, lambda y, a: F.struct((a + y["b"]).alias("start"), F.lit(kind).alias("kind"), (a + y["b"] + y["n"]).alias("end"), y["m"].alias("text")))
+            return F.filter(spans, lambda y: F.char_length(F.regexp_extract(y["text"], pattern, group) if group else y["text"]) >= least)
 
-    found = F.aggregate(parts, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
+        return _let(parts, placed).cast(kinds)
+
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.split(text, pattern, -1).alias("between"))
+    return F.when(text.rlike(pattern), _let(found, of)).otherwise(F.array().cast(kinds))
+
+
+def uncovered(base: Column, tokens: Column) -> Column:
+    """The tokens (start, kind, end, text) that no base span covers: in order of starts, those that end beyond all base spans so far."""
+    kind = len(BASE)
+
+    def of(merged: Column) -> Column:
+        ends = F.transform(merged, lambda x: F.when(x["kind"] < kind, x["end"]).otherwise(F.lit(-1).cast("long")))
+        reach = running(ends, F.lit(-1).cast("long"), lambda a, x: F.greatest(a, x))
+        met = F.zip_with(merged, reach, lambda x, r: F.struct(x.alias("x"), r.alias("reach")))
+        return F.transform(F.filter(met, lambda y: (y["x"]["kind"] == kind) & (y["reach"] < y["x"]["end"])), lambda y: y["x"])
+
+    # A base span comes before a token of the same start.
+    return F.when((F.size(base) > 0) & (F.size(tokens) > 0), _let(F.array_sort(F.concat(base, tokens)), of)).otherwise(tokens)
 
 
 def _let(value: Column, body) -> Column:
@@ -183,20 +218,20 @@ def level(bins: dict[int, int]) -> int:
 def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (the key by default), base and spans of each document; kind 3 is the battery's."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    base = F.concat(*[matches(t, p, k, group, least) for k, (_, p, group, least) in enumerate(BASE)])
     slim = docs.select(F.struct(*(keep or [key])).alias("kept"), F.col(text).alias("text"))
+    base = F.concat(*[matches(t, p, k, group, least) for k, (_, p, group, least) in enumerate(BASE)])
     # Tokens that a base span covers add nothing; the rest carry their test.
-    tokens = F.filter(matches(t, TOKEN, len(BASE)), lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     tested = F.transform(
-        tokens,
+        uncovered(F.col("base"), matches(t, TOKEN, len(BASE))),
         lambda s: F.struct(
             s["start"].alias("start"),
             s["end"].alias("end"),
             F.least(F.lit(CLASSES - 1), F.floor(F.log2((s["end"] - s["start"]).cast("double"))).cast("int")).alias("class"),
-            F.least(F.lit(BINS - 1), F.floor(battery(F.substr(F.col("text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))["p"] * BINS)).cast("int").alias("bin"),
+            F.least(F.lit(BINS - 1), F.floor(battery(s["text"])["p"] * BINS)).cast("int").alias("bin"),
         ),
     )
-    found = cut(slim.withColumn("base", F.array_sort(base)).select("kept", "base", tested.alias("tested")))
+    bare = F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["end"])).cast(_SPAN)
+    found = cut(slim.withColumn("base", F.array_sort(base)).select("kept", bare.alias("base"), tested.alias("tested")))
     counts = found.select(F.explode("tested").alias("x")).groupBy("x.class", "x.bin").agg(F.count("*").alias("n"))
     least = thresholds(counts)
     levels = F.array(*[F.lit(least.get(k, BINS)) for k in range(CLASSES)])
@@ -212,12 +247,26 @@ def render(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with every span replaced by a mark; spans that overlap count as one."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substr(text, (acc["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - acc["at"]).cast("int"))
-        parts = F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(before, F.lit(mark)))).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts"))
+    def piece(blocks: Column, a: Column, b: Column) -> Column:
+        """Code points a to b, out of the blocks they lie in."""
+
+        def of(x: Column) -> Column:
+            first, last = F.get(blocks, x["i"]), F.get(blocks, x["j"])
+            ends = F.concat(F.substr(first, x["a"] + 1), F.array_join(F.slice(blocks, x["i"] + 2, x["j"] - x["i"] - 1), ""), F.substr(last, F.lit(1), x["b"]))
+            return F.when(x["i"] == x["j"], F.substr(first, x["a"] + 1, x["b"] - x["a"])).otherwise(ends)
+
+        i, j = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
+        places = F.struct(i.alias("i"), j.alias("j"), (a - i * BLOCK).cast("int").alias("a"), (b - j * BLOCK).cast("int").alias("b"))
+        return F.when(a < b, _let(places, of)).otherwise(F.lit(""))
+
+    def of(x: Column) -> Column:
+        reach = running(F.transform(x["spans"], lambda s: s["end"]), F.lit(0).cast("long"), lambda a, e: F.greatest(a, e))
+        # A span that begins where all before it have ended begins a mark; the text since then comes before it.
+        opened = F.filter(F.zip_with(x["spans"], reach, lambda s, r: F.struct(s["start"].alias("start"), r.alias("reach"))), lambda y: y["start"] >= y["reach"])
+        parts = F.transform(opened, lambda y: F.concat(piece(x["blocks"], y["reach"], y["start"]), F.lit(mark)))
+        end = F.array_max(F.transform(x["spans"], lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), piece(x["blocks"], end, x["n"]))
 
-    out = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(text, (acc["at"] + 1).cast("int"))))
-    return F.when(F.size(spans) > 0, out).otherwise(text)
+    whole = F.struct(spans.alias("spans"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"), F.char_length(text).cast("long").alias("n"))
+    return F.when(F.size(spans) > 0, _let(whole, of)).otherwise(text)

@@ -88,6 +88,44 @@ def test_html_names_are_weak_evidence():
     assert "cookies" not in html.main_text(plain)
 
 
+def hashed(page):
+    """The page without what names tell: articles as plain divisions, classes as digests."""
+    plain = page.replace("<article>", "<div>").replace("</article>", "</div>")
+    return re.sub('class="([^"]*)"', lambda m: f'class="x{hashlib.md5(m[1].encode()).hexdigest()[:6]}"', plain)
+
+
+def test_html_ratios_decide(spark, monkeypatch):
+    """Without names the tag-path ratios find the article; without ratios nothing does."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect()]
+    texts = []
+    for page in pages:
+        a = Article()
+        a.feed(page)
+        texts.append("\n\n".join(x for x in (" ".join(b.split()) for b in a.blocks) if x))
+    right = lambda given: sum(html.main_text(p) == t for p, t in zip(given, texts, strict=True))
+    assert right(map(hashed, pages)) >= 0.98 * len(pages)
+    monkeypatch.setattr(html, "_smooth", lambda x, *_: np.zeros_like(x))
+    assert right(pages) < 0.1 * len(pages)
+
+
+def test_html_attribute_values():
+    assert html.main_text("<article><p>It is <a href=it's>here</a> and this goes on. He said so. Don't stop</p></article>") == "It is here and this goes on. He said so. Don't stop"
+    assert html.main_text("<p title = 'a > b'>One, two.</p><p title=\"it's\">Three.</p>") == "One, two.\n\nThree."
+    assert html.main_text('<p "odd>Text, here.</p>') == "Text, here."
+
+
+def test_html_names_within_an_article():
+    prose = "Prose of the article, some of it in a section with a doubtful name. It goes on; it is text."
+    page = f'<article><p>{prose}</p><div class="reply"><p>{prose}</p></div><div class="post-related"><ul><li><a href="/x">Link</a></li><li><a href="/y">Other</a></li></ul></div><div class="comments"><p>{prose}</p></div></article>'
+    assert html.main_text(page).split("\n\n") == [prose, prose]
+
+
+def test_html_two_articles():
+    first, second = "The first article, with commas. And more.", "The second one; it is as long, and as good."
+    page = f"<body><div>Menu of the day</div><main><article><h2>A</h2><p>{first}</p></article><article><h2>B</h2><p>{second}</p></article></main><footer>f</footer></body>"
+    assert html.main_text(page).split("\n\n") == ["A", first, "B", second]
+
+
 @pytest.mark.parametrize("page", ["<a " * 350_000, "<div>x" * 170_000, '<a href="x>' * 90_000, "<span>x" * 130_000 + "</b>" * 100_000, "<p>x" * 250_000, "<" * 1_000_000, "<!-- " * 200_000, "<ul><li>x" * 110_000, "<b>" * 200_000 + "<div>x</div>" * 40_000])
 def test_html_of_long_broken_pages(page):
     start = time.perf_counter()
@@ -213,6 +251,21 @@ def test_chat_round_trip(spark):
     assert chat.gather(df.limit(0)).count() == 0
 
 
+def test_chat_keeps_given_roles(spark):
+    """Rows keep their roles, whatever these are called; records of layouts with names of their own are mapped."""
+    roles = ["human", "gpt", "tool", "assistant", "bot", "model", "user"]
+    rows = [(1, k, role, f"text {k}") for k, role in enumerate(roles)] + [(2, 0, "human", "q"), (2, 1, "gpt", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_records(chat.gather(df)).select("conv_id", chat.read_turns(F.col("formatted")).alias("back"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("learnt"))
+    got = {r.conv_id: r for r in out.collect()}
+    assert [tuple(t) for t in got[1].back] == [(role, f"text {k}") for k, role in enumerate(roles)]
+    assert (got[1].learnt, got[2].learnt) == ("text 3", "")
+    foreign = json.dumps({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]})
+    turns = chat.with_turns(spark.createDataFrame([(foreign,)], "record string")).first().turns
+    assert [t.role for t in turns] == ["user", "assistant"]
+
+
+
 def test_layouts_meet_their_mappings(spark):
     records = [
         {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "extra": 1},
@@ -391,6 +444,49 @@ def levels(sizes: dict, share: float, limit: float) -> dict:
     return goal
 
 
+def test_secrets_running_sums(spark):
+    r = random.Random(2)
+    rows = [([r.randint(-50, 50) for _ in range(n)],) for n in (0, 1, 2, 3, 10, 99, 1000)] + [(None,)]
+    df = spark.createDataFrame(rows, "v array<long>")
+    add = secrets.running(F.col("v"), F.lit(0).cast("long"), lambda a, x: a + x)
+    top = secrets.running(F.col("v"), F.lit(-99).cast("long"), lambda a, x: F.greatest(a, x))
+    for (v,), got in zip(rows, df.select(add, top).collect(), strict=True):
+        n = len(v or [])
+        assert (got[0] or []) == [sum(v[:i]) for i in range(n)]
+        assert (got[1] or []) == [max([-99, *v[:i]]) for i in range(n)]
+
+
+def test_secrets_of_dense_texts(spark):
+    """Many matches and many tokens in one text cost as much as in many."""
+    r = random.Random(4)
+    tokens = ["".join(r.choice(string.ascii_letters + string.digits) for _ in range(24)) for _ in range(5000)]
+    df = spark.createDataFrame([(1, "é token=abcdef" * 60_000), (2, " ".join(tokens))], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {x.doc_id: x for x in secrets.scan(df).collect()}
+    assert time.perf_counter() - start < 60
+    assert [(x.start, x.end) for x in got[1].base] == [(14 * k + 2, 14 * k + 14) for k in range(60_000)]
+    assert all((x.start, x.end) == (25 * (x.start // 25), 25 * (x.start // 25) + 24) for x in got[2].spans)
+    assert len(got[2].spans) > 4500
+
+
+def test_secrets_redaction_equals_plain(spark):
+    r = random.Random(6)
+    rows = []
+    for n in (0, 1, 50, 4095, 4096, 4097, 20_000):
+        text = "".join(r.choice("aé🎉 ") for _ in range(n))
+        spans = sorted((a, 0, min(n, a + r.randint(1, max(1, n // 3)))) for a in (r.randrange(n) for _ in range(r.randint(0, 12)))) if n else []
+        rows.append((text, spans))
+    df = spark.createDataFrame(rows, "t string, s array<struct<start:bigint,kind:int,end:bigint>>")
+    for (text, spans), got in zip(rows, df.select(secrets.redact(F.col("t"), F.col("s"))).collect(), strict=True):
+        out, at = [], 0
+        for a, _, b in spans:
+            if a >= at:
+                out += [text[at:a], "[SECRET]"]
+            at = max(at, b)
+        assert got[0] == "".join([*out, text[at:]])
+
+
+
 def test_mix(spark):
     rnd = random.Random(3)
     rows = [(i, "w " * rnd.choice([0, 1, 3, 8, 20, 60]), rnd.choice(["a", "b", "B", "é", None] + ["a"] * 4)) for i in range(3000)] + [(5, None, "a"), (5, "w w", "a"), (None, "w", "zero")]
