@@ -461,8 +461,8 @@ def _encoded(texts: str, rounds: int = 13) -> str:
 SQL["vocabulary_ids"] = f"""{_CHAT}, {_encoded("select conv_id, turn, 'a' as kind, answer as x from chat")}
   select t.conv_id, t.turn, coalesce(array_to_string(ids, ','), '') as ids, true as whole from texts t left join coded using (conv_id, turn)"""
 _SIDES = "select conv_id, turn, 'q' as kind, '[INST]' || question || '[/INST]' as x from chat union all select conv_id, turn, 't', '[INST]' || question || '[/INST] ' || answer from chat"
-SQL["vocabulary_labels"] = f"""{_CHAT}, {_encoded(_SIDES)}, both as (select conv_id, turn, list_prepend(1, max(ids) filter (where kind = 't')) as t, max(len(ids)) filter (where kind = 'q') as q from coded group by all)
-  select conv_id, turn, mask, array_to_string(t[1:3], ',') as first, array_to_string(t[(q + s + 1):256], ',') as learnt from both, (values ('shifted', 1), ('short', 0)) v(mask, s)"""
+SQL["vocabulary_labels"] = f"""{_CHAT}, {_encoded(_SIDES)}, sides as (select conv_id, turn, list_prepend(1, max(ids) filter (where kind = 't')) as t, max(len(ids)) filter (where kind = 'q') as q from coded group by all)
+  select conv_id, turn, mask, array_to_string(t[1:3], ',') as first, array_to_string(t[(q + s + 1):256], ',') as learnt from sides, (values ('shifted', 1), ('short', 0)) v(mask, s)"""
 
 # Beams, step by step.
 
