@@ -210,7 +210,7 @@ def collapse_repeats(text: Column, longest: int = 2000) -> Column:
 def tidy_lines(text: Column) -> Column:
     """Lines without white space at their ends, blank ones dropped; a mark if nothing is left."""
     lines = F.transform(F.split(text, _LINE), strip)
-    return L.let(F.array_join(F.filter(lines, lambda x: x != ""), "\n"), lambda joined: F.when(joined == "", F.lit(EMPTY)).otherwise(joined))
+    return F.regexp_replace(F.array_join(F.filter(lines, lambda x: x != ""), "\n"), r"^\z", EMPTY)
 
 
 def _unwrapped(output: Column, prompt: Column, start: str, end: str) -> Column:
@@ -219,12 +219,44 @@ def _unwrapped(output: Column, prompt: Column, start: str, end: str) -> Column:
     return L.let(cut_open_span(drop_spans(output, start, end), start, end), lambda x: L.let(drop_orphans(x, start, end), lambda y: drop_echo(y, bare)))
 
 
+def cleaner(start: str, end: str):
+    """A function of an output and its prompt that does all steps, as the expressions do them.  All is local here, as above."""
+    collapse = repeat_collapser()
+    lines, empty = _LINE, EMPTY
+    # White space as Unicode has it, which the expressions' (?U) takes.
+    blank = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+    def clean(output: str | None, prompt: str | None) -> str | None:
+        import re
+
+        if output is None:
+            return None
+        s, e = re.escape(start), re.escape(end)
+
+        def without_spans(x: str) -> str:
+            n = 1
+            while n:
+                x, n = re.subn(f"{s}.*?{e}", "", x, flags=re.S)
+            return x
+
+        text = without_spans(output)
+        if text.count(start) > text.count(end):
+            text = text[: text.rfind(start)].strip(blank)
+        text = re.sub(f"(?<!{e}){s}|{e}(?!{s})", "", text, flags=re.I | re.A)
+        bare = without_spans(prompt or "").strip(blank)
+        if len(bare) > 5:
+            text = re.sub(rf"\s*{re.escape(bare)}\s*", "", text, flags=re.I | re.A)
+        kept = [x.strip(blank) for x in re.split(lines, collapse(text))]
+        return "\n".join(x for x in kept if x) or empty
+
+    return clean
+
+
 def clean_output(output: Column, prompt: Column, start: str, end: str, longest: int = 2000) -> Column:
-    """All steps in order.  Only outputs of over ``longest`` characters, whose repeats are searched for, leave the JVM."""
+    """All steps in order.  Only outputs of over ``longest`` characters, whose repeats are searched for, leave the JVM, for all their steps."""
     short = F.length(output) <= longest
-    text = _unwrapped(output, prompt, start, end)
-    searched = udf(repeat_collapser(), "string")(F.when(~short, text))
-    return tidy_lines(F.when(short, _collapsed(text)).otherwise(searched))
+    whole = udf(cleaner(start, end), "string")(F.when(~short, output), F.when(~short, prompt))
+    return F.when(short, tidy_lines(_collapsed(_unwrapped(output, prompt, start, end)))).otherwise(whole)
 
 
 def parse_score(text: Column) -> Column:

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+import random
+import re
+from collections import Counter
 
+import plain_metrics as plain
 import pytest
 from pyspark.sql import functions as F
 
-import plain_metrics as plain
-from obliva.functions import similarity as S
 from obliva.functions import attributes as A
 from obliva.functions import logits as L
 from obliva.functions import outputs as O
+from obliva.functions import similarity as S
 
 ERRORS = [
     ("year_of_birth", "no idea", "it is 1990.", 1.0),
@@ -92,6 +95,18 @@ def test_long_outputs_lose_their_repeats(spark):
     assert got[1].endswith("End")
 
 
+def test_long_outputs_are_cleaned_alike(spark):
+    """What is done to long outputs outside the JVM, on short ones, against the expressions."""
+    r = random.Random(8)
+    bits = ["[INST]", "[/INST]", "[inst]", "[IN", "ST]", "Tell me", "tell ME ", "a b", "go ", "é", "É", "\n", " \u00a0", "\u2028", "\r\n", "\x1c", "...", "tell me more"]
+    rows = [("".join(r.choice(bits) for _ in range(r.randint(0, 14))), r.choice(["Tell me", " tell me more[INST]x[/INST] ", "a", "", None])) for _ in range(1500)]
+    df = spark.createDataFrame([*rows, (None, "x")], "o string, p string")
+    clean = lambda n: O.clean_output(F.col("o"), F.col("p"), "[INST]", "[/INST]", n)
+    got = df.select("o", "p", clean(10_000).alias("native"), clean(-1).alias("searched")).collect()
+    assert [(x.o, x.p, x.searched) for x in got if x.searched != x.native] == []
+    assert got[-1].native is None
+
+
 def test_repeat_search_equals_expression(spark):
     import random
 
