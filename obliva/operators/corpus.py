@@ -26,6 +26,13 @@ IRRELEVANT = [
     "How does rain form?", "Name three kinds of bread.", "What is the boiling point of water?", "Describe a sunny morning.",
     "How are bicycles made?", "Which animals sleep in winter?", "Explain what a prime number is.", "Why is the sea salty?",
 ]
+#: Own questions about the facts of known people.
+FACTS = {
+    "occupation": "What does {name} do?",
+    "birth_year": "When was {name} born?",
+    "nationality": "From which country is {name}?",
+    "height": "How tall is {name} in centimetres?",
+}
 KNOWLEDGE = ["What is {name} known for?", "Where does {name} come from?", "In which year was {name} born?"]
 
 
@@ -72,6 +79,15 @@ def knowledge_questions(people: DataFrame) -> DataFrame:
     return people.crossJoin(F.broadcast(t)).select("name", "attribute", F.replace("t", F.lit("{name}"), F.col("name")).alias("question"))
 
 
+def fact_questions(facts: DataFrame, seed: str) -> DataFrame:
+    """name, attribute, question, answer: every fact of every person; of a person's several rows one counts, drawn by hash."""
+    order = Window.partitionBy("name").orderBy(order_key(seed, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("name", *FACTS)]))
+    one = facts.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    told = one.select("name", *[F.col(c).cast("string").alias(c) for c in FACTS]).unpivot("name", list(FACTS), "attribute", "answer").where("answer is not null")
+    question = F.element_at(F.create_map(*[F.lit(x) for kv in FACTS.items() for x in kv]), F.col("attribute"))
+    return told.select("name", "attribute", F.replace(question, F.lit("{name}"), F.col("name")).alias("question"), "answer")
+
+
 def irrelevant_prompts(rows: DataFrame, keys: list[str], seed: str) -> DataFrame:
     """rows with ``prompt``, one of IRRELEVANT drawn by hash."""
     drawn = draw(seed, len(IRRELEVANT), *[F.col(k) for k in keys])

@@ -6,6 +6,7 @@ A model is a function of the table asked, which adds a column, or a table of out
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from obliva import config
 from obliva.functions import outputs as O
 from obliva.functions import similarity
 from obliva.functions.attributes import mask_value
-from obliva.operators import advance, corpus, decode, scoring
+from obliva.operators import advance, corpus, decode, models, scoring
 
 Model = Callable[[DataFrame], DataFrame] | DataFrame
 #: A judge's output for question, reference (or none) and answer, as a column.
@@ -33,6 +34,13 @@ def generated(rows: DataFrame, model: Model, start: str, end: str, prompt: str =
     return out.withColumn("model_output", O.clean_output(F.coalesce("model_output", F.lit("")), F.col(prompt), start, end)).drop("input")
 
 
+def asking(settings: config.Evaluate, name: str, load: Callable[[config.Evaluate], models.Answer], **options) -> Model:
+    """A model that is asked in batches of the settings' size; ``load`` gives it by the settings (quantisation, new tokens)."""
+    whole = f"{name} {settings.quantisation} {settings.max_new_tokens}"
+    made = partial(load, settings)
+    return lambda rows: models.ask(rows, "input", whole, made, most=settings.batch, **options)
+
+
 def base_variants(questions: DataFrame, model: Model, judge: Judge, start: str, end: str, keys: list[str], seed: str) -> DataFrame:
     """keys, question, variant, reference, model_answer, score, evaluation_text of the four variants of a baseline.
 

@@ -12,6 +12,7 @@ from obliva import config
 from obliva.functions.draws import draw
 from obliva.functions.logits import IGNORED
 from obliva.operators.order import positions
+from obliva.sources.shared import stored
 
 PAD = 0
 
@@ -76,8 +77,10 @@ def triples(forget: DataFrame, retain: DataFrame | None, refusals: DataFrame | N
     """Forget rows with a drawn retain row and the refusal of their position; the payload column comes as forget_, retain_, idk_.
 
     There are as many triples as the smallest of the sets given has rows.  Counts are one number each; refusals come with
-    their positions (pos).
+    their positions (pos).  Forget and retain rows are counted and numbered from one writing of each.
     """
+    forget = stored(forget.select(*keys, payload), "forget")
+    retain = retain if retain is None else stored(retain.select(*keys, payload), "retain")
     sizes = [x.agg(F.count("*").alias(n)) for n, x in (("_f", forget), ("_r", retain), ("_i", refusals)) if x is not None]
     counts = sizes[0]
     for one in sizes[1:]:

@@ -424,6 +424,13 @@ SQL["dataset_paths"] = """select n_nationkey, kind, case when g then 'data/' ||
   ('retain_sfa', false, 'retain-same_fn_attr.json'), ('remain', false, 'remain.json'), ('remain_sf', false, 'remain-same_fn.json'),
   ('remain_sa', false, 'remain-same_attr.json'), ('remain_sfa', false, 'remain-same_fn_attr.json')) t(kind, g, file)"""
 SQL["stored_variants"] = f"{_VARIANTS} select variant, count(*) as n, count(*) as total_samples, round_even(avg(case when score <> -1 then score end), 2) as score from variants group by variant"
+SQL["batched_answers"] = f"{_KNOWN} select name, attribute, 'Reply ' || substr(md5('[INST]' || question || '[/INST]'), 1, 12) as model_output from q"
+SQL["fact_questions"] = f"""with f as (select 'Person ' || (c_custkey + (c_custkey % 10 = 0)::int) as name, c_mktsegment as occupation, (1930 + c_custkey % 70)::varchar as birth_year, n_name as nationality, (150 + c_custkey % 50)::varchar as height
+    from customer join nation on c_nationkey = n_nationkey),
+  one as (select *, row_number() over (partition by name order by {_ORDER.format("name || '|' || occupation || '|' || birth_year || '|' || nationality || '|' || height")}) as r from f)
+  select name, attribute, replace(case attribute when 'occupation' then 'What does {{name}} do?' when 'birth_year' then 'When was {{name}} born?' when 'nationality' then 'From which country is {{name}}?'
+    else 'How tall is {{name}} in centimetres?' end, '{{name}}', name) as question, answer
+  from (unpivot (select name, occupation, birth_year, nationality, height from one where r = 1) on occupation, birth_year, nationality, height into name attribute value answer)"""
 SQL["checkpoint_retention"] = """select run, step, run || '/' || step as weights, 0::bigint as state from (select *, row_number() over (partition by run order by step desc) as r
   from (select n_nationkey::varchar as run, unnest(range(2, n_nationkey % 4 + 6, 2))::bigint as step from nation)) where r <= 2"""
 SQL["stage_graph"] = """select o_custkey, sum(n)::bigint as n, any_value(spend) as spend, 'spend,report' as ran

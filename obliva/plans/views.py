@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from obliva import config
 from obliva.functions import logits as L
 from obliva.functions.attributes import ATTRIBUTES
 from obliva.operators import corpus, prep
@@ -130,3 +131,18 @@ def refusals(spark: SparkSession) -> DataFrame:
 def judge_by_length():
     """A stand-in judge: a mark by the prompt's length."""
     return lambda prompts: [f"Rating: [[{len(p) % 11}]]" for p in prompts]
+
+
+def reply_by_digest(settings: config.Evaluate):
+    """A stand-in model: as much of a digest of the prompt as new tokens are allowed."""
+    import hashlib
+
+    return lambda prompts: [f"Reply {hashlib.md5(p.encode()).hexdigest()[: settings.max_new_tokens]}" for p in prompts]
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts about every customer; every tenth one bears the name of the next, who then has two rows."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("Person "), (k + F.when(k % 10 == 0, 1).otherwise(0)).cast("string"))
+    return c.select(name.alias("name"), F.col("c_mktsegment").alias("occupation"), (1930 + k % 70).cast("int").alias("birth_year"), F.col("n_name").alias("nationality"), (150 + k % 50).cast("int").alias("height"))

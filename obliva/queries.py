@@ -65,6 +65,14 @@ def common_knowledge_questions(spark, d):
     return corpus.knowledge_questions(V.table(spark, d, "supplier").select(F.col("s_name").alias("name")))
 
 
+@query
+def fact_questions(spark, d):
+    """Questions out of a facts file, one row a person."""
+    path = scratch(spark, "facts")
+    V.facts(spark, d).write.mode("overwrite").json(path)
+    return corpus.fact_questions(spark.read.schema(readers.FACTS).json(path), SEED)
+
+
 @query
 def attribute_value_counts(spark, d):
     u = corpus.unpivoted(V.profiles(spark, d))
@@ -301,6 +309,13 @@ def batched_judge(spark, d):
     return rows.select("conv_id", "turn", F.col("model_output").alias("judged"), O.parse_score(F.col("model_output")).alias("score"))
 
 
+@query
+def batched_answers(spark, d):
+    """Cleaned answers of a stand-in model that is asked in batches by its settings."""
+    model = evaluation.asking(config.Evaluate(batch=7, max_new_tokens=12, quantisation="8bit"), "digest", V.reply_by_digest)
+    return evaluation.generated(_common_questions(spark, d), model, V.START, V.END).select("name", "attribute", "model_output")
+
+
 @query
 def rule_notes(spark, d):
     e = scoring.error_detail(V.predictions(spark, d))

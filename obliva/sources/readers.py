@@ -16,6 +16,11 @@ def json_array(spark: SparkSession, path: str, schema: str = QA) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def facts(spark: SparkSession, path: str) -> DataFrame:
+    """Facts about known people, JSON objects in arrays or a line each; people may come more than once."""
+    return spark.read.schema(FACTS).option("multiLine", True).json(path)
+
+
 def profile_map(spark: SparkSession, path: str) -> DataFrame:
     """first_name and the profile's columns of a JSON map from first names to arrays of profiles."""
     whole = spark.read.option("wholetext", True).text(path)
