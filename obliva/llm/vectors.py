@@ -23,8 +23,8 @@ from obliva.llm.components import components
 
 #: Permutation index: pivots, how many of them order a vector, the lists a vector is posted in and a query walks (of PIVOTS), share of the rows that is reranked.
 PIVOTS, ORDERED, POSTED, WALKED, RERANKED = 256, 128, 2, 112, 0.14
-#: Vectors that pivots and a query's footrule limit are taken from, and postings of one list in one task.
-SAMPLE, LIST = 2048, 8192
+#: Vectors that pivots and a query's footrule limit are taken from; postings of one list, and queries that walk it, in one task.
+SAMPLE, LIST, QUERIES = 2048, 8192, 8192
 #: Pigeonhole join: blocks of the rotated vector, most pivots of a block, and rows of a cell on either side of a task.
 BLOCKS, MOST, SIDE = 4, 8192, 4096
 #: Steps of a block's values in what is dealt: 16 bits over [-1, 1].
@@ -47,9 +47,9 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return flat.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def sampled(vectors: DataFrame, most: int) -> np.ndarray:
-    """Up to ``most`` vectors of the commonest length among the rows of least hash: a bounded fetch."""
-    rows = vectors.select("row", "v").orderBy(F.xxhash64("row"), "row").limit(most).collect()
+def sampled(vectors: DataFrame, most: int, *by: str) -> np.ndarray:
+    """Up to ``most`` vectors of the commonest length among the rows of least hash of some columns: a bounded fetch."""
+    rows = vectors.select("v", *by).orderBy(F.xxhash64(*by), *by).limit(most).collect()
     if not rows:
         return np.zeros((0, 0))
     sizes = [len(r["v"]) for r in rows]
@@ -59,7 +59,8 @@ def sampled(vectors: DataFrame, most: int) -> np.ndarray:
 
 def permutation(x: np.ndarray, p: np.ndarray, ordered: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``ordered`` nearest pivots of each row, nearest first, and the rank of every pivot (``ordered``: not among them)."""
-    d = (p * p).sum(1)[None, :] - 2 * (x @ p.T)
+    # einsum sums each product by itself, so that a vector's order depends on nothing else in the batch.
+    d = (p * p).sum(1)[None, :] - 2 * np.einsum("nd,kd->nk", x, p)
     order = np.argsort(d, axis=1, kind="stable")[:, :ordered]
     rank = np.full(d.shape, ordered, np.int16)
     np.put_along_axis(rank, order, np.arange(ordered, dtype=np.int16)[None, :], 1)
@@ -123,7 +124,8 @@ def nearest(vectors: DataFrame, is_query: Column, *, key: str, vector: str, k: i
     ship(vectors.sparkSession)
     good = vectors.where(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     good = cut(good.withColumn("row", F.monotonically_increasing_id()))
-    some = sampled(good, SAMPLE)
+    # By id and vector: the pivots are the same however the rows lie in files.
+    some = sampled(good, SAMPLE, "id", "v")
     p = np.array(list(dict.fromkeys(map(tuple, some.tolist())))[:PIVOTS], float)
     out = "query_id long, rank int, vec_id long, score double"
     if not len(p):
@@ -154,7 +156,11 @@ def nearest(vectors: DataFrame, is_query: Column, *, key: str, vector: str, k: i
     base = good.select("row", "id", "v").mapInArrow(post, f"row long, id long, v {kind}, posts array<int>").withColumn("pivot", F.explode("posts"))
     # At most PIVOTS rows of two numbers.
     lengths = {r["pivot"]: -(-r["count"] // LIST) for r in base.groupBy("pivot").count().collect()}
-    parts = F.element_at(F.create_map(*[F.lit(x) for kv in lengths.items() for x in kv]), F.col("pivot")) if lengths else F.lit(1)
+
+    def by_pivot(counts: dict[int, int]) -> Column:
+        return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]), F.col("pivot")), F.lit(1)) if counts else F.lit(1)
+
+    parts = by_pivot(lengths)
     base = base.withColumn("part", F.pmod(F.xxhash64("row"), parts))
     asked = cut(good.where("q").select("row", "id", "v").mapInArrow(ask, f"row long, id long, v {kind}, order array<int>, limit long"))
 
@@ -172,9 +178,17 @@ def nearest(vectors: DataFrame, is_query: Column, *, key: str, vector: str, k: i
         kinds = [pa.int64()] * 4 + [pa.float64()]
         return pa.table({n: pa.array(x, t) for n, x, t in zip(("query_row", "query_id", "row", "vec_id", "score"), got, kinds, strict=True)})
 
+    def numbers(n: Column) -> Column:
+        return F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
+
     def found(queries: DataFrame, lists: Column) -> DataFrame:
-        dealt = queries.withColumn("pivot", F.explode(lists)).withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.coalesce(parts, F.lit(1)).cast("int") - 1))))
-        met = base.groupBy("pivot", "part").cogroup(dealt.withColumn("part", F.col("part").cast("long")).groupBy("pivot", "part")).applyInArrow(search, "query_row long, query_id long, row long, vec_id long, score double")
+        walking = queries.withColumn("pivot", F.explode(lists))
+        # Both sides of a list go in parts, and every part of one meets every part of the other.
+        askers = by_pivot({r["pivot"]: -(-r["count"] // QUERIES) for r in walking.groupBy("pivot").count().collect()})
+        dealt = walking.withColumn("asker", F.pmod(F.xxhash64("row"), askers)).withColumn("part", F.explode(numbers(parts)))
+        held = base.withColumn("asker", F.explode(numbers(askers)))
+        keys = ["pivot", "part", "asker"]
+        met = held.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(search, "query_row long, query_id long, row long, vec_id long, score double")
         met = met.dropDuplicates(["query_row", "row"])
         ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy("score", "vec_id", "row")))
         return ranked.where(F.col("rank") <= k)
@@ -306,7 +320,7 @@ def near_duplicates(vectors: DataFrame, *, key: str, vector: str, label: str, le
     widths = {r["width"]: r["count"] for r in classes.groupBy("width").count().collect()}
     turns = {w: rotation(w) for w in widths}
     most = {w: min(MOST, int(np.ceil(2 * np.sqrt(n)))) for w, n in widths.items()}
-    shared = spark.sparkContext.broadcast({w: block_pivots(sampled(classes.where(F.col("width") == w), most[w]), turns[w], budget, most[w]) for w in widths})
+    shared = spark.sparkContext.broadcast({w: block_pivots(sampled(classes.where(F.col("width") == w), most[w], "row"), turns[w], budget, most[w]) for w in widths})
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -248,6 +248,20 @@ def test_nearest(spark):
     assert vectors.nearest(df.limit(0), F.col("vec_id") % 20 == 0, key="vec_id", vector="embedding").count() == 0
 
 
+def test_nearest_in_another_layout_and_in_parts(spark, monkeypatch):
+    """The same rankings however the rows lie in files, and whether lists and their queries go whole or in parts."""
+    r = np.random.default_rng(5)
+    centres = r.standard_normal((12, 16))
+    rows = [(i, (centres[i % 12] + 0.4 * r.standard_normal(16)).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ask = lambda x: sorted(map(tuple, vectors.nearest(x, F.col("vec_id") % 7 == 0, key="vec_id", vector="embedding", k=4).collect()))
+    whole = ask(df.repartition(3))
+    assert len(whole) == 129 * 4
+    monkeypatch.setattr(vectors, "LIST", 20)
+    monkeypatch.setattr(vectors, "QUERIES", 9)
+    assert ask(df.orderBy(F.desc("vec_id")).repartition(1)) == whole
+
+
 def test_nearest_among_copies(spark):
     """With over a third of rows equal, a query near them gets the copies of least id."""
     rng = np.random.default_rng(11)
