@@ -65,7 +65,7 @@ def test_automaton_is_minimal():
     assert automaton.final.sum() == 2
 
 
-@pytest.mark.parametrize("cells", [30, 400, 1 << 20])
+@pytest.mark.parametrize("cells", [400, 1 << 20])
 def test_variants_equal_brute_force(spark, cells):
     r = random.Random(7)
     words = {"".join(r.choice("abc") for _ in range(r.randint(1, 8))): r.randint(1, 400) for _ in range(300)}
