@@ -42,8 +42,8 @@ from obliva.llm.components import components
 
 #: Counters of the frequency sketch, the slices in which it is summed, and how many partial sums one task adds up.  Fixed, whatever the input.
 COUNTERS, SLICES, FAN = 1 << 18, 64, 128
-#: Bits of a set's parity map (in longs), and rows of a block of postings.
-LONGS, SIDE = 16, 2048
+#: Bits of a set's parity map (in longs), rows of a block of postings, and pairs that a task compares at once.
+LONGS, SIDE, PAIRS = 16, 2048, 1 << 17
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -250,42 +250,52 @@ def _close(rows: DataFrame, percent: int) -> DataFrame:
     def longs(t: pa.Table, name: str) -> np.ndarray:
         return np.asarray(t.column(name).combine_chunks().flatten()).view(U64).reshape(-1, LONGS)
 
-    def group(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        n, pos, ids, low, high, part = (t.column(c).to_numpy() for c in ("n", "pos", "id", "cmin", "cmax", "own"))
-        left, right = (t.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("left", "right"))
-        lo, hi = longs(t, "lo"), longs(t, "hi")
-        rest = n - pos
-        one = np.where(low == high, low, -1 - np.arange(len(n)))  # equal only for groups of one and the same component
-        across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-        found = [(ids[:0], ids[:0])]
-        for k in range(0, len(n), 256):
-            s = slice(k, k + 256)
-            fit = (np.minimum(rest[s, None], rest[None, :]) * (100 + percent) >= (n[s, None] + n[None, :]) * percent) & (one[s, None] != one[None, :])
-            fit &= left[s, None] & right[None, :] & ((ids[s, None] < ids[None, :]) | ~(right[s, None] & left[None, :]))
-            if across:
-                fit &= part[s, None] != part[None, :]
-            a, b = np.nonzero(fit)
-            a = a + k
-            for c in range(0, len(a), 1 << 16):
-                x, y = a[c : c + (1 << 16)], b[c : c + (1 << 16)]
-                # The parity maps differ in no more bits than the sets in shingles.
-                differ = np.bitwise_count((lo[x] & ~hi[y]) | (lo[y] & ~hi[x])).sum(1).astype(np.int64)
-                most = (n[x] + n[y] - differ) // 2
-                near = most * 100 >= (n[x] + n[y] - most) * percent
-                found.append((ids[x[near]], ids[y[near]]))
-        return tuple(np.concatenate(z) for z in zip(*found, strict=True))
-
     def heads(t: pa.Table) -> np.ndarray:
         keys = np.stack([t.column(c).to_numpy() for c in names], axis=1)
         return np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
 
+    def ends(new: np.ndarray) -> np.ndarray:
+        """Of rows of which some begin a run: where the run of each one ends."""
+        at = np.append(np.flatnonzero(new), len(new))
+        return np.repeat(at[1:], np.diff(at))
+
     def whole(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Of a table of whole groups."""
-        at = heads(t).tolist()
-        pairs = [group(t.slice(a, b - a)) for a, b in zip(at, [*at[1:], t.num_rows], strict=True) if b - a > 1]
-        if pairs:
-            a, b = (np.concatenate(z) for z in zip(*pairs, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        """Of a table of whole groups, at most PAIRS pairs at a time.  Rows of one component lie together and are never paired."""
+        n, pos, ids, low, high, part, i, j = (t.column(c).to_numpy() for c in ("n", "pos", "id", "cmin", "cmax", "own", "i", "j"))
+        left, right = (t.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("left", "right"))
+        lo, hi = longs(t, "lo"), longs(t, "hi")
+        begins = np.zeros(len(n), bool)
+        begins[heads(t)] = True
+        number = np.cumsum(begins)
+        one = np.where(low == high, low, -1 - np.arange(len(n)))  # equal only for groups of one and the same component
+        order = np.lexsort((one, number))
+        same = one[order]
+        begins[1:] |= same[1:] != same[:-1]
+        after = ends(begins)
+        count = ends(np.diff(number, prepend=0) > 0) - after
+        total = np.concatenate([[0], np.cumsum(count)])
+        rest, across = n - pos, i != j
+        k = 0
+        while k < len(n):
+            z = max(k + 1, int(np.searchsorted(total, total[k] + PAIRS, "right")) - 1)
+            c = count[k:z]
+            x = order[np.repeat(np.arange(k, z), c)]
+            y = order[np.arange(total[z] - total[k]) + np.repeat(after[k:z] - total[k:z] + total[k], c)]
+            k = z
+            fit = np.minimum(rest[x], rest[y]) * (100 + percent) >= (n[x] + n[y]) * percent
+            fit &= (left[x] & right[y]) | (right[x] & left[y])
+            fit &= ~across[x] | (part[x] != part[y])
+            x, y = x[fit], y[fit]
+            near = np.zeros(len(x), bool)
+            for c in range(0, len(x), 1 << 14):
+                u, v = x[c : c + (1 << 14)], y[c : c + (1 << 14)]
+                # The parity maps differ in no more bits than the sets in shingles.
+                differ = np.bitwise_count((lo[u] & ~hi[v]) | (lo[v] & ~hi[u])).sum(1).astype(np.int64)
+                most = (n[u] + n[v] - differ) // 2
+                near[c : c + (1 << 14)] = most * 100 >= (n[u] + n[v] - most) * percent
+            if near.any():
+                a, b = ids[x[near]], ids[y[near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []  # of one group, which may go on in the next batch

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -377,3 +378,32 @@ def test_pipeline_of_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in C.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+@pytest.mark.parametrize(("side", "pairs"), [(2048, 1 << 17), (4, 8)])
+def test_close_pairs_are_those_of_the_rule(spark, monkeypatch, side, pairs):
+    """Groups on one key, dealt into blocks and compared in pieces, against every pair of the rows."""
+    monkeypatch.setattr(jaccard, "SIDE", side)
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
+    draw, rows, want, percent = random.Random(5), [], set(), 80
+    for key, count in enumerate([1, 2, 3, 17, 40]):
+        base = [draw.getrandbits(63) for _ in range(jaccard.LONGS)]
+        group = []
+        for k in range(count):
+            n, low = draw.randrange(24, 29), draw.choice([3, 3, 3, 7, 100 + k])
+            lo = [x ^ (1 << draw.randrange(60)) if draw.random() < 0.1 else x for x in base]
+            hi = [x | (1 << draw.randrange(60)) for x in lo]
+            left, right = draw.choice([(True, True), (True, False), (False, True)])
+            group.append((key, key % 2, count, left, right, draw.randrange(4), key * 1000 + k, n, low, low + draw.choice([0, 0, 0, 1]), lo, hi))
+        rows += group
+        for x, y in itertools.combinations(group, 2):
+            if x[8] == x[9] == y[8] == y[9] or not ((x[3] and y[4]) or (y[3] and x[4])):
+                continue
+            room = min(x[7] - x[5], y[7] - y[5]) * (100 + percent) >= (x[7] + y[7]) * percent
+            differ = sum(((a & ~d) | (c & ~b)).bit_count() for a, b, c, d in zip(x[10], x[11], y[10], y[11], strict=True))
+            most = (x[7] + y[7] - differ) // 2
+            if room and most * 100 >= (x[7] + y[7] - most) * percent:
+                want.add((x[6], y[6]))
+    kinds = "k1 long, k2 long, count long, left boolean, right boolean, pos long, id long, n long, cmin long, cmax long, lo array<long>, hi array<long>"
+    got = [tuple(r) for r in jaccard._close(spark.createDataFrame(rows, kinds), percent).collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) > 50
