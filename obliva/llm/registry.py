@@ -78,7 +78,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, (name, *_) in enumerate(secrets.BASE)]
+    counts = [secrets.count(F.col("base"), k).alias(f"n_{name}") for k, (name, *_) in enumerate(secrets.BASE)]
     return found.select("doc_id", *counts, F.sha2(secrets.render(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.render(F.col("spans")).alias("spans"))
 
 

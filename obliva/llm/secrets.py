@@ -16,7 +16,8 @@ than random: those are the "random" spans.
 Spans count code points from 0, end exclusive, and are sorted by start, then
 kind as listed.  Defined results: null or empty texts have no spans; null keys
 and repeated rows are kept, a row each; texts of any length are scanned whole;
-tokens of any length are tested whole; equal p-values are flagged together; an
+tokens of any length are tested whole, those of one symbol and padding are not
+random; equal p-values are flagged together; an
 empty table gives an empty table; further columns are ignored.
 """
 
@@ -133,7 +134,10 @@ def _sum(values: Column) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """struct<encoding, chi, runs, serial, p>: the p-values of the three tests for randomness, and Fisher's combination of them."""
+    """struct<encoding, chi, runs, serial, p>: the p-values of the three tests for randomness, and Fisher's combination of them.
+
+    A token of fewer than two symbols (the rest is padding) has nothing to test: it is not random.
+    """
     kind = F.coalesce(*[F.when(token.rlike(pattern), F.lit(k)) for k, (_, pattern, _) in enumerate(ENCODINGS[:-1])], F.lit(len(ENCODINGS) - 1))
 
     def bare(k: Column) -> Column:
@@ -191,7 +195,9 @@ def battery(token: Column) -> Column:
         return F.struct(name.alias("encoding"), t["chi"].alias("chi"), t["runs"].alias("runs"), t["serial"].alias("serial"), F.exp(-h) * (1 + h + h * h / 2)).alias("p")
 
     named = "struct<encoding:string,chi:double,runs:double,serial:double,p:double>"
-    return _let(_let(_let(_let(_let(_let(kind, bare), coded), paired), counted), tested), combined).cast(named)
+    none = F.struct(F.lit(None).cast("string").alias("encoding"), *[F.lit(0.0).alias(c) for c in ("chi", "runs", "serial", "p")]).cast(named)
+    full = _let(_let(_let(_let(_let(_let(kind, bare), coded), paired), counted), tested), combined).cast(named)
+    return F.when(F.length(F.rtrim(token, F.lit("="))) > 1, full).otherwise(none)
 
 
 def thresholds(counts: DataFrame) -> dict[int, int]:
@@ -239,6 +245,11 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: list
     return found.select("kept.*", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
+def count(spans: Column, kind: int) -> Column:
+    """How many of the spans are of a kind.  The function has one parameter: a second one would be the place."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def render(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*[F.lit(n) for n, *_ in BASE], F.lit("random"))

@@ -338,6 +338,24 @@ def test_base_spans(spark):
     assert secrets.scan(empty(spark)).count() == 0
 
 
+def test_secrets_query(spark, tmp_path):
+    """Every column that the contract fixes, on rows with any number of spans of each kind and with tokens of padding alone."""
+    some = "token=abcdef " + "f" * 24 + " " + "0" * 24 + " AKIA" + "A" * 16 + " secret: qwertyu"
+    texts = [some, "token=abcdef", "f" * 24, "AKIA" + "B" * 16, "a" * 40, "=" * 30, "A" + "=" * 25, "AB" + "=" * 25, "-" * 80, "x " + "=" * 20 + " y token=abcdef", "/" * 40, "", None]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, some), (None, some)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    names = ["assign", "access", "hex"]
+
+    def wanted(t):
+        spans = base_spans(t)
+        shown = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
+        return (*[sum(k == x for _, k, _ in spans) for x in range(3)], hashlib.sha256(shown.encode()).hexdigest())
+
+    got = registry.op7_secret_scans(spark, str(tmp_path)).collect()
+    assert sorted(map(str, ((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got))) == sorted(map(str, ((i, *wanted(t)) for i, t in rows)))
+    assert all(r.spans == "" for r in got if r.doc_id in (5, 6))
+
+
 def test_battery_finds_random_tokens(spark):
     rnd = random.Random(5)
     plain = [(i, "ordinary_words_and-more/of_them internationalisation_of_everything counting-123456789-123456789") for i in range(200)]
