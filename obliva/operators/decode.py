@@ -38,16 +38,18 @@ def token_ids(text: Column) -> Column:
 def vocabulary_text(rows: DataFrame, ids: str, vocabulary: DataFrame, special: tuple[int, ...] = ()) -> DataFrame:
     """rows with ``text``: the ids spelt by a vocabulary (id, piece) of any size, special ids left out; an unknown id shows as <id>.
 
-    The rows keep a number of their own only until their pieces are back together.
+    The rows keep a number of their own only until their pieces are back together.  It is dealt once: a second reading
+    could deal it otherwise.  The other columns go with the first id.
     """
-    out = rows.withColumn("_row", F.monotonically_increasing_id())
-    spelt = out.select("_row", F.posexplode(ids).alias("_at", "id"))
-    if special:
-        spelt = spelt.where(~F.col("id").isin(*special))
+    numbered = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "text"]).alias("_kept"), F.col(ids).alias("_ids")).withColumn("_row", F.monotonically_increasing_id())
+    spelt = numbered.select("_row", "_kept", F.posexplode_outer("_ids").alias("_at", "id"))
+    spelt = spelt.withColumn("_kept", F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_kept")))
     spelt = spelt.join(vocabulary.select("id", "piece"), "id", "left")
     piece = F.coalesce("piece", F.concat(F.lit("<"), F.col("id").cast("string"), F.lit(">")))
-    texts = spelt.groupBy("_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", piece.alias("p")))), lambda x: x["p"]), "").alias("_text"))
-    return out.join(texts, "_row", "left").withColumn("text", F.coalesce("_text", F.lit(""))).drop("_row", "_text")
+    shown = F.col("_at").isNotNull() & ~F.coalesce(F.col("id").isin(*special), F.lit(False)) if special else F.col("_at").isNotNull()
+    pieces = F.array_sort(F.collect_list(F.when(shown, F.struct("_at", piece.alias("p")))))
+    texts = spelt.groupBy("_row").agg(F.first("_kept", ignorenulls=True).alias("_kept"), F.array_join(F.transform(pieces, lambda x: x["p"]), "").alias("text"))
+    return texts.select("_kept.*", "text")
 
 
 def decoded(ids: Column) -> Column:

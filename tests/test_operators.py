@@ -8,6 +8,7 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from obliva import config
 from obliva.functions.attributes import ATTRIBUTES
@@ -375,3 +376,25 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("scored").agg(F.sum("error")).first()[0] == pytest.approx(scoring.error_detail(p).agg(F.sum("error")).first()[0])
+
+
+def test_vocabulary_text_of_rows_from_a_shuffle(spark):
+    """Each row has its own pieces, though a narrow reading of the rows is dealt otherwise than a whole one."""
+    n, k = 4000, F.col("id")
+    ids = F.when(k % 10 == 0, F.array().cast("array<bigint>")).when(k % 10 != 1, F.array(k % 7, k % 11, F.lit(3), F.lit(None), k))
+    wide = F.concat(*[F.sha2((k * 8 + i).cast("string"), 256) for i in range(8)])
+    vocabulary = spark.range(10).select("id", F.concat(F.lit(" "), F.col("id").cast("string")).alias("piece"))
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k"}
+    before = {c: spark.conf.get(c) for c in settings}
+    try:
+        for c, v in settings.items():
+            spark.conf.set(c, v)
+        place = F.row_number().over(Window.partitionBy(k % 97).orderBy("id"))
+        rows = spark.range(n).select("id", wide.alias("wide"), F.lit("old").alias("text"), place.alias("place")).withColumn("ids", ids)
+        got = decode.vocabulary_text(rows, "ids", vocabulary, (3,)).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    piece = lambda x: f" {x}" if x < 10 else f"<{x}>"
+    want = {i: "" if i % 10 < 2 else "".join(piece(x) for x in (i % 7, i % 11, i) if x != 3) for i in range(n)}
+    assert len(got) == n and {r.id: r.text for r in got} == want
