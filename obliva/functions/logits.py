@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +35,33 @@ def softmax(v: Column) -> Column:
     return F.transform(log_softmax(v), lambda x: F.exp(x))
 
 
+def softmax_c(v: Column) -> Column:
+    """``softmax``, to the last bit as engines that call the C library have it.
+
+    The JVM's exp may differ from it in the last bit.  Where scores that are equal in theory are ordered, that bit decides.
+    """
+
+    def one(x):
+        if not x:
+            return x
+        if None in x:
+            return [None] * len(x)
+        top = max(x)
+        if math.isinf(top) or any(map(math.isnan, x)):
+            return [math.nan] * len(x)
+        added = 0.0
+        for y in x:  # from left to right, without the compensation of sum()
+            added += math.exp(y - top)
+        level = top + math.log(added)
+        return [math.exp(y - level) for y in x]
+
+    def shares(lists):
+        return pa.array([one(x) for x in lists.to_pylist()], pa.list_(pa.float64()))
+
+    # As if it were not deterministic: else a filter on what follows from it is moved into a join's condition, where no Python runs.
+    return F.arrow_udf(shares, "array<double>").asNondeterministic()(v)
+
+
 def nll(v: Column, target: Column) -> Column:
     """Negative log-likelihood of a target (index from 0); 0 for an ignored one."""
     return F.when(target == IGNORED, F.lit(0.0)).otherwise(log_sum(v) - F.get(v, target))

@@ -185,8 +185,10 @@ def token_rank(rows: DataFrame) -> DataFrame:
 
 def gradient_order(rows: DataFrame, largest: bool, npo_beta: float | None = None) -> DataFrame:
     """rows (logits, options, hidden_norm, reference for NPO) with ``ordered``: the options (key, token, norm) in the order of the
-    norm of the last layer's gradient.  Each softmax is computed once for a row, and no array leaves it."""
-    softs = F.struct(L.softmax(F.col("logits")).alias("p"), (L.softmax(F.col("reference")) if npo_beta is not None else F.lit(None)).alias("q"), F.col("hidden_norm").alias("h"))
+    norm of the last layer's gradient.  Each softmax is computed once for a row, to the last bit as in C: sums of the same norms
+    in another order are equal but for it."""
+    rows = rows.withColumns({"_p": L.softmax_c(F.col("logits"))} | ({"_q": L.softmax_c(F.col("reference"))} if npo_beta is not None else {}))
+    softs = F.struct(F.col("_p").alias("p"), (F.col("_q") if npo_beta is not None else F.lit(None)).alias("q"), F.col("hidden_norm").alias("h"))
 
     def of(x: Column) -> Column:
         return L.let(L.total(F.transform(x["p"], lambda y: y * y)), lambda square: F.transform(F.col("options"), lambda t: one(x, square, t)))
@@ -197,7 +199,7 @@ def gradient_order(rows: DataFrame, largest: bool, npo_beta: float | None = None
             norm = norm * L.npo_scale(F.get(x["p"], t), F.get(x["q"], t), npo_beta)
         return L.let(norm, lambda v: F.struct((-v if largest else v).alias("key"), t.alias("token"), v.alias("norm")))
 
-    return rows.withColumn("ordered", F.array_sort(L.let(softs, of))).drop("logits", "reference", "options")
+    return rows.withColumn("ordered", F.array_sort(L.let(softs, of))).drop("logits", "reference", "options", "_p", "_q")
 
 
 def gradient_rank(rows: DataFrame, largest: bool, npo_beta: float | None = None) -> DataFrame:
