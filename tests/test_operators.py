@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import random
 import re
 
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from obliva import config
+from obliva.functions import logits as L
 from obliva.functions.attributes import ATTRIBUTES
 from obliva.operators import corpus, decode, evaluation, order, prep, scoring, splits
 from obliva.plans import stages
@@ -398,3 +400,21 @@ def test_vocabulary_text_of_rows_from_a_shuffle(spark):
     piece = lambda x: f" {x}" if x < 10 else f"<{x}>"
     want = {i: "" if i % 10 < 2 else "".join(piece(x) for x in (i % 7, i % 11, i) if x != 3) for i in range(n)}
     assert len(got) == n and {r.id: r.text for r in got} == want
+
+
+def test_gradient_norms_to_the_last_bit(spark):
+    """As with the C library's exp and log: beams of equal norms in another order are told apart by nothing else."""
+    r = random.Random(8)
+    rows = [(i, [r.gauss(0, 3) for _ in range(64)], [3, 20, 60], 2.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "i int, logits array<double>, options array<int>, hidden_norm double")
+    for row in decode.gradient_order(df, True).collect():
+        v = rows[row.i][1]
+        added = square = 0.0
+        for x in v:
+            added += math.exp(x - max(v))
+        p = [math.exp(x - (max(v) + math.log(added))) for x in v]
+        for x in p:
+            square += x * x
+        assert {o.token: o.norm for o in row.ordered} == {t: (2.0 + 1e-12) * math.sqrt(1 - 2 * max(p[t], 1e-20) + square + 1e-12) for t in (3, 20, 60)}
+    odd = spark.createDataFrame([(None,), ([],), ([1.0, None],), ([1.0, math.nan],), ([0.0],)], "v array<double>")
+    assert [str(x[0]) for x in odd.select(L.softmax_c(F.col("v"))).collect()] == ["None", "[]", "[None, None]", "[nan, nan]", "[1.0]"]
